@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,3 +35,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_outputs(docs: DataFrame, text: str, keep: list[str], outputs: dict[str, str], make: Callable[[], Callable]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and new columns computed from the column ``text``, in Arrow batches.
+
+    ``make()`` runs once for each task and gives a function from a list of texts (None for null) to a tuple of lists,
+    one for each of ``outputs`` (name -> DDL type). An output replaces a kept column of its name.
+    """
+    keep = [c for c in keep if c not in outputs]
+    row = F.struct(*(F.col(f"`{c}`") for c in keep))
+    inside = text in keep
+    given = docs.select(row.alias("row"), *([] if inside else [F.col(text).alias("t")]))
+    names = list(outputs)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            rows = batch.column("row")
+            texts = (rows.field(keep.index(text)) if inside else batch.column("t")).to_pylist()
+            got = f(texts)
+            yield pa.RecordBatch.from_arrays([rows, *(pa.array(x, types[n]) for n, x in zip(names, got, strict=True))], names=["row", *names])
+
+    out = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items()))
+    types = {f.name: f.type for f in to_arrow_schema(out)}
+    schema = StructType([given.schema["row"], *out.fields])
+    return given.mapInArrow(work, schema).select(*(F.col(f"row.`{c}`") for c in keep), *names)
+
+
+def held_out(key: str, buckets: int, bucket: int):
+    """Whether crc32 of the key as text leaves this remainder; a null key is not held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % buckets == bucket, F.lit(False))
+
+
+def hash01(key: str):
+    """A number in [0, 1) fixed by the key, for samples that do not depend on partitioning."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quillmill.llm import chat, urls
+from quillmill.llm import bpe, chat, language, urls
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op3_language_id": language.op3_language_id,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_url_filters": urls.op10_url_filters,
 }
