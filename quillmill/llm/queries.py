@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, chat, language, urls
+from quillmill.llm import bpe, chat, language, linededup, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_language_id": language.op3_language_id,
+    "op5_line_dedup": linededup.op5_line_dedup,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op10_url_filters": urls.op10_url_filters,
 }
