@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, chat, language, linededup, neardup, urls
+from quillmill.llm import bpe, chat, decontaminate, language, linededup, neardup, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_language_id": language.op3_language_id,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_simhash_near_dedup": neardup.op9_simhash_near_dedup,
     "op10_url_filters": urls.op10_url_filters,
 }
 
 ORACLE_SQL = {
+    "op7_decontamination": decontaminate.OP7_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op10_url_filters": urls.OP10_SQL,
 }
