@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, chat, decontaminate, language, linededup, neardup, urls
+from quillmill.llm import bpe, chat, decontaminate, language, linededup, neardup, quality, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_quality": quality.op2_quality,
     "op3_language_id": language.op3_language_id,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_line_dedup": linededup.op5_line_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_chat_formatting": chat.op8_chat_formatting,
