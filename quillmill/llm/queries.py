@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, chat, decontaminate, language, linededup, neardup, quality, toxicity, urls
+from quillmill.llm import ann, bpe, chat, decontaminate, language, linededup, neardup, quality, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": language.op3_language_id,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_line_dedup": linededup.op5_line_dedup,
+    "op6_ann": ann.op6_ann,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_simhash_near_dedup": neardup.op9_simhash_near_dedup,
