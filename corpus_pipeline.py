@@ -1,8 +1,63 @@
-"""The corpus pipeline (filled stage by stage)."""
+"""A corpus pipeline: language ID, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of ``documents``; ``n_chars`` follows the text.
+
+Defined cases: documents of null or letterless text go at the first stage; the near-dedup keeps of each group the
+document of the smallest id; a document whose lines all went stays with an empty text unless it is a near copy.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmill.llm import bpe, decontaminate, language, linededup, neardup
+from quillmill.llm.common import table, written
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which no known language is found."""
+    return language.identify(docs, language.learn_profiles(docs)).where(F.col("lang_pred") != "und").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out all but the first of each group of near-equal lines."""
+    left = linededup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate group."""
+    return neardup.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents contaminated by the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, their digest and that of the text decoded from them."""
+    return bpe.encoded_with_digests(docs, bpe.TOKENIZER)
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash_near_dedup", drop_near_copies),
+    ("benchmark_decontamination", drop_benchmark),
+    ("bpe", encode),
+]
+
+#: Most stages can't be put into SQL; tests hold the run against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -197,42 +197,49 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+_KINDS = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()), "ids": ("array<int>", pa.list_(pa.int32()))}
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """-> key, ``ids`` array<int>. ``tokenizer``: path of the vocabulary file, readable on every executor."""
-    return _run(docs, tokenizer, key, text, digests=False)
+    return _run(docs, tokenizer, key, text, ["ids"])
 
 
 def token_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """-> key, n_tokens, ids_sha256, decoded_sha256: what came out of encoding and of decoding the ids again."""
-    return _run(docs, tokenizer, key, text, digests=True)
+    return _run(docs, tokenizer, key, text, ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+
+def encoded_with_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return _run(docs, tokenizer, key, text, ["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
 
-def _run(docs: DataFrame, tokenizer: str, key: str, text: str, digests: bool) -> DataFrame:
+def _run(docs: DataFrame, tokenizer: str, key: str, text: str, names: list[str]) -> DataFrame:
     pair = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = pair.schema["k"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
-        for batch in batches:
-            rows: list[list] = [[], [], []]
-            for t in batch.column("t"):
-                ids, decimal = bpe.encode(t.as_py())
-                if digests:
-                    rows[0].append(len(ids))
-                    rows[1].append(hashlib.sha256(decimal.encode()).hexdigest())
-                    rows[2].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                else:
-                    rows[0].append(ids)
-            if digests:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("k"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())],
-                    names=["k", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(rows[0], pa.list_(pa.int32()))], names=["k", "ids"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                runs, n, digests, decoded = [], [], [], []
+                for t in batch.column("t"):
+                    ids, decimal = bpe.encode(t.as_py())
+                    runs.append(ids)
+                    n.append(len(ids))
+                    if "ids_sha256" in names:
+                        digests.append(hashlib.sha256(decimal.encode()).hexdigest())
+                    if "decoded_sha256" in names:
+                        decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                made = {"n_tokens": n, "ids_sha256": digests, "decoded_sha256": decoded}
+                if "ids" in names:
+                    ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                    made["ids"] = pa.ListArray.from_arrays(ends, np.concatenate(runs) if runs else np.empty(0, np.int32))
+                columns = [made[x] if x == "ids" else pa.array(made[x], _KINDS[x][1]) for x in names]
+                yield pa.RecordBatch.from_arrays([batch.column("k"), *columns], names=["k", *names])
 
-    shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return pair.mapInArrow(work, f"k {kind}, {shape}").withColumnRenamed("k", key)
+    kind = pair.schema["k"].dataType.simpleString()
+    return pair.mapInArrow(work, f"k {kind}, " + ", ".join(f"{x} {_KINDS[x][0]}" for x in names)).withColumnRenamed("k", key)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
