@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.operators.relational import clip_low, drop_open_zero_sales, flag
+from quillmill.sources.staging import staged
 
 WEATHER = ["temperature_avg", "temperature_min", "temperature_max", "precipitation_mm"]
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 CATEGORICALS = ["type_code", "level_code", "state", "weather_event"]
 
 
-def impute_group_median(df: DataFrame, columns: list[str], keysets: list[list[str]]) -> DataFrame:
-    """Fill nulls by the exact median of the first key set that has one; an empty key set is the whole table.
+def impute_medians(df: DataFrame, rules: dict[str, list[list[str]]]) -> DataFrame:
+    """Fill each column's nulls by the exact median of the first of its key sets that has one; [] is the whole table.
 
-    Medians are small aggregates joined back, so the facts are never sorted by a window.
+    One aggregate per key set serves all columns that use it. Medians are small and joined back, so the facts are never
+    sorted by a window.
     """
-    out, names = df, df.columns
+    keysets = [list(k) for k in dict.fromkeys(tuple(k) for sets in rules.values() for k in sets)]
+    out = df
     for i, keys in enumerate(keysets):
+        columns = [c for c, sets in rules.items() if keys in sets]
         medians = df.groupBy(*keys).agg(*(F.median(c).alias(f"__m{i}_{c}") for c in columns))
         out = out.join(medians, keys, "left") if keys else out.crossJoin(F.broadcast(medians))
-    filled = {c: F.coalesce(c, *(F.col(f"__m{i}_{c}") for i in range(len(keysets)))) for c in columns}
-    return out.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in names))
+    filled = {c: F.coalesce(c, *(F.col(f"__m{keysets.index(k)}_{c}") for k in sets)) for c, sets in rules.items()}
+    return out.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in df.columns))
+
+
+def impute_group_median(df: DataFrame, columns: list[str], keysets: list[list[str]]) -> DataFrame:
+    return impute_medians(df, {c: keysets for c in columns})
 
 
 def impute_ffill(df: DataFrame, columns: list[str], date: str = "date", order: str = "store_id") -> DataFrame:
@@ -57,13 +63,12 @@ def impute_ffill(df: DataFrame, columns: list[str], date: str = "date", order: s
 
 def impute_all(df: DataFrame) -> DataFrame:
     """The whole imputation: weather, macro figures, unemployment, trend, competitor."""
-    keyed = df.withColumn("__month", F.month("date")).withColumn("__year", F.year("date"))
-    out = impute_group_median(keyed, WEATHER, [["state", "__month"], ["__month"], []])
+    keyed = df.withColumns({"__month": F.month("date"), "__year": F.year("date"), "unemployment_rate": F.abs("unemployment_rate")})  # a sign error in the source
+    rules = {c: [["state", "__month"], ["__month"], []] for c in WEATHER}
+    rules |= {"unemployment_rate": [["state", "__year"], []], "trend_index": [["state", "__month"], []]}
+    rules |= {c: [[]] for c in ("distance_meters", "open_since_month", "open_since_year")}
+    out = staged(impute_medians(keyed, rules), "medians")
     out = impute_ffill(out, ["gdp_index", "consumer_confidence_index"])
-    out = out.withColumn("unemployment_rate", F.abs("unemployment_rate"))  # a sign error in the source
-    out = impute_group_median(out, ["unemployment_rate"], [["state", "__year"], []])
-    out = impute_group_median(out, ["trend_index"], [["state", "__month"], []])
-    out = impute_group_median(out, ["distance_meters", "open_since_month", "open_since_year"], [[]])
     return out.fillna({"weather_event": "None", "has_local_event": 0}).drop("__month", "__year")
 
 
@@ -147,8 +152,8 @@ def continuous_promo(df: DataFrame, promo: DataFrame) -> DataFrame:
 
 def build_features(df: DataFrame, promo_days: DataFrame, promo: DataFrame) -> DataFrame:
     """The fixed order: impute, calendar, labels, targets, interactions, promotions, then dropping zero-sales rows."""
-    steps = [
-        impute_all, calendar_features, lambda x: label_encode(x, CATEGORICALS), target_encode, interactions,
-        lambda x: promo_flag(x, promo_days), lambda x: continuous_promo(x, promo), drop_open_zero_sales,
-    ]
-    return reduce(lambda x, f: f(x), steps, df)
+    x = impute_all(staged(df, "fact"))
+    x = staged(calendar_features(x), "calendar")
+    x = staged(label_encode(x, CATEGORICALS), "labels")
+    x = interactions(target_encode(x))
+    return drop_open_zero_sales(continuous_promo(promo_flag(x, promo_days), promo))

@@ -65,16 +65,16 @@ class Retail:
         self.weather = by_day.select(
             "state",
             "date",
-            F.when(d % 5 != 0, (F.col("hi") + F.col("lo")) / 20000).alias("temperature_avg"),
-            F.when(d % 7 != 0, F.col("lo") / 10000).alias("temperature_min"),
-            F.when(d % 7 != 1, F.col("hi") / 10000).alias("temperature_max"),
+            F.when(d % 5 != 0, (F.col("hi") + F.col("lo")) / 100).alias("temperature_avg"),
+            F.when(d % 7 != 0, F.col("lo") / 100).alias("temperature_min"),
+            F.when(d % 7 != 1, F.col("hi") / 100).alias("temperature_max"),
             F.when(d % 3 != 0, F.col("n").cast("double")).alias("precipitation_mm"),
             F.when(d % 4 == 0, "Rain").when(d % 4 == 1, "Sun").alias("weather_event"),
         )
         self.macro = orders.groupBy("state", F.date_format("date", "yyyy-MM").alias("year_month")).agg(
-            (F.max("p").cast("double") / 1000).alias("gdp_index"),
+            (F.max("p").cast("double") / 100).alias("gdp_index"),
             F.when(F.count("*") % 2 == 0, F.count("*") * 0.25).otherwise(F.count("*") * -0.25).cast("double").alias("unemployment_rate"),
-            F.when(F.count("*") % 3 != 0, F.min("p").cast("double") / 1000).alias("consumer_confidence_index"),
+            F.when(F.count("*") % 3 != 0, F.min("p").cast("double") / 100).alias("consumer_confidence_index"),
         )
         self.trends = orders.groupBy("state", F.date_sub("date", F.weekday("date")).alias("week_start")).agg(
             F.when(F.count("*") > 1, F.count("*")).cast("double").alias("trend_index")
@@ -106,13 +106,13 @@ promo AS (SELECT s_suppkey AS store_id, CASE WHEN s_suppkey % 4 <> 0 THEN s_supp
 ord AS (SELECT n_name AS state, CAST(o_orderdate AS DATE) AS date, CAST(o_totalprice AS DECIMAL(18,2)) AS p, o_orderpriority
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 by_day AS (SELECT state, date, CAST(max(p) AS DOUBLE) AS hi, CAST(min(p) AS DOUBLE) AS lo, count(*) AS n FROM ord GROUP BY ALL),
-weather AS (SELECT state, date, CASE WHEN day(date) % 5 <> 0 THEN (hi + lo) / 20000 END AS temperature_avg,
-    CASE WHEN day(date) % 7 <> 0 THEN lo / 10000 END AS temperature_min, CASE WHEN day(date) % 7 <> 1 THEN hi / 10000 END AS temperature_max,
+weather AS (SELECT state, date, CASE WHEN day(date) % 5 <> 0 THEN (hi + lo) / 100 END AS temperature_avg,
+    CASE WHEN day(date) % 7 <> 0 THEN lo / 100 END AS temperature_min, CASE WHEN day(date) % 7 <> 1 THEN hi / 100 END AS temperature_max,
     CASE WHEN day(date) % 3 <> 0 THEN CAST(n AS DOUBLE) END AS precipitation_mm,
     CASE day(date) % 4 WHEN 0 THEN 'Rain' WHEN 1 THEN 'Sun' END AS weather_event FROM by_day),
-macro AS (SELECT state, strftime(date, '%Y-%m') AS year_month, CAST(max(p) AS DOUBLE) / 1000 AS gdp_index,
+macro AS (SELECT state, strftime(date, '%Y-%m') AS year_month, CAST(max(p) AS DOUBLE) / 100 AS gdp_index,
     CAST(CASE WHEN count(*) % 2 = 0 THEN count(*) * 0.25 ELSE count(*) * -0.25 END AS DOUBLE) AS unemployment_rate,
-    CASE WHEN count(*) % 3 <> 0 THEN CAST(min(p) AS DOUBLE) / 1000 END AS consumer_confidence_index FROM ord GROUP BY ALL),
+    CASE WHEN count(*) % 3 <> 0 THEN CAST(min(p) AS DOUBLE) / 100 END AS consumer_confidence_index FROM ord GROUP BY ALL),
 trends AS (SELECT state, date - (isodow(date) - 1)::INTEGER AS week_start, CASE WHEN count(*) > 1 THEN CAST(count(*) AS DOUBLE) END AS trend_index FROM ord GROUP BY ALL),
 levents AS (SELECT state, date AS date_start, CASE WHEN p > 100000 THEN 'Fair' END AS event_type FROM ord WHERE o_orderpriority = '1-URGENT'),
 state_holidays AS (SELECT state, date, ['a', 'b', 'c'][day(date) % 3 + 1] AS holiday_type FROM ord WHERE o_orderpriority = '2-HIGH'),

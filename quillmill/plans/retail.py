@@ -14,17 +14,24 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, *more: str):
+def query(name: str, sql: str | None = None, *more: str, dates: str = ""):
+    """Register a query; dates leave as ISO text, which both engines write alike."""
+
     def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Retail(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: plain(f(Retail(spark, sf_dir)))
         if sql:
-            ORACLE_SQL[name] = retail_sql(sql, *more)
+            text = ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in dates.split())
+            ORACLE_SQL[name] = retail_sql(f"SELECT * REPLACE ({text}) FROM ({sql})" if dates else sql, *more)
         return f
 
     return register
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+def plain(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
@@ -43,8 +50,7 @@ def store_profile(t):
 
 @query(
     "retail_state_days",
-    "SELECT state, date, round(temperature_avg, 4) AS temperature_avg, weather_event, round(gdp_index, 4) AS gdp_index, unemployment_rate, trend_index, has_local_event FROM state_days",
-)
+    "SELECT state, date, round(temperature_avg, 6) AS temperature_avg, weather_event, round(gdp_index, 6) AS gdp_index, unemployment_rate, trend_index, has_local_event FROM state_days", dates="date")
 def state_days(t):
     out = R.enrich_state_days(t.weather, t.macro, t.trends, t.events)
     return rounded(out.select("state", "date", "temperature_avg", "weather_event", "gdp_index", "unemployment_rate", "trend_index", "has_local_event"))
@@ -52,17 +58,16 @@ def state_days(t):
 
 @query(
     "retail_fact",
-    "SELECT store_id, date, sales, is_open, is_train, type_code, state, distance_meters, round(temperature_avg, 4) AS temperature_avg, trend_index, weather_event, has_local_event FROM fact",
-)
+    "SELECT store_id, date, sales, is_open, is_train, type_code, state, distance_meters, round(temperature_avg, 6) AS temperature_avg, trend_index, weather_event, has_local_event FROM fact", dates="date")
 def fact_table(t):
     columns = ["store_id", "date", "sales", "is_open", "is_train", "type_code", "state", "distance_meters", "temperature_avg", "trend_index", "weather_event", "has_local_event"]
-    return fact(t).select(*columns).withColumn("temperature_avg", F.round("temperature_avg", 4))
+    return fact(t).select(*columns).withColumn("temperature_avg", F.round("temperature_avg", 6))
 
 
 @query(
     "retail_promo_uplift",
-    """SELECT store_id, n_name AS nation, round(w, 4) AS with_promo, round(o, 4) AS without_promo,
-       round(CASE WHEN o > 0 THEN (w - o) / o * 100 ELSE 0 END, 4) AS uplift_pct FROM (
+    """SELECT store_id, n_name AS nation, round(w, 6) AS with_promo, round(o, 6) AS without_promo,
+       round(CASE WHEN o > 0 THEN (w - o) / o * 100 ELSE 0 END, 6) AS uplift_pct FROM (
          SELECT store_id, avg(sales) FILTER (p.store_id_ IS NOT NULL) AS w, avg(sales) FILTER (p.store_id_ IS NULL) AS o
          FROM sales s LEFT JOIN (SELECT DISTINCT store_id AS store_id_, date AS date_ FROM promo_days) p ON store_id = store_id_ AND date = date_
          WHERE is_open = 1 GROUP BY store_id) JOIN (SELECT store_id, state AS n_name FROM states) USING (store_id)
@@ -82,8 +87,7 @@ def uplift(t):
        round(sin(2 * pi() * (isodow(date) - 1) / 7), 6) AS dow_sin, round(cos(2 * pi() * (isodow(date) - 1) / 7), 6) AS dow_cos,
        round(sin(2 * pi() * month(date) / 12), 6) AS month_sin, round(cos(2 * pi() * month(date) / 12), 6) AS month_cos,
        round(sin(2 * pi() * week(date) / 52), 6) AS woy_sin, round(cos(2 * pi() * week(date) / 52), 6) AS woy_cos
-       FROM base JOIN profile USING (store_id)""",
-)
+       FROM base JOIN profile USING (store_id)""", dates="date")
 def calendar(t):
     rows = R.tag_and_union(t.sales, t.requests).join(profile(t), "store_id")
     out = X.calendar_features(rows)
@@ -95,11 +99,11 @@ _MEDIANS = """
 med AS (SELECT f.store_id, f.date, {}
   FROM fact f LEFT JOIN (SELECT state, month(date) AS m, {} FROM fact GROUP BY ALL) a ON f.state = a.state AND month(f.date) = a.m
   LEFT JOIN (SELECT month(date) AS m, {} FROM fact GROUP BY ALL) b ON month(f.date) = b.m, (SELECT {} FROM fact) c)""".format(
-    ", ".join(f"round(coalesce(f.{c}, a.{c}, b.{c}, c.{c}), 4) AS {c}" for c in X.WEATHER), *[", ".join(f"median({c}) AS {c}" for c in X.WEATHER)] * 3
+    ", ".join(f"round(coalesce(f.{c}, a.{c}, b.{c}, c.{c}), 6) AS {c}" for c in X.WEATHER), *[", ".join(f"median({c}) AS {c}" for c in X.WEATHER)] * 3
 )
 
 
-@query("retail_impute_median", "SELECT * FROM med", _MEDIANS)
+@query("retail_impute_median", "SELECT * FROM med", _MEDIANS, dates="date")
 def impute_median(t):
     keyed = fact(t).withColumn("m", F.month("date"))
     out = X.impute_group_median(keyed, X.WEATHER, [["state", "m"], ["m"], []])
@@ -108,21 +112,19 @@ def impute_median(t):
 
 @query(
     "retail_impute_ffill",
-    """SELECT store_id, date, round(coalesce(f, b), 4) AS gdp_index FROM (SELECT store_id, date,
+    """SELECT store_id, date, round(coalesce(f, b), 6) AS gdp_index FROM (SELECT store_id, date,
        last_value(gdp_index IGNORE NULLS) OVER (ORDER BY date, store_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f,
-       first_value(gdp_index IGNORE NULLS) OVER (ORDER BY date, store_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM fact)""",
-)
+       first_value(gdp_index IGNORE NULLS) OVER (ORDER BY date, store_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM fact)""", dates="date")
 def impute_ffill(t):
     return rounded(X.impute_ffill(fact(t).select("store_id", "date", "gdp_index"), ["gdp_index"]))
 
 
 @query(
     "retail_impute_rates",
-    """SELECT f.store_id, f.date, round(coalesce(abs(f.unemployment_rate), a.u, c.u), 4) AS unemployment_rate, round(coalesce(f.trend_index, b.t, c.t), 4) AS trend_index
+    """SELECT f.store_id, f.date, round(coalesce(abs(f.unemployment_rate), a.u, c.u), 6) AS unemployment_rate, round(coalesce(f.trend_index, b.t, c.t), 6) AS trend_index
        FROM fact f LEFT JOIN (SELECT state, year(date) AS y, median(abs(unemployment_rate)) AS u FROM fact GROUP BY ALL) a ON f.state = a.state AND year(f.date) = a.y
        LEFT JOIN (SELECT state, month(date) AS m, median(trend_index) AS t FROM fact GROUP BY ALL) b ON f.state = b.state AND month(f.date) = b.m,
-       (SELECT median(abs(unemployment_rate)) AS u, median(trend_index) AS t FROM fact) c""",
-)
+       (SELECT median(abs(unemployment_rate)) AS u, median(trend_index) AS t FROM fact) c""", dates="date")
 def impute_rates(t):
     x = fact(t).select("store_id", "date", "state", F.abs("unemployment_rate").alias("unemployment_rate"), "trend_index", F.year("date").alias("y"), F.month("date").alias("m"))
     x = X.impute_group_median(x, ["unemployment_rate"], [["state", "y"], []])
@@ -141,8 +143,7 @@ def null_audit(t):
 @query(
     "retail_label_encoding",
     """SELECT store_id, date, dense_rank() OVER (ORDER BY coalesce(type_code, 'None')) - 1 AS type_code_enc, dense_rank() OVER (ORDER BY coalesce(level_code, 'None')) - 1 AS level_code_enc,
-       dense_rank() OVER (ORDER BY coalesce(state, 'None')) - 1 AS state_enc, dense_rank() OVER (ORDER BY weather_event) - 1 AS weather_event_enc FROM fact""",
-)
+       dense_rank() OVER (ORDER BY coalesce(state, 'None')) - 1 AS state_enc, dense_rank() OVER (ORDER BY weather_event) - 1 AS weather_event_enc FROM fact""", dates="date")
 def label_encoding(t):
     return X.label_encode(fact(t), X.CATEGORICALS).select("store_id", "date", *(f"{c}_enc" for c in X.CATEGORICALS))
 
@@ -156,10 +157,9 @@ tj AS (SELECT f.store_id, f.date, a, m, d, s FROM fact f LEFT JOIN (SELECT store
 
 @query(
     "retail_target_encoding",
-    """SELECT store_id, date, round(coalesce(a, (SELECT median(a) FROM tj)), 4) AS store_avg_sales, round(coalesce(m, (SELECT median(m) FROM tj)), 4) AS store_med_sales,
-       round(coalesce(d, (SELECT median(d) FROM tj)), 4) AS store_dow_avg, round(coalesce(s, (SELECT median(s) FROM tj)), 4) AS state_month_avg FROM tj""",
-    _TARGET,
-)
+    """SELECT store_id, date, round(coalesce(a, (SELECT median(a) FROM tj)), 6) AS store_avg_sales, round(coalesce(m, (SELECT median(m) FROM tj)), 6) AS store_med_sales,
+       round(coalesce(d, (SELECT median(d) FROM tj)), 6) AS store_dow_avg, round(coalesce(s, (SELECT median(s) FROM tj)), 6) AS state_month_avg FROM tj""",
+    _TARGET, dates="date")
 def target_encoding(t):
     x = fact(t).withColumns({"day_of_week": F.weekday("date"), "month": F.month("date")})
     return rounded(X.target_encode(x).select("store_id", "date", "store_avg_sales", "store_med_sales", "store_dow_avg", "state_month_avg"))
@@ -167,9 +167,8 @@ def target_encoding(t):
 
 @query(
     "retail_interactions",
-    """SELECT store_id, date, round(distance_meters * t, 4) AS distance_x_type, CAST(t * 10 + l AS DOUBLE) AS store_type_assort FROM (
-       SELECT *, dense_rank() OVER (ORDER BY coalesce(type_code, 'None')) - 1 AS t, dense_rank() OVER (ORDER BY coalesce(level_code, 'None')) - 1 AS l FROM fact)""",
-)
+    """SELECT store_id, date, round(distance_meters * t, 6) AS distance_x_type, CAST(t * 10 + l AS DOUBLE) AS store_type_assort FROM (
+       SELECT *, dense_rank() OVER (ORDER BY coalesce(type_code, 'None')) - 1 AS t, dense_rank() OVER (ORDER BY coalesce(level_code, 'None')) - 1 AS l FROM fact)""", dates="date")
 def interactions(t):
     x = X.label_encode(fact(t), ["type_code", "level_code"])
     return rounded(X.interactions(x).select("store_id", "date", "distance_x_type", "store_type_assort"))
@@ -179,14 +178,13 @@ def interactions(t):
     "retail_promotions",
     """SELECT b.store_id, b.date, CASE WHEN d.store_id IS NOT NULL THEN 1 ELSE 0 END AS promo, CASE WHEN since_year IS NOT NULL THEN 1 ELSE 0 END AS has_promo2,
        CASE WHEN contains(active_months, strftime(b.date, '%b')) AND b.date >= make_date(since_year, 1, 1) + CAST(since_week * 7 AS INTEGER) THEN 1 ELSE 0 END AS promo2_active
-       FROM base b LEFT JOIN (SELECT DISTINCT store_id, date FROM promo_days) d ON b.store_id = d.store_id AND b.date = d.date LEFT JOIN promo p ON b.store_id = p.store_id""",
-)
+       FROM base b LEFT JOIN (SELECT DISTINCT store_id, date FROM promo_days) d ON b.store_id = d.store_id AND b.date = d.date LEFT JOIN promo p ON b.store_id = p.store_id""", dates="date")
 def promotions(t):
     rows = R.tag_and_union(t.sales, t.requests)
     return X.continuous_promo(X.promo_flag(rows, t.promo_days), t.promo).select("store_id", "date", "promo", "has_promo2", "promo2_active")
 
 
-@query("retail_drop_zero_sales", "SELECT store_id, date, sales, is_open, is_train FROM base WHERE NOT coalesce(is_open = 1 AND sales = 0 AND is_train = 1, false)")
+@query("retail_drop_zero_sales", "SELECT store_id, date, sales, is_open, is_train FROM base WHERE NOT coalesce(is_open = 1 AND sales = 0 AND is_train = 1, false)", dates="date")
 def drop_zero(t):
     return R.drop_open_zero_sales(R.tag_and_union(t.sales, t.requests)).select("store_id", "date", "sales", "is_open", "is_train")
 
@@ -199,8 +197,7 @@ def features(t):
 @query(
     "retail_holidays",
     """SELECT store_id, date, coalesce(h, '0') AS state_holiday, CASE WHEN k.state IS NOT NULL THEN 1 ELSE 0 END AS school_holiday FROM base JOIN states USING (store_id)
-       LEFT JOIN (SELECT state, date, min(holiday_type) AS h FROM state_holidays GROUP BY ALL) x USING (state, date) LEFT JOIN school_holidays k USING (state, date)""",
-)
+       LEFT JOIN (SELECT state, date, min(holiday_type) AS h FROM state_holidays GROUP BY ALL) x USING (state, date) LEFT JOIN school_holidays k USING (state, date)""", dates="date")
 def holiday_flags(t):
     rows = R.tag_and_union(t.sales, t.requests).join(t.states, "store_id")
     return R.holidays(rows, t.state_holidays, t.school_holidays).select("store_id", "date", "state_holiday", "school_holiday")
@@ -212,27 +209,26 @@ _CUT = "cut AS (SELECT max(date) - 42 AS c FROM sales WHERE is_open = 1)"
 @query(
     "retail_temporal_split",
     "SELECT CASE WHEN date <= c THEN 'train' ELSE 'validation' END AS part, count(*) AS n, min(date) AS first_date, max(date) AS last_date, round(sum(sales), 2) AS sales FROM sales, cut WHERE is_open = 1 GROUP BY 1",
-    _CUT,
-)
+    _CUT, dates="first_date last_date")
 def split(t):
     train, valid = R.temporal_split(t.sales.withColumn("is_train", F.lit(1)))
     both = train.withColumn("part", F.lit("train")).unionByName(valid.withColumn("part", F.lit("validation")))
     return both.groupBy("part").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.round(F.sum("sales"), 2).alias("sales"))
 
 
-@query("retail_weekday_means", "SELECT store_id, isodow(date) - 1 AS day_of_week, round(avg(sales), 4) AS avg_sales FROM sales WHERE is_open = 1 GROUP BY ALL")
+@query("retail_weekday_means", "SELECT store_id, isodow(date) - 1 AS day_of_week, round(avg(sales), 6) AS avg_sales FROM sales WHERE is_open = 1 GROUP BY ALL")
 def weekday_means(t):
     return rounded(D.means_by(t.sales.withColumns({"is_train": F.lit(1), "day_of_week": F.weekday("date")}), ["store_id", "day_of_week"]))
 
 
-@query("retail_month_means", "SELECT store_id, month(date) AS month, round(avg(sales), 4) AS avg_sales FROM sales WHERE is_open = 1 GROUP BY ALL")
+@query("retail_month_means", "SELECT store_id, month(date) AS month, round(avg(sales), 6) AS avg_sales FROM sales WHERE is_open = 1 GROUP BY ALL")
 def month_means(t):
     return rounded(D.means_by(t.sales.withColumns({"is_train": F.lit(1), "month": F.month("date")}), ["store_id", "month"]))
 
 
 @query(
     "retail_weekday_pivot",
-    "SELECT isodow(date) - 1 AS day_of_week, " + ", ".join(f'round(avg(sales) FILTER (store_id = {i}), 4) AS "{i}"' for i in (1, 2, 3)) + " FROM sales WHERE is_open = 1 AND store_id IN (1, 2, 3) GROUP BY 1",
+    "SELECT isodow(date) - 1 AS day_of_week, " + ", ".join(f'round(avg(sales) FILTER (store_id = {i}), 6) AS "{i}"' for i in (1, 2, 3)) + " FROM sales WHERE is_open = 1 AND store_id IN (1, 2, 3) GROUP BY 1",
 )
 def weekday_pivot(t):
     return rounded(D.weekday_pivot(t.sales.withColumn("is_train", F.lit(1)), [1, 2, 3]))
@@ -240,14 +236,13 @@ def weekday_pivot(t):
 
 @query(
     "retail_weekly_resample",
-    """SELECT CAST(w AS DATE) AS week_end, round(v, 4) AS avg_sales FROM (SELECT unnest(generate_series(min(e), max(e), INTERVAL 7 DAY)) AS w FROM (SELECT date + (7 - isodow(date))::INTEGER AS e FROM sales WHERE store_id = 1))
-       LEFT JOIN (SELECT date + (7 - isodow(date))::INTEGER AS e, avg(sales) AS v FROM sales WHERE store_id = 1 GROUP BY 1) ON CAST(w AS DATE) = e""",
-)
+    """SELECT CAST(w AS DATE) AS week_end, round(v, 6) AS avg_sales FROM (SELECT unnest(generate_series(min(e), max(e), INTERVAL 7 DAY)) AS w FROM (SELECT date + (7 - isodow(date))::INTEGER AS e FROM sales WHERE store_id = 1))
+       LEFT JOIN (SELECT date + (7 - isodow(date))::INTEGER AS e, avg(sales) AS v FROM sales WHERE store_id = 1 GROUP BY 1) ON CAST(w AS DATE) = e""", dates="week_end")
 def weekly(t):
     return rounded(D.weekly_resample(t.sales.where("store_id = 1")))
 
 
-@query("retail_summary", "SELECT round(avg(sales), 4) AS mean, round(median(sales), 4) AS median, max(sales) AS max, min(sales) AS min, round(sum(sales), 2) AS sum, count(sales) AS count FROM sales")
+@query("retail_summary", "SELECT round(avg(sales), 6) AS mean, round(median(sales), 6) AS median, max(sales) AS max, min(sales) AS min, round(sum(sales), 2) AS sum, count(sales) AS count FROM sales")
 def summary(t):
     out = rounded(D.summary(t.sales, "sales"))
     return out.withColumn("sum", F.round("sum", 2))
@@ -263,7 +258,7 @@ def grouped_mode(t):
 
 @query(
     "retail_column_profile",
-    """SELECT c AS "column", nulls, round(100.0 * nulls / n, 4) AS null_pct, neg AS negatives FROM (SELECT unnest(['store_id', 'distance_meters', 'open_since_month', 'open_since_year']) AS c,
+    """SELECT c AS "column", nulls, round(100.0 * nulls / n, 6) AS null_pct, neg AS negatives FROM (SELECT unnest(['store_id', 'distance_meters', 'open_since_month', 'open_since_year']) AS c,
        unnest([count(*) - count(store_id), count(*) - count(distance_meters), count(*) - count(open_since_month), count(*) - count(open_since_year)]) AS nulls,
        unnest([count(*) FILTER (store_id < 0), count(*) FILTER (distance_meters < 0), count(*) FILTER (open_since_month < 0), count(*) FILTER (open_since_year < 0)]) AS neg, count(*) AS n FROM competition)""",
 )
@@ -286,8 +281,7 @@ def distinct_states(t):
 
 @query(
     "retail_tolerant_dates",
-    "SELECT store_id, date AS parsed, count(*) AS n FROM (SELECT store_id, CASE WHEN store_id % 4 <> 3 THEN date END AS date FROM sales) GROUP BY ALL",
-)
+    "SELECT store_id, date AS parsed, count(*) AS n FROM (SELECT store_id, CASE WHEN store_id % 4 <> 3 THEN date END AS date FROM sales) GROUP BY ALL", dates="parsed")
 def tolerant_dates(t):
     k = F.col("store_id") % 4
     dirty = F.when(k == 0, F.date_format("date", "yyyy-MM-dd")).when(k == 1, F.date_format("date", "dd/MM/yyyy")).when(k == 2, F.date_format("date", "yyyyMMdd")).otherwise(F.lit("n/a"))
@@ -301,8 +295,7 @@ def completeness(t):
 
 @query(
     "retail_merge_by_key",
-    "SELECT store_id, date, is_train FROM base WHERE is_train = 1 AND store_id % 2 = 0 UNION ALL SELECT store_id, min(date), 0 FROM requests WHERE store_id NOT IN (SELECT store_id FROM sales WHERE store_id % 2 = 0) GROUP BY 1",
-)
+    "SELECT store_id, date, is_train FROM base WHERE is_train = 1 AND store_id % 2 = 0 UNION ALL SELECT store_id, min(date), 0 FROM requests WHERE store_id NOT IN (SELECT store_id FROM sales WHERE store_id % 2 = 0) GROUP BY 1", dates="date")
 def merge(t):
     original = t.sales.where("store_id % 2 = 0").select("store_id", "date", F.lit(1).alias("is_train"))
     return R.merge_by_key(original, t.requests.select("store_id", "date", F.lit(0).alias("is_train")), "store_id", ["date"])
