@@ -163,7 +163,7 @@ def fit(documents: list[tuple[str, int]]) -> Model:
     model = Model(_train([w for t in ordinary for w in windows(t)[:50]], 2 * DICTIONARY), trained + left)
     f = model.features()
     rest = documents[1::2] or documents
-    x, y = np.array([f(t) for t, _ in rest]).reshape(len(rest), -1), np.array([y for _, y in rest], float)
+    x, y = np.array([f(t) for t, _ in rest]), np.array([y for _, y in rest], float)
     model.curve = logistic.fit(x, y) if len(rest) else None
     return model
 
