@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import table
 
 #: Pieces of text a Python worker remembers, in two generations of this many; longer pieces are not remembered.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 120_000, 48
 #: Pairs of tokens whose compatibility a worker remembers.
 MEMO_PAIRS = 400_000
 #: Pieces between which no token can reach over: white space begins one, as does a blank before other characters.
@@ -49,6 +49,23 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Memo(dict):
+    """Pieces of text and their ids: two generations, of which the older goes when the newer is full."""
+
+    def __init__(self, bpe: Bpe) -> None:
+        super().__init__()
+        self.bpe, self.older = bpe, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece) or self.bpe.encode_piece(piece)
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Bpe:
     """Tables of one byte-level BPE vocabulary file (JSON of the tokenizers library)."""
 
@@ -97,8 +114,7 @@ class Bpe:
         self.offsets = np.cumsum(lengths)
         self.buffer = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(n)), np.uint8)
         self.decimal = [str(i) for i in range(n)]
-        self.memo: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.memo = Memo(self)
         self.fits: dict[int, bool] = {}
 
     def compatible(self, a: int, b: int) -> bool:
@@ -155,33 +171,24 @@ class Bpe:
                     break
         return [self.public[i] for i in out]
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        if (found := self.older.get(piece)) is None:
-            if piece[1:].isalpha() and piece[0] == " ":  # what the pattern would find anyway
-                ids = self.encode_word(piece)
-            else:
-                ids = [i for word in self.pattern.findall(piece) for i in self.encode_word(word)]
-            found = array("i", ids).tobytes(), ",".join(map(self.decimal.__getitem__, ids))
-        if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo, self.older = {}, self.memo
-            self.memo[piece] = found
-        return found
+    def encode_piece(self, piece: str) -> bytes:
+        """The ids of a piece as bytes of 32-bit integers."""
+        if piece[1:].isalpha() and piece[0] == " ":  # what the pattern would find anyway
+            ids = self.encode_word(piece)
+        else:
+            ids = [i for word in self.pattern.findall(piece) for i in self.encode_word(word)]
+        return array("i", ids).tobytes()
 
     def encode(self, text: str | None) -> tuple[np.ndarray, str]:
         """The ids of a text, and the same in decimal with commas."""
-        runs, decimals = [], []
+        runs = []
         for part in self.special_split.split(text or "") if self.special_split else [text or ""]:
             if part in self.special:
-                runs.append(np.array([self.special[part]], np.int32).tobytes())
-                decimals.append(str(self.special[part]))
-                continue
-            memo = self.memo
-            for piece in _PIECE.findall(part):
-                run, decimal = memo.get(piece) or self._piece(piece)
-                runs.append(run)
-                decimals.append(decimal)
-        return np.frombuffer(b"".join(runs), np.int32), ",".join(decimals)
+                runs.append(array("i", [self.special[part]]).tobytes())
+            else:
+                runs.extend(map(self.memo.__getitem__, _PIECE.findall(part)))
+        ids = np.frombuffer(b"".join(runs), np.int32)
+        return ids, ",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
         ids = np.asarray(ids, np.int64)
