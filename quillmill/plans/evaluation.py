@@ -260,8 +260,8 @@ _NORM = "lower(trim(coalesce({}, ''), E' \\n\\t\\r'))"
 
 @query(
     "eval_composite",
-    f"""SELECT conv_id, turn, task, success, round(CASE WHEN NOT success THEN 0.0 ELSE CASE task WHEN 'context_qa' THEN CASE WHEN has THEN .4 * f1 + .6 * j ELSE j END
-        WHEN 'summarization' THEN CASE WHEN has THEN .4 * (.5 * f1 + .5 * lr) + .6 * j ELSE j END ELSE CASE WHEN has THEN .5 * m + .5 * j ELSE j END END END, 2) AS score FROM (
+    f"""SELECT conv_id, turn, task, success, round_even(CASE WHEN NOT success THEN 0.0 ELSE CASE task WHEN 'context_qa' THEN CASE WHEN has THEN .4 * f1 + .6 * j ELSE j END
+        WHEN 'summarization' THEN CASE WHEN has THEN .4 * (.5 * f1 + .5 * lr) + .6 * j ELSE j END ELSE CASE WHEN has THEN .5 * m + .5 * j ELSE j END END END, 3) AS score FROM (
         SELECT *, {_TASK_OF} AS task, (conv_id + turn) % 7 <> 0 AS success, ((conv_id * 3 + turn) % 10) / 10 AS j, {_NORM.format("truth")} <> '' AS has,
         CASE WHEN len(o) = 0 OR len(t) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(o, t)) / (len(o) + len(t)) END AS f1,
         CASE WHEN no = 0 THEN 0.0 WHEN nt = 0 THEN 1.0 ELSE least(no, nt) / greatest(no, nt) END AS lr,
@@ -274,7 +274,7 @@ def composite(t):
         "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("test_id"), F.lit("m0").alias("model_id"), F.element_at(tasks, (F.col("conv_id") % 4 + 1).cast("int")).alias("task"), ((F.col("conv_id") + F.col("turn")) % 7 != 0).alias("success"),
         F.col("output").alias("output_text"), F.col("truth").alias("ground_truth"), (((F.col("conv_id") * 3 + F.col("turn")) % 10) / 10).alias("judge_score"), F.lit("").alias("given"),
     )
-    return E.evaluate(log, "judge").where("task <> 'intent_detection'").select("conv_id", "turn", "task", "success", F.round("score", 2).alias("score"))
+    return E.evaluate(log, "judge").where("task <> 'intent_detection'").select("conv_id", "turn", "task", "success", "score")
 
 
 @query(
@@ -343,12 +343,12 @@ def _two(t) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "eval_paired_t",
-    """SELECT n, round(md, 6) AS mean_diff, round(md / (sd / sqrt(n)), 3) AS t FROM (SELECT count(*) AS n, avg(d) AS md, stddev_samp(d) AS sd FROM (
+    """SELECT n, round(md, 6) AS mean_diff, round_even(md / (sd / sqrt(n)), 4) AS t FROM (SELECT count(*) AS n, avg(d) AS md, stddev_samp(d) AS sd FROM (
        SELECT b.s - a.s AS d FROM (SELECT seq % 97 AS k, avg(score) AS s FROM scored WHERE model_id = 'm0' GROUP BY 1) a JOIN (SELECT seq % 97 AS k, avg(score) AS s FROM scored WHERE model_id = 'm1' GROUP BY 1) b USING (k)))""",
 )
 def paired(t):
     a, b = _two(t)
-    return E.paired_t_test(a, b).select("n", F.round("mean_diff", 6).alias("mean_diff"), F.round("t", 3).alias("t"))
+    return E.paired_t_test(a, b).select("n", F.round("mean_diff", 6).alias("mean_diff"), "t")
 
 
 @query("eval_bootstrap")
