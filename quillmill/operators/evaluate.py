@@ -242,3 +242,12 @@ def bootstrap_interval(base: DataFrame, variant: DataFrame, key: str = "test_id"
     got = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # one value per round
     low, high = F.get("m", F.floor(F.size("m") * 0.025).cast("int")), F.get("m", F.least(F.floor(F.size("m") * 0.975).cast("int"), F.size("m") - 1))
     return got.select(low.alias("low"), high.alias("high"), (low > 0).alias("significant"))
+
+
+def status_counts(jobs: DataFrame) -> DataFrame:
+    """running, completed, failed: jobs by status; other statuses count for none."""
+    return jobs.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("running", "completed", "failed")))
+
+
+def model_statistics(scored: DataFrame) -> DataFrame:
+    return member_statistics(scored, "model_id", "task")

@@ -471,6 +471,33 @@ def replaced(t):
     return c.select("conv_id", F.concat(first["role"], F.lit(":"), first["content"]).alias("first"), F.size(r).cast("long").alias("n"))
 
 
+@query(
+    "records_by_task",
+    """SELECT task, CAST(sum(n) AS BIGINT) AS n_records, count(*) AS n_agents, max(n) AS largest FROM (SELECT user_id % 14 AS a, count(*) AS n, CASE WHEN user_id % 14 % 2 = 0 THEN 'translation' ELSE 'classification' END AS task
+       FROM events WHERE event_id % 10 NOT IN (5, 6) GROUP BY ALL) GROUP BY 1""",
+)
+def by_task(t):
+    good, _ = N.read_records(_lines(t))
+    agents = N.agent_profile(good.withColumn("valid", N.is_valid(F.col("keys"), F.col("messages"))))
+    even = F.regexp_extract("agent_id", r"\d+", 0).cast("int") % 2 == 0
+    return N.agents_by_task(agents, agents.select("agent_id", F.when(even, "translation").otherwise("classification").alias("task")))
+
+
+@query("eval_job_status", "SELECT count(*) FILTER (event_type = 'view') AS running, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events")
+def job_status(t):
+    status = F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("queued")
+    return E.status_counts(t.read("events").select(status.alias("status")))
+
+
+@query(
+    "eval_model_statistics",
+    """SELECT model_id, round(sum(s) / sum(n), 6) AS avg_score, round(sum(c) / sum(n), 6) AS accuracy, CAST(sum(e) AS BIGINT) AS errors, round(sum(e) / sum(n), 6) AS error_rate,
+       arg_max(task, (a, task)) AS best, arg_min(task, (a, task)) AS worst FROM (SELECT task, model_id, avg(score) AS a, count(*) AS n, sum(score) AS s, count(*) FILTER (correct) AS c, count(error) AS e FROM scored GROUP BY ALL) GROUP BY 1""",
+)
+def model_stats(t):
+    return rounded(E.model_statistics(t.scored).drop("scores"))
+
+
 # retrieval
 
 QUERIES["retrieval_documents"] = lambda spark, sf_dir: store_texts(Retail(spark, sf_dir))
