@@ -31,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import table
+from quillmill.llm.common import small_batches, table
 
 #: Pieces of text a Python worker remembers, in two generations of this many; longer pieces are not remembered.
 MEMO_ENTRIES, MEMO_CHARS = 120_000, 48
 #: Pairs of tokens whose compatibility a worker remembers.
-MEMO_PAIRS = 400_000
+MEMO_PAIRS = 150_000
 #: Pieces between which no token can reach over: white space begins one, as does a blank before other characters.
 _WS = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -117,6 +117,11 @@ class Bpe:
         self.memo = Memo(self)
         self.fits: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.memo.older = {}
+        self.fits.clear()
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE, given the bytes of token a followed by those of b, ends with exactly these two tokens."""
         pairs, left, right, limit = self.pairs, self.left, self.right, 1 << 60
@@ -244,9 +249,10 @@ def _run(docs: DataFrame, tokenizer: str, key: str, text: str, names: list[str])
                     made["ids"] = pa.ListArray.from_arrays(ends, np.concatenate(runs) if runs else np.empty(0, np.int32))
                 columns = [made[x] if x == "ids" else pa.array(made[x], _KINDS[x][1]) for x in names]
                 yield pa.RecordBatch.from_arrays([batch.column("k"), *columns], names=["k", *names])
+        bpe.forget()  # the worker goes on to other tasks
 
     kind = pair.schema["k"].dataType.simpleString()
-    return pair.mapInArrow(work, f"k {kind}, " + ", ".join(f"{x} {_KINDS[x][0]}" for x in names)).withColumnRenamed("k", key)
+    return small_batches(pair).mapInArrow(work, f"k {kind}, " + ", ".join(f"{x} {_KINDS[x][0]}" for x in names)).withColumnRenamed("k", key)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+#: Rows of an Arrow batch, and of them those held as Python objects at a time.
+BATCH, SLICE = 2000, 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,6 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Python workers get ``BATCH`` rows at a time where the session has Spark's default of 10,000.
+
+    Both ends of the pipe hold a batch whole, and texts can be long.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH))
+    return df
+
+
 def with_outputs(docs: DataFrame, text: str, keep: list[str], outputs: dict[str, str], make: Callable[[], Callable]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and new columns computed from the column ``text``, in Arrow batches.
 
@@ -51,7 +66,7 @@ def with_outputs(docs: DataFrame, text: str, keep: list[str], outputs: dict[str,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             rows = batch.column("row")
             texts = (rows.field(keep.index(text)) if inside else batch.column("t")).to_pylist()
             got = f(texts)
@@ -60,7 +75,7 @@ def with_outputs(docs: DataFrame, text: str, keep: list[str], outputs: dict[str,
     out = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items()))
     types = {f.name: f.type for f in to_arrow_schema(out)}
     schema = StructType([given.schema["row"], *out.fields])
-    return given.mapInArrow(work, schema).select(*(F.col(f"row.`{c}`") for c in keep), *names)
+    return small_batches(given).mapInArrow(work, schema).select(*(F.col(f"row.`{c}`") for c in keep), *names)
 
 
 def held_out(key: str, buckets: int, bucket: int):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import table, written
+from quillmill.llm.common import SLICE, small_batches, table, written
 
 WINDOW = 13
 SLICE_CHARS = 8_000_000
@@ -50,13 +50,13 @@ def term_counts(docs: DataFrame, vocabulary: set[bytes], text: str = "text") ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             seen = Counter(chain.from_iterable(words(t.as_py()) for t in batch.column("t")))
             for w in seen.keys() & vocabulary:
                 total[w] += seen[w]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
 
-    rows = docs.select(F.col(text).alias("t")).mapInArrow(work, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(docs.select(F.col(text).alias("t"))).mapInArrow(work, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     return {bytes(r["w"]): r["n"] for r in rows}
 
 
@@ -64,7 +64,7 @@ def build_index(docs: DataFrame, number: dict[bytes, int], anchors: set[bytes],
     """docs(rid, id, t) -> rid, id, n_words, pos, term: each document with its postings near anchors."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             n, places, terms = [], [], []
             for t in batch.column("t"):
                 w = words(t.as_py())
@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, number: dict[bytes, int], anchors: set[bytes],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return written(docs.mapInArrow(work, f"rid long, id {kind}, n_words long, pos array<int>, term array<int>"), "postings")
+    return written(small_batches(docs).mapInArrow(work, f"rid long, id {kind}, n_words long, pos array<int>, term array<int>"), "postings")
 
 
 def _postings(index: DataFrame) -> DataFrame:
