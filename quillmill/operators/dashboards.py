@@ -14,10 +14,10 @@ def means_by(df: DataFrame, keys: list[str], value: str = "sales") -> DataFrame:
     return open_train(df).groupBy(*keys).agg(F.avg(value).alias(f"avg_{value}"))
 
 
-def weekday_pivot(df: DataFrame, stores: list[int]) -> DataFrame:
-    """Weekdays as rows in order, one column of mean sales for each of the given stores."""
-    some = open_train(df).where(F.col("store_id").isin(stores)).withColumn("day_of_week", F.weekday("date"))
-    return some.groupBy("day_of_week").pivot("store_id", stores).agg(F.avg("sales")).orderBy("day_of_week")
+def weekday_pivot(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Weekdays as rows in order, one column of mean sales for each of the given values of ``column``."""
+    some = open_train(df).where(F.col(column).isin(values)).withColumn("day_of_week", F.weekday("date"))
+    return some.groupBy("day_of_week").pivot(column, values).agg(F.avg("sales")).orderBy("day_of_week")
 
 
 def promo_uplift(df: DataFrame) -> DataFrame:

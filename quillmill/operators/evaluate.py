@@ -176,15 +176,19 @@ def iterative_selection(table: DataFrame, min_gain: float = 0.01) -> DataFrame:
     return gains.withColumn("stops", F.coalesce(stops, F.lit(0))).where("stops = 0").drop("stops")
 
 
-def ablation(history: DataFrame, k: int = 10) -> DataFrame:
-    """Delta to the iteration before (4 digits), words added and removed (up to k), and its sign in words."""
-    order = Window.orderBy("iteration")  # one row per iteration
+def ablation(history: DataFrame, by: list[str] | None = None, k: int = 10) -> DataFrame:
+    """Delta to the iteration before (4 digits), words added and removed (up to k), and its sign in words.
+
+    ``by``: columns that tell histories apart; without them the table is one history, a row per iteration.
+    """
+    keys = by or []
+    order = Window.partitionBy(*keys).orderBy("iteration")
     before = F.lag("prompt").over(order)
     delta = F.bround(F.col("avg_score") - F.lag("avg_score").over(order), 4)
     rows = history.withColumns({"delta": delta, "before": before}).where("before IS NOT NULL")
     added, removed = (F.slice(F.array_except(T.tokens(F.col(a)), T.tokens(F.col(b))), 1, k) for a, b in (("prompt", "before"), ("before", "prompt")))
     effect = F.when(F.col("delta") > 0, "positive").when(F.col("delta") < 0, "negative").otherwise("neutral")
-    return rows.select("iteration", "delta", added.alias("added"), removed.alias("removed"), effect.alias("effect"))
+    return rows.select(*keys, "iteration", "delta", added.alias("added"), removed.alias("removed"), effect.alias("effect"))
 
 
 def feedback_lines(scored: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def restricted(t):
 
 @query("eval_work_list", "SELECT i.test_id, p.model_id FROM inf i, prices p")
 def work_list(t):
-    return t.inference.select("test_id").crossJoin(F.broadcast(t.prices.select("model_id").limit(100)))
+    return t.inference.select("test_id").crossJoin(t.prices.select("model_id"))
 
 
 _TOK = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
@@ -328,11 +328,15 @@ def beam(t):
     return E.beam(x.withColumns({"is_candidate": F.when(F.col("model_id") == "m0", 0).otherwise(1), "idx": F.concat("task", "model_id")}), 3).select("task", "model_id", "avg_score")
 
 
-@query("eval_ablation")
+@query(
+    "eval_ablation",
+    """SELECT conv_id, iteration, round(s - b, 4) AS delta, CASE WHEN s > b THEN 'positive' WHEN s < b THEN 'negative' ELSE 'neutral' END AS effect FROM (
+       SELECT *, lag(s) OVER (PARTITION BY conv_id ORDER BY iteration) AS b FROM (SELECT conv_id, turn AS iteration, avg(length(text) % 10) AS s FROM conversations GROUP BY ALL)) WHERE b IS NOT NULL""",
+)
 def ablation(t):
-    turns = t.read("conversations").where("conv_id = 1 OR conv_id = 3")
-    history = turns.groupBy((F.col("conv_id") * 100 + F.col("turn")).alias("iteration")).agg(F.min("text").alias("prompt"), F.round(F.avg(F.length("text") % 10 / 10), 3).alias("avg_score"))
-    return E.ablation(history)
+    """Each conversation as a history of prompts, its turns as iterations."""
+    history = t.read("conversations").groupBy("conv_id", F.col("turn").alias("iteration")).agg(F.min("text").alias("prompt"), F.avg((F.length("text") % 10).cast("double")).alias("avg_score"))
+    return E.ablation(history, ["conv_id"]).select("conv_id", "iteration", "delta", "effect")
 
 
 def _two(t) -> tuple[DataFrame, DataFrame]:
@@ -511,11 +515,11 @@ def store_texts(t: Retail) -> DataFrame:
 @query(
     "retrieval_nearest",
     """SELECT query_id, id, rank, round(d, 4) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, d, row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) AS rank FROM embeddings q, embeddings v,
-       LATERAL (SELECT sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) ** 2))) AS d) WHERE q.label = 0 AND q.vec_id % 50 = 0) WHERE rank <= 5""",
+       LATERAL (SELECT sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) ** 2))) AS d) WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
 )
 def nearest(t):
-    e = t.read("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return rounded(V.nearest(e, e.where("label = 0 AND id % 50 = 0")), 4)
+    e = t.read("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return rounded(V.nearest(e, e.where("id % 50 = 0")), 4)
 
 
 @query("retrieval_forced_context")
@@ -523,6 +527,6 @@ def forced(t):
     retail = Retail(t.spark, t.sf_dir)
     e = t.read("embeddings").select(F.col("vec_id").alias("id"), "embedding")
     items = e.join(retail.states.select(F.col("store_id").alias("id")), "id")
-    questions = items.where("id % 25 = 0").select(F.col("id").alias("query_id"), F.concat(F.lit("What sells best in store #"), F.col("id") + 1, F.lit("?")).alias("question"))
-    hits = V.nearest(items, items.where("id % 25 = 0"))
+    questions = items.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat(F.lit("What sells best in store #"), F.col("id") + 1, F.lit("?")).alias("question"))
+    hits = V.nearest(items, items.where("id % 50 = 0"))
     return V.context(V.forced_context(hits, questions), store_texts(retail))

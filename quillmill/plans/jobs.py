@@ -108,16 +108,17 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "model_forecast",
     retail_sql(
-        "SELECT CAST(date AS VARCHAR) AS date, round(coalesce(p, 0), 2) AS predicted_sales FROM (SELECT CAST(unnest(generate_series(DATE '2001-09-01', DATE '2001-10-12', INTERVAL 1 DAY)) AS DATE) AS date) LEFT JOIN (SELECT * FROM dow WHERE store_id = 1) ON isodow(date) = d",
+        """SELECT s.store_id, CAST(date AS VARCHAR) AS date, round(coalesce(p, a, 0), 2) AS predicted_sales FROM stores s,
+           (SELECT CAST(unnest(generate_series(DATE '2001-09-01', DATE '2001-10-12', INTERVAL 1 DAY)) AS DATE) AS date) LEFT JOIN dow ON s.store_id = dow.store_id AND isodow(date) = d LEFT JOIN st ON s.store_id = st.store_id""",
         _SCORED,
     ),
 )
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Retail(spark, sf_dir)
-    days = M.forecast_frame(spark, 1, "2001-09-01", "2001-10-12")
-    found = M.request_features(days, fact(t).where("is_train = 1 AND store_id = 1"), t.promo_days, t.promo)
+    days = M.forecast_frame(t.stores, "2001-09-01", "2001-10-12")
+    found = M.request_features(days, fact(t).where("is_train = 1"), t.promo_days, t.promo)
     scores = M.batch_scores(found, lambda df: df.withColumn("predicted_sales", F.col("store_dow_avg")))
-    return plain(days.join(scores, "id").select("date", "predicted_sales"))
+    return plain(days.join(scores, "id").select("store_id", "date", "predicted_sales"))
 
 
 @query("stream_operative_metrics", f"WITH {LOG_SQL} SELECT * FROM ops")

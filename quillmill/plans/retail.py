@@ -226,20 +226,23 @@ def month_means(t):
     return rounded(D.means_by(t.sales.withColumns({"is_train": F.lit(1), "month": F.month("date")}), ["store_id", "month"]))
 
 
+_TYPES = ["AF", "AM", "AS", "EU", "MI"]
+
+
 @query(
     "retail_weekday_pivot",
-    "SELECT isodow(date) - 1 AS day_of_week, " + ", ".join(f'round(avg(sales) FILTER (store_id = {i}), 6) AS "{i}"' for i in (1, 2, 3)) + " FROM sales WHERE is_open = 1 AND store_id IN (1, 2, 3) GROUP BY 1",
+    "SELECT isodow(date) - 1 AS day_of_week, " + ", ".join(f"round(avg(sales) FILTER (type_code = '{i}'), 6) AS \"{i}\"" for i in _TYPES) + " FROM sales JOIN profile USING (store_id) WHERE is_open = 1 GROUP BY 1",
 )
 def weekday_pivot(t):
-    return rounded(D.weekday_pivot(t.sales.withColumn("is_train", F.lit(1)), [1, 2, 3]))
+    return rounded(D.weekday_pivot(t.sales.withColumn("is_train", F.lit(1)).join(profile(t), "store_id"), "type_code", _TYPES))
 
 
 @query(
     "retail_weekly_resample",
-    """SELECT CAST(w AS DATE) AS week_end, round(v, 6) AS avg_sales FROM (SELECT unnest(generate_series(min(e), max(e), INTERVAL 7 DAY)) AS w FROM (SELECT date + (7 - isodow(date))::INTEGER AS e FROM sales WHERE store_id = 1))
-       LEFT JOIN (SELECT date + (7 - isodow(date))::INTEGER AS e, avg(sales) AS v FROM sales WHERE store_id = 1 GROUP BY 1) ON CAST(w AS DATE) = e""", dates="week_end")
+    """SELECT CAST(w AS DATE) AS week_end, round(v, 6) AS avg_sales FROM (SELECT unnest(generate_series(min(e), max(e), INTERVAL 7 DAY)) AS w FROM (SELECT date + (7 - isodow(date))::INTEGER AS e FROM sales))
+       LEFT JOIN (SELECT date + (7 - isodow(date))::INTEGER AS e, avg(sales) AS v FROM sales GROUP BY 1) ON CAST(w AS DATE) = e""", dates="week_end")
 def weekly(t):
-    return rounded(D.weekly_resample(t.sales.where("store_id = 1")))
+    return rounded(D.weekly_resample(t.sales))
 
 
 @query("retail_summary", "SELECT round(avg(sales), 6) AS mean, round(median(sales), 6) AS median, max(sales) AS max, min(sales) AS min, round(sum(sales), 2) AS sum, count(sales) AS count FROM sales")
