@@ -209,3 +209,23 @@ def test_block_pairs_let_all_meet(spark):
     got = groups.block_pairs(rows, "key", F.xxhash64("v"), block=6).collect()
     met = {frozenset((a["v"], b["v"])) for a in got for b in got if (a["key"], a["b1"], a["b2"]) == (b["key"], b["b1"], b["b2"])}
     assert all(frozenset(p) in met for p in itertools.combinations(range(20), 2))
+
+
+def test_line_dedup_recall(spark):
+    """Against plain edit similarity over all pairs: one inner word replaced in lines of 6 to 30 words."""
+    r = random.Random(23)
+    word = lambda k=None: "".join(r.choices("etaoinshrdlucmfwyp", k=k or r.randint(3, 8)))
+    lines = []
+    for n in [6, 8, 12, 20, 30] * 40:
+        w = [word() for _ in range(n)]
+        lines.append(" ".join(w))
+        i = r.randrange(1, n - 1)
+        lines.append(" ".join([*w[:i], word(len(w[i])), *w[i + 1 :]]))
+    forest = groups.Forest(len(lines))
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        if linededup.similar(lines[a], lines[b], linededup.SIMILARITY):
+            forest.join(a, b)
+    true = {i for i in range(len(lines)) if forest.root(i) != i}
+    gone = {x["doc_id"] for x in linededup.dedup_lines(frame(spark, lines)).where("lines_removed > 0").collect()}
+    assert gone <= true and len(true) > 190
+    assert len(gone) >= 0.95 * len(true), len(gone) / len(true)
