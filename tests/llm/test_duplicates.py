@@ -229,3 +229,13 @@ def test_line_dedup_recall(spark):
     gone = {x["doc_id"] for x in linededup.dedup_lines(frame(spark, lines)).where("lines_removed > 0").collect()}
     assert gone <= true and len(true) > 190
     assert len(gone) >= 0.95 * len(true), len(gone) / len(true)
+
+
+def test_line_dedup_of_few_words(spark):
+    """Exact repeats below five words, near ones in scripts without blanks."""
+    long = "".join(chr(0x4E00 + random.Random(3).randrange(5000) + i % 7) + chr(0x4E00 + 37 * i % 4999) for i in range(60))
+    near = long[:50] + "\u4e00" + long[51:]
+    wide = "tres\u00a0mots\u3000sans\u00a0blanc"
+    texts = ["All rights reserved worldwide\nshort\n" + long, "all rights reserved, worldwide\nshort\n" + wide, wide + "\nAll rights reversed worldwide", near + "\nown"]
+    got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "short\n" + wide, 2: "All rights reversed worldwide", 3: "own"}
