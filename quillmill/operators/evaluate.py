@@ -144,10 +144,13 @@ def low_score_seeds(scored: DataFrame, below: float = 0.3, total: int = 50, per_
 
 
 def verdict_table(scored: DataFrame) -> DataFrame:
-    """Per (test, model) the last row, with the test's header columns from its first row; texts cut at 500 characters."""
+    """Per (test, model) the last row, with the test's header columns from its first row.
+
+    The verdict is that of the whole texts; what is shown is cut at 500 characters.
+    """
     head = keep_first(scored, ["test_id"], ["seq"]).select("test_id", F.substring("ground_truth", 1, 500).alias("ground_truth"), F.substring("legacy_output", 1, 500).alias("legacy_output"))
-    last = keep_first(scored, ["test_id", "model_id"], [F.desc("seq")]).select("test_id", "model_id", F.substring("output_text", 1, 500).alias("output_text"), F.col("legacy_output").alias("l"), "score")
-    return last.withColumn("verdict", T.legacy_verdict(F.col("output_text"), F.col("l"))).drop("l").join(head, "test_id")
+    last = keep_first(scored, ["test_id", "model_id"], [F.desc("seq")]).select("test_id", "model_id", F.substring("output_text", 1, 500).alias("output_text"), "score", T.legacy_verdict(F.col("output_text"), F.col("legacy_output")).alias("verdict"))
+    return last.join(head, "test_id")
 
 
 def variant_scores(scored: DataFrame) -> DataFrame:

@@ -193,3 +193,12 @@ def test_stream_equals_batch(spark, tmp_path):
     refreshed_metrics(stream, prices, f"{tmp_path}/out", f"{tmp_path}/state", None).awaitTermination()
     batch = E.operative_metrics(log, prices)
     assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_verdicts_of_long_texts(spark):
+    a, tail = "x" * 500, " legacy text"
+    rows = [("t1", "m", 1.0, a + tail, "legacy text", "x", 1), ("t2", "m", 1.0, a + " other", a + tail, "x", 2), ("t3", "m", 1.0, a + tail, a + tail, a + tail, 3)]
+    log = spark.createDataFrame(rows, "test_id string, model_id string, score double, output_text string, legacy_output string, ground_truth string, seq long")
+    got = {r["test_id"]: r for r in E.verdict_table(log).collect()}
+    assert {k: r["verdict"] for k, r in got.items()} == {"t1": "OK", "t2": "KO", "t3": "OK"}
+    assert got["t3"]["output_text"] == got["t3"]["legacy_output"] == got["t3"]["ground_truth"] == a
