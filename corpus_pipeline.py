@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 stage's docs. All but the last return the columns of ``documents``; ``n_chars`` follows the text.
 
 Defined cases: documents of null or letterless text go at the first stage; the near-dedup keeps of each group the
-document of the smallest id; a document whose lines all went stays with an empty text unless it is a near copy.
+row of the smallest id (null last), then text hash; rows are dropped by number, whatever their ids; a document whose lines all went stays with an empty text unless it is a near copy.
 """
 
 from __future__ import annotations

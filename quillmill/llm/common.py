@@ -41,6 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``__rid`` that tells its rows apart, in a written table, so that it stays the same."""
+    return written(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+
+
+def without(rows: DataFrame, gone: DataFrame, limit: int) -> DataFrame:
+    """The numbered rows whose number is not in ``gone``: broadcast up to ``limit`` of them, else shuffled."""
+    few = gone.count() <= limit
+    return rows.join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "__rid", "left_anti").drop("__rid")
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Let Python workers get ``BATCH`` rows at a time where the session has Spark's default of 10,000.
 

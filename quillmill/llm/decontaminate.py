@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import SLICE, small_batches, table, written
+from quillmill.llm.common import SLICE, numbered, small_batches, table, without, written
 
 WINDOW = 13
 SLICE_CHARS = 8_000_000
 #: Contaminated: at least this share of the words are hit.
 SHARE = 20
-#: Ids up to this many are broadcast to filter documents; more are joined by shuffling both sides.
+#: Rows to drop up to this many are broadcast; more are joined by shuffling both sides.
 BROADCAST_IDS = 1_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -188,10 +188,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without contaminated ones (by key; rows of a null key stay)."""
-    gone = written(contamination(docs, benchmark, key, **options).where("contaminated").select(key).distinct(), "contaminated")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash"), key, "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without contaminated rows, each judged by its own text."""
+    rows = numbered(docs)
+    gone = contamination(rows, benchmark, "__rid", **options).where("contaminated").select("__rid")
+    return without(rows, written(gone, "contaminated"), BROADCAST_IDS).select(docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import small_batches, table, written
+from quillmill.llm.common import numbered, small_batches, table, without, written
 from quillmill.llm.groups import BLOCK, Forest, block_pairs, components, runs
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -35,7 +35,7 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 ROW_COST, PAIR_COST = 1.0, 0.005
 #: Bits of a slice of a partition whose values are counted for the estimates.
 SLICE = 11
-#: Ids to drop up to this many are broadcast; more are joined by shuffling both sides.
+#: Rows to drop up to this many are broadcast; more are joined by shuffling both sides.
 BROADCAST_IDS = 1_000_000
 _PIECE = 16_384
 
@@ -323,10 +323,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` without those whose key is not the smallest of its component; a null key stays."""
-    gone = near_duplicates(docs, key, text, radius).where(F.col(key) != F.col("component_id")).select(key)
-    gone = written(gone.distinct(), "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash"), key, "left_anti").select(docs.columns)
+    """``docs`` without all but one row of each component: the smallest key (null last), then text hash, then row."""
+    rows = numbered(docs)
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("text"), F.col("__rid").alias("rid"))
+    found = near_duplicates(rows.withColumn("__place", place), "__place", text, radius)
+    gone = found.where("__place.rid <> component_id.rid").select(F.col("__place.rid").alias("__rid"))
+    return without(rows, written(gone, "near-copies"), BROADCAST_IDS).select(docs.columns)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,3 +239,16 @@ def test_line_dedup_of_few_words(spark):
     texts = ["All rights reserved worldwide\nshort\n" + long, "all rights reserved, worldwide\nshort\n" + wide, wide + "\nAll rights reversed worldwide", near + "\nown"]
     got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(frame(spark, texts)).collect()}
     assert got == {0: texts[0], 1: "short\n" + wide, 2: "All rights reversed worldwide", 3: "own"}
+
+
+def test_rows_are_dropped_by_number(spark):
+    """Repeated rows, null ids and one id with two texts."""
+    r = random.Random(29)
+    a, b, c, item = (" ".join(r.choices(WORDS, k=40)) for _ in range(4))
+    rows = [(1, a), (1, a), (None, a), (2, a), (2, b), (None, c), (None, c)]
+    kept = neardup.keep_one(frame(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted(((x["doc_id"] or 0, x["text"]) for x in kept)) == sorted([(1, a), (2, b), (0, c)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item), (1, a), (None, item), (None, b), (3, item), (3, item), (4, c)]
+    clean = decontaminate.drop_contaminated(frame(spark, [t for _, t in rows], [i for i, _ in rows]), bench).collect()
+    assert sorted(((x["doc_id"] or 0, x["text"]) for x in clean)) == sorted([(1, a), (0, b), (4, c)])
