@@ -1,23 +1,30 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text, one on what sets toxic text apart from it: the stems
-made of byte n-grams that are far commoner in toxic documents (likelihood ratio), as often as each document has them. A document is normalised (lower
-case, letters only) and cut into windows of whole words; each window is compressed once with the ordinary dictionary
-and once with the toxic one put behind it, so that whatever the two have in common cancels out. A window's gain is the
-difference of the two lengths in bytes. How many windows gain ``THRESHOLDS`` bytes or more, their share and the largest
-gain go into a logistic curve, which is calibrated on documents that the dictionaries were not trained on.
+A document is normalised (letters only, each word with a capital, which tells a word's beginning from its inside) and
+cut into windows of whole words, about ``WINDOW`` bytes each. Two zstandard dictionaries hold windows as they are: one
+those of ordinary documents, one those of toxic documents. A window is compressed with the ordinary dictionary, and
+with the toxic one laid in front of the ordinary one, where its matches are the dearest: what the two have in common
+cancels out, and a window becomes shorter only by a longer match in the toxic part. A window's gain is the difference
+of the two lengths in bytes.
+
+Most windows of a toxic document are ordinary text, so the toxic dictionary is trained in rounds: the toxic documents
+are dealt into ``FOLDS``, and of each fold those windows stay that gain ``LEAST`` bytes or more by the windows of the
+other folds. How many windows of a document gain as much as each of ``THRESHOLDS``, the sum of the gains, and both by
+the number of windows go into a logistic curve, calibrated on gains by dictionaries that lack the document's own fold.
 
 Fitting takes a bounded sample of the labelled documents: about ``SAMPLE`` of them, chosen by a hash of the id, of at
-most ``SAMPLE_CHARS`` characters each. Scoring takes every text whole.
+most ``SAMPLE_CHARS`` characters each; of their distinct windows ``ORDINARY`` and ``TOXIC`` bytes at most, chosen by a
+hash. Scoring takes every text whole.
 
 Defined cases: null and letterless texts are scored as having no window (the curve's value at no gain); with one class
 alone the score is that class's smoothed share, without labels 0.5; null labels and null ids are not learned from;
-repeated labels of an id count once, the larger; every row is kept.
+repeated labels of an id count once, the larger, and so do repeated rows of an id, the smallest text; every row is kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,17 +33,15 @@ from quillmill.llm import logistic
 from quillmill.llm.common import hash01, held_out, table, with_outputs
 
 SAMPLE, SAMPLE_CHARS = 5000, 20_000
-WINDOW, LEVEL, DICTIONARY = 48, 1, 4096
-THRESHOLDS = (2, 3, 4, 6)
-#: N-grams taken as toxic: a likelihood ratio of this share of the largest, and so many times commoner.
-NGRAM, CONTRAST, RATIO = 5, 0.08, 10.0
-#: Share of a stem's occurrences that agree on the next byte for it to grow.
-AGREE = 0.9
-_TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+WINDOW, FOLDS, ROUNDS, LEAST = 64, 3, 2, 2
+THRESHOLDS = (2, 4)
+#: Bytes of windows in the two dictionaries; together within the compressor's reach of ``1 << REACH``.
+ORDINARY, TOXIC, REACH = 3_000_000, 1_000_000, 22
+_TABLE = bytes(c if 97 <= c <= 122 or 65 <= c <= 90 or c >= 128 else 32 for c in range(256))
 
 
 def normal(text: str | None) -> bytes:
-    return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split())
+    return b" ".join((text or "").title().encode("utf-8", "surrogatepass").translate(_TABLE).split())
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -50,80 +55,22 @@ def windows(text: bytes) -> list[bytes]:
     return out
 
 
-def _grams(text: bytes) -> np.ndarray:
-    """Codes of all n-grams that lie within a word and the blanks around it."""
-    a = np.frombuffer(b" " + text + b" ", np.uint8).astype(np.int64)
-    n = max(len(a) - NGRAM + 1, 0)
-    out, inside = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(NGRAM):
-        out = out << 8 | a[i : n + i]
-        if 0 < i < NGRAM - 1:
-            inside &= a[i : n + i] != 32
-    return out[inside]
-
-
-def toxic_grams(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """Codes of n-grams that far more toxic than ordinary documents hold, the most telling first."""
-    seen = [np.unique(_grams(x)) for x in toxic]
-    codes, a = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.int64), np.empty(0, int))
-    codes, a = codes[a >= 3], a[a >= 3].astype(float)
-    if not len(codes):
-        return codes
-    b = np.zeros(len(codes))
-    for x in ordinary:
-        g = np.unique(_grams(x))
-        at = np.minimum(np.searchsorted(codes, g), len(codes) - 1)
-        b[at[codes[at] == g]] += 1
-    n1, n0 = len(toxic), len(ordinary)
-    n, score = n1 + n0, np.zeros(len(codes))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for seen_, expected in ((a, (a + b) * n1 / n), (b, (a + b) * n0 / n), (n1 - a, (n - a - b) * n1 / n), (n0 - b, (n - a - b) * n0 / n)):
-            score += np.where(seen_ > 0, 2 * seen_ * np.log(seen_ / expected), 0)
-    apart = a / n1 >= RATIO * (b + 0.5) / (n0 + 1)
-    score = np.where(apart, score, 0)
-    order = np.lexsort((codes, -score))
-    return codes[order[: int((score >= max(CONTRAST * score.max(), 10.0)).sum())]]
-
-
-def stems(toxic: list[bytes], grams: np.ndarray) -> list[bytes]:
-    """Strings around the telling n-grams: one that mostly occurs beside a stem found before is skipped; others grow
-    on both sides as long as nearly all of their occurrences agree on the next byte."""
-    words: dict[bytes, int] = {}
-    for t in toxic:
-        for w in t.split():
-            words[w] = words.get(w, 0) + 1
-    out: list[bytes] = []
-    rest = [b" " + w + b" " for w, n in words.items() for _ in range(n)]  # words without a stem so far
-    everything = remaining = b"\n".join(rest)
-    for code in grams.tolist():
-        core = int(code).to_bytes(NGRAM, "big")
-        if 2 * remaining.count(core) < everything.count(core):
-            continue
-        holds = [(w, words[w[1:-1]]) for w in {w for w in rest if core in w}]
-        total = sum(n for _, n in holds)
-        for side in (0, 1):
-            while True:
-                nexts: dict[bytes, int] = {}
-                for w, n in holds:
-                    at = w.find(core)
-                    c = (w[at - 1 : at] if side == 0 else w[at + len(core) : at + len(core) + 1]) if at >= 0 else b""
-                    nexts[c] = nexts.get(c, 0) + n
-                best = max(nexts, key=lambda c: (nexts[c], c))
-                if not best or nexts[best] < AGREE * total:
-                    break
-                core = best + core if side == 0 else core + best
-        out.append(core)
-        rest = [w for w in rest if core not in w]
-        remaining = b"\n".join(rest)
-    return out
+def dictionary(pieces: list[bytes], size: int) -> bytes:
+    """Distinct pieces in the order of a hash, as far as ``size`` bytes reach."""
+    order = sorted(set(pieces), key=lambda w: (xxhash.xxh3_64_intdigest(w), w))
+    return b"".join(order)[:size]
 
 
-def _train(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary's bytes, or the samples themselves where there are too few to train on."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+def lengths(content: bytes):
+    """A function from a window to its compressed length with this dictionary."""
+    shape = zstandard.ZstdCompressionParameters(
+        window_log=REACH, chain_log=REACH, hash_log=REACH - 2, search_log=5, min_match=4, target_length=16,
+        strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
+    )
+    held = zstandard.ZstdCompressionDict(content if len(content) >= 8 else content + b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(compression_params=shape)
+    compress = zstandard.ZstdCompressor(dict_data=held, compression_params=shape).compress
+    return lambda w: len(compress(w))
 
 
 class Model:
@@ -132,62 +79,68 @@ class Model:
     def __init__(self, ordinary: bytes, toxic: bytes, curve: tuple | None = None) -> None:
         self.ordinary, self.toxic, self.curve = ordinary, toxic, curve
 
-    def features(self):
-        """A function from a text to its features."""
+    def gains(self):
+        """A function from windows to their gains."""
+        if not self.toxic:
+            return lambda ws: np.zeros(len(ws))
+        plain, toxic = lengths(self.ordinary), lengths(self.toxic + self.ordinary)
+        return lambda ws: np.array([plain(w) - toxic(w) for w in ws], float)
 
-        def compressor(content: bytes) -> zstandard.ZstdCompressor:
-            content = content if len(content) >= 8 else content + b" " * 8
-            kind = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            kind.precompute_compress(level=LEVEL)
-            return zstandard.ZstdCompressor(dict_data=kind, write_content_size=False, write_dict_id=False, write_checksum=False)
 
-        plain, toxic = compressor(self.ordinary).compress, compressor(self.ordinary + self.toxic).compress
+def features(gains: np.ndarray) -> list[float]:
+    n, total = max(len(gains), 1), np.maximum(gains, 0).sum()
+    hits = [(gains >= t).sum() for t in THRESHOLDS]
+    return [*np.log1p(hits), np.log1p(total), np.sqrt(hits[0] / n), np.sqrt(total / n), np.log1p(n)]
 
-        def f(text: str | None) -> list[float]:
-            gains = np.array([len(plain(w)) - len(toxic(w)) for w in windows(normal(text))], float)
-            n = max(len(gains), 1)
-            hits = [int((gains >= t).sum()) for t in THRESHOLDS]
-            return [*np.log1p(hits), *(np.sqrt(h / n) for h in hits), max(gains.max(initial=0), 0), np.log1p(n)]
 
-        return f
+def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
+    """Windows of toxic and of ordinary documents, both by fold -> the two dictionaries."""
+    base = dictionary([w for fold in ordinary for w in fold], ORDINARY)
+    whole = [sorted(set(fold)) for fold in toxic]
+    kept = whole
+    for _ in range(ROUNDS if len(whole) > 1 else 0):
+        others = [[w for j, fold in enumerate(kept) if j != i for w in fold] for i in range(len(kept))]
+        gains = [Model(base, dictionary(o, TOXIC)).gains()(fold) for o, fold in zip(others, whole, strict=True)]
+        kept = [[w for w, g in zip(fold, found, strict=True) if g >= LEAST] for fold, found in zip(whole, gains, strict=True)]
+    return Model(base, dictionary([w for fold in kept for w in fold], TOXIC))
 
 
 def fit(documents: list[tuple[str, int]]) -> Model:
-    """(text, 0 or 1) -> a model; the dictionaries from one half of the documents, the curve from the other."""
-    half = [(normal(t), y) for t, y in documents[::2]]
-    toxic, ordinary = [t for t, y in half if y and t], [t for t, y in half if not y and t]
-    found = stems(toxic, toxic_grams(toxic, ordinary) if ordinary else np.empty(0, np.int64))
-    samples = [b"".join(x * (b" " + t + b" ").count(x) for x in found) for t in toxic]
-    trained = _train([x for x in samples if x], DICTIONARY)
-    left = b"".join(reversed(found))  # training leaves short stems out or cuts them; whole ones last, where they are cheapest to refer to
-    model = Model(_train([w for t in ordinary for w in windows(t)[:50]], 2 * DICTIONARY), trained + left)
-    f = model.features()
-    rest = documents[1::2] or documents
-    x, y = np.array([f(t) for t, _ in rest]), np.array([y for _, y in rest], float)
-    model.curve = logistic.fit(x, y) if len(rest) else None
+    """(text, 0 or 1) -> a model: dictionaries from all folds, the curve from gains by the folds other than a document's own."""
+    known = [(windows(normal(t)), y) for t, y in dict.fromkeys(documents)]
+    toxic, ordinary = ([[w for ws, y in known[k::FOLDS] if y == label for w in ws] for k in range(FOLDS)] for label in (1, 0))
+    x, y = [], []
+    for k in range(FOLDS):
+        without = train(*([fold for i, fold in enumerate(folds) if i != k] for folds in (toxic, ordinary))).gains()
+        x.extend(features(without(ws)) for ws, _ in known[k::FOLDS])
+        y.extend(label for _, label in known[k::FOLDS])
+    model = train(toxic, ordinary)
+    model.curve = logistic.fit(np.array(x), np.array(y, float)) if known else None
     return model
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """About ``sample`` labelled texts of at most ``chars`` characters, in the order of a hash of their ids."""
+    """About ``sample`` labelled texts of at most ``chars`` characters, one of an id, in the order of a hash of their ids."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     n = known.count()
     some = known.where(hash01(key) < min(1.0, sample / max(n, 1)))  # about `sample` rows: small enough to broadcast
     texts = docs.where(F.length(text) <= chars).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    rows = texts.join(F.broadcast(some), F.col("k") == F.col(key)).select(hash01(key).alias("h"), key, "t", "y").collect()
-    return [(r["t"], int(r["y"])) for r in sorted(rows, key=lambda r: (r["h"], r[key], r["t"]))]
+    once = texts.join(F.broadcast(some), F.col("k") == F.col(key)).groupBy(key, "y").agg(F.min("t").alias("t"))
+    rows = once.select(hash01(key).alias("h"), key, "t", "y").collect()
+    return [(r["t"], int(r["y"])) for r in sorted(rows, key=lambda r: (r["h"], r[key]))]
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1 from 0.5)."""
 
     def make():
-        f = model.features()
+        gains = model.gains()
 
         def g(texts):
             if not texts:
                 return [], []
-            p = logistic.predict(model.curve, np.array([f(t) for t in texts])) if model.curve else np.full(len(texts), 0.5)
+            x = np.array([features(gains(windows(normal(t)))) for t in texts])
+            p = logistic.predict(model.curve, x) if model.curve else np.full(len(texts), 0.5)
             return p, (p >= 0.5).astype(np.int32)
 
         return g
