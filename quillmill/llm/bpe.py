@@ -4,7 +4,8 @@ Encoding of one pre-token: an Aho-Corasick automaton over the vocabulary reports
 the longest token at each place. Going left to right, a longest match is accepted if it may follow the token before
 it; otherwise shorter prefixes are tried, and if none fits, the token before is taken back. Two tokens may stand side
 by side if merging their concatenation does not cross the border, which a walk over the pair table and the table of
-last merges decides. Places once found to be dead ends are never entered again, so the work is linear.
+last merges decides. Places once found to be dead ends are never entered again, so the work is linear. The pre-tokens
+of many texts go this way together, one step of all of them at a time, and those seen before are remembered.
 
 Decoding: all token bytes lie in one buffer, ``offsets[i]`` is where token i begins; a run of ids is decoded by one
 gather from the buffer.
@@ -22,11 +23,13 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +38,10 @@ from quillmill.llm.common import small_batches, table
 
 #: Pieces of text a Python worker remembers, in two generations of this many; longer pieces are not remembered.
 MEMO_ENTRIES, MEMO_CHARS = 120_000, 48
-#: Pairs of tokens whose compatibility a worker remembers.
-MEMO_PAIRS = 150_000
+#: Pairs of tokens whose compatibility a worker remembers, as a power of two.
+MEMO_PAIRS = 18
+#: Bytes of text that a worker encodes together.
+SLICE_BYTES = 500_000
 #: Pieces between which no token can reach over: white space begins one, as does a blank before other characters.
 _WS = r"\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -49,23 +54,6 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Memo(dict):
-    """Pieces of text and their ids: two generations, of which the older goes when the newer is full."""
-
-    def __init__(self, bpe: Bpe) -> None:
-        super().__init__()
-        self.bpe, self.older = bpe, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.get(piece) or self.bpe.encode_piece(piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
-
-
 class Bpe:
     """Tables of one byte-level BPE vocabulary file (JSON of the tokenizers library)."""
 
@@ -81,7 +69,7 @@ class Bpe:
         # internal numbers in merge order: single bytes first, then merge results
         made = [a + b for a, b in merges]
         order = [s for s in vocab if len(s) == 1] + made
-        self.public = np.array([vocab[s] for s in order], np.int32).tolist()
+        self.public = np.array([vocab[s] for s in order], np.int32)
         latin = str.maketrans({c: chr(b) for c, b in symbols.items()})  # a token's bytes, each as one character
         order = [s.translate(latin) for s in order]
         merges = [(a.translate(latin), b.translate(latin)) for a, b in merges]
@@ -92,13 +80,15 @@ class Bpe:
             i = rank[a + b]
             self.left[i], self.right[i] = rank[a], rank[b]
             self.pairs[rank[a], rank[b]] = i
-        self.words = ahocorasick.Automaton()
+        self.words = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for s, i in rank.items():
-            self.words.add_word(s, (i, len(s)))
+            if len(s) > 1:  # what a byte alone stands for needs no search
+                self.words.add_word(s, i)
         self.words.make_automaton()
-        self.size = [len(s) for s in order]
+        self.size = np.array([len(s) for s in order])
+        self.byte = np.array([rank[chr(b)] for b in range(256)])
         trie = ahocorasick.Automaton()
-        self.shorter = [-1] * len(order)  # the longest proper prefix that is a token
+        self.shorter = np.full(len(order), -1)  # the longest proper prefix that is a token
         for s, i in sorted(rank.items(), key=lambda x: len(x[0])):
             n = trie.longest_prefix(s[:-1]) if i and len(s) > 1 else 0
             while n and s[:n] not in rank:
@@ -114,13 +104,13 @@ class Bpe:
         self.offsets = np.cumsum(lengths)
         self.buffer = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(n)), np.uint8)
         self.decimal = [str(i) for i in range(n)]
-        self.memo = Memo(self)
-        self.fits: dict[int, bool] = {}
+        self.forget()
 
     def forget(self) -> None:
-        self.memo.clear()
-        self.memo.older = {}
-        self.fits.clear()
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pair_of = np.full(1 << MEMO_PAIRS, -1)
+        self.pair_fits = np.zeros(1 << MEMO_PAIRS, bool)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE, given the bytes of token a followed by those of b, ends with exactly these two tokens."""
@@ -141,59 +131,112 @@ class Bpe:
                     if a == limit:
                         return True
 
+    def fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` for many pairs; a table remembers one pair in each place."""
+        pair = a << 20 | b
+        at = pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MEMO_PAIRS)
+        at = at.view(np.int64)
+        new = self.pair_of[at] != pair
+        if not new.any():
+            return self.pair_fits[at]
+        fits = self.pair_fits[at]
+        fresh, where = np.unique(pair[new], return_inverse=True)
+        found = np.array([self.compatible(p >> 20, p & 0xFFFFF) for p in fresh.tolist()])
+        fits[new] = found[where]
+        self.pair_of[at[new]] = pair[new]
+        self.pair_fits[at[new]] = fits[new]
+        return fits
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pre-tokens -> their public ids in a row, and where in it each word ends; all words go forward and back at once."""
+        s = "\udcff".join(words).encode("utf-8", "surrogateescape") + b"\xff"
+        raw = np.frombuffer(s, np.uint8)
+        found = np.fromiter(chain.from_iterable(self.words.iter(s.decode("latin-1"))), np.int64)
+        end, token = found[::2], found[1::2]
+        longest = np.append(self.byte[raw], 0)
+        longest[end + 1 - self.size[token]] = token  # of those that begin at a place the last one is the longest
+        stop = np.flatnonzero(raw == 255)
+        pos = np.append(0, stop[:-1] + 1)
+        begin, alive = pos.copy(), np.ones(len(raw) + 1, bool)
+        before = np.full(len(raw) + 1, -1)  # the token that ends at a place, on the way of the word it lies in
+        size, shorter = self.size, self.shorter
+        going = np.flatnonzero(pos < stop)
+        at, token = pos[going], longest[pos[going]]
+        while len(going):
+            end = at + size[token]
+            last = before[at]
+            ok = alive[end]
+            ask = np.flatnonzero(ok & (last >= 0))
+            ok[ask] = self.fit(last[ask], token[ask])
+            less = shorter[token]
+            back = ~ok & (less < 0)  # a dead end: take the last token back and go on with its next shorter prefix
+            alive[at[back]] = False
+            before[end[ok]] = token[ok]
+            token = np.where(ok, longest[end], np.where(back, last, less))
+            at = np.where(ok, end, np.where(back, at - size[last], at))
+            open_ = at < stop[going]
+            going, at, token = going[open_], at[open_], token[open_]
+        # the ways, from the ends of the words to their beginnings
+        going = np.flatnonzero(begin < stop)
+        at, ends, tokens = stop[going], [], []
+        while len(going):
+            token = before[at]
+            ends.append(at)
+            tokens.append(token)
+            at = at - size[token]
+            open_ = at > begin[going]
+            going, at = going[open_], at[open_]
+        ends, tokens = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ends, tokens))
+        order = np.argsort(ends)
+        return self.public[tokens[order]], np.searchsorted(ends[order], stop, side="right")
+
     def encode_word(self, word: str) -> list[int]:
         """Public ids of one pre-token, given as text."""
-        s = word.encode("utf-8").decode("latin-1")
-        n = len(s)
-        longest = [-1] * n
-        size, shorter, fits = self.size, self.shorter, self.fits
-        if len(fits) > MEMO_PAIRS:
-            fits.clear()
-        for end, (i, k) in self.words.iter(s):
-            start = end - k + 1
-            if longest[start] < 0 or size[longest[start]] < k:
-                longest[start] = i
-        alive, out, pos = bytearray(b"\1" * (n + 1)), [], 0
-        token = longest[0] if n else -1
-        while pos < n:
-            last = out[-1] if out else -1
-            while True:
-                end = pos + size[token]
-                if alive[end]:
-                    ok = fits.get(pair := last << 20 | token) if last >= 0 else True
-                    if ok is None:
-                        ok = fits[pair] = self.compatible(last, token)
-                    if ok:
-                        out.append(token)
-                        pos = end
-                        token = longest[pos] if pos < n else -1
-                        break
-                token = shorter[token]
-                if token < 0:  # a dead end: take the last token back and go on with its next shorter prefix
-                    alive[pos] = 0
-                    token = out.pop()
-                    pos -= size[token]
-                    break
-        return [self.public[i] for i in out]
-
-    def encode_piece(self, piece: str) -> bytes:
-        """The ids of a piece as bytes of 32-bit integers."""
-        if piece[1:].isalpha() and piece[0] == " ":  # what the pattern would find anyway
-            ids = self.encode_word(piece)
-        else:
-            ids = [i for word in self.pattern.findall(piece) for i in self.encode_word(word)]
-        return array("i", ids).tobytes()
+        return self.encode_words([word])[0].tolist()
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Pieces that are not remembered -> their ids as bytes of 32-bit integers."""
+        words, upto, pieces = [], [0], list(pieces)
+        for p in pieces:
+            if p[0] == " " and p[1:].isalpha():  # what the pattern would find anyway
+                words.append(p)
+            elif p[0] == " " and p[-1] in ".," and p[1:-1].isalpha():
+                words += (p[:-1], p[-1])
+            else:
+                words += self.pattern.findall(p)
+            upto.append(len(words))
+        if not words:
+            return {p: b"" for p in pieces}
+        ids, ends = self.encode_words(words)
+        whole, cut = ids.tobytes(), (4 * np.append(0, ends)[upto]).tolist()
+        return {p: whole[lo:hi] for p, lo, hi in zip(pieces, cut, cut[1:], strict=False)}
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, together: what is not remembered is encoded once for all of them."""
+        split, special = self.special_split, self.special
+        parts = [[p if p in special else _PIECE.findall(p) for p in (split.split(t or "") if split else [t or ""])] for t in texts]
+        unknown = set().union(*(x for some in parts for x in some if not isinstance(x, str))).difference(self.memo)
+        new = {p: self.older[p] for p in unknown & self.older.keys()}
+        new |= self.learn(unknown.difference(new))
+        self.memo |= new
+        out, get = [], self.memo.__getitem__
+        for some in parts:
+            runs = chain.from_iterable([array("i", [special[x]]).tobytes()] if isinstance(x, str) else map(get, x) for x in some)
+            out.append(np.frombuffer(b"".join(runs), np.int32))
+        for p in new:
+            if len(p) > MEMO_CHARS:
+                del self.memo[p]
+        if len(self.memo) > MEMO_ENTRIES:
+            self.older, self.memo = self.memo, {}
+        return out
 
     def encode(self, text: str | None) -> tuple[np.ndarray, str]:
         """The ids of a text, and the same in decimal with commas."""
-        runs = []
-        for part in self.special_split.split(text or "") if self.special_split else [text or ""]:
-            if part in self.special:
-                runs.append(array("i", [self.special[part]]).tobytes())
-            else:
-                runs.extend(map(self.memo.__getitem__, _PIECE.findall(part)))
-        ids = np.frombuffer(b"".join(runs), np.int32)
-        return ids, ",".join(map(self.decimal.__getitem__, ids.tolist()))
+        ids = self.encode_all([text])[0]
+        return ids, self.in_decimal(ids)
+
+    def in_decimal(self, ids: np.ndarray) -> str:
+        return ",".join(map(self.decimal.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> str:
         ids = np.asarray(ids, np.int64)
@@ -209,6 +252,16 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def few_chars(whole: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold one row or about ``limit`` bytes of text at most."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(text)), 0).to_numpy(zero_copy_only=False)) if whole.num_rows else []
+    lo = 0
+    while lo < whole.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + limit)))
+        yield whole.slice(lo, hi - lo)
+        lo = hi
+
+
 _KINDS = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string()), "ids": ("array<int>", pa.list_(pa.int32()))}
 
 
@@ -232,17 +285,13 @@ def _run(docs: DataFrame, tokenizer: str, key: str, text: str, names: list[str])
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
-                runs, n, digests, decoded = [], [], [], []
-                for t in batch.column("t"):
-                    ids, decimal = bpe.encode(t.as_py())
-                    runs.append(ids)
-                    n.append(len(ids))
-                    if "ids_sha256" in names:
-                        digests.append(hashlib.sha256(decimal.encode()).hexdigest())
-                    if "decoded_sha256" in names:
-                        decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            for batch in few_chars(whole, "t"):
+                runs, digests, decoded = bpe.encode_all(batch.column("t").to_pylist()), [], []
+                n = [len(ids) for ids in runs]
+                if "ids_sha256" in names:
+                    digests = [hashlib.sha256(bpe.in_decimal(ids).encode()).hexdigest() for ids in runs]
+                if "decoded_sha256" in names:
+                    decoded = [hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in runs]
                 made = {"n_tokens": n, "ids_sha256": digests, "decoded_sha256": decoded}
                 if "ids" in names:
                     ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
