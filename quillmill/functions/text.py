@@ -55,11 +55,11 @@ def contains_match(output: Column, truth: Column) -> Column:
     return ((t != "") & (F.contains(o, t) | F.contains(t, o))).cast("double")
 
 
-def legacy_verdict(output: Column, legacy: Column) -> Column:
-    """'N/A' if either is null, else whether they are equal or one contains the other."""
-    o, t = normal(output), normal(legacy)
+def legacy_verdict(legacy: Column, truth: Column) -> Column:
+    """Of an earlier output: 'N/A' if it or the truth is null, else whether they are equal or one contains the other."""
+    o, t = normal(legacy), normal(truth)
     same = (o == t) | F.contains(o, t) | F.contains(t, o)
-    return F.when(output.isNull() | legacy.isNull(), "N/A").when(same, "OK").otherwise("KO")
+    return F.when(legacy.isNull() | truth.isNull(), "N/A").when(same, "CORRECT").otherwise("INCORRECT")
 
 
 def length_ratio(output: Column, truth: Column) -> Column:
@@ -87,20 +87,22 @@ def json_validity(c: Column) -> Column:
     return F.when(part.isNull() | (c == ""), 0.0).when(part == c, 1.0).otherwise(0.8)
 
 
-def json_map(c: Column) -> Column:
-    return F.from_json(json_part(c), "map<string,string>")
+def json_map(c: Column, whole: bool = False) -> Column:
+    """The fields of an object; with ``whole`` a span of the text does not count."""
+    part = F.when(F.try_parse_json(c).isNotNull(), c) if whole else json_part(c)
+    return F.from_json(part, "map<string,string>")
 
 
 def json_key_match(output: Column, truth: Column) -> Column:
-    """Share of the truth's keys that the output has; 0 for none or for what is no object."""
-    keys = F.map_keys(json_map(truth))
+    """Share of the truth's keys that the output has; 0 for none, for what is no object, and for a truth with other text around it."""
+    keys = F.map_keys(json_map(truth, whole=True))
     n = F.size(keys)
     return F.when(n > 0, F.coalesce(F.size(F.array_intersect(keys, F.map_keys(json_map(output)))) / n, F.lit(0.0))).otherwise(0.0)
 
 
 def json_value_match(output: Column, truth: Column) -> Column:
     """Share of the truth's keys whose normalised value the output repeats."""
-    t, o = json_map(truth), json_map(output)
+    t, o = json_map(truth, whole=True), json_map(output)
     same = F.filter(F.map_keys(t), lambda k: F.array_contains(F.map_keys(o), k) & (normal(t[k]) == normal(o[k])))
     return F.when(F.size(t) > 0, F.coalesce(F.size(same), F.lit(0)) / F.size(t)).otherwise(0.0)
 
@@ -132,7 +134,11 @@ def pii_entities(c: Column) -> Column:
 
 def redaction(given: Column, output: Column, truth: Column) -> Column:
     """struct(precision, recall, f1, entities_found, leaked) of a redaction; null truth: all input entities are to go."""
-    i, o, t = pii_entities(given), pii_entities(output), pii_entities(truth)
+    once = F.array(F.struct(pii_entities(given).alias("i"), pii_entities(output).alias("o"), pii_entities(truth).alias("t")))
+    return F.get(F.transform(once, lambda x: _redaction(x["i"], x["o"], x["t"], truth)), F.lit(0))  # a struct of its own, so that each text is searched once
+
+
+def _redaction(i: Column, o: Column, t: Column, truth: Column) -> Column:
     target = F.when(truth.isNull(), i).otherwise(F.array_except(i, t))
     extra = F.when(truth.isNull(), F.size(F.array_except(o, i))).otherwise(F.size(F.array_except(o, t)))
     tp, fn = F.size(F.array_except(target, o)), F.size(F.array_intersect(target, o))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.operators.features import medians
+from quillmill.operators.relational import parse_date
+
 
 def open_train(df: DataFrame) -> DataFrame:
     return df.where("is_train = 1 AND is_open = 1")
@@ -35,14 +38,27 @@ def weekly_resample(df: DataFrame, date: str = "date", value: str = "sales") ->
     weeks = df.groupBy(end.alias("week_end")).agg(F.avg(value).alias(f"avg_{value}"))
     span = df.agg(F.min(end).alias("a"), F.max(end).alias("b")).where("a IS NOT NULL")
     calendar = span.select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("week_end"))
-    return calendar.join(weeks, "week_end", "left")
+    return calendar.hint("shuffle_merge").join(weeks, "week_end", "left")  # a generated side has no size to go by
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:
+    """One row: mean, exact median, max, min, sum and count of a column. ``df`` is read several times and should be staged."""
     c = F.col(value)
-    return df.agg(
-        F.avg(c).alias("mean"), F.median(c).alias("median"), F.max(c).alias("max"), F.min(c).alias("min"), F.sum(c).alias("sum"), F.count(c).alias("count")
-    )
+    one = df.agg(F.avg(c).alias("mean"), F.max(c).alias("max"), F.min(c).alias("min"), F.sum(c).alias("sum"), F.count(c).alias("count"))
+    return one.crossJoin(F.broadcast(medians(df, [value]).select(F.col(value).alias("median"))))  # a row each
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, count, mean, std, min, max of numeric columns, a row each, in one pass."""
+    named = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns)))
+    return df.select(named).groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+
+
+def date_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, first_date, last_date, unparsable: the range of dates given as text, and values that are no date."""
+    named = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns)))
+    parsed = df.select(named).withColumn("date", parse_date(F.col("v")))
+    return parsed.groupBy("column").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if(F.col("v").isNotNull() & F.col("date").isNull()).alias("unparsable"))
 
 
 def grouped_mode(df: DataFrame, keys: list[str], column: str) -> DataFrame:

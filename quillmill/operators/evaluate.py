@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +32,11 @@ def composite(task: Column, output: Column, truth: Column, judge: Column, given:
     ranked = T.ranked_intents(output)
     rank = F.when((F.size(ranked) > 0) & has, F.greatest(T.precision_at(ranked, truth, 1), T.contains_match(output, truth))).otherwise(match)
     o = outcome or {k: F.lit(None).cast("double") for k in ("syntax", "run", "tests")}
+    syntax = F.coalesce(o["syntax"], F.lit(0.0))
     code = (
-        F.when(o["tests"].isNotNull(), 0.10 * o["syntax"] + 0.15 * o["run"] + 0.25 * o["tests"] + 0.5 * judge)
-        .when(o["run"].isNotNull(), 0.15 * o["syntax"] + 0.15 * o["run"] + 0.70 * judge)
-        .otherwise(0.30 * F.coalesce(o["syntax"], F.lit(0.0)) + 0.70 * judge)
+        F.when(o["tests"].isNotNull(), 0.10 * syntax + 0.15 * F.coalesce(o["run"], F.lit(0.0)) + 0.25 * o["tests"] + 0.5 * judge)
+        .when(o["run"].isNotNull(), 0.15 * syntax + 0.15 * o["run"] + 0.70 * judge)
+        .otherwise(0.30 * syntax + 0.70 * judge)
     )
     return (
         F.when(task == "classification", F.when(has, 0.5 * match + 0.5 * judge).otherwise(judge))
@@ -49,11 +53,13 @@ def composite(task: Column, output: Column, truth: Column, judge: Column, given:
 def evaluate(log: DataFrame, judge: str | None = None) -> DataFrame:
     """log(test_id, model_id, task, success, output_text, ground_truth, judge_score, given) with ``score`` and ``correct``.
 
-    A failed inference scores 0 and is not correct; unknown tasks and the judge's own rows are left out.
+    A failed inference scores 0 and is not correct; unknown tasks and the judge's own rows are left out. Results of
+    generated code enter as columns code_syntax, code_run and code_tests (0 to 1, null: not run), where the log has them.
     """
     rows = log.where(F.col("task").isin(TASKS))
     rows = rows.where(F.col("model_id") != judge) if judge else rows
-    raw = F.when(F.col("success"), composite(F.col("task"), F.col("output_text"), F.col("ground_truth"), F.col("judge_score"), F.col("given"))).otherwise(0.0)
+    outcome = {k: F.col(f"code_{k}") if f"code_{k}" in log.columns else F.lit(None).cast("double") for k in ("syntax", "run", "tests")}
+    raw = F.when(F.col("success"), composite(F.col("task"), F.col("output_text"), F.col("ground_truth"), F.col("judge_score"), F.col("given"), outcome)).otherwise(0.0)
     return rows.withColumn("__raw", raw).withColumns({"score": F.bround("__raw", 3), "correct": F.col("success") & (F.col("__raw") >= 0.5)}).drop("__raw")
 
 
@@ -112,12 +118,14 @@ def member_statistics(scored: DataFrame, group: str, member: str) -> DataFrame:
     )
 
 
-def failure_index(scored: DataFrame, below: float = 0.5) -> DataFrame:
-    """Per task: the ids below a score in order, and failures per model as a map."""
-    bad = scored.where(F.col("score") < below)
-    ids = bad.where("test_id <> ''").groupBy("task").agg(F.array_sort(F.collect_set("test_id")).alias("ids"))
-    counts = bad.groupBy("task", "model_id").count().groupBy("task").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model_id", "count")))).alias("failures"), F.sum("count").alias("n"))
-    return counts.join(ids, "task", "left")
+def failure_ids(scored: DataFrame, below: float = 0.5) -> DataFrame:
+    """task, test_id of the records below a score, a row each."""
+    return scored.where((F.col("score") < below) & (F.col("test_id") != "")).select("task", "test_id").distinct()
+
+
+def failure_counts(scored: DataFrame, below: float = 0.5) -> DataFrame:
+    """Per task and model how many records are below a score."""
+    return scored.where(F.col("score") < below).groupBy("task", "model_id").agg(F.count("*").alias("n"))
 
 
 def anomalies(scored: DataFrame, limit: int = 20) -> DataFrame:
@@ -144,13 +152,15 @@ def low_score_seeds(scored: DataFrame, below: float = 0.3, total: int = 50, per_
 
 
 def verdict_table(scored: DataFrame) -> DataFrame:
-    """Per (test, model) the last row, with the test's header columns from its first row.
+    """Per (test, model) the last row's output and whether it is correct, with the header columns of the test's first row.
 
-    The verdict is that of the whole texts; what is shown is cut at 500 characters.
+    The legacy verdict compares the whole legacy output with the whole truth; what is shown is cut at 500 characters.
     """
-    head = keep_first(scored, ["test_id"], ["seq"]).select("test_id", F.substring("ground_truth", 1, 500).alias("ground_truth"), F.substring("legacy_output", 1, 500).alias("legacy_output"))
-    last = keep_first(scored, ["test_id", "model_id"], [F.desc("seq")]).select("test_id", "model_id", F.substring("output_text", 1, 500).alias("output_text"), "score", T.legacy_verdict(F.col("output_text"), F.col("legacy_output")).alias("verdict"))
-    return last.join(head, "test_id")
+    shown = lambda c: F.substring(c, 1, 500).alias(c)
+    head = keep_first(scored, ["test_id"], ["seq"]).select("test_id", "task", shown("legacy_output"), T.legacy_verdict(F.col("legacy_output"), F.col("ground_truth")).alias("legacy_verdict"))
+    last = keep_first(scored, ["test_id", "model_id"], [F.desc("seq")])
+    verdict = F.when(F.coalesce("correct", F.lit(False)), "CORRECT").otherwise("INCORRECT")
+    return last.select("test_id", "model_id", shown("output_text"), verdict.alias("verdict")).join(head, "test_id")
 
 
 def variant_scores(scored: DataFrame) -> DataFrame:
@@ -170,13 +180,19 @@ def beam(candidates: DataFrame, k: int) -> DataFrame:
 
 
 def iterative_selection(table: DataFrame, min_gain: float = 0.01) -> DataFrame:
-    """Best variant per iteration with the running best, up to the first iteration that gains ``min_gain`` or less."""
-    best = keep_first(table, ["iteration"], [F.desc("avg_score"), "variant"])
-    order = Window.orderBy("iteration")  # one row per iteration
-    past = F.max("avg_score").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gains = best.withColumn("gain", F.round(F.col("avg_score") - F.coalesce(past, F.lit(0.0)), 6)).withColumn("weak", (F.col("iteration") > 0) & (F.col("gain") <= min_gain))
-    stops = F.sum(F.col("weak").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return gains.withColumn("stops", F.coalesce(stops, F.lit(0))).where("stops = 0").drop("stops")
+    """The history of a search: per iteration the best variant so far, up to the first iteration that gains ``min_gain`` or less.
+
+    The first iteration is the baseline. One that brings nothing better shows the incumbent, which also wins ties;
+    the last row of a search that ended so is marked ``stopped_early``.
+    """
+    own = keep_first(table, ["iteration"], [F.desc("avg_score"), "variant"])  # one row per iteration
+    order = Window.orderBy("iteration")
+    so_far = F.max(F.struct("avg_score", (-F.col("iteration")).alias("earlier"), "variant", "n_correct"))
+    best = own.select("iteration", so_far.over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("b"), so_far.over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("old"))
+    weak = F.coalesce(F.round(F.col("b.avg_score") - F.col("old.avg_score"), 9) <= min_gain, F.lit(False))
+    marked = best.withColumns({"stopped_early": weak, "is_baseline": F.col("old").isNull()})
+    stops = F.coalesce(F.sum(F.col("stopped_early").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("stops", stops).where("stops = 0").select("iteration", "b.variant", "b.avg_score", "b.n_correct", "is_baseline", "stopped_early")
 
 
 def ablation(history: DataFrame, by: list[str] | None = None, k: int = 10) -> DataFrame:
@@ -194,10 +210,31 @@ def ablation(history: DataFrame, by: list[str] | None = None, k: int = 10) -> Da
     return rows.select(*keys, "iteration", "delta", added.alias("added"), removed.alias("removed"), effect.alias("effect"))
 
 
-def feedback_lines(scored: DataFrame) -> DataFrame:
-    """One line of feedback per row."""
-    line = F.format_string("[%s] score=%.3f expected=%s got=%s", "test_id", "score", F.coalesce("ground_truth", F.lit("N/A")), F.substring(F.coalesce("output_text", F.lit("")), 1, 200))
-    return scored.select("test_id", "model_id", line.alias("line"))
+def feedback_text(avg_score: Column, n: Column, n_correct: Column, errors: Column | None = None) -> Column:
+    """What an evaluation tells whoever writes the next prompt, a line for each figure that is there.
+
+    ``errors``: the common ones as an array, of which three are named. All null: there was no evaluation.
+    """
+    some = F.coalesce(n, F.lit(0)) > 0
+    right = F.coalesce(n_correct, F.lit(0))
+    lines = [
+        F.when(avg_score.isNotNull(), F.format_string("Average score: %.3f", avg_score)),
+        F.when(some, F.concat(F.lit("Records evaluated: "), n.cast("string"))),
+        F.when(some, F.format_string("Correct: %d/%d (%.1f%%)", right.cast("long"), n.cast("long"), 100.0 * right / n)),
+    ]
+    if errors is not None:
+        lines.append(F.when(F.size(errors) > 0, F.concat(F.lit("Common errors: "), F.array_join(F.slice(errors, 1, 3), "; "))))
+    text = F.concat_ws("\n", *lines)
+    none = avg_score.isNull() & n.isNull() & n_correct.isNull()
+    return F.when(none, "No previous evaluation available.").when(text == "", "Score below target.").otherwise(text)
+
+
+def feedback(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the feedback text, its three commonest errors among it (ties in order)."""
+    each = scored.groupBy(*by).agg(F.avg("score").alias("a"), F.count("*").alias("n"), F.count_if("correct").alias("c"))
+    named = scored.where("error IS NOT NULL").groupBy(*by, "error").count()
+    errors = first_k(named, by, [F.desc("count"), "error"], 3).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("count"), "error"))), lambda x: x["error"]).alias("errors"))
+    return each.join(errors, by, "left").select(*by, feedback_text(F.col("a"), F.col("n"), F.col("c"), F.coalesce("errors", F.array().cast("array<string>"))).alias("feedback"))
 
 
 def mean_latency(scored: DataFrame, log: DataFrame) -> DataFrame:
@@ -238,17 +275,28 @@ def paired_t_test(base: DataFrame, variant: DataFrame, key: str = "test_id") ->
 def bootstrap_interval(base: DataFrame, variant: DataFrame, key: str = "test_id", rounds: int = 1000, seed: int = 42) -> DataFrame:
     """95% interval of the mean difference by the Poisson bootstrap: every row's weight in a round is fixed by a hash.
 
-    Each row makes its rounds' weights in place and they are summed before the shuffle, so only rounds are exchanged.
+    Each batch of rows sums its weights for all rounds in place, so only a row per batch and round is exchanged.
     """
-    d = base.select(key, F.col("score").alias("a")).join(variant.select(key, F.col("score").alias("b")), key).select(key, (F.col("b") - F.col("a")).alias("d"))
-    u = (F.pmod(F.xxhash64(key, "round", F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    steps = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
-    weight = sum((u > s).cast("int") for s in steps)
-    drawn = d.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("w", weight)
-    means = drawn.groupBy("round").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m")).where("m IS NOT NULL")
-    got = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # one value per round
-    low, high = F.get("m", F.floor(F.size("m") * 0.025).cast("int")), F.get("m", F.least(F.floor(F.size("m") * 0.975).cast("int"), F.size("m") - 1))
-    return got.select(low.alias("low"), high.alias("high"), (low > 0).alias("significant"))
+    d = base.select(key, F.col("score").alias("a")).join(variant.select(key, F.col("score").alias("b")), key).select(F.xxhash64(key, F.lit(seed)).alias("h"), (F.col("b") - F.col("a")).alias("d"))
+    steps = np.array([math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, mix = np.arange(rounds, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
+        for batch in batches:
+            weight, total = np.zeros(rounds), np.zeros(rounds)
+            for lo in range(0, batch.num_rows, 1000):
+                h, x = batch.column("h").to_numpy()[lo : lo + 1000].view(np.uint64), batch.column("d").to_numpy(zero_copy_only=False)[lo : lo + 1000]
+                u = (h[:, None] ^ number * mix) * mix
+                u = (u ^ u >> np.uint64(29)) * mix
+                w = np.searchsorted(steps, (u >> np.uint64(11)) / 2.0**53)
+                weight += w.sum(axis=0)
+                total += x @ w
+            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int64)), pa.array(weight), pa.array(total)], names=["round", "w", "s"])
+
+    means = d.where("d IS NOT NULL").mapInArrow(weigh, "round long, w double, s double").groupBy("round").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m")).where("m IS NOT NULL")
+    got = means.agg(F.array_sort(F.collect_list("m")).alias("m"), F.count("*").alias("n")).crossJoin(F.broadcast(d.agg(F.avg("d").alias("mean_diff"))))  # one value per round
+    low, high = (F.get("m", F.least(F.floor(F.col("n") * q), F.col("n") - 1).cast("int")) for q in (0.025, 0.975))
+    return got.where("n > 0").select(F.bround("mean_diff", 4).alias("mean_diff"), F.bround(low, 4).alias("low"), F.bround(high, 4).alias("high"), (low > 0).alias("significant"))
 
 
 def status_counts(jobs: DataFrame) -> DataFrame:

@@ -13,18 +13,42 @@ MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct",
 CATEGORICALS = ["type_code", "level_code", "state", "weather_event"]
 
 
+def medians(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the exact median of each column over the whole table, null for a column of nulls.
+
+    No task sees all values: a first pass finds two bounds that have the median between them (approximate quantiles with
+    their error added), a second one counts what lies below and keeps the few values between. ``df`` should be staged.
+    """
+    spread, error = 0.001, 0.0005
+    bounds = df.agg(*(F.percentile_approx(F.col(c).cast("double"), [0.5 - spread - error, 0.5 + spread + error], int(1 / error)).alias(c) for c in columns))
+    named = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"), F.col(f"__b_{c}").alias("b")) for c in columns]
+    rows = df.select(*columns).crossJoin(F.broadcast(bounds.select(*(F.col(c).alias(f"__b_{c}") for c in columns)))).select(F.inline(F.array(*named)))
+    between = F.col("v").between(F.get("b", F.lit(0)), F.get("b", F.lit(1)))
+    place = F.when(F.col("v") < F.get("b", F.lit(0)), F.lit(-1)).when(~between, F.lit(1)).otherwise(F.lit(0))
+    counted = rows.where("v IS NOT NULL").groupBy("c", place.alias("place"), F.when(between, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy("c").orderBy("place", "v"))
+    total = F.sum("n").over(Window.partitionBy("c"))
+    at = counted.withColumns({"hi": up_to, "lo": up_to - F.col("n"), "total": total})
+    holds = lambda k: F.max(F.when((F.col("lo") < k) & (F.col("hi") >= k), F.col("v")))
+    found = at.groupBy("c").agg(((holds(F.floor((F.col("total") + 1) / 2)) + holds(F.floor(F.col("total") / 2) + 1)) / 2).alias("v"))
+    return found.agg(*(F.max(F.when(F.col("c") == c, F.col("v"))).alias(c) for c in columns))
+
+
 def impute_medians(df: DataFrame, rules: dict[str, list[list[str]]]) -> DataFrame:
     """Fill each column's nulls by the exact median of the first of its key sets that has one; [] is the whole table.
 
     One aggregate per key set serves all columns that use it. Medians are small and joined back, so the facts are never
-    sorted by a window.
+    sorted by a window. ``df`` is read several times and should be staged.
     """
     keysets = [list(k) for k in dict.fromkeys(tuple(k) for sets in rules.values() for k in sets)]
     out = df
     for i, keys in enumerate(keysets):
         columns = [c for c, sets in rules.items() if keys in sets]
-        medians = df.groupBy(*keys).agg(*(F.median(c).alias(f"__m{i}_{c}") for c in columns))
-        out = out.join(medians, keys, "left") if keys else out.crossJoin(F.broadcast(medians))
+        if keys:
+            out = out.join(df.groupBy(*keys).agg(*(F.median(c).alias(f"__m{i}_{c}") for c in columns)), keys, "left")
+        else:
+            whole = medians(df, columns)
+            out = out.crossJoin(F.broadcast(whole.select(*(F.col(c).alias(f"__m{i}_{c}") for c in columns))))
     filled = {c: F.coalesce(c, *(F.col(f"__m{keysets.index(k)}_{c}") for k in sets)) for c, sets in rules.items()}
     return out.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in df.columns))
 
@@ -114,16 +138,22 @@ def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
 def target_encode(df: DataFrame) -> DataFrame:
     """Store mean and median, (store, weekday) and (state, month) means of training sales.
 
-    Request rows never contribute. Gaps are filled by the median of the joined column.
+    Request rows never contribute. Gaps are filled by the median of the joined column, which is the groups' own values
+    weighted by their rows: no second pass over the joined facts.
     """
-    train = df.where("is_train = 1")
-    out = df.join(train.groupBy("store_id").agg(F.avg("sales").alias("store_avg_sales"), F.median("sales").alias("store_med_sales")), "store_id", "left")
-    out = out.join(train.groupBy("store_id", "day_of_week").agg(F.avg("sales").alias("store_dow_avg")), ["store_id", "day_of_week"], "left")
-    out = out.join(train.groupBy("state", "month").agg(F.avg("sales").alias("state_month_avg")), ["state", "month"], "left")
-    columns = ["store_avg_sales", "store_med_sales", "store_dow_avg", "state_month_avg"]
-    middle = out.agg(*(F.median(c).alias(f"__{c}") for c in columns))
-    out = out.crossJoin(F.broadcast(middle))
-    return out.withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop(*(f"__{c}" for c in columns))
+    sales = F.when(F.col("is_train") == 1, F.col("sales"))
+    out = df
+    for keys, encodings in (
+        (["store_id"], {"store_avg_sales": F.avg(sales), "store_med_sales": F.median(sales)}),
+        (["store_id", "day_of_week"], {"store_dow_avg": F.avg(sales)}),
+        (["state", "month"], {"state_month_avg": F.avg(sales)}),
+    ):
+        groups = staged(df.groupBy(*keys).agg(*(c.alias(f"__{name}") for name, c in encodings.items()), F.count("*").alias("__n")), "encodings")
+        middle = groups.agg(*(F.percentile(f"__{name}", 0.5, F.col("__n")).alias(name) for name in encodings))
+        filled = groups.crossJoin(F.broadcast(middle)).select(*keys, *(F.coalesce(f"__{name}", name).alias(name) for name in encodings))
+        out = out.join(filled, keys, "left")  # rows of a null key get the middle below
+        out = out.crossJoin(F.broadcast(middle.select(*(F.col(c).alias(f"__{c}") for c in encodings)))).withColumns({c: F.coalesce(c, f"__{c}") for c in encodings}).drop(*(f"__{c}" for c in encodings))
+    return out
 
 
 def interactions(df: DataFrame) -> DataFrame:

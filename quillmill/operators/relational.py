@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType
 
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "MM-dd-yyyy", "yyyyMMdd")
 
@@ -87,14 +88,27 @@ def store_profile(stores: DataFrame, types: DataFrame, levels: DataFrame, states
     )
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key, the first in the order of the other columns by name; rows of a null key go."""
+    return keep_first(df.dropna(subset=keys), keys, sorted(c for c in df.columns if c not in keys))
+
+
+def numeric_means(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Means of all numeric columns by key, nulls left out; rows of a null key go."""
+    kinds = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DecimalType)
+    numeric = [f.name for f in df.schema if f.name not in keys and isinstance(f.dataType, kinds)]
+    return df.dropna(subset=keys).groupBy(*keys).agg(*(F.avg(f"`{c}`").alias(c) for c in numeric))
+
+
 def enrich_state_days(weather: DataFrame, macro: DataFrame, trends: DataFrame, events: DataFrame) -> DataFrame:
-    """Daily weather of a state with monthly macro figures, weekly trend and a local-event flag."""
-    once = keep_first(weather.dropna(subset=["state", "date"]), ["state", "date"], sorted(c for c in weather.columns if c not in ("state", "date")))
+    """Daily weather of a state with monthly macro figures, weekly mean trends and a local-event flag."""
+    once = one_per_key(weather, ["state", "date"])
     base = once.withColumn("year_month", F.date_format("date", "yyyy-MM")).withColumn("week_start", F.date_sub("date", F.weekday("date")))
-    days = events.where(F.col("event_type").isNotNull()).select("state", F.col("date_start").alias("date")).distinct().withColumn("has_local_event", F.lit(1))
+    some = events.where(F.col("event_type").isNotNull()).select("state", F.col("date_start").alias("date"))
+    days = some.dropna().distinct().withColumn("has_local_event", F.lit(1))
     return (
-        base.join(macro, ["state", "year_month"], "left")
-        .join(trends, ["state", "week_start"], "left")
+        base.join(one_per_key(macro, ["state", "year_month"]), ["state", "year_month"], "left")
+        .join(numeric_means(trends, ["state", "week_start"]), ["state", "week_start"], "left")
         .join(days, ["state", "date"], "left")
         .drop("year_month", "week_start")
     )

@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import entity_id
 from quillmill.operators.features import MONTHS
 
+#: Queries whose vectors go to every task in one pass.
+QUERIES = 20_000
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+#: Label and form of the sentences on means.
+MEANS = {
+    "temperature_avg": ("Avg temperature", "%.1f"), "precipitation_mm": ("Avg precipitation mm", "%.1f"), "gdp_index": ("GDP index", "%.2f"),
+    "unemployment_rate": ("Unemployment rate", "%.2f"), "trend_index": ("Google Trend index", "%.2f"),
+}
 
 
 def whole(c: Column) -> Column:
-    return F.bround(c, 0).cast("bigint").cast("string")
+    return F.bround(F.round(c, 6), 0).cast("bigint").cast("string")  # sums in another order must not tip a half
 
 
 def store_documents(df: DataFrame, title: str = "Store ID") -> DataFrame:
-    """One document per store from its training rows, sales figures from its open days; a sentence without value is left out."""
+    """One document per store from its training rows, sales figures from its open days.
+
+    A sentence without value is left out, as are those on promotions, weather, economy and events for which ``df`` has no column.
+    """
+    also = [c for c in (*MEANS, "has_promo2", "has_local_event", "promo") if c in df.columns]
+    weather = [F.mode("weather_event", True).alias("weather_event")] if "weather_event" in df.columns else []
     train = df.where("is_train = 1").withColumns({"__dow": F.weekday("date"), "__month": F.month("date")})
     open_sales = F.when(F.col("is_open") == 1, F.col("sales"))
     modes = {"Store Type": "description_type", "Assortment": "description_assortment", "State": "state"}
     own = train.groupBy("store_id").agg(
         *(F.mode(c, True).alias(c) for c in modes.values()), F.median("distance_meters").alias("distance"), F.mode("open_since_year", True).alias("since"),
-        F.avg(open_sales).alias("sales"), F.avg("promo").alias("promo"), *(F.avg(open_sales_on).alias(f"d{i}") for i, open_sales_on in enumerate(F.when(F.col("__dow") == i, open_sales) for i in range(7))),
+        F.avg(open_sales).alias("sales"), *(F.avg(c).alias(c) for c in also), *weather, *(F.avg(open_sales_on).alias(f"d{i}") for i, open_sales_on in enumerate(F.when(F.col("__dow") == i, open_sales) for i in range(7))),
         *(F.avg(F.when(F.col("__month") == i, open_sales)).alias(f"m{i}") for i in range(1, 13)),
     )
-    days = F.array(*(F.when(F.col(f"d{i}").isNotNull(), F.struct(F.lit(d).alias("name"), F.bround(f"d{i}", 0).alias("v"))) for i, d in enumerate(DAYS)))
+    days = F.array(*(F.when(F.col(f"d{i}").isNotNull(), F.struct(F.lit(d).alias("name"), F.bround(F.round(f"d{i}", 6), 0).alias("v"))) for i, d in enumerate(DAYS)))
     days = F.filter(days, lambda x: x.isNotNull())
     low = F.aggregate(days, F.get(days, F.lit(0)), lambda a, x: F.when(x["v"] < a["v"], x).otherwise(a))
     high = F.aggregate(days, F.get(days, F.lit(0)), lambda a, x: F.when(x["v"] > a["v"], x).otherwise(a))
@@ -40,20 +54,35 @@ def store_documents(df: DataFrame, title: str = "Store ID") -> DataFrame:
         F.when(F.size(days) > 0, F.concat(F.lit("Average sales by day of week — "), F.array_join(F.transform(days, part), ", "), F.lit("."))),
         F.concat(F.lit("Lowest sales day: "), low["name"], F.lit(" ("), whole(low["v"]), F.lit("). Highest: "), high["name"], F.lit(" ("), whole(high["v"]), F.lit(").")),
         F.when(months != "", F.concat(F.lit("Average sales by month — "), months, F.lit("."))),
-        F.concat(F.lit("Promotion active "), whole(F.col("promo") * 100), F.lit("% of days.")),
     ]
+    more = {
+        "promo": lambda c: F.concat(F.lit("Promotion active "), whole(c * 100), F.lit("% of days.")),
+        "has_promo2": lambda c: F.concat(F.lit("Has Promo2 scheme: "), F.when(c > 0.5, "yes").when(c <= 0.5, "no"), F.lit(".")),
+        **{c: (lambda x, label=label, f=f: F.when(x.isNotNull(), F.format_string(f"{label}: {f}.", x))) for c, (label, f) in list(MEANS.items())[:2]},
+        "weather_event": lambda c: F.concat(F.lit("Most common weather: "), c, F.lit(".")),
+        **{c: (lambda x, label=label, f=f: F.when(x.isNotNull(), F.format_string(f"{label}: {f}.", x))) for c, (label, f) in list(MEANS.items())[2:]},
+        "has_local_event": lambda c: F.concat(F.lit("Local events on "), whole(c * 100), F.lit("% of days.")),
+    }
+    sentences += [sentence(F.col(c)) for c, sentence in more.items() if c in own.columns]
     return own.select("store_id", F.concat_ws(" ", *sentences).alias("content"))
 
 
 def nearest(items: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "embedding") -> DataFrame:
     """Exact k nearest by L2 distance, ties to the smaller id -> query_id, id, distance, rank.
 
-    Items are scored against the query side in one pass; each task keeps its own k best per query before the shuffle
-    (Spark limits the window's groups early).
+    Items are scored against the query side in passes of about ``QUERIES`` queries, whose vectors are broadcast; each
+    task keeps its own k best per query before the shuffle (Spark limits the window's groups early).
     """
     v = lambda c: F.col(c).cast("array<double>")
     q = queries.select(F.col(id).alias("query_id"), v(vector).alias("q"))
-    both = items.select(F.col(id).alias("id"), v(vector).alias("v")).crossJoin(q)
+    passes = -(-q.count() // QUERIES) or 1
+    parts = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else q for i in range(passes)]
+    found = [_nearest(items.select(F.col(id).alias("id"), v(vector).alias("v")), part, k) for part in parts]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _nearest(items: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    both = items.crossJoin(F.broadcast(q))
     square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return both.select("query_id", "id", F.sqrt(square).alias("distance")).withColumn("rank", place).where(F.col("rank") <= k)

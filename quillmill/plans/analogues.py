@@ -76,9 +76,10 @@ class Retail:
             F.when(F.count("*") % 2 == 0, F.count("*") * 0.25).otherwise(F.count("*") * -0.25).cast("double").alias("unemployment_rate"),
             F.when(F.count("*") % 3 != 0, F.min("p").cast("double") / 100).alias("consumer_confidence_index"),
         )
-        self.trends = orders.groupBy("state", F.date_sub("date", F.weekday("date")).alias("week_start")).agg(
-            F.when(F.count("*") > 1, F.count("*")).cast("double").alias("trend_index")
-        )
+        repeated = self.macro.where(F.col("unemployment_rate") > 0).withColumn("gdp_index", F.col("gdp_index") / 2)
+        self.macro = self.macro.unionByName(repeated)  # a month can have two rows
+        week, urgent = F.date_sub("date", F.weekday("date")).alias("week_start"), F.col("o_orderpriority") == "1-URGENT"
+        self.trends = orders.groupBy("state", week, urgent.alias("urgent")).agg(F.when(F.count("*") > 1, F.count("*")).cast("double").alias("trend_index")).drop("urgent")  # and so can a week
         self.events = orders.where("o_orderpriority = '1-URGENT'").select("state", F.col("date").alias("date_start"), F.when(F.col("p") > 100000, "Fair").alias("event_type"))
         self.state_holidays = orders.where("o_orderpriority = '2-HIGH'").select("state", "date", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (d % 3 + 1)).alias("holiday_type"))
         self.school_holidays = orders.where("o_orderpriority = '5-LOW'").select("state", "date")
@@ -110,10 +111,13 @@ weather AS (SELECT state, date, CASE WHEN day(date) % 5 <> 0 THEN (hi + lo) / 10
     CASE WHEN day(date) % 7 <> 0 THEN lo / 100 END AS temperature_min, CASE WHEN day(date) % 7 <> 1 THEN hi / 100 END AS temperature_max,
     CASE WHEN day(date) % 3 <> 0 THEN CAST(n AS DOUBLE) END AS precipitation_mm,
     CASE day(date) % 4 WHEN 0 THEN 'Rain' WHEN 1 THEN 'Sun' END AS weather_event FROM by_day),
-macro AS (SELECT state, strftime(date, '%Y-%m') AS year_month, CAST(max(p) AS DOUBLE) / 100 AS gdp_index,
+macro1 AS (SELECT state, strftime(date, '%Y-%m') AS year_month, CAST(max(p) AS DOUBLE) / 100 AS gdp_index,
     CAST(CASE WHEN count(*) % 2 = 0 THEN count(*) * 0.25 ELSE count(*) * -0.25 END AS DOUBLE) AS unemployment_rate,
     CASE WHEN count(*) % 3 <> 0 THEN CAST(min(p) AS DOUBLE) / 100 END AS consumer_confidence_index FROM ord GROUP BY ALL),
-trends AS (SELECT state, date - (isodow(date) - 1)::INTEGER AS week_start, CASE WHEN count(*) > 1 THEN CAST(count(*) AS DOUBLE) END AS trend_index FROM ord GROUP BY ALL),
+macro2 AS (SELECT * FROM macro1 UNION ALL SELECT * REPLACE (gdp_index / 2 AS gdp_index) FROM macro1 WHERE unemployment_rate > 0),
+macro AS (SELECT * FROM macro2 QUALIFY row_number() OVER (PARTITION BY state, year_month ORDER BY consumer_confidence_index NULLS FIRST, gdp_index, unemployment_rate) = 1),
+trends AS (SELECT state, week_start, avg(trend_index) AS trend_index FROM (SELECT state, date - (isodow(date) - 1)::INTEGER AS week_start,
+    CASE WHEN count(*) > 1 THEN CAST(count(*) AS DOUBLE) END AS trend_index FROM ord GROUP BY state, week_start, o_orderpriority = '1-URGENT') GROUP BY ALL),
 levents AS (SELECT state, date AS date_start, CASE WHEN p > 100000 THEN 'Fair' END AS event_type FROM ord WHERE o_orderpriority = '1-URGENT'),
 state_holidays AS (SELECT state, date, ['a', 'b', 'c'][day(date) % 3 + 1] AS holiday_type FROM ord WHERE o_orderpriority = '2-HIGH'),
 school_holidays AS (SELECT DISTINCT state, date FROM ord WHERE o_orderpriority = '5-LOW'),

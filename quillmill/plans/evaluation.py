@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from quillmill.functions import text as T
 from quillmill.operators import evaluate as E
 from quillmill.operators import records as N
 from quillmill.operators import retrieval as V
-from quillmill.operators.features import promo_flag
-from quillmill.operators.relational import restrict_or_all, tag_and_union
+from quillmill.operators.features import continuous_promo, promo_flag
+from quillmill.operators.relational import restrict_or_all
 from quillmill.plans.analogues import Retail, retail_sql
-from quillmill.plans.retail import profile, rounded
-from quillmill.plans.task_rules import rule_rows, task_rules
+from quillmill.plans.retail import rounded, staged_fact
+from quillmill.plans.task_rules import RULES, task_rules
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,7 +44,9 @@ class Log:
         k = i % 100
         self.scored = e.select(
             i.cast("string").alias("test_id"), F.concat(F.lit("m"), F.col("user_id") % 4).alias("model_id"), F.col("event_type").alias("task"), (k / 100).alias("score"), (k >= 50).alias("correct"),
-            F.when(i % 13 == 0, "timeout").alias("error"), F.when(i % 4 != 0, F.concat(F.lit("truth "), i % 7)).alias("ground_truth"), F.concat(F.lit("truth "), i % 5).alias("output_text"),
+            F.when(i % 13 == 0, "timeout").when(i % 17 == 0, "rate limit").when(i % 19 == 0, "server").when((F.col("user_id") % 4 == 3) & (i % 5 == 0), "timeout").alias("error"),
+            F.when(i % 4 != 1, F.concat(F.lit("truth "), i % 7, F.when(i % 9 == 0, "!" * 600).otherwise(""))).alias("ground_truth"),
+            F.concat(F.lit("truth "), i % 5, F.when(i % 10 == 0, "." * 600).otherwise("")).alias("output_text"),
             F.when(i % 6 != 0, F.concat(F.lit("truth "), i % 3)).alias("legacy_output"), i.alias("seq"),
         )
 
@@ -54,7 +58,9 @@ prices AS (SELECT 'm' || n_nationkey AS model_id, n_nationkey + 1.0 AS ci, n_nat
 pairs AS (SELECT a.conv_id, a.turn, a.text AS output, CASE WHEN a.conv_id % 5 <> 0 THEN b.text END AS truth FROM conversations a JOIN conversations b
     ON a.conv_id = b.conv_id AND a.turn + 2 = b.turn AND a.role = 'assistant' AND b.role = 'assistant'),
 scored AS (SELECT CAST(event_id AS VARCHAR) AS test_id, 'm' || (user_id % 4) AS model_id, event_type AS task, (event_id % 100) / 100 AS score, event_id % 100 >= 50 AS correct,
-    CASE WHEN event_id % 13 = 0 THEN 'timeout' END AS error, CASE WHEN event_id % 4 <> 0 THEN 'truth ' || (event_id % 7) END AS ground_truth, 'truth ' || (event_id % 5) AS output_text,
+    CASE WHEN event_id % 13 = 0 THEN 'timeout' WHEN event_id % 17 = 0 THEN 'rate limit' WHEN event_id % 19 = 0 THEN 'server' WHEN user_id % 4 = 3 AND event_id % 5 = 0 THEN 'timeout' END AS error,
+    CASE WHEN event_id % 4 <> 1 THEN 'truth ' || (event_id % 7) || CASE WHEN event_id % 9 = 0 THEN repeat('!', 600) ELSE '' END END AS ground_truth,
+    'truth ' || (event_id % 5) || CASE WHEN event_id % 10 = 0 THEN repeat('.', 600) ELSE '' END AS output_text,
     CASE WHEN event_id % 6 <> 0 THEN 'truth ' || (event_id % 3) END AS legacy_output, event_id AS seq FROM events),
 ops AS (SELECT model_id, task, count(*) AS requests, count(*) FILTER (NOT success) AS errors, CAST(sum(retries) AS BIGINT) AS retries, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
     CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(avg(latency_ms) FILTER (success), 1) AS avg_latency_ms,
@@ -113,15 +119,25 @@ def pivot(t):
 @query(
     "eval_task_statistics",
     """SELECT task, round(sum(s) / sum(n), 6) AS avg_score, round(sum(c) / sum(n), 6) AS accuracy, CAST(sum(e) AS BIGINT) AS errors, round(sum(e) / sum(n), 6) AS error_rate,
-       arg_max(model_id, (a, model_id)) AS best, arg_min(model_id, (a, model_id)) AS worst FROM (SELECT task, model_id, avg(score) AS a, count(*) AS n, sum(score) AS s, count(*) FILTER (correct) AS c, count(error) AS e FROM scored GROUP BY ALL) GROUP BY 1""",
+       arg_max(model_id, (a, model_id)) AS best, arg_min(model_id, (a, model_id)) AS worst, string_agg(model_id || '=' || format('{:.6f}', round(a, 6)), ',' ORDER BY model_id) AS scores FROM (SELECT task, model_id, avg(score) AS a, count(*) AS n, sum(score) AS s, count(*) FILTER (correct) AS c, count(error) AS e FROM scored GROUP BY ALL) GROUP BY 1""",
 )
 def statistics(t):
-    return rounded(E.member_statistics(t.scored, "task", "model_id").drop("scores"))
+    return _scores_as_text(E.member_statistics(t.scored, "task", "model_id"))
+
+
+def _scores_as_text(df: DataFrame) -> DataFrame:
+    each = F.transform(F.map_entries("scores"), lambda x: F.concat(x["key"], F.lit("="), F.format_string("%.6f", x["value"])))
+    return rounded(df.withColumn("scores", F.array_join(each, ",")))
 
 
-@query("eval_failure_index", "SELECT task, count(*) AS n, string_agg(test_id, ',' ORDER BY test_id) AS ids FROM scored WHERE score < 0.5 GROUP BY 1")
+@query("eval_failure_index", "SELECT DISTINCT task, test_id FROM scored WHERE score < 0.5 AND test_id <> ''")
 def failures(t):
-    return E.failure_index(t.scored).select("task", "n", F.array_join("ids", ",").alias("ids"))
+    return E.failure_ids(t.scored)
+
+
+@query("eval_failure_counts", "SELECT task, model_id, count(*) AS n FROM scored WHERE score < 0.5 GROUP BY ALL")
+def failure_counts(t):
+    return E.failure_counts(t.scored)
 
 
 @query(
@@ -154,15 +170,25 @@ def seeds(t):
 
 @query(
     "eval_verdicts",
-    """SELECT test_id, model_id, output_text, score, CASE WHEN legacy_output IS NULL THEN 'N/A' WHEN output_text = legacy_output THEN 'OK' ELSE 'KO' END AS verdict, ground_truth, legacy_output FROM scored""",
+    """SELECT test_id, l.model_id, substr(l.output_text, 1, 500) AS output_text, CASE WHEN l.correct THEN 'CORRECT' ELSE 'INCORRECT' END AS verdict, h.task, substr(h.legacy_output, 1, 500) AS legacy_output,
+       CASE WHEN h.legacy_output IS NULL OR h.ground_truth IS NULL THEN 'N/A' WHEN contains(h.ground_truth, h.legacy_output) OR contains(h.legacy_output, h.ground_truth) THEN 'CORRECT' ELSE 'INCORRECT' END AS legacy_verdict
+       FROM (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY test_id, model_id ORDER BY seq DESC) = 1) l JOIN (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY seq) = 1) h USING (test_id)""",
+    "few AS (SELECT * REPLACE (CAST(seq // 5 AS VARCHAR) AS test_id) FROM scored)",
 )
 def verdicts(t):
-    return E.verdict_table(t.scored)
+    """Five rows a test, so that models repeat and headers differ."""
+    return E.verdict_table(t.scored.withColumn("test_id", F.floor(F.col("seq") / 5).cast("string")))
 
 
-@query("eval_feedback", "SELECT test_id, model_id, '[' || test_id || '] score=' || format('{:.3f}', score) || ' expected=' || coalesce(ground_truth, 'N/A') || ' got=' || output_text AS line FROM scored")
+@query(
+    "eval_feedback",
+    """SELECT model_id, task, 'Average score: ' || format('{:.3f}', a) || chr(10) || 'Records evaluated: ' || n || chr(10) || 'Correct: ' || c || '/' || n || ' (' || format('{:.1f}', 100.0 * c / n) || '%)'
+       || coalesce(chr(10) || 'Common errors: ' || e, '') AS feedback FROM (SELECT model_id, task, avg(score) AS a, count(*) AS n, count(*) FILTER (correct) AS c FROM scored GROUP BY ALL)
+       LEFT JOIN (SELECT model_id, task, string_agg(error, '; ' ORDER BY n DESC, error) AS e FROM (SELECT model_id, task, error, count(*) AS n FROM scored WHERE error IS NOT NULL GROUP BY model_id, task, error
+       QUALIFY row_number() OVER (PARTITION BY model_id, task ORDER BY count(*) DESC, error) <= 3) GROUP BY ALL) USING (model_id, task)""",
+)
 def feedback(t):
-    return E.feedback_lines(t.scored)
+    return E.feedback(t.scored, ["model_id", "task"])
 
 
 @query("eval_mean_latency", "SELECT i.model_id, round(avg(nullif(latency_ms, 0)), 6) AS avg_latency_ms FROM scored s JOIN inf i ON s.test_id = i.test_id AND s.model_id = i.model_id GROUP BY 1")
@@ -180,7 +206,7 @@ def restricted(t):
 
 @query("eval_work_list", "SELECT i.test_id, p.model_id FROM inf i, prices p")
 def work_list(t):
-    return t.inference.select("test_id").crossJoin(t.prices.select("model_id"))
+    return t.inference.select("test_id").crossJoin(F.broadcast(t.prices.select("model_id")))  # models are few by nature
 
 
 _TOK = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
@@ -203,18 +229,36 @@ def text_metrics(t):
 
 @query(
     "eval_json_metrics",
-    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.0 END AS validity, CASE WHEN event_id % 3 <> 2 THEN 0.5 ELSE 0.0 END AS key_match,
-       CASE WHEN event_id % 3 = 2 THEN 0.0 WHEN event_id % 2 = 0 THEN 0.5 ELSE 0.0 END AS value_match FROM events""",
+    """SELECT event_id, CASE WHEN po IS NULL THEN 0.0 WHEN po = o THEN 1.0 ELSE 0.8 END AS validity, coalesce(len(list_filter(kt, lambda x: list_contains(ko, x))) / len(kt), 0.0) AS key_match,
+       coalesce(len(list_filter(kt, lambda x: list_contains(ko, x) AND lower(trim(json_extract_string(pt, '$."' || x || '"'))) = lower(trim(json_extract_string(po, '$."' || x || '"'))))) / len(kt), 0.0) AS value_match
+       FROM (SELECT *, json_keys(pt) AS kt, coalesce(json_keys(po), []) AS ko FROM (SELECT *, CASE WHEN json_valid(o) THEN o WHEN json_valid(s) THEN s END AS po, CASE WHEN json_valid(t) THEN t END AS pt
+       FROM (SELECT *, regexp_extract(o, '\\{.*\\}', 0, 's') AS s FROM said)))""",
+    """said AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN g WHEN 1 THEN 'Answer: ' || g || ' done' ELSE 'no object' END AS o, CASE WHEN event_id % 5 = 0 THEN 'Truth: ' ELSE '' END || '{"x": 1, ' || substr(props, 2, 1000) AS t
+       FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN props ELSE replace(props, ': ', ': 1000') END AS g FROM events))""",
 )
 def json_metrics(t):
     e, i = t.read("events"), F.col("event_id")
     given = F.when(i % 2 == 0, F.col("props")).otherwise(F.replace(F.col("props"), F.lit(": "), F.lit(": 1000")))
     out = F.when(i % 3 == 0, given).when(i % 3 == 1, F.concat(F.lit("Answer: "), given, F.lit(" done"))).otherwise(F.lit("no object"))
-    truth = F.concat(F.lit('{"x": 1, '), F.substring("props", 2, 1000))
+    truth = F.concat(F.when(i % 5 == 0, "Truth: ").otherwise(""), F.lit('{"x": 1, '), F.substring("props", 2, 1000))
     return e.select("event_id", out.alias("o"), truth.alias("t")).select("event_id", T.json_validity(F.col("o")).alias("validity"), T.json_key_match(F.col("o"), F.col("t")).alias("key_match"), T.json_value_match(F.col("o"), F.col("t")).alias("value_match"))
 
 
-@query("eval_sql_metrics", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS syntax, CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.75 END WHEN event_id % 4 = 1 THEN CASE WHEN event_id % 3 = 0 THEN 0.727 ELSE 0.545 END ELSE 0.0 END AS similarity FROM events")
+_SQL_WORDS = "select insert update delete create alter drop with"
+_SQL_TOKENS = """fen AS (SELECT event_id, side, CASE WHEN regexp_matches(x, '(?is)```(?:sql)?\\s*\\n.*?```') THEN regexp_extract(x, '(?is)```(?:sql)?\\s*\\n(.*?)```', 1) ELSE x END AS x FROM sides),
+bare AS (SELECT *, regexp_replace(x, '(?s)--[^\\n]*|/\\*.*?\\*/', ' ', 'g') AS y FROM fen),
+tok AS (SELECT *, list_distinct(list_transform(list_filter(regexp_split_to_array(y, '\\s+'), lambda w: w <> ''), lambda w: CASE WHEN list_contains(string_split('WORDS from where group by order having join left right inner on and or not as limit in is null', ' '), lower(w)) THEN upper(w) ELSE w END)) AS w,
+    CASE WHEN trim(x, E' \\n\\t\\r') = '' OR NOT regexp_matches(lower(x), 'ALTERNATIVES') THEN 0.0 WHEN regexp_matches(lower(y), '^\\s*\\(*\\s*(ALTERNATIVES)\\b') THEN 1.0 ELSE 0.5 END AS syntax FROM bare)""".replace("WORDS", _SQL_WORDS).replace("ALTERNATIVES", _SQL_WORDS.replace(" ", "|"))
+
+
+@query(
+    "eval_sql_metrics",
+    """SELECT event_id, a.syntax, round_even(CASE WHEN len(list_intersect(a.w, b.w)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) END, 3) AS similarity
+       FROM tok a JOIN tok b USING (event_id) WHERE a.side = 'o' AND b.side = 't'""",
+    """sides AS (SELECT event_id, 'o' AS side, CASE event_id % 4 WHEN 0 THEN E'```sql\\nselect value FROM ' || event_type || E' -- c\\n```' WHEN 1 THEN 'please do select value FROM ' || event_type || ' now' WHEN 2 THEN '  ' ELSE 'nothing here' END AS x FROM events
+       UNION ALL SELECT event_id, 't', 'SELECT value from ' || CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'nowhere_else' END FROM events)""",
+    _SQL_TOKENS,
+)
 def sql_metrics(t):
     e, i = t.read("events"), F.col("event_id")
     body = F.concat(F.lit("FROM "), F.col("event_type"))
@@ -243,38 +287,81 @@ def pii(t):
     return t.read("documents").select("doc_id", r.alias("r")).select("doc_id", "r.entities_found", "r.leaked", F.round("r.recall", 3).alias("recall"))
 
 
+_RANKED = """ranks AS (SELECT *, CASE WHEN len(numbered) >= 2 THEN numbered WHEN len(parts) >= 2 THEN list_filter(parts, lambda x: x <> '') ELSE [] END AS ranked FROM (
+    SELECT *, list_transform(regexp_extract_all(o, '(?m)^\\s*\\d+[.)]\\s*(.+?)$', 1), lambda x: lower(trim(x))) AS numbered, list_transform(regexp_split_to_array(trim(o), ',\\s*|\\s*;\\s*'), lambda x: lower(trim(x))) AS parts FROM intents))"""
+
+
 @query(
     "eval_intents",
-    """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 2 END AS n_ranked, CASE WHEN event_id % 3 = 2 THEN 0.0 ELSE 1.0 END AS p1, CASE WHEN event_id % 3 = 2 THEN 0.0 ELSE 1.0 END AS p3 FROM events""",
+    "SELECT event_id, len(ranked) AS n_ranked, " + ", ".join(f"CASE WHEN list_contains(ranked[1:{k}], lower(event_type)) THEN 1.0 ELSE 0.0 END AS p{k}" for k in (1, 3, 5)) + " FROM ranks",
+    """intents AS (SELECT event_id, event_type, CASE event_id % 4 WHEN 0 THEN '1. ' || upper(event_type) || chr(10) || '2) other' WHEN 1 THEN 'a; b ;' || event_type || ', other' WHEN 2 THEN 'a, b, c, d, ' || event_type ELSE event_type END AS o FROM events)""",
+    _RANKED,
 )
 def intents(t):
     e, i = t.read("events"), F.col("event_id")
-    out = F.when(i % 3 == 0, F.concat(F.lit("1. "), F.upper("event_type"), F.lit("\n2) other"))).when(i % 3 == 1, F.concat(F.col("event_type"), F.lit(", other"))).otherwise(F.col("event_type"))
+    out = (
+        F.when(i % 4 == 0, F.concat(F.lit("1. "), F.upper("event_type"), F.lit("\n2) other")))
+        .when(i % 4 == 1, F.concat(F.lit("a; b ;"), F.col("event_type"), F.lit(", other")))
+        .when(i % 4 == 2, F.concat(F.lit("a, b, c, d, "), F.col("event_type")))
+        .otherwise(F.col("event_type"))
+    )
     ranked = T.ranked_intents(F.col("o"))
-    return e.select("event_id", "event_type", out.alias("o")).select("event_id", F.size(ranked).alias("n_ranked"), T.precision_at(ranked, F.col("event_type"), 1).alias("p1"), T.precision_at(ranked, F.col("event_type"), 3).alias("p3"))
-
-
-_TASK_OF = "list_element(['classification', 'context_qa', 'summarization', 'intent_detection'], CAST(conv_id % 4 + 1 AS INTEGER))"
-_NORM = "lower(trim(coalesce({}, ''), E' \\n\\t\\r'))"
-
-
-@query(
-    "eval_composite",
-    f"""SELECT conv_id, turn, task, success, round_even(CASE WHEN NOT success THEN 0.0 ELSE CASE task WHEN 'context_qa' THEN CASE WHEN has THEN .4 * f1 + .6 * j ELSE j END
-        WHEN 'summarization' THEN CASE WHEN has THEN .4 * (.5 * f1 + .5 * lr) + .6 * j ELSE j END ELSE CASE WHEN has THEN .5 * m + .5 * j ELSE j END END END, 3) AS score FROM (
-        SELECT *, {_TASK_OF} AS task, (conv_id + turn) % 7 <> 0 AS success, ((conv_id * 3 + turn) % 10) / 10 AS j, {_NORM.format("truth")} <> '' AS has,
-        CASE WHEN len(o) = 0 OR len(t) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(o, t)) / (len(o) + len(t)) END AS f1,
-        CASE WHEN no = 0 THEN 0.0 WHEN nt = 0 THEN 1.0 ELSE least(no, nt) / greatest(no, nt) END AS lr,
-        CASE WHEN {_NORM.format("truth")} <> '' AND (contains({_NORM.format("output")}, {_NORM.format("truth")}) OR contains({_NORM.format("truth")}, {_NORM.format("output")})) THEN 1.0 ELSE 0.0 END AS m FROM tk) WHERE task <> 'intent_detection'""",
-    _SETS,
-)
+    return e.select("event_id", "event_type", out.alias("o")).select("event_id", F.size(ranked).alias("n_ranked"), *(T.precision_at(ranked, F.col("event_type"), k).alias(f"p{k}") for k in (1, 3, 5)))
+
+
+# All ten tasks over the turns of conversations; some outputs are made to fit their task.
+_CASES = """
+cx AS (SELECT conv_id, turn, conv_id % 10 AS ti, (conv_id + turn) % 7 <> 0 AS success, ((conv_id * 3 + turn) % 10) / 10 AS j, 'mail a@b.com call 555-123-4567' AS given,
+    CASE conv_id % 10 WHEN 2 THEN CASE WHEN turn % 3 = 0 THEN 'Here: ' ELSE '' END || '{"n": ' || turn || ', "k": "x"}' WHEN 7 THEN 'SELECT a FROM t' || (turn % 2)
+        WHEN 8 THEN 'mail ' || CASE WHEN turn % 4 < 2 THEN 'a@b.com' ELSE 'c@d.org' END || ' call 555' WHEN 9 THEN CASE WHEN turn % 4 < 2 THEN '1. Refund' || chr(10) || '2. Other' ELSE 'a refund please' END ELSE output END AS output,
+    CASE conv_id % 10 WHEN 2 THEN '{"n": ' || (turn % 4) || ', "z": 1}' WHEN 7 THEN CASE WHEN turn % 5 <> 0 THEN 'select a from t0' END WHEN 8 THEN NULL WHEN 9 THEN 'refund' ELSE truth END AS truth,
+    CASE WHEN turn % 4 <> 0 THEN 1.0 END AS c_syntax, CASE WHEN turn % 4 >= 2 THEN 0.5 END AS c_run, CASE WHEN turn % 4 = 3 THEN 1.0 END AS c_tests FROM pairs),
+sides AS (SELECT conv_id * 100000 + turn AS event_id, 'o' AS side, output AS x FROM cx UNION ALL SELECT conv_id * 100000 + turn, 't', coalesce(truth, '') FROM cx)"""
+_PARTS = """
+cp AS (SELECT *, lower(trim(coalesce(output, ''), E' \\n\\t\\r')) AS no_, lower(trim(coalesce(truth, ''), E' \\n\\t\\r')) AS nt_, TOK(lower(coalesce(output, ''))) AS o, TOK(lower(coalesce(truth, ''))) AS t FROM cx),
+cq AS (SELECT cp.*, nt_ <> '' AS has, CASE WHEN nt_ <> '' AND (contains(no_, nt_) OR contains(nt_, no_)) THEN 1.0 ELSE 0.0 END AS m,
+    CASE WHEN len(o) = 0 OR len(t) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(list_distinct(o), list_distinct(t))) / (len(list_distinct(o)) + len(list_distinct(t))) END AS f1,
+    CASE WHEN len(o) = 0 THEN 0.0 WHEN len(t) = 0 THEN CASE WHEN len(o) > 3 THEN 1.0 ELSE 0.5 END ELSE least(len(o), len(t)) / greatest(len(o), len(t)) END AS lr,
+    CASE WHEN ti = 2 THEN CASE WHEN json_valid(output) THEN 1.0 ELSE 0.8 END END AS valid, CASE WHEN ti = 2 THEN regexp_extract(output, '\\{.*\\}', 0) END AS po,
+    a.syntax, round_even(CASE WHEN len(list_intersect(a.w, b.w)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) END, 3) AS near,
+    PII(given) AS ig, PII(output) AS io FROM cp JOIN tok a ON a.event_id = conv_id * 100000 + turn AND a.side = 'o' JOIN tok b ON b.event_id = a.event_id AND b.side = 't'),
+cr AS (SELECT *, len(list_filter(json_keys(truth_j), lambda x: list_contains(json_keys(po), x))) / len(json_keys(truth_j)) AS ks,
+    len(list_filter(json_keys(truth_j), lambda x: list_contains(json_keys(po), x) AND json_extract_string(truth_j, '$.' || x) = json_extract_string(po, '$.' || x))) / len(json_keys(truth_j)) AS vs,
+    len(ig) - len(list_intersect(ig, io)) AS tp, len(list_intersect(ig, io)) AS fn, len(list_filter(io, lambda x: NOT list_contains(ig, x))) AS extra FROM (SELECT *, CASE WHEN ti = 2 THEN truth END AS truth_j FROM cq)),
+cs AS (SELECT *, CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * (tp / (tp + extra)) * (tp / (tp + fn)) / (tp / (tp + extra) + tp / (tp + fn)) END AS pf, CASE WHEN no_ LIKE '1. %' THEN CASE WHEN no_ LIKE '1. refund%' THEN 1.0 ELSE 0.0 END ELSE m END AS rk FROM cr),
+raw AS (SELECT *, CASE WHEN NOT success THEN 0.0 ELSE CASE ti WHEN 0 THEN CASE WHEN has THEN .5 * m + .5 * j ELSE j END WHEN 1 THEN CASE WHEN has THEN .4 * f1 + .6 * j ELSE j END
+    WHEN 2 THEN .5 * (.3 * valid + .35 * ks + .35 * vs) + .5 * j
+    WHEN 3 THEN CASE WHEN c_tests IS NOT NULL THEN .10 * c_syntax + .15 * c_run + .25 * c_tests + .5 * j WHEN c_run IS NOT NULL THEN .15 * c_syntax + .15 * c_run + .7 * j ELSE .3 * coalesce(c_syntax, 0) + .7 * j END
+    WHEN 7 THEN CASE WHEN has AND near > 0 THEN .25 * syntax + .05 * near + .7 * j ELSE .3 * syntax + .7 * j END WHEN 8 THEN .5 * round_even(pf, 3) + .5 * j WHEN 9 THEN .5 * rk + .5 * j
+    ELSE CASE WHEN has THEN .4 * (.5 * f1 + .5 * lr) + .6 * j ELSE j END END END AS raw FROM cs)""".replace("TOK(", "pieces(")
+
+
+def _spelled(sql: str) -> str:
+    """The names that stand for longer expressions written out."""
+    sql = re.sub(r"pieces\((lower\(coalesce\(\w+, ''\)\))\)", lambda m: f"list_filter(regexp_split_to_array({m[1]}, '\\s+'), lambda x: x <> '')", sql)
+    return re.sub(r"PII\((\w+)\)", lambda m: _pii(m[1]), sql)
+
+
+@query("eval_composite", f"SELECT conv_id, turn, [{', '.join(repr(x) for x in E.TASKS)}][ti + 1] AS task, success, round_even(raw, 3) AS score, success AND round(raw, 9) >= 0.5 AS correct FROM raw", _CASES, _SQL_TOKENS, _spelled(_PARTS))
 def composite(t):
-    tasks = F.array(*map(F.lit, ["classification", "context_qa", "summarization", "intent_detection"]))
+    ti, turn = F.col("conv_id") % 10, F.col("turn")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    output = (
+        F.when(ti == 2, text(F.when(turn % 3 == 0, "Here: ").otherwise(""), '{"n": ', turn, ', "k": "x"}'))
+        .when(ti == 7, text("SELECT a FROM t", turn % 2))
+        .when(ti == 8, text("mail ", F.when(turn % 4 < 2, "a@b.com").otherwise("c@d.org"), " call 555"))
+        .when(ti == 9, F.when(turn % 4 < 2, "1. Refund\n2. Other").otherwise("a refund please"))
+        .otherwise(F.col("output"))
+    )
+    truth = (
+        F.when(ti == 2, text('{"n": ', turn % 4, ', "z": 1}')).when(ti == 7, F.when(turn % 5 != 0, "select a from t0")).when(ti == 8, F.lit(None)).when(ti == 9, "refund").otherwise(F.col("truth"))
+    )
     log = t.pairs.select(
-        "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("test_id"), F.lit("m0").alias("model_id"), F.element_at(tasks, (F.col("conv_id") % 4 + 1).cast("int")).alias("task"), ((F.col("conv_id") + F.col("turn")) % 7 != 0).alias("success"),
-        F.col("output").alias("output_text"), F.col("truth").alias("ground_truth"), (((F.col("conv_id") * 3 + F.col("turn")) % 10) / 10).alias("judge_score"), F.lit("").alias("given"),
+        "conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("test_id"), F.lit("m0").alias("model_id"), F.element_at(F.array(*map(F.lit, E.TASKS)), (ti + 1).cast("int")).alias("task"), ((F.col("conv_id") + turn) % 7 != 0).alias("success"),
+        output.alias("output_text"), truth.alias("ground_truth"), (((F.col("conv_id") * 3 + turn) % 10) / 10).alias("judge_score"), F.lit("mail a@b.com call 555-123-4567").alias("given"),
+        F.when(turn % 4 != 0, 1.0).alias("code_syntax"), F.when(turn % 4 >= 2, 0.5).alias("code_run"), F.when(turn % 4 == 3, 1.0).alias("code_tests"),
     )
-    return E.evaluate(log, "judge").where("task <> 'intent_detection'").select("conv_id", "turn", "task", "success", "score")
+    return E.evaluate(log, "judge").select("conv_id", "turn", "task", "success", "score", "correct")
 
 
 @query(
@@ -289,7 +376,11 @@ def consensus(t):
     return rounded(E.consensus(s, a.unionByName(b)).select("test_id", "model_id", "consensus", "judge_blended"))
 
 
-@query("eval_external_scores", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN least((event_id % 20) / 10, 1.0) WHEN 1 THEN 0.5 ELSE 0.0 END AS score FROM events")
+@query(
+    "eval_external_scores",
+    """SELECT event_id, coalesce(least(greatest(TRY_CAST(json_extract_string(CASE WHEN json_valid(s) THEN s END, '$.score') AS DOUBLE), 0.0), 1.0), 0.0) AS score FROM (SELECT event_id, regexp_extract(x, '\\{.*\\}', 0, 's') AS s FROM (
+       SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Verdict {"score": ' || (event_id % 20 / 10) || '} end' WHEN 1 THEN '{"score": 0.5}' WHEN 2 THEN '{"score": -1}' ELSE 'none' END AS x FROM events))""",
+)
 def external(t):
     i = F.col("event_id")
     said = F.when(i % 4 == 0, F.concat(F.lit('Verdict {"score": '), (i % 20 / 10).cast("string"), F.lit("} end"))).when(i % 4 == 1, F.lit('{"score": 0.5}')).when(i % 4 == 2, F.lit('{"score": -1}')).otherwise(F.lit("none"))
@@ -313,13 +404,17 @@ def objective(t):
     return E.multi_objective(x.withColumns({"base_cost": F.lit(10.0), "base_latency": F.lit(9.0)})).select("model_id", "composite")
 
 
-def _iterations(t) -> DataFrame:
-    return E.variant_scores(t.scored.withColumns({"iteration": F.col("seq") % 5, "variant": F.concat(F.lit("v"), F.col("seq") % 3)}))
-
-
-@query("eval_iterative_selection")
+@query(
+    "eval_iterative_selection",
+    """SELECT iteration, b.variant AS variant, b.avg_score AS avg_score, b.n_correct AS n_correct, o IS NULL AS is_baseline, coalesce(round(b.avg_score - o.avg_score, 9) <= 0.01, false) AS stopped_early FROM (
+       SELECT *, lag(b) OVER (ORDER BY iteration) AS o FROM (SELECT iteration, max({'avg_score': avg_score, 'earlier': -iteration, 'variant': variant, 'n_correct': n_correct}) OVER (ORDER BY iteration) AS b FROM (
+       SELECT iteration, variant, round_even(avg(score), 3) AS avg_score, count(*) FILTER (correct) AS n_correct FROM ran GROUP BY iteration, variant QUALIFY row_number() OVER (PARTITION BY iteration ORDER BY round_even(avg(score), 3) DESC, variant) = 1)))
+       QUALIFY coalesce(sum(CASE WHEN round(b.avg_score - o.avg_score, 9) <= 0.01 THEN 1 ELSE 0 END) OVER (ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0""",
+    "ran AS (SELECT *, seq % 5 AS iteration, 'v' || (seq % 3) AS variant FROM (SELECT * REPLACE (least(score * (1 + (seq % 5 % 3) / 10), 1.0) AS score) FROM scored))",
+)
 def selection(t):
-    return E.iterative_selection(_iterations(t))
+    better = t.scored.withColumn("score", F.least(F.col("score") * (1 + (F.col("seq") % 5 % 3) / 10), F.lit(1.0)))
+    return E.iterative_selection(E.variant_scores(better.withColumns({"iteration": F.col("seq") % 5, "variant": F.concat(F.lit("v"), F.col("seq") % 3)})))
 
 
 @query("eval_beam", "SELECT * FROM (SELECT task, model_id, round(avg(score), 6) AS avg_score FROM scored GROUP BY task, model_id) ORDER BY avg_score DESC, CASE WHEN model_id = 'm0' THEN 0 ELSE 1 END, task || model_id LIMIT 3")
@@ -340,7 +435,7 @@ def ablation(t):
 
 
 def _two(t) -> tuple[DataFrame, DataFrame]:
-    key = (F.col("seq") % 97).cast("string").alias("test_id")
+    key = F.floor(F.col("seq") / 8).cast("string").alias("test_id")  # pairs grow with the log
     mean = lambda m: t.scored.where(F.col("model_id") == m).groupBy(key).agg(F.avg("score").alias("score"))
     return mean("m0"), mean("m1")
 
@@ -348,7 +443,7 @@ def _two(t) -> tuple[DataFrame, DataFrame]:
 @query(
     "eval_paired_t",
     """SELECT n, round(md, 6) AS mean_diff, round_even(md / (sd / sqrt(n)), 4) AS t FROM (SELECT count(*) AS n, avg(d) AS md, stddev_samp(d) AS sd FROM (
-       SELECT b.s - a.s AS d FROM (SELECT seq % 97 AS k, avg(score) AS s FROM scored WHERE model_id = 'm0' GROUP BY 1) a JOIN (SELECT seq % 97 AS k, avg(score) AS s FROM scored WHERE model_id = 'm1' GROUP BY 1) b USING (k)))""",
+       SELECT b.s - a.s AS d FROM (SELECT seq // 8 AS k, avg(score) AS s FROM scored WHERE model_id = 'm0' GROUP BY 1) a JOIN (SELECT seq // 8 AS k, avg(score) AS s FROM scored WHERE model_id = 'm1' GROUP BY 1) b USING (k)))""",
 )
 def paired(t):
     a, b = _two(t)
@@ -373,6 +468,14 @@ def _messages(t) -> DataFrame:
     return c.select(F.concat(F.lit("agent_"), F.col("conv_id") % 14).alias("agent_id"), (F.col("conv_id") * 10000 + F.col("turn")).alias("seq"), F.when((F.col("turn") == 0) & (F.col("conv_id") % 2 == 0), "system").otherwise(F.col("role")).alias("role"), content.alias("content"), F.when(F.col("conv_id") % 3 == 0, "text").alias("expected_output_type"))
 
 
+#: The twin's own list of what outputs tell.
+_OUTPUT_RULES = ", " + ", ".join(
+    rf"('{task}', 'output', '\b{word}')"
+    for task, word in (
+        ("classification", r"label\b"), ("context_qa", r"text\b"), ("metadata_extraction", r"json\b"), ("code_generation", r"code\b"), ("translation", r"text\b"), ("summarization", r"text\b"),
+        ("rephrasing", r"text\b"), ("sql_generation", r"sql\b"), ("pii_redaction", r"text\b"), ("pii_redaction", "redact"), ("intent_detection", r"label\b"),
+    )
+)
 _MESSAGES = """
 msg AS (SELECT 'agent_' || (conv_id % 14) AS agent_id, conv_id * 10000 + turn AS seq, CASE WHEN turn = 0 AND conv_id % 2 = 0 THEN 'system' ELSE role END AS role,
     CASE WHEN turn = 0 AND conv_id % 14 < 10 THEN text || ' ' || ['Classify the topic with a label.', 'Translate into english.', 'Write a python function.', 'Summarize the key points.', 'Write a sql query with select.'][conv_id % 5 + 1] ELSE text END AS content,
@@ -383,7 +486,7 @@ smp AS (SELECT agent_id, coalesce(s, '') AS system_text, coalesce(u, '') AS user
 rules(task, field, pattern) AS (VALUES RULES),
 ts AS (SELECT agent_id, task, sum(CASE WHEN field = 'system' AND regexp_matches(lower(system_text), pattern) THEN 3.0 WHEN field = 'user' AND regexp_matches(lower(user_text), pattern) THEN 2.0
     WHEN field = 'output' AND regexp_matches(lower(output_type), pattern) THEN 5.0 ELSE 0.0 END) AS score FROM smp, rules GROUP BY ALL)
-""".replace("RULES", ", ".join("('{}', '{}', '{}')".format(*r) for r in rule_rows()))
+""".replace("RULES", ", ".join("('{}', '{}', '{}')".format(*r) for r in RULES if r[1] != "output") + _OUTPUT_RULES)
 
 
 @query("records_prompt_samples", "SELECT * FROM smp", _MESSAGES)
@@ -437,7 +540,11 @@ def agent_profile(t):
     return N.agent_profile(good.withColumn("valid", N.is_valid(F.col("keys"), F.col("messages"))))
 
 
-@query("records_quarantine", "SELECT count(*) AS n FROM events WHERE event_id % 10 = 5")
+@query(
+    "records_quarantine",
+    """SELECT count(*) AS n FROM (SELECT CASE event_id % 10 WHEN 5 THEN substr(x, 1, 20) WHEN 6 THEN '  ' ELSE x END AS x FROM (SELECT event_id, CAST(to_json({'test_id': CAST(event_id AS VARCHAR), 'output': event_type}) AS VARCHAR) AS x FROM events))
+       WHERE trim(x) <> '' AND NOT (json_valid(x) AND coalesce(json_type(CASE WHEN json_valid(x) THEN x END), '') = 'OBJECT')""",
+)
 def quarantine(t):
     return N.read_records(_lines(t))[1].agg(F.count("*").alias("n"))
 
@@ -457,7 +564,11 @@ def gate(t):
     return N.validation_gate(t.scored.withColumn("score", F.when(F.col("error").isNull(), F.col("score")))).select("test_id", "model_id")
 
 
-@query("records_truncated_json", "SELECT event_id, event_type AS name, event_type || ',b' AS items FROM events")
+@query(
+    "records_truncated_json",
+    """SELECT event_id, regexp_extract(x, '"name"\\s*:\\s*"(.*?)"', 1) AS name, array_to_string(regexp_extract_all(regexp_extract(x, '"items"\\s*:\\s*\\[([^\\]]*)', 1), '"(.*?)"', 1), ',') AS items FROM (
+       SELECT event_id, '{"name": "' || event_type || '", "items": ["' || event_type || '", "b"' || CASE WHEN event_id % 2 = 0 THEN ']}' ELSE ', "cut of' END AS x FROM events)""",
+)
 def truncated(t):
     i = F.col("event_id")
     full = F.concat(F.lit('{"name": "'), F.col("event_type"), F.lit('", "items": ["'), F.col("event_type"), F.lit('", "b"'))
@@ -496,37 +607,72 @@ def job_status(t):
 @query(
     "eval_model_statistics",
     """SELECT model_id, round(sum(s) / sum(n), 6) AS avg_score, round(sum(c) / sum(n), 6) AS accuracy, CAST(sum(e) AS BIGINT) AS errors, round(sum(e) / sum(n), 6) AS error_rate,
-       arg_max(task, (a, task)) AS best, arg_min(task, (a, task)) AS worst FROM (SELECT task, model_id, avg(score) AS a, count(*) AS n, sum(score) AS s, count(*) FILTER (correct) AS c, count(error) AS e FROM scored GROUP BY ALL) GROUP BY 1""",
+       arg_max(task, (a, task)) AS best, arg_min(task, (a, task)) AS worst, string_agg(task || '=' || format('{:.6f}', round(a, 6)), ',' ORDER BY task) AS scores FROM (SELECT task, model_id, avg(score) AS a, count(*) AS n, sum(score) AS s, count(*) FILTER (correct) AS c, count(error) AS e FROM scored GROUP BY ALL) GROUP BY 1""",
 )
 def model_stats(t):
-    return rounded(E.model_statistics(t.scored).drop("scores"))
+    return _scores_as_text(E.model_statistics(t.scored))
 
 
 # retrieval
 
-QUERIES["retrieval_documents"] = lambda spark, sf_dir: store_texts(Retail(spark, sf_dir))
+_STORE_TEXTS = """
+told AS (SELECT f.*, CASE WHEN d.store_id IS NOT NULL THEN 1 ELSE 0 END AS promo, CASE WHEN p.since_year IS NOT NULL THEN 1 ELSE 0 END AS has_promo2 FROM fact f
+    LEFT JOIN (SELECT DISTINCT store_id, date FROM promo_days) d ON f.store_id = d.store_id AND f.date = d.date LEFT JOIN promo p ON f.store_id = p.store_id WHERE is_train = 1),
+own AS (SELECT store_id, any_value(description_type) AS kind, any_value(description_assortment) AS level, any_value(state) AS state, median(distance_meters) AS dist, any_value(open_since_year) AS since,
+    avg(sales) FILTER (is_open = 1) AS sales, avg(promo) AS promo, avg(has_promo2) AS p2, avg(temperature_avg) AS ta, avg(precipitation_mm) AS pr, avg(gdp_index) AS gdp, avg(unemployment_rate) AS ur,
+    avg(trend_index) AS ti, avg(has_local_event) AS ev FROM told GROUP BY 1),
+dow AS (SELECT store_id, isodow(date) AS k, ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][isodow(date)] AS name, CAST(round_even(round(avg(sales), 6), 0) AS BIGINT) AS v FROM told WHERE is_open = 1 GROUP BY ALL),
+days7 AS (SELECT store_id, string_agg(name || ': ' || v, ', ' ORDER BY k) AS x, arg_min(name, (v, k)) AS low, min(v) AS lo, arg_max(name, (v, -k)) AS high, max(v) AS hi FROM dow GROUP BY 1),
+mon AS (SELECT store_id, string_agg(name || ': ' || v, ', ' ORDER BY k) AS x FROM (SELECT store_id, month(date) AS k, strftime(make_date(2000, month(date), 1), '%b') AS name, CAST(round_even(round(avg(sales), 6), 0) AS BIGINT) AS v
+    FROM told WHERE is_open = 1 GROUP BY ALL) GROUP BY 1),
+sky AS (SELECT store_id, weather_event FROM told WHERE weather_event IS NOT NULL GROUP BY store_id, weather_event QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY count(*) DESC, weather_event) = 1),
+texts AS (SELECT store_id, concat_ws(' ', 'Store ID ' || store_id || '.', 'Store Type: ' || kind || '.', 'Assortment: ' || level || '.', 'State: ' || state || '.', 'Competitor distance: ' || CAST(round_even(round(dist, 6), 0) AS BIGINT) || ' meters.',
+    'Open since: ' || CAST(since AS BIGINT) || '.', 'Average daily sales (open days): ' || CAST(round_even(round(sales, 6), 0) AS BIGINT) || '.', 'Average sales by day of week — ' || days7.x || '.',
+    'Lowest sales day: ' || low || ' (' || lo || '). Highest: ' || high || ' (' || hi || ').', 'Average sales by month — ' || mon.x || '.', 'Promotion active ' || CAST(round_even(round(promo * 100, 6), 0) AS BIGINT) || '% of days.',
+    'Has Promo2 scheme: ' || CASE WHEN p2 > 0.5 THEN 'yes' ELSE 'no' END || '.', 'Avg temperature: ' || format('{:.1f}', round(ta, 1)) || '.', 'Avg precipitation mm: ' || format('{:.1f}', round(pr, 1)) || '.', 'Most common weather: ' || weather_event || '.',
+    'GDP index: ' || format('{:.2f}', round(gdp, 2)) || '.', 'Unemployment rate: ' || format('{:.2f}', round(ur, 2)) || '.', 'Google Trend index: ' || format('{:.2f}', round(ti, 2)) || '.', 'Local events on ' || CAST(round_even(round(ev * 100, 6), 0) AS BIGINT) || '% of days.') AS content
+    FROM own LEFT JOIN days7 USING (store_id) LEFT JOIN mon USING (store_id) LEFT JOIN sky USING (store_id))"""
+_NEAREST = """near AS (SELECT query_id, id, rank, d FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, d, row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) AS rank FROM embeddings q, embeddings v,
+       LATERAL (SELECT sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) ** 2))) AS d) WHERE q.vec_id % 50 = 0) WHERE rank <= 5)"""
+
+
+def retail_query(name: str, sql: str, *more: str):
+    def register(f):
+        QUERIES[name] = f
+        ORACLE_SQL[name] = retail_sql(sql, *more)
+        return f
+
+    return register
 
 
 def store_texts(t: Retail) -> DataFrame:
-    rows = promo_flag(tag_and_union(t.sales, t.requests), t.promo_days).join(profile(t), "store_id")
+    rows = continuous_promo(promo_flag(staged_fact(t), t.promo_days), t.promo)
     return V.store_documents(rows)
 
 
-@query(
-    "retrieval_nearest",
-    """SELECT query_id, id, rank, round(d, 4) AS distance FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, d, row_number() OVER (PARTITION BY q.vec_id ORDER BY d, v.vec_id) AS rank FROM embeddings q, embeddings v,
-       LATERAL (SELECT sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) ** 2))) AS d) WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
-)
+@retail_query("retrieval_documents", "SELECT store_id, content FROM texts", _STORE_TEXTS)
+def documents(spark, sf_dir):
+    return store_texts(Retail(spark, sf_dir))
+
+
+@query("retrieval_nearest", "SELECT query_id, id, rank, round(d, 4) AS distance FROM near", _NEAREST)
 def nearest(t):
     e = t.read("embeddings").select(F.col("vec_id").alias("id"), "embedding")
     return rounded(V.nearest(e, e.where("id % 50 = 0")), 4)
 
 
-@query("retrieval_forced_context")
-def forced(t):
-    retail = Retail(t.spark, t.sf_dir)
-    e = t.read("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    items = e.join(retail.states.select(F.col("store_id").alias("id")), "id")
-    questions = items.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat(F.lit("What sells best in store #"), F.col("id") + 1, F.lit("?")).alias("question"))
-    hits = V.nearest(items, items.where("id % 50 = 0"))
-    return V.context(V.forced_context(hits, questions), store_texts(retail))
+@retail_query(
+    "retrieval_forced_context",
+    """SELECT query_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM (
+       SELECT query_id, id, rank AS r FROM near UNION ALL SELECT q.vec_id, q.vec_id + 1, 0 FROM embeddings q WHERE q.vec_id % 50 = 0 AND NOT EXISTS (SELECT 1 FROM near WHERE query_id = q.vec_id AND id = q.vec_id + 1)))
+       JOIN texts ON store_id = id % 10 + 1 WHERE rank <= 5 AND id IN (SELECT vec_id FROM embeddings) GROUP BY 1""",
+    _STORE_TEXTS, _NEAREST,
+)
+def forced(spark, sf_dir):
+    """Each vector stands for a store's text; every fiftieth asks, and names the next one."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    asked = e.where("id % 50 = 0")
+    questions = asked.select(F.col("id").alias("query_id"), F.concat(F.lit("What sells best in store #"), F.col("id") + 1, F.lit("?")).alias("question"))
+    texts = store_texts(Retail(spark, sf_dir)).withColumnRenamed("store_id", "store")
+    named = e.join(texts.hint("shuffle_hash"), F.col("store") == F.col("id") % 10 + 1).select(F.col("id").alias("store_id"), "content")
+    return V.context(V.forced_context(V.nearest(e, asked), questions), named)

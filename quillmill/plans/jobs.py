@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.operators import modelling as M
+from quillmill.operators.evaluate import operative_metrics
 from quillmill.operators.features import build_features
 from quillmill.operators.records import read_records
 from quillmill.operators.relational import temporal_split
 from quillmill.plans.analogues import Retail, retail_sql
 from quillmill.plans.evaluation import LOG_SQL, Log, _lines
 from quillmill.plans.retail import fact, plain, rounded
-from quillmill.sources.staging import shared_folder
+from quillmill.sources.staging import shared_folder, staged
+from quillmill.sources import tables as S
 from quillmill.sources.tables import inventory, read_lines
-from quillmill.streaming.metrics import refreshed_metrics, windowed_metrics
+from quillmill.streaming.metrics import published_metrics, refreshed_metrics, windowed_metrics
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -38,6 +41,50 @@ def table_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES})
 
 
+@query(
+    "source_sinks",
+    " UNION ALL ".join(f"SELECT '{k}' AS sink, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys, round(sum(s_acctbal), 2) AS balance FROM supplier" for k in ("csv", "jsonl", "parquet")),
+)
+def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table through each sink and back."""
+    rows, at = spark.read.parquet(f"{sf_dir}/supplier.parquet"), f"{shared_folder(spark)}/sinks-{uuid.uuid4().hex}"
+    S.write_parquet(rows, f"{at}/parquet")
+    S.write_csv(rows, f"{at}/csv", "s_suppkey")
+    S.write_jsonl(rows, f"{at}/jsonl")
+    back = {"parquet": spark.read.parquet(f"{at}/parquet"), "csv": spark.read.schema(rows.schema).option("header", True).csv(f"{at}/csv"), "jsonl": spark.read.schema(rows.schema).json(f"{at}/jsonl")}
+    sums = [df.agg(F.lit(k).alias("sink"), F.count("*").alias("n"), F.sum("s_suppkey").cast("bigint").alias("keys"), F.round(F.sum("s_acctbal"), 2).alias("balance")) for k, df in back.items()]
+    return functools.reduce(DataFrame.unionByName, sums)
+
+
+@query("source_nested_report", f"WITH {LOG_SQL} SELECT 'metrics' AS part, model_id, CAST(sum(requests) AS BIGINT) AS n FROM ops GROUP BY model_id UNION ALL SELECT 'scores', model_id, count(*) FROM scored GROUP BY model_id")
+def nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of two parts, one of them as long as the log, written and read back."""
+    t, at = Log(spark, sf_dir), f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    S.write_nested_report({"metrics": operative_metrics(t.inference, t.prices), "scores": t.scored.select("test_id", "model_id", "score")}, at)
+    field = lambda k: F.get_json_object("value", f"$.{k}")
+    return spark.read.text(at).groupBy("part", field("model_id").alias("model_id")).agg(F.sum(F.coalesce(field("requests").cast("bigint"), F.lit(1))).alias("n"))
+
+
+@query("source_manifest", "SELECT 'job-1' AS job_id, count(DISTINCT event_type) AS n_artefacts, true AS dated FROM events")
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job's artefacts listed in its manifest, found among the past jobs."""
+    at = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    events.repartition("event_type").write.partitionBy("event_type").parquet(f"{at}/data")
+    S.write_manifest(spark, f"{at}/jobs/job-1", "job-1", f"{at}/data")
+    return S.list_jobs(spark, f"{at}/jobs").select("job_id", F.size("artefacts").cast("bigint").alias("n_artefacts"), F.col("created_at").isNotNull().alias("dated"))
+
+
+@query("source_traces", "SELECT regexp_replace('call ' || event_type || '/' || (user_id % 3), '[^a-zA-Z0-9_-]', '_', 'g') AS name, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls appended in two goes, by day, under names made safe."""
+    at = f"{shared_folder(spark)}/traces-{uuid.uuid4().hex}"
+    calls = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", F.concat(F.lit("call "), F.col("event_type"), F.lit("/"), F.col("user_id") % 3).alias("name"))
+    for part in (0, 1):
+        S.append_traces(calls.where(F.col("event_id") % 2 == part), at, ["name"])
+    return spark.read.parquet(at).groupBy("name", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
 @query("source_jsonl_round_trip", "SELECT count(*) FILTER (event_id % 10 NOT IN (5, 6)) AS n_records, count(*) FILTER (event_id % 10 = 5) AS n_quarantined FROM events")
 def jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write records as lines, read them back, part good from bad."""
@@ -63,7 +110,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _request_features(t: Retail) -> DataFrame:
-    history = fact(t).where("is_train = 1")
+    history = staged(fact(t), "fact").where("is_train = 1")
     return M.request_features(t.requests, history, t.promo_days, t.promo)
 
 
@@ -115,8 +162,8 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Retail(spark, sf_dir)
-    days = M.forecast_frame(t.stores, "2001-09-01", "2001-10-12")
-    found = M.request_features(days, fact(t).where("is_train = 1"), t.promo_days, t.promo)
+    days = staged(M.forecast_frame(t.stores, "2001-09-01", "2001-10-12"), "days")  # generated rows: joins need their real size
+    found = M.request_features(days, staged(fact(t), "fact").where("is_train = 1"), t.promo_days, t.promo)
     scores = M.batch_scores(found, lambda df: df.withColumn("predicted_sales", F.col("store_dow_avg")))
     return plain(days.join(scores, "id").select("store_id", "date", "predicted_sales"))
 
@@ -128,7 +175,7 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t.inference.repartition(4).write.parquet(f"{at}/log")  # the folder into which the log arrives
     arriving = spark.readStream.schema(t.inference.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/log")
     refreshed_metrics(arriving, t.prices, f"{at}/out", f"{at}/state", None).awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    return published_metrics(spark, f"{at}/out")
 
 
 @query(
@@ -136,7 +183,17 @@ def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {LOG_SQL} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, 'm' || (user_id % 4) AS model_id, count(*) AS requests, count(*) FILTER (event_id % 11 = 0) AS errors FROM events GROUP BY ALL",
 )
 def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windowed_metrics(Log(spark, sf_dir).inference)
+    """The log as a stream, then rows that come too late and count for nothing, and one that closes the last window."""
+    log, at = Log(spark, sf_dir).inference.select("ts", "model_id", "success", "latency_ms"), f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    end = log.agg(F.max("ts").alias("last"), F.min("ts").alias("first"))
+    late = log.where("latency_ms IS NOT NULL").crossJoin(F.broadcast(end)).where(F.col("ts") < F.col("last") - F.expr("interval 1 day")).select("ts", F.lit("late").alias("model_id"), "success", "latency_ms")
+    closing = lambda days: end.select((F.col("last") + F.expr(f"interval {days} days")).alias("ts"), F.lit("end").alias("model_id"), F.lit(True).alias("success"), F.lit(0.0).alias("latency_ms"))
+    for rows in (log, late, closing(2), closing(9)):
+        rows.write.mode("append").parquet(f"{at}/log")
+        arriving = windowed_metrics(spark.readStream.schema(log.schema).parquet(f"{at}/log"))
+        sink = arriving.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    w = spark.read.parquet(f"{at}/out").where("model_id <> 'end'")
     return w.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour"), "model_id", "requests", "errors")
 
 

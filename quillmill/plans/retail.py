@@ -9,6 +9,7 @@ from quillmill.operators import dashboards as D
 from quillmill.operators import features as X
 from quillmill.operators import relational as R
 from quillmill.plans.analogues import Retail, retail_sql
+from quillmill.sources.staging import staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,6 +44,11 @@ def fact(t: Retail) -> DataFrame:
     return R.build_fact(t.sales, t.requests, profile(t), R.enrich_state_days(t.weather, t.macro, t.trends, t.events), t.states)
 
 
+def staged_fact(t: Retail) -> DataFrame:
+    """The fact table, written once for what reads it several times."""
+    return staged(fact(t), "fact")
+
+
 @query("retail_store_profile", "SELECT * FROM profile")
 def store_profile(t):
     return profile(t)
@@ -105,7 +111,7 @@ med AS (SELECT f.store_id, f.date, {}
 
 @query("retail_impute_median", "SELECT * FROM med", _MEDIANS, dates="date")
 def impute_median(t):
-    keyed = fact(t).withColumn("m", F.month("date"))
+    keyed = staged_fact(t).withColumn("m", F.month("date"))
     out = X.impute_group_median(keyed, X.WEATHER, [["state", "m"], ["m"], []])
     return rounded(out.select("store_id", "date", *X.WEATHER))
 
@@ -126,7 +132,7 @@ def impute_ffill(t):
        LEFT JOIN (SELECT state, month(date) AS m, median(trend_index) AS t FROM fact GROUP BY ALL) b ON f.state = b.state AND month(f.date) = b.m,
        (SELECT median(abs(unemployment_rate)) AS u, median(trend_index) AS t FROM fact) c""", dates="date")
 def impute_rates(t):
-    x = fact(t).select("store_id", "date", "state", F.abs("unemployment_rate").alias("unemployment_rate"), "trend_index", F.year("date").alias("y"), F.month("date").alias("m"))
+    x = staged_fact(t).select("store_id", "date", "state", F.abs("unemployment_rate").alias("unemployment_rate"), "trend_index", F.year("date").alias("y"), F.month("date").alias("m"))
     x = X.impute_group_median(x, ["unemployment_rate"], [["state", "y"], []])
     x = X.impute_group_median(x, ["trend_index"], [["state", "m"], []])
     return rounded(x.select("store_id", "date", "unemployment_rate", "trend_index"))
@@ -145,7 +151,7 @@ def null_audit(t):
     """SELECT store_id, date, dense_rank() OVER (ORDER BY coalesce(type_code, 'None')) - 1 AS type_code_enc, dense_rank() OVER (ORDER BY coalesce(level_code, 'None')) - 1 AS level_code_enc,
        dense_rank() OVER (ORDER BY coalesce(state, 'None')) - 1 AS state_enc, dense_rank() OVER (ORDER BY weather_event) - 1 AS weather_event_enc FROM fact""", dates="date")
 def label_encoding(t):
-    return X.label_encode(fact(t), X.CATEGORICALS).select("store_id", "date", *(f"{c}_enc" for c in X.CATEGORICALS))
+    return X.label_encode(staged_fact(t), X.CATEGORICALS).select("store_id", "date", *(f"{c}_enc" for c in X.CATEGORICALS))
 
 
 _TARGET = """
@@ -161,7 +167,7 @@ tj AS (SELECT f.store_id, f.date, a, m, d, s FROM fact f LEFT JOIN (SELECT store
        round(coalesce(d, (SELECT median(d) FROM tj)), 6) AS store_dow_avg, round(coalesce(s, (SELECT median(s) FROM tj)), 6) AS state_month_avg FROM tj""",
     _TARGET, dates="date")
 def target_encoding(t):
-    x = fact(t).withColumns({"day_of_week": F.weekday("date"), "month": F.month("date")})
+    x = staged_fact(t).withColumns({"day_of_week": F.weekday("date"), "month": F.month("date")})
     return rounded(X.target_encode(x).select("store_id", "date", "store_avg_sales", "store_med_sales", "store_dow_avg", "state_month_avg"))
 
 
@@ -170,7 +176,7 @@ def target_encoding(t):
     """SELECT store_id, date, round(distance_meters * t, 6) AS distance_x_type, CAST(t * 10 + l AS DOUBLE) AS store_type_assort FROM (
        SELECT *, dense_rank() OVER (ORDER BY coalesce(type_code, 'None')) - 1 AS t, dense_rank() OVER (ORDER BY coalesce(level_code, 'None')) - 1 AS l FROM fact)""", dates="date")
 def interactions(t):
-    x = X.label_encode(fact(t), ["type_code", "level_code"])
+    x = X.label_encode(staged_fact(t), ["type_code", "level_code"])
     return rounded(X.interactions(x).select("store_id", "date", "distance_x_type", "store_type_assort"))
 
 
@@ -247,7 +253,7 @@ def weekly(t):
 
 @query("retail_summary", "SELECT round(avg(sales), 6) AS mean, round(median(sales), 6) AS median, max(sales) AS max, min(sales) AS min, round(sum(sales), 2) AS sum, count(sales) AS count FROM sales")
 def summary(t):
-    out = rounded(D.summary(t.sales, "sales"))
+    out = rounded(D.summary(staged(t.sales, "sales"), "sales"))
     return out.withColumn("sum", F.round("sum", 2))
 
 
@@ -261,12 +267,30 @@ def grouped_mode(t):
 
 @query(
     "retail_column_profile",
-    """SELECT c AS "column", nulls, round(100.0 * nulls / n, 6) AS null_pct, neg AS negatives FROM (SELECT unnest(['store_id', 'distance_meters', 'open_since_month', 'open_since_year']) AS c,
+    """SELECT c AS "column", CASE c WHEN 'store_id' THEN 'bigint' ELSE 'double' END AS type, nulls, round(100.0 * nulls / n, 6) AS null_pct, neg AS negatives FROM (SELECT unnest(['store_id', 'distance_meters', 'open_since_month', 'open_since_year']) AS c,
        unnest([count(*) - count(store_id), count(*) - count(distance_meters), count(*) - count(open_since_month), count(*) - count(open_since_year)]) AS nulls,
        unnest([count(*) FILTER (store_id < 0), count(*) FILTER (distance_meters < 0), count(*) FILTER (open_since_month < 0), count(*) FILTER (open_since_year < 0)]) AS neg, count(*) AS n FROM competition)""",
 )
 def column_profile(t):
-    return rounded(D.column_profile(t.competition).drop("type"))
+    return rounded(D.column_profile(t.competition))
+
+
+@query(
+    "retail_describe",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM sales" for c in ("sales", "customers", "is_open")),
+)
+def describe(t):
+    return rounded(D.describe(t.sales, ["sales", "customers", "is_open"])).withColumn("std", F.round("std", 4))
+
+
+@query(
+    "retail_date_profile",
+    """SELECT 'given' AS "column", min(CASE WHEN store_id % 4 <> 3 THEN date END) AS first_date, max(CASE WHEN store_id % 4 <> 3 THEN date END) AS last_date, count(*) FILTER (store_id % 4 = 3) AS unparsable FROM sales""",
+    dates="first_date last_date",
+)
+def date_profile(t):
+    given = F.when(F.col("store_id") % 4 == 0, F.date_format("date", "dd/MM/yyyy")).when(F.col("store_id") % 4 == 3, "n/a").otherwise(F.date_format("date", "yyyy-MM-dd"))
+    return D.date_profile(t.sales.select(given.alias("given")), ["given"])
 
 
 @query(

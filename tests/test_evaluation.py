@@ -9,8 +9,9 @@ from quillmill.functions import text as T
 from quillmill.operators import evaluate as E
 from quillmill.operators import records as N
 from quillmill.operators import retrieval as V
+from quillmill.plans.task_rules import RULES, task_rules
 from quillmill.sources import tables as S
-from quillmill.streaming.metrics import refreshed_metrics
+from quillmill.streaming.metrics import published_metrics, refreshed_metrics
 
 SCORED = "test_id string, model_id string, task string, score double, correct boolean, output_text string, legacy_output string, ground_truth string, error string"
 
@@ -51,7 +52,7 @@ def test_matches(spark):
     assert one(spark, " Yes\t", "yes", T.exact_match) == 1 and one(spark, "", "yes", T.contains_match) == 1 and one(spark, "yes", None, T.contains_match) == 0
     assert one(spark, "a b b", "b c", T.token_f1) == 0.5 and one(spark, "", "b", T.token_f1) == 0
     assert one(spark, "a b", "a b c d", T.length_ratio) == 0.5 and one(spark, "a b c d", None, T.length_ratio) == 1 and one(spark, "a", "", T.length_ratio) == 0.5 and one(spark, " ", "x", T.length_ratio) == 0
-    assert one(spark, None, "x", T.legacy_verdict) == "N/A" and one(spark, "Rome", "Roma", T.legacy_verdict) == "KO" and one(spark, "in Rome", "rome", T.legacy_verdict) == "OK"
+    assert one(spark, None, "x", T.legacy_verdict) == "N/A" and one(spark, "Rome", "Roma", T.legacy_verdict) == "INCORRECT" and one(spark, "in Rome", "rome", T.legacy_verdict) == "CORRECT"
 
 
 def test_json_metrics(spark):
@@ -105,7 +106,8 @@ def test_insights(scored):
     assert p["classification"]["severity"] == "low" and p["classification"]["sample_ids"] == ["t2"] and p["classification"]["worst_model"] == "m-a"
     kinds = E.anomalies(scored).collect()
     assert [(r["kind"], r["model_id"]) for r in kinds] == [(1, "m-a")]
-    assert E.failure_index(scored).first()["ids"] == ["t2"]
+    assert [tuple(r) for r in E.failure_ids(scored).collect()] == [("classification", "t2")]
+    assert [tuple(r) for r in E.failure_counts(scored).collect()] == [("classification", "m-a", 1)]
 
 
 def test_paired_test_and_bootstrap(spark):
@@ -120,8 +122,13 @@ def test_paired_test_and_bootstrap(spark):
 
 
 def test_selection_and_ablation(spark):
-    df = spark.createDataFrame([(0, "base", 0.5), (1, "a", 0.6), (1, "b", 0.55), (2, "c", 0.605), (3, "d", 0.9)], "iteration int, variant string, avg_score double")
-    assert [r["variant"] for r in E.iterative_selection(df).orderBy("iteration").collect()] == ["base", "a", "c"]
+    shape = "iteration int, variant string, avg_score double, n_correct long"
+    rows = [(0, "base", 0.5, 5), (1, "a", 0.6, 6), (1, "b", 0.55, 5), (2, "c", 0.605, 6), (3, "d", 0.9, 9)]
+    history = lambda x: [tuple(r) for r in E.iterative_selection(spark.createDataFrame(x, shape)).orderBy("iteration").collect()]
+    start = [(0, "base", 0.5, 5, True, False), (1, "a", 0.6, 6, False, False)]
+    assert history(rows) == [*start, (2, "c", 0.605, 6, False, True)]
+    rows[3] = (2, "c", 0.59, 5)  # nothing better: the incumbent is shown
+    assert history(rows) == [*start, (2, "a", 0.6, 6, False, True)]
     h = spark.createDataFrame([(0, "be brief", 0.5), (1, "be very kind", 0.4)], "iteration int, prompt string, avg_score double")
     r = E.ablation(h).first()
     assert (r["delta"], r["added"], r["removed"], r["effect"]) == (-0.1, ["very", "kind"], ["brief"], "negative")
@@ -172,7 +179,7 @@ def test_sources(spark, tmp_path):
     S.write_jsonl(models, f"{tmp_path}/data.jsonl")
     S.write_nested_report({"models": models, "again": models}, f"{tmp_path}/r")
     assert spark.read.option("header", True).csv(f"{tmp_path}/c").first()["model_id"] == "m"
-    assert {json.loads(r[0])["part"] for r in spark.read.text(f"{tmp_path}/r").collect()} == {"models", "again"}
+    assert {(r["part"], json.loads(r["value"])["model_id"]) for r in spark.read.text(f"{tmp_path}/r").collect()} == {("models", "m"), ("again", "m")}
     S.write_manifest(spark, f"{tmp_path}/jobs/j1", "j1", f"{tmp_path}/c")
     assert S.list_jobs(spark, f"{tmp_path}/jobs").first()["job_id"] == "j1"
     assert S.output_key(job_id="7") == "results/7" and S.output_key("7", "p/") == "p" and S.output_key().startswith("results/")
@@ -192,13 +199,60 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")
     refreshed_metrics(stream, prices, f"{tmp_path}/out", f"{tmp_path}/state", None).awaitTermination()
     batch = E.operative_metrics(log, prices)
-    assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out").select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+    assert sorted(map(str, published_metrics(spark, f"{tmp_path}/out").select(batch.columns).collect())) == sorted(map(str, batch.collect()))
 
 
 def test_verdicts_of_long_texts(spark):
+    """Whole texts are judged, and the first row's header and the last row's output count."""
     a, tail = "x" * 500, " legacy text"
-    rows = [("t1", "m", 1.0, a + tail, "legacy text", "x", 1), ("t2", "m", 1.0, a + " other", a + tail, "x", 2), ("t3", "m", 1.0, a + tail, a + tail, a + tail, 3)]
-    log = spark.createDataFrame(rows, "test_id string, model_id string, score double, output_text string, legacy_output string, ground_truth string, seq long")
-    got = {r["test_id"]: r for r in E.verdict_table(log).collect()}
-    assert {k: r["verdict"] for k, r in got.items()} == {"t1": "OK", "t2": "KO", "t3": "OK"}
-    assert got["t3"]["output_text"] == got["t3"]["legacy_output"] == got["t3"]["ground_truth"] == a
+    rows = [
+        ("t1", "m", "qa", True, "out", a + tail, "legacy text", 1), ("t2", "m", "qa", False, "old", a + " other", a + tail, 2), ("t3", "m", "qa", None, a + tail, a, None, 3),
+        ("t2", "m", "sql", True, "new", None, None, 4), ("t2", "n", "sql", False, "n", None, None, 5),
+    ]
+    log = spark.createDataFrame(rows, "test_id string, model_id string, task string, correct boolean, output_text string, legacy_output string, ground_truth string, seq long")
+    got = {(r["test_id"], r["model_id"]): r for r in E.verdict_table(log).collect()}
+    assert {k: (r["legacy_verdict"], r["verdict"], r["task"]) for k, r in got.items()} == {
+        ("t1", "m"): ("CORRECT", "CORRECT", "qa"), ("t2", "m"): ("INCORRECT", "CORRECT", "qa"), ("t2", "n"): ("INCORRECT", "INCORRECT", "qa"), ("t3", "m"): ("N/A", "INCORRECT", "qa")
+    }
+    assert got["t2", "m"]["output_text"] == "new" and got["t3", "m"]["output_text"] == got["t1", "m"]["legacy_output"] == a
+
+
+def test_feedback(spark):
+    rows = [(0.9, True, None), (0.2, False, "timeout"), (0.3, False, "refused"), (0.1, False, "timeout")]
+    log = spark.createDataFrame([("m", *r) for r in rows], "model_id string, score double, correct boolean, error string")
+    assert E.feedback(log, ["model_id"]).first()["feedback"] == "Average score: 0.375\nRecords evaluated: 4\nCorrect: 1/4 (25.0%)\nCommon errors: timeout; refused"
+    shape = "a double, n long, c long, e array<string>"
+    given = [(None, None, None, None), (0.5, 0, 0, []), (None, 0, 0, None), (0.25, 3, None, ["a", "b", "c", "d"])]
+    got = [r[0] for r in spark.createDataFrame(given, shape).select(E.feedback_text(F.col("a"), F.col("n"), F.col("c"), F.col("e"))).collect()]
+    assert got == ["No previous evaluation available.", "Average score: 0.500", "Score below target.", "Average score: 0.250\nRecords evaluated: 3\nCorrect: 0/3 (0.0%)\nCommon errors: a; b; c"]
+
+
+def test_task_rules(spark):
+    """One rule for each pattern; an output of type text alone speaks for the tasks of text, of which the first listed wins."""
+    assert len(RULES) == len(set(RULES)) == 201 and sum(f == "output" for _, f, _ in RULES) == 11
+    samples = spark.createDataFrame([("a", "", "", "text")], "agent_id string, system_text string, user_text string, output_type string")
+    scores = N.task_scores(samples, task_rules(spark))
+    got = {r["task"]: r["score"] for r in scores.collect()}
+    assert got["context_qa"] == got["pii_redaction"] == got["translation"] == 5.0 and got["classification"] == 0.0
+    assert N.choose_task(scores).first()["task"] == "context_qa"
+
+
+def test_json_truth_has_to_be_whole(spark):
+    assert one(spark, '{"a": 1}', 'so {"a": 1}', T.json_key_match) == 0 and one(spark, '{"a": 1}', 'so {"a": 1}', T.json_value_match) == 0
+    assert one(spark, 'so {"a": 1}', '{"a": 1}', T.json_value_match) == 1
+
+
+def test_code_outcomes(spark):
+    rows = [("t1", None, None, None), ("t2", 1.0, None, None), ("t3", 1.0, 0.5, None), ("t4", 1.0, 0.5, 1.0), ("t5", None, None, 1.0)]
+    log = spark.createDataFrame(rows, "test_id string, code_syntax double, code_run double, code_tests double").select(
+        "*", F.lit("m").alias("model_id"), F.lit("code_generation").alias("task"), F.lit(True).alias("success"), F.lit("x").alias("output_text"), F.lit("y").alias("ground_truth"), F.lit(0.4).alias("judge_score"), F.lit("").alias("given")
+    )
+    assert {r["test_id"]: r["score"] for r in E.evaluate(log).collect()} == {"t1": 0.28, "t2": 0.58, "t3": 0.505, "t4": 0.625, "t5": 0.45}
+
+
+def test_nearest_in_passes(spark, monkeypatch):
+    items = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5)]) for i in range(40)], "id long, embedding array<double>")
+    found = lambda: sorted(map(tuple, V.nearest(items, items.where("id % 4 = 0"), k=3).collect()))
+    whole = found()
+    monkeypatch.setattr(V, "QUERIES", 3)
+    assert found() == whole and len(whole) == 30

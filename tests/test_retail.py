@@ -142,3 +142,20 @@ def test_relational(spark):
     assert {(r[0], r[1]) for r in R.merge_by_key(a, b, "id", ["v"]).collect()} == {(1, "o"), (2, "a")}
     assert R.restrict_or_all(b, spark.createDataFrame([(9,)], "id int"), "id").count() == 3 and R.membership(b, "id", []).count() == 3
     assert spark.range(1).select(R.clip_low(F.lit(None).cast("double")), R.clip_low(F.lit(-1.0))).first()[:] == (None, 0.0)
+
+
+def test_medians_are_exact(spark):
+    rows = [(float(i * 7919 % 1013) / 3, None if i % 2 else float(i), None, float(i == 5)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    got, expected = X.medians(df, ["a", "b", "c", "d"]).first(), df.agg(*(F.median(c).alias(c) for c in "abcd")).first()
+    assert got == expected
+    assert X.medians(df.limit(0), ["a"]).first()["a"] is None and X.medians(df.limit(2), ["a"]).first() == df.limit(2).agg(F.median("a").alias("a")).first()
+
+
+def test_repeated_months_and_weeks_do_not_multiply_days(spark):
+    weather = spark.createDataFrame([("BE", d(5), 1.0), ("BE", d(5), 0.5), ("BE", d(6), 2.0), (None, d(6), 3.0)], "state string, date date, temperature_avg double")
+    macro = spark.createDataFrame([("BE", "2015-01", 2.0), ("BE", "2015-01", 1.0)], "state string, year_month string, gdp_index double")
+    trends = spark.createDataFrame([("BE", d(5), 10, "x"), ("BE", d(5), 20, "y"), ("BE", None, 90, "z")], "state string, week_start date, trend_index int, note string")
+    events = spark.createDataFrame([("BE", d(5), "Fair"), ("BE", d(5), "Race"), ("BE", d(6), None), ("BE", None, "Fair")], "state string, date_start date, event_type string")
+    got = R.enrich_state_days(weather, macro, trends, events).orderBy("date").collect()
+    assert [(r["date"], r["temperature_avg"], r["gdp_index"], r["trend_index"], r["has_local_event"]) for r in got] == [(d(5), 0.5, 1.0, 15.0, 1), (d(6), 2.0, 1.0, 15.0, None)]
