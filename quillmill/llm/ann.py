@@ -13,7 +13,8 @@ them, so a crowded cell, as copies of one vector make it, costs no recall and fi
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components
 take no part, neither as queries nor as candidates; nor does a null id; a query's own rows (those of its id) are never
 candidates; ties go to the smaller id; repeated rows of one id and vector count once; with fewer candidates than asked
-for, all are given; other columns are ignored.
+for, all are given; a product beyond the doubles is infinite, and the last of all where it has both signs; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -88,6 +89,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _products(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (rows * v).sum(axis=1)
+    return np.where(np.isnan(out), -np.inf, out)
+
+
 def search(vectors: DataFrame, is_query, top: int = TOP, key: str = "vec_id", vector: str = "embedding", candidates: int = CANDIDATES, share: float = SHARE, centroids: int = CENTROIDS) -> DataFrame:
     """Rows where ``is_query`` (a Column over ``id``) holds, against all rows -> query_id, rank, key, score."""
     rows = written(usable(vectors, key, vector), "vectors")
@@ -163,18 +170,21 @@ def search(vectors: DataFrame, is_query, top: int = TOP, key: str = "vec_id", ve
                     end = min(at + 256, hi)
                     asked_ids = t.column("id").slice(at, end - at).to_numpy()
                     asked_v = _matrix(t.column("v").slice(at, end - at))
-                    rough = asked_v @ matrix.T
-                    rough[asked_ids[:, None] == ids[None, :]] = -np.inf
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        rough = asked_v @ matrix.T
+                    own = asked_ids[:, None] == ids[None, :]
+                    rough[own | np.isnan(rough)] = -np.inf
                     k = min(top, len(ids))
                     least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
                     qs, found_ids, scores = [], [], []
                     for i in range(end - at):  # again, summed in one order for all, so that copies tie exactly
-                        near = np.flatnonzero((rough[i] >= least[i] - 1e-9 * (1 + abs(least[i]))) & np.isfinite(rough[i]))
-                        score = (matrix[near] * asked_v[i]).sum(axis=1)
+                        low = least[i] - 1e-9 * (1 + abs(least[i])) if np.isfinite(least[i]) else least[i]
+                        near = np.flatnonzero((rough[i] >= low) & ~own[i])
+                        score = _products(matrix[near], asked_v[i])
                         best = near[np.lexsort((ids[near], -score))[:top]]
                         qs.append(np.full(len(best), q[at + i]))
                         found_ids.append(ids[best])
-                        scores.append((matrix[best] * asked_v[i]).sum(axis=1))
+                        scores.append(_products(matrix[best], asked_v[i]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (qs, found_ids, scores)], names=["q", "id", "score"])
 
     found = met.mapInArrow(rank, out).groupBy("q", "id").agg(F.max("score").alias("score"))

@@ -24,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is absent, as in tests on one machine, a folder of this session's own takes its place.
+    Only on a single machine, as in tests, a folder of this session's own takes its place where the setting is absent.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -41,6 +43,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``docs`` alone, whatever their names."""
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number ``__rid`` that tells its rows apart, in a written table, so that it stays the same."""
     return written(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")

@@ -7,7 +7,7 @@ reach of an anchor: no other posting can be part of a match. Postings of anchors
 alignments of an item with a document; intersecting these with the offset-adjusted postings of the item's other terms
 leaves the offsets that agree, and runs of them at least a window long are exact phrase matches.
 
-``proximity_matches`` uses the same index: places where the rarest terms of an item stand within a span of words.
+``proximity_matches`` uses the same index: places where rare terms of an item stand within a span of words.
 
 A benchmark of any size is handled in slices of about ``SLICE_CHARS`` characters, so what each task gets is bounded.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import SLICE, numbered, small_batches, table, without, written
+from quillmill.llm.common import SLICE, columns_of, numbered, small_batches, table, without, written
 
 WINDOW = 13
 SLICE_CHARS = 8_000_000
@@ -113,10 +113,12 @@ class Items:
         return out
 
 
-def _slices(benchmark: DataFrame, key: str, text: str, window: int, chars: int) -> Iterator[Items]:
+def _n_slices(benchmark: DataFrame, text: str, chars: int) -> int:
+    return -(-(benchmark.agg(F.sum(F.length(text))).first()[0] or 0) // chars) or 1
+
+
+def _slices(benchmark: DataFrame, key: str, text: str, window: int, n: int) -> Iterator[Items]:
     given = benchmark.select(F.col(key).cast("string").alias("id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    total = given.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-total // chars) or 1
     for k in range(n):
         part = given.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) if n > 1 else given
         yield Items(part.collect(), window)  # about `chars` characters
@@ -124,9 +126,11 @@ def _slices(benchmark: DataFrame, key: str, text: str, window: int, chars: int)
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, chars: int = SLICE_CHARS) -> tuple[DataFrame, DataFrame]:
     """-> (documents: rid, id, n_words), (matches: rid, pos, item), one row per word hit and item that hits it."""
-    spark, numbered = docs.sparkSession, _numbered(docs, key, text)
+    spark, numbered, n = docs.sparkSession, _numbered(docs, key, text), _n_slices(benchmark, item_text, chars)
+    if n > 1:
+        numbered = written(numbered, "numbered")  # the numbers have to agree between slices
     known, found = None, None
-    for items in _slices(benchmark, item, item_text, window, chars):
+    for items in _slices(benchmark, item, item_text, window, n):
         counts = term_counts(docs, items.vocabulary, text)
         anchors = items.anchors(counts)
         index = build_index(numbered, items.number, {items.words[i][o] for i, o in anchors}, window - 1)
@@ -151,22 +155,29 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     return known, found
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, rare: int = 3, span: int = 8, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", chars: int = SLICE_CHARS) -> DataFrame:
-    """-> key, item, pos: places of an item's rarest term with its next ``rare`` - 1 rarest within ``span`` words."""
-    spark, numbered, found = docs.sparkSession, _numbered(docs, key, text), None
-    for items in _slices(benchmark, item, item_text, WINDOW, chars):
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, rare: int = 3, least: int = 2, span: int = 8, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", chars: int = SLICE_CHARS) -> DataFrame:
+    """-> key, item, pos: places of one of an item's ``rare`` rarest terms with ``least`` - 1 others of them within ``span`` words.
+
+    Only terms that the documents have are chosen, so a changed word costs no match; with fewer than ``least`` of them
+    an item has none.
+    """
+    spark, numbered, n = docs.sparkSession, _numbered(docs, key, text), _n_slices(benchmark, item_text, chars)
+    if n > 1:
+        numbered = written(numbered, "numbered")
+    found = None
+    for items in _slices(benchmark, item, item_text, WINDOW, n):
         counts = term_counts(docs, items.vocabulary, text)
-        chosen = [sorted(set(w), key=lambda x: (counts.get(x, 0), x))[:rare] for w in items.words]
-        rows = [(items.ids[i], items.number[w], k == 0, len(c)) for i, c in enumerate(chosen) for k, w in enumerate(c)]
-        want = spark.createDataFrame(rows, "item string, term int, first boolean, terms int")
-        number = {w: items.number[w] for c in chosen for w in c}
+        chosen = [sorted({x for x in w if counts.get(x)}, key=lambda x: (counts[x], x))[:rare] for w in items.words]
+        rows = [(items.ids[i], items.number[w]) for i, c in enumerate(chosen) if len(c) >= least for w in c]
+        want = spark.createDataFrame(rows, "item string, term int")
+        number = {w: items.number[w] for c in chosen if len(c) >= least for w in c}
         index = build_index(numbered, number, set(number), 0)
         placed = _postings(index).join(F.broadcast(want), "term").withColumn("cell", F.floor(F.col("pos") / span))
-        lead = placed.where("first").select("rid", "item", F.col("pos").alias("at"), "terms", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-        both = lead.join(placed.select("rid", "item", "cell", "pos", "term").hint("shuffle_merge"), ["rid", "item", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= span)
-        near = both.groupBy("rid", "item", "at", "terms").agg(F.count_distinct("term").alias("n")).where("n = terms")
-        near = near.join(index.select("rid", F.col("id").alias(key)).hint("shuffle_merge"), "rid").select(key, "item", F.col("at").alias("pos"))
-        found = near if found is None else found.unionByName(near)
+        near = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
+        both = placed.select("rid", "item", F.col("pos").alias("at"), near).join(placed.hint("shuffle_merge"), ["rid", "item", "cell"]).where(F.abs(F.col("pos") - F.col("at")) <= span)
+        met = both.groupBy("rid", "item", "at").agg(F.count_distinct("term").alias("n")).where(F.col("n") >= least)
+        met = met.join(index.select("rid", F.col("id").alias(key)).hint("shuffle_merge"), "rid").select(key, "item", F.col("at").alias("pos"))
+        found = met if found is None else found.unionByName(met)
     return found
 
 
@@ -192,7 +203,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     """``docs`` without contaminated rows, each judged by its own text."""
     rows = numbered(docs)
     gone = contamination(rows, benchmark, "__rid", **options).where("contaminated").select("__rid")
-    return without(rows, written(gone, "contaminated"), BROADCAST_IDS).select(docs.columns)
+    return columns_of(without(rows, written(gone, "contaminated"), BROADCAST_IDS), docs)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import numbered, small_batches, table, without, written
+from quillmill.llm.common import columns_of, numbered, small_batches, table, without, written
 from quillmill.llm.groups import BLOCK, Forest, block_pairs, components, runs
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
         "fp", "least", F.coalesce("component", "fp").alias("comp")
     )
     rep = written(rep, "node-components")
-    least = rep.groupBy("comp").agg(F.min("least").alias("component_id"))
+    least = written(rep.groupBy("comp").agg(F.min("least").alias("component_id")), "component-ids")
     by_fp = rep.select("fp", "comp").join(least.hint("shuffle_merge"), "comp").select("fp", "component_id")
     return own.join(by_fp.hint("shuffle_merge"), "fp").select(
         F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -328,7 +328,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("text"), F.col("__rid").alias("rid"))
     found = near_duplicates(rows.withColumn("__place", place), "__place", text, radius)
     gone = found.where("__place.rid <> component_id.rid").select(F.col("__place.rid").alias("__rid"))
-    return without(rows, written(gone, "near-copies"), BROADCAST_IDS).select(docs.columns)
+    return columns_of(without(rows, written(gone, "near-copies"), BROADCAST_IDS), docs)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

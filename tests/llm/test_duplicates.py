@@ -58,24 +58,30 @@ def test_edit_distance():
             row = new
         return row[-1]
 
-    for _ in range(500):
-        a, b = ("".join(r.choices("abc", k=r.randint(0, 12))) for _ in range(2))
-        assert linededup.edit_distance(a, b) == plain(a, b)
+    pairs = [tuple("".join(r.choices("abc", k=r.randint(0, 12))) for _ in range(2)) for _ in range(500)]
+    pairs += [tuple("".join(r.choices("ab語", k=r.choice([63, 64, 65, 128, 129, 200]))) for _ in range(2)) for _ in range(40)]
+    expected = [plain(a, b) for a, b in pairs]
+    assert [linededup.edit_distance(a, b) for a, b in pairs] == expected
+    assert linededup.edit_distances(*map(list, zip(*pairs, strict=True))).tolist() == expected
 
 
 def brute_lines(texts):
-    """The line dedup's definition, pair by pair."""
-    lines = [(d, i, b" ".join(w)) for d, t in enumerate(texts) if t is not None for i, w in enumerate(linededup.normal_lines(t)) if len(w) >= linededup.MIN_WORDS]
-    distinct = sorted({x for _, _, x in lines})
-    fp = linededup.simhashes([x.split() for x in distinct]) if distinct else []
+    """The line dedup's definition over all pairs of lines, whatever way they could be found."""
+    lines = []
+    for d, t in enumerate(texts):
+        for i, (w, raw) in enumerate(zip(linededup.normal_lines(t or ""), (t or "").split("\n"), strict=True)):
+            size = linededup.letters(w)
+            if w:
+                lines.append((d, i, b" ".join(w).decode() if size >= 10 or len(w) >= 5 else "raw " + raw.strip(), len(w) >= 5 or size >= 30))
+    full = {x: f for _, _, x, f in lines}
+    distinct = sorted(full)
     forest = groups.Forest(len(distinct))
-    part = lambda h: [int(h) >> lo & (1 << n) - 1 for lo, n in linededup.BLOCKS]
     for a, b in itertools.combinations(range(len(distinct)), 2):
-        shared = sum(x == y for x, y in zip(part(fp[a]), part(fp[b]), strict=True)) >= 2
-        if shared and int(np.bitwise_count(fp[a] ^ fp[b])) <= linededup.MAX_BITS and linededup.similar(distinct[a].decode(), distinct[b].decode(), linededup.SIMILARITY):
+        x, y = distinct[a], distinct[b]
+        if full[x] and full[y] and linededup.edit_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
             forest.join(a, b)
     first, gone = {}, set()
-    for d, i, x in lines:
+    for d, i, x, _ in lines:
         g = forest.root(distinct.index(x))
         if g in first:
             gone.add((d, i))
@@ -95,13 +101,78 @@ def test_line_dedup_by_brute_force(spark, monkeypatch, block):
         return " ".join(w).upper() if r.random() < 0.3 else " ".join(w) + "."
 
     texts = ["\n".join(variant(r.choice(base)) if r.random() < 0.7 else " ".join(r.choices(WORDS, k=r.randint(1, 30))) for _ in range(6)) for _ in range(30)]
-    texts += [None, "", "\n\n", "short line\nshort line", base[0] + "\n" + base[0]]
+    texts += [None, "", "\n\n", "short line\nshort line", base[0] + "\n" + base[0], "---\n---\n x \nx\nX", "y" * 9000 + " " + "z" * 9000]
     monkeypatch.setattr(linededup, "BLOCK", block)
     got = {x["doc_id"]: x for x in linededup.dedup_lines(frame(spark, texts)).collect()}
     assert [got[i]["text"] for i in range(len(texts))] == brute_lines(texts)
     assert got[0]["rk"] == "x" and linededup.dedup_lines(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_bounds_of_similarity_hold():
+    r = random.Random(19)
+    lines = [" ".join("".join(r.choices("aeiourst", k=r.randint(1, 7))) for _ in range(r.randint(1, 25))) for _ in range(60)]
+    for x in list(lines):
+        for k in (1, 4, 9):
+            y = list(x)
+            for _ in range(k):
+                y[r.randrange(len(y))] = r.choice("aeiou ")
+            lines.append(" ".join("".join(y).split()) or "a")
+    bits, sizes = linededup.grams(lines)
+    for i, x in enumerate(lines):
+        may, found = linededup.least_edits(bits[i : i + 1], bits, sizes[i], sizes), linededup.similar([x] * len(lines), lines, 0.8)
+        for j, y in enumerate(lines):
+            far = linededup.edit_distance(x, y)
+            assert may[j] <= far and found[j] == (far <= 0.2 * max(len(x), len(y)) + 1e-9)
+
+
+def test_links_of_groups_connect_what_is_similar():
+    r = random.Random(43)
+    texts, starts = [], []
+    for n in (1, 2, 7, 60, 3):
+        starts.append(len(texts))
+        base = [" ".join(r.choices(WORDS, k=12)) for _ in range(3)]
+        for _ in range(n):
+            w = r.choice(base).split()
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(12)] = r.choice(WORDS)
+            texts.append(" ".join(w))
+    a, b = linededup.forest(texts, starts, 0.8)
+    own, true = groups.Forest(len(texts)), groups.Forest(len(texts))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        assert own.join(x, y)
+    for lo, hi in itertools.pairwise([*starts, len(texts)]):
+        for x, y in itertools.combinations(range(lo, hi), 2):
+            if linededup.edit_distance(texts[x], texts[y]) <= 0.2 * max(len(texts[x]), len(texts[y])) + 1e-9:
+                true.join(x, y)
+    assert [own.root(x) for x in range(len(texts))] == [true.root(x) for x in range(len(texts))]
+
+
+def test_large_groups_are_thinned():
+    """Copies around a centre are all linked; of lines with a common passage alone, few are compared and none is linked."""
+    r = random.Random(47)
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(4000)]
+    base, passage = r.choices(words, k=40), r.choices(words, k=12)
+    copies = [" ".join(r.choice(words) if r.random() < 0.08 else w for w in base) for _ in range(300)]
+    others = [" ".join(passage + r.choices(words, k=30)) for _ in range(900)]
+    twins = [" ".join(x.split()[:-1] + ["twin"]) for x in others[:100]]
+    texts = ["a b", "a b", *copies, *others, *twins]
+    a, b = linededup.thinned(texts, [0, 2, 302], 0.8)
+    own = groups.Forest(len(texts))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        assert linededup.similar([texts[x]], [texts[y]], 0.8)[0]
+        own.join(x, y)
+    assert own.root(1) == 0 and len({own.root(x) for x in range(2, 302)}) <= 6
+    assert sum(own.root(302 + k) == own.root(1202 + k) for k in range(100)) >= 98
+
+
+def test_line_dedup_of_repeated_rows_and_null_ids(spark):
+    r = random.Random(31)
+    a, b = (" ".join(r.choices(WORDS, k=9)) for _ in range(2))
+    rows = [(5, a), (5, a), (None, a + "\n" + b), (2, b), (2, a)]
+    got = linededup.dedup_lines(frame(spark, [t for _, t in rows], [i for i, _ in rows])).select("doc_id", "text", "lines_removed").collect()
+    assert sorted(got, key=str) == sorted([(5, "", 1), (5, "", 1), (None, a + "\n" + b, 0), (2, "", 1), (2, "", 1)], key=str)
+
+
 def brute_fingerprint(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
@@ -197,11 +268,30 @@ def test_decontamination_by_brute_force(spark, chars):
     assert decontaminate.contamination(frame(spark, texts).limit(0), bench).count() == 0
 
 
-def test_proximity(spark):
-    docs = frame(spark, ["zebra filler quagga filler okapi", "zebra " + "filler " * 30 + "quagga okapi", None])
-    bench = spark.createDataFrame([(5, "zebra quagga okapi")], "item_id long, text string")
-    got = decontaminate.proximity_matches(docs, bench, rare=3, span=6).collect()
-    assert [(x["doc_id"], x["item"]) for x in got] == [(0, "5")]
+def brute_proximity(texts, items, rare, least, span):
+    docs = [decontaminate.words(t) for t in texts]
+    count = {}
+    for w in docs:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    out = set()
+    for name, x in items:
+        chosen = sorted({v for v in decontaminate.words(x) if v in count}, key=lambda v: (count[v], v))[:rare]
+        for d, w in enumerate(docs):
+            for at, v in enumerate(w):
+                if len(chosen) >= least and v in chosen and len({u for u in w[max(0, at - span) : at + span + 1] if u in chosen}) >= least:
+                    out.add((d, str(name), at))
+    return out
+
+
+def test_proximity_by_brute_force(spark):
+    r = random.Random(37)
+    texts = ["zebra filler quagga filler okapi", "zebra " + "filler " * 30 + "quagga okapi", None, ""] + [" ".join(r.choices(WORDS, k=60)) for _ in range(15)]
+    items = [(5, "zebra quagga okapi"), (6, "zebra neverseen okapi"), (7, "neverseen zebra"), (8, "lorem ipsum dolor sit amet"), (9, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for rare, least, span in ((3, 2, 8), (3, 3, 6), (2, 2, 3)):
+        got = decontaminate.proximity_matches(frame(spark, texts), bench, rare=rare, least=least, span=span).collect()
+        assert {(x["doc_id"], x["item"], x["pos"]) for x in got} == brute_proximity(texts, items, rare, least, span) and len(got) == len(set(got))
 
 
 def test_block_pairs_let_all_meet(spark):
@@ -211,24 +301,38 @@ def test_block_pairs_let_all_meet(spark):
     assert all(frozenset(p) in met for p in itertools.combinations(range(20), 2))
 
 
+def changed(r, line, words):
+    """A line with up to a fifth of its letters changed: words replaced, or letters."""
+    w = line.split()
+    if r.random() < 0.7:
+        for i in r.sample(range(len(w)), max(1, round(len(w) * r.uniform(0, 0.2)))):
+            w[i] = r.choice(words)
+        return " ".join(w)
+    x = list(line)
+    for _ in range(max(1, len(x) // 40)):
+        i = r.randrange(len(x))
+        x[i] = r.choice("aeiou") if x[i] != " " else " "
+    return "".join(x)
+
+
 def test_line_dedup_recall(spark):
-    """Against plain edit similarity over all pairs: one inner word replaced in lines of 6 to 30 words."""
+    """Against edit similarity over all pairs of lines of 5 to 60 words."""
     r = random.Random(23)
-    word = lambda k=None: "".join(r.choices("etaoinshrdlucmfwyp", k=k or r.randint(3, 8)))
+    words = ["".join(r.choices("etaoinshrdlucmfwyp", k=r.randint(2, 9))) for _ in range(3000)]
     lines = []
-    for n in [6, 8, 12, 20, 30] * 40:
-        w = [word() for _ in range(n)]
-        lines.append(" ".join(w))
-        i = r.randrange(1, n - 1)
-        lines.append(" ".join([*w[:i], word(len(w[i])), *w[i + 1 :]]))
-    forest = groups.Forest(len(lines))
+    for n in [5, 6, 8, 10, 14, 18, 21, 30, 60] * 40:
+        lines.append(" ".join(r.choices(words[:40] if r.random() < 0.3 else words, k=n)))
+        lines.append(changed(r, lines[-1], words))
+    forest, pairs = groups.Forest(len(lines)), 0
     for a, b in itertools.combinations(range(len(lines)), 2):
-        if linededup.similar(lines[a], lines[b], linededup.SIMILARITY):
+        if abs(len(lines[a]) - len(lines[b])) <= 0.2 * max(len(lines[a]), len(lines[b])) and linededup.edit_distance(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b])) + 1e-9:
             forest.join(a, b)
+            pairs += 1
     true = {i for i in range(len(lines)) if forest.root(i) != i}
     gone = {x["doc_id"] for x in linededup.dedup_lines(frame(spark, lines)).where("lines_removed > 0").collect()}
-    assert gone <= true and len(true) > 190
-    assert len(gone) >= 0.95 * len(true), len(gone) / len(true)
+    print(len(gone), "of", len(true))
+    assert gone <= true and len(true) > 250
+    assert len(gone) >= 0.9 * len(true), len(gone) / len(true)
 
 
 def test_line_dedup_of_few_words(spark):
@@ -238,7 +342,7 @@ def test_line_dedup_of_few_words(spark):
     wide = "tres\u00a0mots\u3000sans\u00a0blanc"
     texts = ["All rights reserved worldwide\nshort\n" + long, "all rights reserved, worldwide\nshort\n" + wide, wide + "\nAll rights reversed worldwide", near + "\nown"]
     got = {x["doc_id"]: x["text"] for x in linededup.dedup_lines(frame(spark, texts)).collect()}
-    assert got == {0: texts[0], 1: "short\n" + wide, 2: "All rights reversed worldwide", 3: "own"}
+    assert got == {0: texts[0], 1: wide, 2: "All rights reversed worldwide", 3: "own"}
 
 
 def test_rows_are_dropped_by_number(spark):
@@ -252,3 +356,18 @@ def test_rows_are_dropped_by_number(spark):
     rows = [(1, item), (1, a), (None, item), (None, b), (3, item), (3, item), (4, c)]
     clean = decontaminate.drop_contaminated(frame(spark, [t for _, t in rows], [i for i, _ in rows]), bench).collect()
     assert sorted(((x["doc_id"] or 0, x["text"]) for x in clean)) == sorted([(1, a), (0, b), (4, c)])
+
+
+def test_names_with_dots_and_repeated_documents(spark):
+    r = random.Random(41)
+    a, b, item = (" ".join(r.choices(WORDS, k=40)) for _ in range(3))
+    rows = [(1, a, 1, 2), (2, a, 3, 4), (None, b, 5, 6), (4, item, 7, 8), (4, item, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, __place_ long")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(map(str, neardup.keep_one(docs).collect())) == sorted(map(str, docs.where("`a.b` in (1, 5, 7)").dropDuplicates().collect()))
+    assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns and decontaminate.drop_contaminated(docs, bench).count() == 3
+    assert linededup.dedup_lines(docs).count() == 5 and "a.b" in linededup.dedup_lines(docs).columns
+    found = {(x["doc_id"], x["n_hit"]) for x in decontaminate.contamination(docs, bench).collect()}
+    assert found == {(1, 0), (2, 0), (None, 0), (4, 40)}
+    ids = {(x["doc_id"], x["component_id"]) for x in neardup.near_duplicates(docs).collect()}
+    assert ids == {(1, 1), (2, 1), (None, None), (4, 4)}

@@ -37,6 +37,13 @@ def test_search_blocks_and_small_tables(spark, monkeypatch):
     assert ann.search(vectors(spark, []), F.col("id") == 0).count() == 0
 
 
+def test_search_of_products_that_overflow(spark):
+    rows = [(0, [1e200, 1.0], 0, "x"), (1, [1e200, 0.0], 0, "x"), (2, [1.0, 1.0], 0, "x"), (3, [-1e200, 0.0], 0, "x"), (4, [1e200, 1e200], 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, v string")
+    got = ann.search(df, F.col("id") == 0, candidates=10**6).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, float("inf")), (4, float("inf")), (2, 1e200), (3, -float("inf"))]
+
+
 def test_recall_on_the_given_vectors(spark):
     e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = ann.search(e, F.col("id") % 20 == 0, candidates=300, share=0.75).collect()

@@ -1,13 +1,16 @@
 """Tokens, language, quality, toxicity."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmill.llm import bpe, language, quality, toxicity
+from quillmill.llm import bpe, common, language, logistic, quality, toxicity
 
 TEXTS = [
     None, "", " ", "a", "it's we'll  'S", "a<|endoftext|>b <|endoftext|>", "日本語 テキスト 😀😀", "\x1c a\x85b   c", "x" * 3000, " " * 700 + "y", "ab" * 900,
@@ -114,19 +117,172 @@ def test_marginals_by_brute_force():
     assert np.allclose(quality.marginals(e, stay), good / total)
 
 
-def test_toxicity_learns_stems_and_flags(spark):
-    r, syllables = random.Random(5), ["lo", "ra", "mi", "te", "no", "sa", "ku", "re"]
+def plain_and_bad(seed=5):
+    r, syllables = random.Random(seed), ["lo", "ra", "mi", "te", "no", "sa", "ku", "re"]
     plain = lambda: " ".join("".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(60))
     bad = lambda: " ".join(w if r.random() > 0.08 else r.choice(["wretch", "numskull"]) + r.choice(["", "ra", "mi"]) for w in plain().split())
     sample = [(plain(), 0) for _ in range(300)] + [(bad(), 1) for _ in range(120)]
     r.shuffle(sample)
+    return plain, bad, sample
+
+
+def test_toxicity_learns_and_flags(spark):
+    plain, bad, sample = plain_and_bad()
+    model = toxicity.fit(sample)
+    texts = [plain(), bad(), None, "", "x" * 20_000, "?!", bad()]
+    df = docs(spark, texts, score=["x"] * 7, row=["y"] * 7, predicted=["z"] * 7)
+    got = {x["doc_id"]: x for x in toxicity.score_documents(df.unionByName(df.where("doc_id = 1")), model).collect()}
+    assert got[1]["score"] > got[0]["score"] and got[6]["score"] > got[0]["score"]
+    assert got[1]["predicted"] == 1 and got[0]["predicted"] == got[2]["predicted"] == 0
+    assert got[2]["score"] == got[3]["score"] == got[5]["score"] and got[1]["row"] == "y"
+    assert toxicity.score_documents(df.unionByName(df.where("doc_id = 1")), model).count() == 8
+    assert toxicity.score_documents(df.limit(0), model).count() == 0
+
+
+def test_toxicity_by_brute_force():
+    """Windows, lengths, gains and the score again, from the two dictionaries and the curve alone."""
+    plain, bad, sample = plain_and_bad(6)
+    model = toxicity.fit(sample)
+    assert model.toxic and model.ordinary
+
+    def size(content, window):
+        shape = zstandard.ZstdCompressionParameters(window_log=22, chain_log=22, hash_log=20, search_log=5, min_match=4, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=shape)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=shape).compress(window))
+
+    gains = model.gains()
+    for text in (plain(), bad(), "Some Other, text! 12 words", ""):
+        words, windows, now = "".join(c if c.isalpha() and c.isascii() else " " for c in text.title()).split(), [], []
+        for w in words:
+            now.append(w)
+            if len(" ".join(now)) >= 64:
+                windows.append(f" {' '.join(now)} ".encode())
+                now = []
+        windows += [f" {' '.join(now)} ".encode()] if now else []
+        assert toxicity.windows(toxicity.normal(text)) == windows
+        g = [size(model.ordinary, w) - size(model.toxic + model.ordinary, w) for w in windows]
+        assert gains(windows).tolist() == g
+        n, total, two, four = max(len(g), 1), sum(max(x, 0) for x in g), sum(x >= 2 for x in g), sum(x >= 4 for x in g)
+        x = np.array([np.log1p(two), np.log1p(four), np.log1p(total), (two / n) ** 0.5, (total / n) ** 0.5, np.log1p(n)])
+        w, mean, scale = model.curve
+        assert np.isclose(1 / (1 + np.exp(-np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30))), logistic.predict(model.curve, np.array([toxicity.features(np.array(g, float))]))[0])
+
+
+def held_out_rows(spark, label, buckets, bucket):
+    """(texts to learn from, held-out texts and labels) of the largest given tables."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("needs the given tables")
+    docs_, labels = common.table(spark, folder, "documents").select("doc_id", "text"), common.table(spark, folder, "labels")
+    out = common.held_out("doc_id", buckets, bucket)
+    rows = docs_.where(out).join(labels.where(F.col(label).isNotNull()), "doc_id").select("text", label).collect()
+    return toxicity.labelled_sample(docs_, labels.where(~out), label), [r[0] for r in rows], np.array([r[1] for r in rows])
+
+
+def auc(score, y):
+    values, at, n = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """A quarter of the toxic rows there hold no word that ordinary ones lack, or one of a language with few such rows."""
+    sample, texts, y = held_out_rows(spark, "toxic", 5, 0)
     model = toxicity.fit(sample)
-    df = docs(spark, [plain(), bad(), None, "", "x" * 20_000])
-    got = {x["doc_id"]: x for x in toxicity.score_documents(df, model, keep=["doc_id"]).collect()}
-    assert got[1]["score"] > got[0]["score"] and got[2]["predicted"] == 0
+    gains = model.gains()
+    p = logistic.predict(model.curve, np.array([toxicity.features(gains(toxicity.windows(toxicity.normal(t)))) for t in texts]))
+    print(f"toxicity: AUC {auc(p, y):.3f}, recall {(p[y == 1] >= 0.5).mean():.3f}, false alarms {(p[y == 0] >= 0.5).mean():.4f}, {len(y)} rows")
+    assert auc(p, y) >= 0.8 and (p[y == 1] >= 0.5).mean() >= 0.5 and (p[y == 0] >= 0.5).mean() <= 0.02
+
+
+def test_quality_on_held_out_rows(spark):
+    sample, texts, y = held_out_rows(spark, "quality", 4, 2)
+    p = quality.fit(sample[: quality.SAMPLE]).score(texts)
+    print(f"quality: AUC {auc(p, y):.4f}, {len(y)} rows")
+    assert auc(p, y) >= 0.98
+
+
+def test_quality_by_brute_force():
+    """A document's score from features, all labellings of its lines, lengths and the curve."""
+    sample = [(GOOD + f" {i}", 1) for i in range(30)] + [(BAD + f" {i}", 0) for i in range(30)]
+    random.Random(1).shuffle(sample)
+    model = quality.fit(sample)
+    text = GOOD + "\n\n" + BAD + "\n  \nThe end."
+    lines = [x for x in text.encode().split(b"\n") if x.strip()]
+    own = []
+    for i, line in enumerate(lines):
+        kinds = {"upper": 0, "lower": 0}
+        kinds["upper"], kinds["lower"] = (sum(lo <= c <= hi for c in line) / len(line) for lo, hi in ((65, 90), (97, 122)))
+        words = line.split()
+        own.append((kinds["lower"], kinds["upper"], len(set(words)) / len(words), line in lines[:i], len(words) < 4))
+    x, sizes = quality.line_features(text)
+    k = quality.N_OWN
+    assert np.allclose(x[:, [0, 1, k - 8, k - 7, k - 4]], np.array(own, float))
+    assert np.allclose(x[1:, k : 2 * k], x[:-1, :k]) and np.allclose(x[:-1, 2 * k : 3 * k], x[1:, :k]) and sizes.tolist() == [len(b) for b in lines]
+    e, total, good = np.clip(x @ model.weights, -50, 50), 0.0, np.zeros(len(lines))
+    for labels in np.ndindex(*(2,) * len(lines)):
+        w = np.exp(sum(v for v, z in zip(e, labels, strict=True) if z) + model.stay * sum(a == b for a, b in zip(labels, labels[1:], strict=False)))
+        total, good = total + w, good + w * np.array(labels)
+    q = float((good / total * sizes).sum() / sizes.sum())
+    assert np.isclose(model.quality(text), q)
+    c = min(max(q, 1e-4), 1 - 1e-4)
+    assert np.isclose(model.score([text])[0], logistic.predict(model.curve, np.array([[q, np.log(c / (1 - c))]]))[0])
+
+
+def test_quality_of_odd_tables(spark):
+    sample = [(GOOD + f" {i}", 1) for i in range(30)] + [(BAD + f" {i}", 0) for i in range(30)]
+    model = quality.fit(sample)
+    df = docs(spark, [GOOD, BAD], row=["x", "y"], predicted=["x", "y"])
+    twice = df.unionByName(df)
+    assert quality.score_documents(twice, model).count() == 4 and quality.score_documents(df.limit(0), model).count() == 0
+    assert {r["row"] for r in quality.score_documents(twice, model).collect()} == {"x", "y"}
+
+
+def test_language_prediction_by_brute_force(spark):
+    """Profiles, ranks, out-of-place distances and the score from strings alone."""
+    texts, langs = (ENGLISH + GERMAN) * 3 + ["Das war ein Haus", "the cat is in the hat", "xyz"], (["en", "en", "de", "de"] * 3) + [None] * 3
+    df = docs(spark, texts, lang=langs)
+    size = 25
+
+    def counted(t):
+        w = "_" + "_".join("".join(c if c.isalpha() else "_" for c in t.lower()).replace("_", " ").split()) + "_"
+        seen = {}
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                g = w[i : i + n]
+                if g != "_" and not (n == 3 and g[1] == "_"):
+                    seen[g] = seen.get(g, 0) + 1
+        return seen
+
+    def ranks(seen):
+        code = lambda g: int("".join(f"{1 if c == '_' else ord(c):021b}" for c in g), 2)
+        return sorted(seen, key=lambda g: (-seen[g], code(g)))[:size]
+
+    profiles = {}
+    for name in ("de", "en"):
+        total = {}
+        for t, x in zip(texts, langs, strict=True):
+            for g, n in counted(t).items() if x == name else ():
+                total[g] = total.get(g, 0) + n
+        profiles[name] = ranks(total)
+    got = {r["doc_id"]: r for r in language.identify(df, language.learn_profiles(df, size=size), size=size).collect()}
+    for i, t in enumerate(texts):
+        own, far = ranks(counted(t)), {}
+        for name, profile in profiles.items():
+            far[name] = sum(abs(profile.index(g) - k) if g in profile else size for k, g in enumerate(own))
+        best = min(sorted(far), key=far.get)
+        other = max(far.values()) if len(set(far.values())) > 1 else far[best]
+        assert got[i]["lang_pred"] == best and np.isclose(got[i]["score"], other / (other + far[best]))
+
+
+def test_bpe_of_long_texts():
+    library, own, r = Tokenizer.from_file(bpe.TOKENIZER), bpe.load(bpe.TOKENIZER), random.Random(8)
+    long = ["".join(r.choices(["lorem", " ipsum", "Dol", "é", "\n", " ", "12", "."], k=60_000)), "z" * 50_000, "語" * 20_000]
+    assert [x.tolist() for x in own.encode_all([*long, None, ""])] == [library.encode(t, add_special_tokens=False).ids for t in [*long, "", ""]]
 
 
 def test_labelled_sample(spark):
     df = docs(spark, ["a", "b", None, "d"])
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (None, 1), (3, 0)], "doc_id long, toxic int")
-    assert sorted(toxicity.labelled_sample(df, labels, "toxic")) == [("a", 1), ("d", 0)]
+    assert sorted(toxicity.labelled_sample(df.unionByName(df), labels, "toxic")) == [("a", 1), ("d", 0)]
