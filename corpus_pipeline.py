@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, decontaminate, language, linededup, neardup
-from quillmill.llm.common import table, written
+from quillmill.llm.common import columns_of, table, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which no known language is found."""
-    return language.identify(docs, language.learn_profiles(docs)).where(F.col("lang_pred") != "und").select(docs.columns)
+    return language.identify(docs, language.learn_profiles(docs)).where(F.col("lang_pred") != "und").transform(columns_of, docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     left = linededup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(docs.columns)
+    return columns_of(left, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
