@@ -90,7 +90,7 @@ class Model:
 def features(gains: np.ndarray) -> list[float]:
     n, total = max(len(gains), 1), np.maximum(gains, 0).sum()
     hits = [(gains >= t).sum() for t in THRESHOLDS]
-    return [*np.log1p(hits), np.log1p(total), np.sqrt(hits[0] / n), np.sqrt(total / n), np.log1p(n)]
+    return [*np.log1p(hits), np.log1p(total), np.sqrt(hits[0] / n), np.sqrt(total / n)]
 
 
 def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
