@@ -40,8 +40,12 @@ def published_metrics(spark: SparkSession, out: str) -> DataFrame:
 
 
 def windowed_metrics(log: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Requests, errors and mean latency per model and event-time window; rows later than ``late`` are dropped."""
-    kept = log.withWatermark("ts", late) if log.isStreaming else log
+    """Requests, errors and mean latency per model and event-time window; rows later than ``late`` are dropped.
+
+    ``ts`` may be a timestamp with or without zone (a watermark takes only the former; without zone, it is the session's).
+    """
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp"))
+    kept = timed.withWatermark("ts", late) if log.isStreaming else timed
     return kept.groupBy(F.window("ts", width).alias("w"), "model_id").agg(
         F.count("*").alias("requests"), F.count_if(~F.col("success")).alias("errors"), F.avg(F.when(F.col("success"), F.col("latency_ms"))).alias("avg_latency_ms")
     )

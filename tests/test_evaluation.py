@@ -11,7 +11,7 @@ from quillmill.operators import records as N
 from quillmill.operators import retrieval as V
 from quillmill.plans.task_rules import RULES, task_rules
 from quillmill.sources import tables as S
-from quillmill.streaming.metrics import published_metrics, refreshed_metrics
+from quillmill.streaming.metrics import published_metrics, refreshed_metrics, windowed_metrics
 
 SCORED = "test_id string, model_id string, task string, score double, correct boolean, output_text string, legacy_output string, ground_truth string, error string"
 
@@ -191,6 +191,27 @@ def test_sources(spark, tmp_path):
     assert S.inventory({"m": models}).first()["n"] == 1
 
 
+def test_windows_of_a_log_without_zone_drop_late_rows(spark, tmp_path):
+    schema = "ts timestamp_ntz, model_id string, success boolean, latency_ms double"
+    arrive = lambda *rows: spark.createDataFrame(
+        [(ts, m, ok, ms) for ts, m, ok, ms in rows], "ts string, model_id string, success boolean, latency_ms double"
+    ).withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.mode("append").parquet(f"{tmp_path}/log")
+
+    def take() -> list:
+        stream = windowed_metrics(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"))
+        sink = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out")
+        sink.trigger(availableNow=True).start().awaitTermination()
+        out = spark.read.parquet(f"{tmp_path}/out").select(F.date_format("w.start", "HH"), "model_id", "requests", "errors", "avg_latency_ms")
+        return sorted(tuple(r) for r in out.collect())
+
+    arrive(("2024-01-01 10:05:00", "a", True, 10.0), ("2024-01-01 10:50:00", "a", False, 90.0), ("2024-01-01 11:30:00", "a", True, 20.0))
+    assert take() == [("10", "a", 2, 1, 10.0)]  # 11 o'clock is still open
+    arrive(("2024-01-01 10:59:00", "a", True, 1.0), ("2024-01-01 11:31:00", "a", True, 40.0), ("2024-01-01 13:00:00", "b", True, 5.0))  # the first is late
+    assert take() == [("10", "a", 2, 1, 10.0), ("11", "a", 2, 0, 30.0)]
+    batch = windowed_metrics(spark.read.schema(schema).parquet(f"{tmp_path}/log"))
+    assert {(r["requests"], r["errors"]) for r in batch.where("model_id = 'a'").collect()} == {(3, 1), (2, 0)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(f"m{i % 2}", f"t{i % 3}", i % 4 != 0, float(i), i % 2, i, 1) for i in range(40)]
     log = spark.createDataFrame(rows, "model_id string, task string, success boolean, latency_ms double, retries int, input_tokens long, output_tokens long")
