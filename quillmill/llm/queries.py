@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, chat, decontaminate, language, linededup, neardup, quality, toxicity, urls
+from quillmill.llm import ann, bpe, chat, decontaminate, language, linededup, neardup, quality, ranking, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_simhash_near_dedup": neardup.op9_simhash_near_dedup,
     "op10_url_filters": urls.op10_url_filters,
+    "op12_lexical_search": ranking.op12_lexical_search,
 }
 
 ORACLE_SQL = {
     "op7_decontamination": decontaminate.OP7_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op10_url_filters": urls.OP10_SQL,
+    "op12_lexical_search": ranking.OP12_SQL,
 }
