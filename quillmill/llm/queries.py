@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, chat, decontaminate, language, linededup, neardup, quality, ranking, tokenfile, toxicity, urls
+from quillmill.llm import ann, bpe, chat, decontaminate, language, linededup, neardup, quality, ranking, repair, tokenfile, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_simhash_near_dedup": neardup.op9_simhash_near_dedup,
     "op10_url_filters": urls.op10_url_filters,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_lexical_search": ranking.op12_lexical_search,
     "op13_token_output": tokenfile.op13_token_output,
 }
