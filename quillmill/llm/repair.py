@@ -9,11 +9,12 @@ after the price has been raised to it. A path that reaches the target makes the
 along tight arcs (price = cost + price of the end); the wanted one takes at every node the tight arc of the
 smallest letter whose end, once its own price has converged, is still tight.
 
-A conversation of any length is cut into blocks of ``ROWS`` rows, spread over partitions by range. A block that is
-not alone gets the cost from each state before it to each state after it and, of each state before, the order of the
-cheapest paths to the states after: no two of these are alike, nor one the beginning of another, as inserts stand before a
-row of the block or after the last row of all. Up to ``ROWS`` blocks are the rows of a block of the next level, whose arcs
-have these costs, with the orders for letters, until one is left; from there the states go down to the rows.
+More than ``ROWS`` rows are cut into blocks. Each gets the cost from every state before it to every state after it and, of each
+state before, the order of the cheapest paths to the states after: no two of these are alike, nor one the beginning of
+another, as inserts stand before a row of the block or after the last row of all. Up to ``ROWS`` blocks are the rows of a
+block of the next level, whose arcs have these costs, with the orders for letters, until one is left; from there the
+states go down to the rows. A conversation of up to ``LARGE`` rows goes through this in the task where its rows meet. The
+rows of a larger one are spread over partitions by range of turn, and its levels are tables.
 
 Defined cases: nulls in a row are one space (for a key, in the damage; for an id, the conversations of null id are one
 and come back as null); rows of one turn are ordered by role and by digest of text, null turns first; a role that is
@@ -29,13 +30,13 @@ from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import SLICE, small_batches, table, written
 
-#: Rows of a block, and blocks of a block of the next level.
-ROWS = 32
+#: Rows of a block, and blocks of a block of the next level; rows of a conversation that meet in one task.
+ROWS, LARGE = 32, 4096
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 FAR = 1 << 40
 #: States: start, after s, after u, after a.
@@ -158,6 +159,26 @@ def ended(arcs: Callable[[int], list[Arc]], price: list[int], n: int) -> tuple[C
     return (lambda node: [tail[node]] if node in tail else arcs(node)), [*price, 0]
 
 
+def boundaries(costs: list[list[int]], ranks: list[list[int]], before: int, after: int, size: int) -> list[int]:
+    """The states before each block and after the last one on the cheapest path from ``before`` to ``after``; -1 is the end of the conversation.
+
+    More than ``size`` blocks are made blocks of blocks first.
+    """
+    n = len(costs)
+    if n > size:
+        cuts = range(0, n, size)
+        made = [transfer(lambda q, lo=lo: block_lattice(costs[lo : lo + size], ranks[lo : lo + size]), min(size, n - lo)) for lo in cuts]
+        at = boundaries([c for c, _ in made], [r for _, r in made], before, after, size)
+        ends = [*at[1:-1], after]
+        return [x for lo, a, b in zip(cuts, at, ends, strict=False) for x in boundaries(costs[lo : lo + size], ranks[lo : lo + size], a, b, size)[:-1]] + [after]
+    arcs, price = block_lattice(costs, ranks)
+    target = 4 * n + after
+    if after < 0:
+        (arcs, price), target = ended(arcs, price, n), 4 * n + 4
+    path = Auction(arcs, price, target).letters(before)
+    return [before, *(end % 4 for _, end, _ in path[: n - 1]), after]
+
+
 @functools.lru_cache(20_000)
 def row_transfer(roles: tuple[str, ...], faults: str) -> tuple[list[int], list[int]]:
     return transfer(lambda q: row_lattice(roles, faults, q), len(roles))
@@ -174,6 +195,18 @@ def edits(roles: tuple[str, ...], faults: str, before: int, after: int | None) -
     return sum(cost for cost, _, _ in path), "".join(letter for _, _, letter in path)
 
 
+def whole_plan(roles: list[str], faults: str, size: int = ROWS) -> tuple[int, str]:
+    """-> cost and letters of the edits of a whole conversation."""
+    n = len(roles)
+    if n <= size:
+        return edits(tuple(roles), faults, START, None)
+    parts = [(tuple(roles[lo : lo + size]), faults[lo : lo + size]) for lo in range(0, n, size)]
+    made = [row_transfer(*p) for p in parts]
+    at = boundaries([c for c, _ in made], [r for _, r in made], START, -1, size)
+    done = [edits(*p, a, None if b < 0 else b) for p, a, b in zip(parts, at, at[1:], strict=False)]
+    return sum(c for c, _ in done), "".join(e for _, e in done)
+
+
 def applied(roles: list[str], texts: list[str], audit: str, before: int) -> list[str]:
     """The rows, as ``role:text``, that the edits leave."""
     out, i, q = [], 0, before
@@ -203,22 +236,28 @@ def _rows(made: list[tuple], schema: str) -> pa.RecordBatch:
 def damaged(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """-> conv, known, turn, role, text, copies: rows dropped, emptied, cut, repeated or re-roled by the checksum of their key.
 
-    ``known`` is false for a null turn, which is 0 then.
+    ``known`` is false for a null turn, which is 0 then. A dropped row stays with 0 copies, so that its conversation does.
     """
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     kind = F.crc32(F.concat(space(conv), F.lit(":"), space(turn))) % 20
     at = F.coalesce(F.col(turn).cast("long"), F.lit(0))
     given = rows.select(space(conv).alias("conv"), F.col(turn).isNotNull().alias("known"), at.alias("turn"), space(role).alias("role"), space(text).alias("text"), kind.alias("kind"))
-    return given.where("kind <> 0").select(
+    return given.select(
         "conv",
         "known",
         "turn",
         F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
         F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
-        F.when(F.col("kind") == 3, 2).otherwise(1).alias("copies"),
+        F.when(F.col("kind") == 0, 0).when(F.col("kind") == 3, 2).otherwise(1).alias("copies"),
     )
 
 
+def _own_fault(text: str) -> Column:
+    """b for a blank text, t for one that ends amid a sentence, else a blank."""
+    last = F.substring(F.rtrim(text, F.lit(" \t\n\x0b\x0c\r")), -1, 1)
+    return F.when(last == "", "b").when(~last.isin(".", "!", "?"), "t").otherwise(" ")
+
+
 def faulty(rows: DataFrame) -> DataFrame:
     """Rows as ``damaged`` makes them -> conv, known, turn, role, digest, text, n (copies), fault (of the first of them).
 
@@ -226,16 +265,16 @@ def faulty(rows: DataFrame) -> DataFrame:
     is merged before it is shuffled, and joined back on the whole row, so no conversation or text gathers in a task.
     """
     key = ["conv", "known", "turn", "role", "digest"]
-    keyed = rows.withColumn("digest", F.md5("text"))
+    keyed = rows.where("copies > 0").withColumn("digest", F.md5("text"))
     same = keyed.groupBy(*key).agg(F.sum("copies").alias("n"), F.min("text").alias("text"))
     first = keyed.groupBy("conv", "role", "digest").agg(F.min(F.struct("known", "turn")).alias("m")).select("conv", "m.known", "m.turn", "role", "digest", F.lit(True).alias("first"))
     joined = same.join(first.hint("shuffle_merge"), key, "left")
-    last = F.substring(F.rtrim("text", F.lit(" \t\n\x0b\x0c\r")), -1, 1)
-    fault = F.when(last == "", "b").when(F.col("first").isNull(), "d").when(~last.isin(".", "!", "?"), "t").otherwise(" ")
+    own = _own_fault("text")
+    fault = F.when(own == "b", own).when(F.col("first").isNull(), "d").otherwise(own)
     return joined.select(*key, "text", "n", fault.alias("fault"))
 
 
-_LEAF = "conv string, part long, seq int, roles array<string>, faults string, texts array<string>, illegal long, head string, last string, lo long, hi long, turns long, alone boolean"
+_LEAF = "conv string, part long, seq int, roles array<string>, faults string, texts array<string>, illegal long, head string, last string, lo long, hi long, turns long"
 
 
 class _Cutter:
@@ -243,7 +282,7 @@ class _Cutter:
 
     def __init__(self, size: int) -> None:
         self.size, self.conv, self.out = size, None, []
-        self.nth, self.seq, self.last, self.hi = -1, 0, None, None
+        self.seq, self.last, self.hi = 0, None, None
         self.clear()
 
     def clear(self) -> None:
@@ -251,8 +290,8 @@ class _Cutter:
 
     def add(self, r: dict) -> None:
         if r["conv"] != self.conv:
-            self.close(True)
-            self.conv, self.nth, self.seq, self.last, self.hi = r["conv"], self.nth + 1, 0, None, None
+            self.close()
+            self.conv, self.seq, self.last, self.hi = r["conv"], 0, None, None
         again = r["fault"] if r["fault"] == "b" else "d"
         for k in range(r["n"]):
             self.roles.append(r["role"])
@@ -262,19 +301,17 @@ class _Cutter:
                 self.turns.append(r["turn"])
             self.part = r["part"]
             if len(self.roles) == self.size:
-                self.close(False)
+                self.close()
 
-    def close(self, ends: bool) -> None:
+    def close(self) -> None:
         if not self.roles:
             return
         initials = [r[:1] for r in self.roles]
         bad = sum(a + b not in ("su", "ua", "au") for a, b in pairwise(initials if self.last is None else [self.last, *initials]))
         lo, hi = (self.turns[0], self.turns[-1]) if self.turns else (None, None)
         turns = len(set(self.turns) - {self.hi})
-        # a partition's first and last conversation may go on in its neighbours
-        alone = ends and self.seq == 0 and self.nth > 0
         head = initials[0] if self.last is None else None
-        self.out.append((self.conv, self.part, self.seq, self.roles, "".join(self.faults), self.texts, bad, head, initials[-1], lo, hi, turns, alone))
+        self.out.append((self.conv, self.part, self.seq, self.roles, "".join(self.faults), self.texts, bad, head, initials[-1], lo, hi, turns))
         self.seq, self.last, self.hi = self.seq + 1, initials[-1], self.hi if hi is None else hi
         self.clear()
 
@@ -287,8 +324,7 @@ def leaves(rows: DataFrame, size: int = ROWS) -> DataFrame:
     """Blocks of up to ``size`` rows of a conversation in order of turn; (part, seq) orders a conversation's blocks.
 
     ``illegal`` counts the pairs of neighbours inside and, in the same partition, with the block before; ``head`` is the
-    first initial where there is none before. ``turns`` counts the turns that are not the block's before. ``alone``: surely
-    the conversation's only block.
+    first initial where there is none before. ``turns`` counts the turns that are not the block's before.
     """
     order = ["conv", "known", "turn", "role", "digest"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -301,7 +337,7 @@ def leaves(rows: DataFrame, size: int = ROWS) -> DataFrame:
                 cutter.add(r)
                 if len(cutter.out) >= SLICE:
                     yield cutter.take()
-        cutter.close(False)
+        cutter.close()
         yield cutter.take()
 
     return written(small_batches(dealt).mapInArrow(work, _LEAF), "repair-blocks")
@@ -357,21 +393,15 @@ def _parents(nodes: DataFrame, size: int) -> DataFrame:
 _STATES = "conv string, part long, seq int, before int, after int"
 
 
-def _children(parents: DataFrame) -> DataFrame:
+def _children(parents: DataFrame, size: int) -> DataFrame:
     """Parents with the states before and after them -> those of their children; ``after`` -1 is the end of the conversation."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                n = len(r["child_costs"])
-                arcs, price = block_lattice(r["child_costs"], r["child_ranks"])
-                target = 4 * n + r["after"]
-                if r["after"] < 0:
-                    (arcs, price), target = ended(arcs, price, n), 4 * n + 4
-                at = [r["before"], *(end % 4 for _, end, _ in Auction(arcs, price, target).letters(r["before"]))][: n + 1]
-                ends = [*at[1:n], r["after"]]
-                out += [(r["conv"], p, s, a, b) for p, s, a, b in zip(r["child_part"], r["child_seq"], at[:n], ends, strict=True)]
+                at = boundaries(r["child_costs"], r["child_ranks"], r["before"], r["after"], size)
+                out += [(r["conv"], p, s, a, b) for p, s, a, b in zip(r["child_part"], r["child_seq"], at, at[1:], strict=False)]
             yield _rows(out, _STATES)
 
     return written(parents.mapInArrow(work, _STATES), "repair-states")
@@ -387,7 +417,7 @@ def block_states(blocks: DataFrame, size: int = ROWS) -> DataFrame:
             break
     states = nodes.select("conv", "part", "seq", F.lit(START).alias("before"), F.lit(-1).alias("after"))
     for level in reversed(levels):
-        states = _children(level.drop("costs", "ranks").join(states.hint("shuffle_merge"), ["conv", "part", "seq"]))
+        states = _children(level.drop("costs", "ranks").join(states.hint("shuffle_merge"), ["conv", "part", "seq"]), size)
     return states
 
 
@@ -427,29 +457,70 @@ def _gathered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     )
 
 
-def repair(rows: DataFrame, given: DataFrame, conv: str = "conv_id", size: int = ROWS) -> DataFrame:
-    """The conversations of ``given`` (their ids) repaired; ``rows`` as ``damaged`` makes them.
+# ---- conversations that fit into a task
+
+_DONE = "conv string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired string"
+
+
+def _in_tasks(rows: DataFrame, size: int) -> DataFrame:
+    """Conversations of a bounded number of rows, each repaired where its rows meet: one shuffle."""
+    keyed = rows.select("conv", "known", "turn", "role", F.md5("text").alias("digest"), "text", "copies", _own_fault("text").alias("own"))
+    dealt = keyed.repartition("conv").sortWithinPartitions("conv", "known", "turn", "role", "digest")
+
+    def finished(conv: str, held: list[dict]) -> tuple:
+        roles, faults, texts, seen = [], [], [], set()
+        for r in held:
+            for _ in range(r["copies"]):
+                again = (r["role"], r["digest"]) in seen
+                roles.append(r["role"])
+                texts.append(r["text"])
+                faults.append("d" if again and r["own"] != "b" else r["own"])
+                seen.add((r["role"], r["digest"]))
+        turns = [r["turn"] for r in held if r["known"] and r["copies"]]
+        gaps = turns[-1] - turns[0] + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[:1] + b[:1] not in ("su", "ua", "au") for a, b in pairwise(roles))
+        cost, audit = whole_plan(roles, "".join(faults), size)
+        return conv, gaps, *(faults.count(f) for f in "bdt"), illegal, cost, audit, "\n".join(applied(roles, texts, audit, START))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = [], []
+        for batch in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
+            for r in batch.to_pylist():
+                if held and r["conv"] != held[0]["conv"]:
+                    out.append(finished(held[0]["conv"], held))
+                    held = []
+                held.append(r)
+            if out:
+                yield _rows(out, _DONE)
+                out = []
+        if held:
+            yield _rows([finished(held[0]["conv"], held)], _DONE)
+
+    return small_batches(dealt).mapInArrow(work, _DONE)
+
 
-    -> conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired (the text).
+def repair(rows: DataFrame, kind: str, size: int = ROWS, large: int = LARGE) -> DataFrame:
+    """``rows`` as ``damaged`` makes them, ``kind`` the type of the ids -> the conversations repaired:
+    conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired (the text).
     """
-    blocks = leaves(written(faulty(rows), "repair-rows"), size)
-    alone, parts = blocks.where("alone"), blocks.where("NOT alone")
-    found = repaired(alone.withColumns({"before": F.lit(START), "after": F.lit(-1)}))
-    if not parts.isEmpty():
-        states = block_states(parts, size)
-        fixed = repaired(parts.join(states.hint("shuffle_hash"), ["conv", "part", "seq"]))
-        merged = _gathered(_gathered(fixed, ["conv", "part"], "seq"), ["conv"], "part")
-        found = found.select(merged.columns).unionByName(merged)
-    kind = given.schema[conv].dataType
+    sizes = rows.groupBy("conv").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
+    many = written(sizes.where((F.col("n") > large) | (F.col("rows") > large)).select("conv"), "repair-large")  # one in ``large`` rows at most
     back = F.when(F.col("conv") != " ", F.col("conv")).cast(kind).alias("conv_id")
-    gaps = F.coalesce(F.col("hi") - F.col("lo") + 1 - F.col("turns"), F.lit(0).cast("long"))
-    some = found.select(back, gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("repaired", F.lit("")).alias("repaired"))
-    ids = given.select(F.coalesce(F.col(conv).cast("string"), F.lit(" ")).alias("conv")).distinct()
-    gone = ids.join(blocks.select("conv").distinct().hint("shuffle_hash"), "conv", "left_anti")
-    zero = F.lit(0).cast("long")
-    return some.unionByName(gone.select(back, *(zero.alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.lit("").alias("audit"), F.lit("").alias("repaired")))
+    columns = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired"]
+    if many.isEmpty():
+        return _in_tasks(rows, size).select(back, *columns)
+    found = _in_tasks(rows.join(many.hint("shuffle_hash"), "conv", "left_anti"), size)
+    blocks = leaves(written(faulty(rows.join(many.hint("shuffle_hash"), "conv", "left_semi")), "repair-rows"), size)
+    fixed = repaired(blocks.join(block_states(blocks, size).hint("shuffle_hash"), ["conv", "part", "seq"]))
+    merged = _gathered(_gathered(fixed, ["conv", "part"], "seq"), ["conv"], "part")
+    gaps = F.coalesce(F.col("hi") - F.col("lo") + 1 - F.col("turns"), F.lit(0).cast("long")).alias("gaps")
+    merged = merged.select("conv", gaps, *columns[1:-1], F.coalesce("repaired", F.lit("")).alias("repaired"))
+    gone = many.join(blocks.select("conv").distinct().hint("shuffle_hash"), "conv", "left_anti")  # large, yet all of it dropped
+    zeros = gone.select("conv", *(F.lit(0).cast("long").alias(c) for c in columns[:-2]), F.lit("").alias("audit"), F.lit("").alias("repaired"))
+    return found.unionByName(merged).unionByName(zeros).select(back, *columns)
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
-    return repair(damaged(given), given).withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")
+    done = repair(damaged(given), given.schema["conv_id"].dataType.simpleString())
+    return done.withColumn("repaired_sha256", F.sha2("repaired", 256)).drop("repaired")

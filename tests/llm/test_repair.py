@@ -86,7 +86,7 @@ def brute(given):
 
 def got(spark, rows, **options):
     given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
-    return sorted((tuple(r) for r in R.repair(R.damaged(given), given, **options).collect()), key=str)
+    return sorted((tuple(r) for r in R.repair(R.damaged(given), "bigint", **options).collect()), key=str)
 
 
 def made(seed, n_convs, longest):
@@ -116,9 +116,7 @@ def test_blocks_lead_to_the_same_plan():
         rows = [(draw.choice(["user", "assistant", "system"]), draw.choice("    bdt")) for _ in range(draw.randint(5, 30))]
         parts = [rows[i : i + 4] for i in range(0, len(rows), 4)]
         made = [R.row_transfer(tuple(r for r, _ in p), "".join(f for _, f in p)) for p in parts]
-        arcs, price = R.ended(*R.block_lattice([c for c, _ in made], [r for _, r in made]), len(parts))
-        path = R.Auction(arcs, price, 4 * len(parts) + 4).letters(R.START)
-        states = [R.START, *(end % 4 for _, end, _ in path)][: len(parts) + 1]
+        states = R.boundaries([c for c, _ in made], [r for _, r in made], R.START, -1, 3)
         ends = [*states[1 : len(parts)], None]
         done = [R.edits(tuple(r for r, _ in p), "".join(f for _, f in p), a, b) for p, a, b in zip(parts, states, ends)]
         assert (sum(c for c, _ in done), "".join(a for _, a in done)) == plan(rows)
@@ -132,6 +130,8 @@ def test_repair_equals_brute_force(spark):
     rows.append((dropped, 0, "user", "Gone."))
     want = brute(rows)
     assert (dropped, 0, 0, 0, 0, 0, 0, "", "") in want
+    rows += [(c, 0, "user", "Gone.") for c in [dropped] * 30]
+    assert got(spark, rows, size=6, large=20) == want  # levels as tables
     assert got(spark, rows, size=6) == want
     assert got(spark, rows) == want
 
@@ -139,4 +139,4 @@ def test_repair_equals_brute_force(spark):
 def test_repair_of_odd_tables(spark):
     assert got(spark, []) == []
     given = spark.createDataFrame([(1, 0, "user", "Hi.", "x", 3, "t"), (1, 1, "assistant", "é" * 300_000, None, 4, "b")], "conv_id int, turn int, role string, text string, conv string, part int, fault string")
-    assert [tuple(r) for r in R.repair(R.damaged(given), given).collect()] == brute([(1, 0, "user", "Hi."), (1, 1, "assistant", "é" * 300_000)])
+    assert [tuple(r) for r in R.repair(R.damaged(given), "int").collect()] == brute([(1, 0, "user", "Hi."), (1, 1, "assistant", "é" * 300_000)])
