@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.operators.features import medians
+from quillmill.operators.selection import medians
 from quillmill.operators.relational import parse_date
 
 

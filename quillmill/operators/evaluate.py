@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -272,26 +274,29 @@ def paired_t_test(base: DataFrame, variant: DataFrame, key: str = "test_id") ->
     return out.select("n", "mean_diff", F.bround("t", 4).alias("t"), F.bround("p", 4).alias("p"), (F.col("p") < 0.05).alias("significant"))
 
 
+#: Of 65,536 values of four hex digits, those up to each bound give a weight of 0, 1, 2 ... as a Poisson variable of mean 1 has it.
+WEIGHT_BOUNDS = [round(65536 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+
+
 def bootstrap_interval(base: DataFrame, variant: DataFrame, key: str = "test_id", rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """95% interval of the mean difference by the Poisson bootstrap: every row's weight in a round is fixed by a hash.
+    """95% interval of the mean difference by the Poisson bootstrap.
 
-    Each batch of rows sums its weights for all rounds in place, so only a row per batch and round is exchanged.
+    A pair's weight in round r comes from hex digits 4 * (r % 8) on of the MD5 of ``seed:key:(r // 8)``, so it depends on nothing
+    else and any engine can compute it. Each batch sums its weights for all rounds in place; a row per batch and round
+    is exchanged.
     """
-    d = base.select(key, F.col("score").alias("a")).join(variant.select(key, F.col("score").alias("b")), key).select(F.xxhash64(key, F.lit(seed)).alias("h"), (F.col("b") - F.col("a")).alias("d"))
-    steps = np.array([math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)])
+    d = base.select(key, F.col("score").alias("a")).join(variant.select(key, F.col("score").alias("b")), key).select(F.col(key).cast("string").alias("k"), (F.col("b") - F.col("a")).alias("d"))
+    bounds, eighths = np.array(WEIGHT_BOUNDS), -(-rounds // 8)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, mix = np.arange(rounds, dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             weight, total = np.zeros(rounds), np.zeros(rounds)
-            for lo in range(0, batch.num_rows, 1000):
-                h, x = batch.column("h").to_numpy()[lo : lo + 1000].view(np.uint64), batch.column("d").to_numpy(zero_copy_only=False)[lo : lo + 1000]
-                u = (h[:, None] ^ number * mix) * mix
-                u = (u ^ u >> np.uint64(29)) * mix
-                w = np.searchsorted(steps, (u >> np.uint64(11)) / 2.0**53)
-                weight += w.sum(axis=0)
-                total += x @ w
-            yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int64)), pa.array(weight), pa.array(total)], names=["round", "w", "s"])
+            for k, x in zip(batch.column("k").to_pylist(), batch.column("d").to_pylist(), strict=True):
+                digits = b"".join(hashlib.md5(f"{seed}:{k}:{e}".encode()).digest() for e in range(eighths))
+                w = np.searchsorted(bounds, np.frombuffer(digits, ">u2")[:rounds], "right")
+                weight += w
+                total += x * w
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(weight), pa.array(total)], names=["round", "w", "s"])
 
     means = d.where("d IS NOT NULL").mapInArrow(weigh, "round long, w double, s double").groupBy("round").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m")).where("m IS NOT NULL")
     got = means.agg(F.array_sort(F.collect_list("m")).alias("m"), F.count("*").alias("n")).crossJoin(F.broadcast(d.agg(F.avg("d").alias("mean_diff"))))  # one value per round
@@ -299,6 +304,54 @@ def bootstrap_interval(base: DataFrame, variant: DataFrame, key: str = "test_id"
     return got.where("n > 0").select(F.bround("mean_diff", 4).alias("mean_diff"), F.bround(low, 4).alias("low"), F.bround(high, 4).alias("high"), (low > 0).alias("significant"))
 
 
+def models_of(scored: DataFrame, limit: int = 200) -> list[str]:
+    """The models of a report in order, columns of its sheets; a ValueError beyond ``limit``."""
+    found = [r[0] for r in scored.select("model_id").where("model_id IS NOT NULL").distinct().orderBy("model_id").limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"more than {limit} models")
+    return found
+
+
+def verdict_sheet(scored: DataFrame, models: list[str]) -> DataFrame:
+    """A row a test: task, legacy output and verdict, then ``<model> output`` and ``<model> verdict``, empty and 'N/A' where a model has none."""
+    mine = lambda m, c: F.max(F.when(F.col("model_id") == m, F.col(c)))
+    columns = [x for m in models for x in (F.coalesce(mine(m, "output_text"), F.lit("")).alias(f"{m} output"), F.coalesce(mine(m, "verdict"), F.lit("N/A")).alias(f"{m} verdict"))]
+    return verdict_table(scored).groupBy("test_id", "task", "legacy_output", "legacy_verdict").agg(*columns)
+
+
+def overview_sheet(aggregates: DataFrame, tasks: list[str]) -> DataFrame:
+    """A row a model: rounded mean score by task, empty where it has none, and overall, as text."""
+    shown = lambda c: F.when(c.isNotNull(), F.format_string("%.3f", F.bround(c, 3))).otherwise("")
+    cell = lambda t: shown(F.max(F.when(F.col("task") == t, F.col("avg_score")))).alias(t)
+    return aggregates.groupBy(F.col("model_id").alias("Model")).agg(*map(cell, tasks), shown(F.max(F.when(F.col("task").isNull(), F.col("avg_score")))).alias("Overall"))
+
+
+#: Columns of the inference log.
+LOG = "test_id string, model_id string, task string, success boolean, retries long, latency_ms double, input_tokens long, output_tokens long, error string, ts string"
+
+
+def validated_log(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
+    """JSON lines of the inference log -> (a row for each (test, model), rejected lines with their reason).
+
+    Rejected: what does not fit the schema (``malformed``), lacks test or model (``no key``), or has a negative count or
+    time (``negative``). Of a call that was retried, the row with most retries stays, then the latest, then the first by
+    its text. Blank lines are dropped.
+    """
+    schema = f"{LOG}, broken string"
+    some = lines.where(T.strip(F.col(line)) != "").select(F.col(line).alias("line"))
+    parsed = some.withColumn("r", F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    amounts = [F.coalesce(F.col(f"r.{c}") < 0, F.lit(False)) for c in ("retries", "latency_ms", "input_tokens", "output_tokens")]
+    reason = (
+        F.when(F.col("r").isNull() | F.col("r.broken").isNotNull(), "malformed")
+        .when((F.coalesce("r.test_id", F.lit("")) == "") | (F.coalesce("r.model_id", F.lit("")) == ""), "no key")
+        .when(functools.reduce(Column.__or__, amounts), "negative")
+    )
+    judged = parsed.withColumn("reason", reason)
+    good = judged.where("reason IS NULL").select("r.*", "line").drop("broken")
+    once = keep_first(good, ["test_id", "model_id"], [F.desc_nulls_last("retries"), F.desc_nulls_last("ts"), "line"])
+    return once.drop("line").withColumn("ts", F.try_to_timestamp("ts")), judged.where("reason IS NOT NULL").select(F.col("line").alias(line), "reason")
+
+
 def status_counts(jobs: DataFrame) -> DataFrame:
     """running, completed, failed: jobs by status; other statuses count for none."""
     return jobs.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("running", "completed", "failed")))

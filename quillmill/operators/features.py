@@ -6,50 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.operators.relational import clip_low, drop_open_zero_sales, flag
-from quillmill.sources.staging import staged
+from quillmill.operators.selection import grouped_medians
+from quillmill.sources.staging import sized, staged
 
 WEATHER = ["temperature_avg", "temperature_min", "temperature_max", "precipitation_mm"]
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 CATEGORICALS = ["type_code", "level_code", "state", "weather_event"]
 
 
-def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with the exact median of each column over the whole table, null for a column of nulls.
-
-    No task sees all values: a first pass finds two bounds that have the median between them (approximate quantiles with
-    their error added), a second one counts what lies below and keeps the few values between. ``df`` should be staged.
-    """
-    spread, error = 0.001, 0.0005
-    bounds = df.agg(*(F.percentile_approx(F.col(c).cast("double"), [0.5 - spread - error, 0.5 + spread + error], int(1 / error)).alias(c) for c in columns))
-    named = [F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"), F.col(f"__b_{c}").alias("b")) for c in columns]
-    rows = df.select(*columns).crossJoin(F.broadcast(bounds.select(*(F.col(c).alias(f"__b_{c}") for c in columns)))).select(F.inline(F.array(*named)))
-    between = F.col("v").between(F.get("b", F.lit(0)), F.get("b", F.lit(1)))
-    place = F.when(F.col("v") < F.get("b", F.lit(0)), F.lit(-1)).when(~between, F.lit(1)).otherwise(F.lit(0))
-    counted = rows.where("v IS NOT NULL").groupBy("c", place.alias("place"), F.when(between, F.col("v")).alias("v")).agg(F.count("*").alias("n"))
-    up_to = F.sum("n").over(Window.partitionBy("c").orderBy("place", "v"))
-    total = F.sum("n").over(Window.partitionBy("c"))
-    at = counted.withColumns({"hi": up_to, "lo": up_to - F.col("n"), "total": total})
-    holds = lambda k: F.max(F.when((F.col("lo") < k) & (F.col("hi") >= k), F.col("v")))
-    found = at.groupBy("c").agg(((holds(F.floor((F.col("total") + 1) / 2)) + holds(F.floor(F.col("total") / 2) + 1)) / 2).alias("v"))
-    return found.agg(*(F.max(F.when(F.col("c") == c, F.col("v"))).alias(c) for c in columns))
-
-
 def impute_medians(df: DataFrame, rules: dict[str, list[list[str]]]) -> DataFrame:
     """Fill each column's nulls by the exact median of the first of its key sets that has one; [] is the whole table.
 
-    One aggregate per key set serves all columns that use it. Medians are small and joined back, so the facts are never
-    sorted by a window. ``df`` is read several times and should be staged.
+    All medians come from two passes (``selection``); they are small tables joined back, so the facts are never sorted or
+    shuffled for them. ``df`` is read several times and should be staged.
     """
-    keysets = [list(k) for k in dict.fromkeys(tuple(k) for sets in rules.values() for k in sets)]
+    keysets = list(dict.fromkeys(tuple(k) for sets in rules.values() for k in sets))
+    found = grouped_medians(df, {k: [c for c, sets in rules.items() if list(k) in sets] for k in keysets})
     out = df
     for i, keys in enumerate(keysets):
-        columns = [c for c, sets in rules.items() if keys in sets]
-        if keys:
-            out = out.join(df.groupBy(*keys).agg(*(F.median(c).alias(f"__m{i}_{c}") for c in columns)), keys, "left")
-        else:
-            whole = medians(df, columns)
-            out = out.crossJoin(F.broadcast(whole.select(*(F.col(c).alias(f"__m{i}_{c}") for c in columns))))
-    filled = {c: F.coalesce(c, *(F.col(f"__m{keysets.index(k)}_{c}") for k in sets)) for c, sets in rules.items()}
+        own = sized(found[keys].select(*keys, *(F.col(c).alias(f"__m{i}_{c}") for c in found[keys].columns if c not in keys)))
+        out = out.join(own, list(keys), "left") if keys else out.crossJoin(own)
+    filled = {c: F.coalesce(c, *(F.col(f"__m{keysets.index(tuple(k))}_{c}") for k in sets)) for c, sets in rules.items()}
     return out.select(*(filled[c].alias(c) if c in filled else F.col(c) for c in df.columns))
 
 
@@ -125,34 +102,40 @@ def calendar_features(df: DataFrame) -> DataFrame:
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``<column>_enc``: the alphabetical rank from 0 of each value over all rows; null counts as the string 'None'."""
+    """``<column>_enc``: the alphabetical rank from 0 of each value over all rows; null counts as the string 'None'.
+
+    One pass finds the distinct values of all columns; the codes are a small table each, joined back.
+    """
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    named = F.inline(F.array(*(F.struct(F.lit(c).alias("c"), value(c).alias("v")) for c in columns)))
+    codes = staged(df.select(named).distinct().withColumn("code", F.dense_rank().over(Window.partitionBy("c").orderBy("v")) - 1), "codes")
     out = df
     for c in columns:
-        value = F.coalesce(F.col(c).cast("string"), F.lit("None"))
-        codes = df.select(value.alias(f"__{c}")).distinct()
-        codes = codes.withColumn(f"{c}_enc", F.dense_rank().over(Window.orderBy(f"__{c}")) - 1)  # distinct values only
-        out = out.withColumn(f"__{c}", value).join(codes, f"__{c}", "left").drop(f"__{c}")
+        own = codes.where(F.col("c") == c).select(F.col("v").alias(f"__{c}"), F.col("code").alias(f"{c}_enc"))
+        out = out.withColumn(f"__{c}", value(c)).join(sized(own), f"__{c}", "left").drop(f"__{c}")
     return out
 
 
 def target_encode(df: DataFrame) -> DataFrame:
     """Store mean and median, (store, weekday) and (state, month) means of training sales.
 
-    Request rows never contribute. Gaps are filled by the median of the joined column, which is the groups' own values
-    weighted by their rows: no second pass over the joined facts.
+    Request rows never contribute. Means come from one table of sums by all these keys, medians from ``selection``. Gaps are
+    filled by the median of the joined column, which is the groups' own values weighted by their rows: no second pass
+    over the joined facts.
     """
     sales = F.when(F.col("is_train") == 1, F.col("sales"))
+    sums = staged(df.groupBy("store_id", "state", "day_of_week", "month").agg(F.sum(sales).alias("t"), F.count(sales).alias("k"), F.count("*").alias("__n")), "sums")
+    middles = grouped_medians(df.select("store_id", sales.alias("store_med_sales")), {("store_id",): ["store_med_sales"]})["store_id",]
+    mean = F.try_divide(F.sum("t"), F.sum("k"))
     out = df
-    for keys, encodings in (
-        (["store_id"], {"store_avg_sales": F.avg(sales), "store_med_sales": F.median(sales)}),
-        (["store_id", "day_of_week"], {"store_dow_avg": F.avg(sales)}),
-        (["state", "month"], {"state_month_avg": F.avg(sales)}),
-    ):
-        groups = staged(df.groupBy(*keys).agg(*(c.alias(f"__{name}") for name, c in encodings.items()), F.count("*").alias("__n")), "encodings")
-        middle = groups.agg(*(F.percentile(f"__{name}", 0.5, F.col("__n")).alias(name) for name in encodings))
-        filled = groups.crossJoin(F.broadcast(middle)).select(*keys, *(F.coalesce(f"__{name}", name).alias(name) for name in encodings))
-        out = out.join(filled, keys, "left")  # rows of a null key get the middle below
-        out = out.crossJoin(F.broadcast(middle.select(*(F.col(c).alias(f"__{c}") for c in encodings)))).withColumns({c: F.coalesce(c, f"__{c}") for c in encodings}).drop(*(f"__{c}" for c in encodings))
+    for keys, name in ((["store_id"], "store_avg_sales"), (["store_id", "day_of_week"], "store_dow_avg"), (["state", "month"], "state_month_avg")):
+        groups, names = sums.groupBy(*keys).agg(mean.alias(name), F.sum("__n").alias("__n")), [name]
+        if name == "store_avg_sales":
+            groups, names = groups.join(middles.hint("shuffle_hash"), "store_id", "left"), [name, "store_med_sales"]
+        groups = staged(groups, "encodings")
+        middle = groups.agg(*(F.percentile(c, 0.5, F.col("__n")).alias(f"__{c}") for c in names))
+        out = out.join(sized(groups.drop("__n")), keys, "left").crossJoin(F.broadcast(middle))  # a row of a null key gets the middle, too
+        out = out.withColumns({c: F.coalesce(c, f"__{c}") for c in names}).drop(*(f"__{c}" for c in names))
     return out
 
 
@@ -182,8 +165,6 @@ def continuous_promo(df: DataFrame, promo: DataFrame) -> DataFrame:
 
 def build_features(df: DataFrame, promo_days: DataFrame, promo: DataFrame) -> DataFrame:
     """The fixed order: impute, calendar, labels, targets, interactions, promotions, then dropping zero-sales rows."""
-    x = impute_all(staged(df, "fact"))
-    x = staged(calendar_features(x), "calendar")
-    x = staged(label_encode(x, CATEGORICALS), "labels")
-    x = interactions(target_encode(x))
+    x = staged(calendar_features(impute_all(staged(df, "fact"))), "imputed")
+    x = interactions(target_encode(label_encode(x, CATEGORICALS)))
     return drop_open_zero_sales(continuous_promo(promo_flag(x, promo_days), promo))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
@@ -30,6 +30,11 @@ def read_records(lines: DataFrame, line: str = "value") -> tuple[DataFrame, Data
     return good.select(*(c for c in lines.columns if c != line), "keys", *map(get, names), messages), keyed.where("keys IS NULL").drop("keys")
 
 
+def is_quarantined(line: Column) -> Column:
+    """Whether a line is neither blank nor a JSON object."""
+    return (T.strip(line) != "") & F.json_object_keys(F.when(F.try_parse_json(line).isNotNull(), line)).isNull()
+
+
 def is_valid(keys: Column, messages: Column) -> Column:
     """All required keys present (null values allowed) and a list of messages with a system and a user one."""
     has = lambda r: F.coalesce(F.exists(messages, lambda m: m["role"] == r), F.lit(False))
@@ -103,6 +108,7 @@ def generated_records(generated: DataFrame, text: str = "text") -> DataFrame:
     return one.select(
         F.concat(F.lit("synth_"), F.substring(F.sha2(content, 256), 1, 12)).alias("test_id"), "agent_id", messages.alias("messages"), F.col("x.ground_truth").alias("ground_truth"),
         output_type(F.col("task")).alias("expected_output_type"), F.lit(None).cast("string").alias("output"),
+        F.struct(F.lit(True).alias("synthetic"), F.col("task").alias("source_task"), (F.col("edge_case") if "edge_case" in generated.columns else F.lit(False)).alias("edge_case")).alias("metadata"),
     )
 
 
@@ -115,10 +121,22 @@ def edge_quota(n: int) -> int:
     return max(2, n // 2)
 
 
+def generation_requests(tasks: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """tasks(task), seeds(task, test_id) -> task, n, edge_case, seed_ids: what to ask for, ``n`` examples a task and, where a task
+    has seeds, its quota of edge cases on top, with five seeds at most."""
+    own = first_k(seeds.select("task", "test_id").distinct(), ["task"], ["test_id"], 5).groupBy("task").agg(F.array_sort(F.collect_list("test_id")).alias("seed_ids"))
+    none = F.array().cast("array<string>")
+    base = tasks.select("task").distinct().select("task", F.lit(n).alias("n"), F.lit(False).alias("edge_case"), none.alias("seed_ids"))
+    return base.unionByName(base.select("task").join(own, "task").select("task", F.lit(edge_quota(n)).alias("n"), F.lit(True).alias("edge_case"), "seed_ids"))
+
+
+def with_tasks(records: DataFrame, tasks: DataFrame, default: str = TASKS[0]) -> DataFrame:
+    """Every record with its agent's ``task``; agents without one, and records without agent, have the default."""
+    agent = F.coalesce("agent_id", F.lit("unknown"))
+    named = tasks.select(F.coalesce("agent_id", F.lit("unknown")).alias("__agent"), F.col("task").alias("__task")).dropDuplicates(["__agent"])
+    return records.withColumn("__agent", agent).join(named, "__agent", "left").withColumn("task", F.coalesce("__task", F.lit(default))).drop("__agent", "__task")
+
+
 def agents_by_task(profile: DataFrame, tasks: DataFrame) -> DataFrame:
     """Per task: records, agents, the largest agent."""
     return profile.join(tasks, "agent_id").groupBy("task").agg(F.sum("n_records").alias("n_records"), F.count("*").alias("n_agents"), F.max("n_records").alias("largest"))
-
-
-def ordered(df: DataFrame, key: str) -> Column:
-    return F.row_number().over(Window.partitionBy(key).orderBy("seq"))

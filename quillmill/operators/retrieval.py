@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import entity_id
 from quillmill.operators.features import MONTHS
+from quillmill.sources.staging import staged
 
-#: Queries whose vectors go to every task in one pass.
-QUERIES = 20_000
+#: Pivots at most, whose vectors go to every task, and items of a pivot that meet a query in one task.
+PIVOTS, CROWD = 1000, 20_000
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 #: Label and form of the sentences on means.
 MEANS = {
@@ -67,25 +66,64 @@ def store_documents(df: DataFrame, title: str = "Store ID") -> DataFrame:
     return own.select("store_id", F.concat_ws(" ", *sentences).alias("content"))
 
 
-def nearest(items: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "embedding") -> DataFrame:
+def l2(a: str, b: str) -> Column:
+    """Distance of two columns of vectors."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+
+
+def nearest(items: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "embedding", pivots: int | None = None) -> DataFrame:
     """Exact k nearest by L2 distance, ties to the smaller id -> query_id, id, distance, rank.
 
-    Items are scored against the query side in passes of about ``QUERIES`` queries, whose vectors are broadcast; each
-    task keeps its own k best per query before the shuffle (Spark limits the window's groups early).
+    Every item belongs to its nearest pivot. A query looks into its nearest pivots' items first, until these are k; the
+    k-th distance there is a bound for all. Of the other items only those can be nearer whose distance to their pivot differs from
+    the query's by less than the bound (triangle inequality) and whose pivot is not farther off than the query's by
+    twice the bound. Items and queries meet in a shuffle by pivot, crowded pivots in several parts.
     """
-    v = lambda c: F.col(c).cast("array<double>")
-    q = queries.select(F.col(id).alias("query_id"), v(vector).alias("q"))
-    passes = -(-q.count() // QUERIES) or 1
-    parts = [q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else q for i in range(passes)]
-    found = [_nearest(items.select(F.col(id).alias("id"), v(vector).alias("v")), part, k) for part in parts]
-    return functools.reduce(DataFrame.unionByName, found)
+    return top_k(pairs(items, queries, k, id, vector, pivots), k)
 
 
-def _nearest(items: DataFrame, q: DataFrame, k: int) -> DataFrame:
-    both = items.crossJoin(F.broadcast(q))
-    square = F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+def top_k(scored: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return both.select("query_id", "id", F.sqrt(square).alias("distance")).withColumn("rank", place).where(F.col("rank") <= k)
+    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def assigned(items: DataFrame, pivots: DataFrame, pivot_limit: int = PIVOTS) -> DataFrame:
+    """items(id, v) and pivots(p, pv), ``pivot_limit`` at most -> id, v, p, dp: the nearest pivot and its distance."""
+    each = F.transform("ps", lambda x: F.struct(F.sqrt(F.aggregate(F.zip_with("v", x["pv"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, y: t + y)).alias("dp"), x["p"].alias("p")))
+    all_ = pivots.limit(pivot_limit).agg(F.collect_list(F.struct("p", "pv")).alias("ps"))  # one row of bounded size
+    return items.crossJoin(F.broadcast(all_)).select("id", "v", F.array_sort(each).alias("d")).where(F.size("d") > 0)
+
+
+def pairs(items: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "embedding", pivots: int | None = None) -> DataFrame:
+    """-> query_id, id, distance: the pairs that ``nearest`` has to look at, the k nearest of each query among them."""
+    vectors = lambda df: df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    given = staged(vectors(items), "vectors")
+    n = given.count()
+    m = min(pivots or max(1, round(2 * n**0.5)), PIVOTS)
+    chosen = staged(given.orderBy(F.xxhash64("id"), "id").limit(m).select(F.col("id").alias("p"), F.col("v").alias("pv")), "pivots")
+    own = assigned(given, chosen).select("id", "v", F.col("d")[0]["p"].alias("p"), F.col("d")[0]["dp"].alias("dp"))
+    own = staged(own, "assigned")
+    sizes = staged(own.groupBy("p").agg(F.count("*").alias("n"), F.min("dp").alias("lo"), F.max("dp").alias("hi"), F.ceil(F.count("*") / CROWD).cast("int").alias("parts")), "pivot-sizes")
+    deal = own.join(F.broadcast(sizes.select("p", "parts")), "p").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))  # as many as pivots at most
+    asked = assigned(vectors(queries), chosen).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("d")[0]["dp"].alias("near"), F.posexplode("d").alias("place", "x"))
+    asked = asked.select("query_id", "q", "near", "place", F.col("x.p").alias("p"), F.col("x.dp").alias("dq")).join(F.broadcast(sizes), "p")
+    asked = staged(asked, "query-pivots")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = staged(asked.withColumn("before", before).where(F.col("before") < k), "first-pivots")
+
+    def met(some: DataFrame) -> DataFrame:
+        spread = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        both = deal.drop("parts").join(spread.drop("parts").hint("shuffle_merge"), ["p", "part"])
+        if "bound" in some.columns:
+            both = both.where(F.abs(F.col("dq") - F.col("dp")) <= F.col("bound"))
+        return both.select("query_id", "id", l2("v", "q").alias("distance"))
+
+    start = staged(met(first), "first-pairs")
+    bound = top_k(start, k).groupBy("query_id").agg(F.max("distance").alias("t"), F.count("*").alias("n_found"))
+    slack = F.col("t") * (1 + 1e-9) + 1e-9  # what rounding may add
+    rest = asked.join(first.select("query_id", "p"), ["query_id", "p"], "left_anti").join(bound.hint("shuffle_hash"), "query_id").withColumn("bound", slack)
+    rest = rest.where((F.col("dq") - F.col("hi") <= F.col("bound")) & (F.col("lo") - F.col("dq") <= F.col("bound")) & (F.col("dq") - F.col("near") <= 2 * F.col("bound")))
+    return start.unionByName(met(rest))
 
 
 def forced_context(hits: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:

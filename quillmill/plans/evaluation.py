@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,11 @@ from quillmill.operators import records as N
 from quillmill.operators import retrieval as V
 from quillmill.operators.features import continuous_promo, promo_flag
 from quillmill.operators.relational import restrict_or_all
+from quillmill.operators.vectors import read_vectors, upsert_vectors
 from quillmill.plans.analogues import Retail, retail_sql
 from quillmill.plans.retail import rounded, staged_fact
 from quillmill.plans.task_rules import RULES, task_rules
+from quillmill.sources.staging import shared_folder, staged
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -272,19 +275,28 @@ def _pii(column: str) -> str:
     return "list_distinct(flatten([" + ", ".join(f"regexp_extract_all({column}, '{p}')" for p in T.PII_PATTERNS) + "]))"
 
 
+_MINUS = "list_filter({0}, lambda e: NOT list_contains({1}, e))"
+
+
 @query(
     "eval_pii_redaction",
-    """SELECT doc_id, found AS entities_found, least(leaked, found) AS leaked, round(CASE WHEN found = 0 THEN 1.0 ELSE (found - leaked) / found END, 3) AS recall FROM (
-       SELECT doc_id, len(i) AS found, len(list_intersect(i, o)) AS leaked FROM (SELECT doc_id, """
-    + _pii("text")
-    + " AS i, "
-    + _pii("regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[EMAIL]', 'g')")
-    + " AS o FROM documents))",
-)
+    """SELECT doc_id, found AS entities_found, CASE WHEN n = 0 THEN 0 ELSE fn END AS leaked, round_even(recall, 3) AS recall, round_even(prec, 3) AS precision,
+       round_even(CASE WHEN n = 0 THEN prec WHEN prec + recall > 0 THEN 2 * prec * recall / (prec + recall) ELSE 0.0 END, 3) AS f1 FROM (
+       SELECT *, CASE WHEN n = 0 THEN 1.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN n = 0 THEN CASE WHEN extra = 0 THEN 1.0 ELSE 0.0 END WHEN tp + extra = 0 THEN 1.0 ELSE tp / (tp + extra) END AS prec FROM (
+       SELECT doc_id, len(i) AS found, len(target) AS n, len(list_intersect(target, o)) AS fn, len(target) - len(list_intersect(target, o)) AS tp, len(extras) AS extra FROM (
+       SELECT *, CASE WHEN told THEN """ + _MINUS.format("i", "t") + " ELSE i END AS target, CASE WHEN told THEN " + _MINUS.format("o", "t") + " ELSE " + _MINUS.format("o", "i") + """ END AS extras FROM (
+       SELECT doc_id, doc_id % 2 = 0 AS told, """
+    + _pii("text") + " AS i, " + _pii("regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', CASE WHEN doc_id % 3 = 0 THEN 'a@b.org' ELSE '[EMAIL]' END, 'g')") + " AS o, "
+    + _pii("regexp_replace(text, '[0-9]{3}', '[N]', 'g')")
+    + " AS t FROM documents))))",
+)
 def pii(t):
-    out = F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[EMAIL]")
-    r = T.redaction(F.col("text"), out, F.lit(None).cast("string"))
-    return t.read("documents").select("doc_id", r.alias("r")).select("doc_id", "r.entities_found", "r.leaked", F.round("r.recall", 3).alias("recall"))
+    """E-mails redacted, by a third into another one; for half the documents the truth leaves e-mails and takes numbers out."""
+    mail = F.when(F.col("doc_id") % 3 == 0, "a@b.org").otherwise("[EMAIL]")
+    out = F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"), mail)).otherwise(F.col("text"))
+    truth = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "[0-9]{3}", "[N]"))
+    r = T.redaction(F.col("text"), out, truth)
+    return t.read("documents").select("doc_id", r.alias("r")).select("doc_id", *(f"r.{c}" for c in ("entities_found", "leaked", "recall", "precision", "f1")))
 
 
 _RANKED = """ranks AS (SELECT *, CASE WHEN len(numbered) >= 2 THEN numbered WHEN len(parts) >= 2 THEN list_filter(parts, lambda x: x <> '') ELSE [] END AS ranked FROM (
@@ -361,7 +373,8 @@ def composite(t):
         output.alias("output_text"), truth.alias("ground_truth"), (((F.col("conv_id") * 3 + turn) % 10) / 10).alias("judge_score"), F.lit("mail a@b.com call 555-123-4567").alias("given"),
         F.when(turn % 4 != 0, 1.0).alias("code_syntax"), F.when(turn % 4 >= 2, 0.5).alias("code_run"), F.when(turn % 4 == 3, 1.0).alias("code_tests"),
     )
-    return E.evaluate(log, "judge").select("conv_id", "turn", "task", "success", "score", "correct")
+    own = log.withColumn("model_id", F.lit("judge"))  # the judge's own answers are left out
+    return E.evaluate(log.unionByName(own), "judge").select("conv_id", "turn", "task", "success", "score", "correct")
 
 
 @query(
@@ -423,15 +436,21 @@ def beam(t):
     return E.beam(x.withColumns({"is_candidate": F.when(F.col("model_id") == "m0", 0).otherwise(1), "idx": F.concat("task", "model_id")}), 3).select("task", "model_id", "avg_score")
 
 
+_WORDS = "list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> '')"
+
+
 @query(
     "eval_ablation",
-    """SELECT conv_id, iteration, round(s - b, 4) AS delta, CASE WHEN s > b THEN 'positive' WHEN s < b THEN 'negative' ELSE 'neutral' END AS effect FROM (
-       SELECT *, lag(s) OVER (PARTITION BY conv_id ORDER BY iteration) AS b FROM (SELECT conv_id, turn AS iteration, avg(length(text) % 10) AS s FROM conversations GROUP BY ALL)) WHERE b IS NOT NULL""",
-)
+    """SELECT conv_id, iteration, round(s - b, 4) AS delta, CASE WHEN s > b THEN 'positive' WHEN s < b THEN 'negative' ELSE 'neutral' END AS effect,
+       array_to_string(list_filter(w, lambda x, i: NOT list_contains(v, x) AND list_position(w, x) = i)[1:10], ' ') AS added,
+       array_to_string(list_filter(v, lambda x, i: NOT list_contains(w, x) AND list_position(v, x) = i)[1:10], ' ') AS removed FROM (
+       SELECT *, lag(s) OVER o AS b, lag(w) OVER o AS v FROM (SELECT conv_id, turn AS iteration, avg(length(text) % 10) AS s, """ + _WORDS.format("min(text)") + """ AS w FROM conversations GROUP BY ALL)
+       WINDOW o AS (PARTITION BY conv_id ORDER BY iteration)) WHERE b IS NOT NULL""",
+)
 def ablation(t):
     """Each conversation as a history of prompts, its turns as iterations."""
     history = t.read("conversations").groupBy("conv_id", F.col("turn").alias("iteration")).agg(F.min("text").alias("prompt"), F.avg((F.length("text") % 10).cast("double")).alias("avg_score"))
-    return E.ablation(history, ["conv_id"]).select("conv_id", "iteration", "delta", "effect")
+    return E.ablation(history, ["conv_id"]).withColumns({c: F.array_join(c, " ") for c in ("added", "removed")})
 
 
 def _two(t) -> tuple[DataFrame, DataFrame]:
@@ -440,21 +459,80 @@ def _two(t) -> tuple[DataFrame, DataFrame]:
     return mean("m0"), mean("m1")
 
 
+_DIFFS = """diffs AS (SELECT CAST(k AS VARCHAR) AS k, b.s - a.s AS d FROM (SELECT seq // 8 AS k, avg(score) AS s FROM scored WHERE model_id = 'm0' GROUP BY 1) a
+    JOIN (SELECT seq // 8 AS k, avg(score) AS s FROM scored WHERE model_id = 'm1' GROUP BY 1) b USING (k))"""
+
+
 @query(
     "eval_paired_t",
-    """SELECT n, round(md, 6) AS mean_diff, round_even(md / (sd / sqrt(n)), 4) AS t FROM (SELECT count(*) AS n, avg(d) AS md, stddev_samp(d) AS sd FROM (
-       SELECT b.s - a.s AS d FROM (SELECT seq // 8 AS k, avg(score) AS s FROM scored WHERE model_id = 'm0' GROUP BY 1) a JOIN (SELECT seq // 8 AS k, avg(score) AS s FROM scored WHERE model_id = 'm1' GROUP BY 1) b USING (k)))""",
+    """SELECT n, round(md, 6) AS mean_diff, round_even(t, 4) AS t, round_even(p, 4) AS p, p < 0.05 AS significant FROM (
+       SELECT n, md, t, (SELECT sum(w * cos(u) ** (n - 2)) * (pi() / 2 - h) FROM tail) / (SELECT sum(w * cos(u) ** (n - 2)) * pi() FROM span) AS p FROM test)""",
+    _DIFFS,
+    # t = sqrt(n - 1) * tan(u) turns the density into a power of the cosine; Simpson's rule over the tail and over the whole
+    """test AS (SELECT *, md / (sd / sqrt(n)) AS t, atan(md / (sd / sqrt(n)) / sqrt(n - 1)) AS h FROM (SELECT count(*) AS n, avg(d) AS md, stddev_samp(d) AS sd FROM diffs)),
+steps AS (SELECT i, CASE WHEN i IN (0, 100000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 300000 AS w FROM range(100001) r(i)),
+tail AS (SELECT w, h + (pi() / 2 - h) * i / 100000 AS u FROM steps, test), span AS (SELECT w, pi() * (i / 100000 - 0.5) AS u FROM steps)""",
 )
 def paired(t):
     a, b = _two(t)
-    return E.paired_t_test(a, b).select("n", F.round("mean_diff", 6).alias("mean_diff"), "t")
+    return E.paired_t_test(a, b).withColumn("mean_diff", F.round("mean_diff", 6))
 
 
-@query("eval_bootstrap")
+@query(
+    "eval_bootstrap",
+    """SELECT round_even((SELECT avg(d) FROM diffs), 4) AS mean_diff, round_even(m[CAST(floor(len(m) * 0.025) AS INTEGER) + 1], 4) AS low, round_even(m[CAST(floor(len(m) * 0.975) AS INTEGER) + 1], 4) AS high,
+       m[CAST(floor(len(m) * 0.025) AS INTEGER) + 1] > 0 AS significant FROM (SELECT list_sort(list(m)) AS m FROM (SELECT r, sum(w * d) / sum(w) AS m FROM weights GROUP BY r) WHERE m IS NOT NULL)""",
+    _DIFFS,
+    f"""digits AS (SELECT d, e, md5('42:' || k || ':' || e) AS x FROM diffs, range(125) r(e)),
+weights AS (SELECT e * 8 + i AS r, d, {" + ".join(f"CAST(u >= {x} AS INTEGER)" for x in E.WEIGHT_BOUNDS)} AS w FROM (SELECT e, i, d, CAST('0x' || substr(x, CAST(4 * i + 1 AS BIGINT), 4) AS INTEGER) AS u FROM digits, range(8) q(i)))""",
+)
 def bootstrap(t):
     return E.bootstrap_interval(*_two(t))
 
 
+@query(
+    "eval_verdict_sheet",
+    "SELECT test_id, task, legacy_output, legacy_verdict, " + ", ".join(f"coalesce(max(output_text) FILTER (model_id = '{m}'), '') AS \"{m} output\", coalesce(max(verdict) FILTER (model_id = '{m}'), 'N/A') AS \"{m} verdict\"" for m in ("m0", "m1", "m2", "m3")) + " FROM told GROUP BY ALL",
+    "few AS (SELECT * REPLACE (CAST(seq // 5 AS VARCHAR) AS test_id) FROM scored)",
+    """told AS (SELECT test_id, l.model_id, substr(l.output_text, 1, 500) AS output_text, CASE WHEN l.correct THEN 'CORRECT' ELSE 'INCORRECT' END AS verdict, h.task, substr(h.legacy_output, 1, 500) AS legacy_output,
+       CASE WHEN h.legacy_output IS NULL OR h.ground_truth IS NULL THEN 'N/A' WHEN contains(h.ground_truth, h.legacy_output) OR contains(h.legacy_output, h.ground_truth) THEN 'CORRECT' ELSE 'INCORRECT' END AS legacy_verdict
+       FROM (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY test_id, model_id ORDER BY seq DESC) = 1) l JOIN (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY seq) = 1) h USING (test_id))""",
+)
+def verdict_sheet(t):
+    return E.verdict_sheet(t.scored.withColumn("test_id", F.floor(F.col("seq") / 5).cast("string")), E.models_of(t.scored))
+
+
+@query(
+    "eval_overview_sheet",
+    'SELECT model_id AS "Model", ' + ", ".join(f"coalesce(format('{{:.3f}}', round_even(max(avg_score) FILTER (task = '{k}'), 3)), '') AS {k}" for k in _KINDS) + ", coalesce(format('{:.3f}', round_even(max(avg_score) FILTER (task IS NULL), 3)), '') AS \"Overall\" FROM lacking GROUP BY 1",
+    "lacking AS (SELECT * FROM agg WHERE NOT (coalesce(task, '') = 'view' AND model_id = 'm2'))",
+)
+def overview_sheet(t):
+    """One model lacks one task."""
+    return E.overview_sheet(E.score_aggregates(t.scored).where("NOT (coalesce(task, '') = 'view' AND model_id = 'm2')"), _KINDS)
+
+
+@query(
+    "eval_validated_log",
+    """SELECT 'kept' AS kind, count(*) AS n, CAST(sum(retries) AS BIGINT) AS retries, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM (SELECT i, max(r) AS retries, any_value(i % 17) AS output_tokens FROM calls WHERE reason IS NULL GROUP BY i)
+       UNION ALL SELECT reason, count(*), NULL, NULL FROM calls WHERE reason IS NOT NULL GROUP BY reason""",
+    """calls AS (SELECT event_id AS i, r, CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 'malformed' WHEN event_id % 19 = 0 THEN 'no key' WHEN event_id % 23 = 0 THEN 'negative' END AS reason
+       FROM events, range(3) q(r) WHERE r <= event_id % 3)""",
+)
+def validated(t):
+    """Every call with each of its tries; some lines cut off, of a wrong type, without model, or with a negative time."""
+    i, model = F.col("event_id"), F.concat(F.lit("m"), F.col("user_id") % 4)
+    tries = t.read("events").withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), i % 3)))
+    row = F.struct(i.cast("string").alias("test_id"), F.when(i % 19 != 0, model).alias("model_id"), F.col("event_type").alias("task"), (i % 11 != 0).alias("success"), F.col("r").alias("retries"),
+                   F.when(i % 23 == 0, -1.0).otherwise(F.col("value")).alias("latency_ms"), (i % 17).alias("output_tokens"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    text = F.to_json(row)
+    text = F.when(i % 13 == 0, F.substring(text, 1, 30)).when(i % 17 == 0, F.replace(text, F.lit('"retries":'), F.lit('"retries":"many","was":'))).otherwise(text)
+    good, bad = E.validated_log(tries.select(text.alias("value")))
+    none = F.lit(None).cast("long")
+    kept = good.agg(F.lit("kept").alias("kind"), F.count("*").alias("n"), F.sum("retries").alias("retries"), F.sum("output_tokens").alias("output_tokens"))
+    return kept.unionByName(bad.groupBy(F.col("reason").alias("kind")).agg(F.count("*").alias("n")).withColumns({"retries": none, "output_tokens": none}))
+
+
 # records
 
 _AGENT = "conv_id % 14"
@@ -520,14 +598,14 @@ def score_pivot(t):
     return N.task_score_pivot(N.task_scores(N.prompt_samples(_messages(t)), task_rules(t.spark)))
 
 
-def _lines(t) -> DataFrame:
+def _lines(t, *keep: str) -> DataFrame:
     """Records as JSON lines; by the number of the event some lack a key, a system message, or are cut off."""
     i = F.col("event_id")
     msgs = F.array(F.struct(F.when(i % 10 == 3, "assistant").otherwise("system").alias("role"), F.lit("Be brief.").alias("content")), F.struct(F.lit("user").alias("role"), F.col("event_type").alias("content")))
     full = F.struct(i.cast("string").alias("test_id"), msgs.alias("input_messages"), F.when(i % 3 != 0, F.col("event_type")).alias("ground_truth"), F.lit("label").alias("expected_output_type"), F.lit("{}").alias("metadata"), F.concat(F.lit("agent_"), F.col("user_id") % 14).alias("agent_id"), F.col("event_type").alias("output"))
     text = F.to_json(full, {"ignoreNullFields": "false"})
     text = F.when(i % 10 == 4, F.replace(text, F.lit('"metadata"'), F.lit('"meta"'))).when(i % 10 == 5, F.substring(text, 1, 20)).when(i % 10 == 6, F.lit("  ")).otherwise(text)
-    return t.read("events").select(text.alias("value"))
+    return t.read("events").select(text.alias("value"), *keep)
 
 
 @query(
@@ -549,14 +627,15 @@ def quarantine(t):
     return N.read_records(_lines(t))[1].agg(F.count("*").alias("n"))
 
 
-@query("records_generated", "SELECT 'agent_' || (user_id % 14) AS agent_id, event_type AS ground_truth, CASE event_type WHEN 'view' THEN 'label' ELSE 'text' END AS expected_output_type, count(*) AS n FROM events WHERE event_id % 4 <> 0 GROUP BY ALL")
+@query("records_generated", "SELECT 'agent_' || (user_id % 14) AS agent_id, event_type AS ground_truth, CASE event_type WHEN 'view' THEN 'label' ELSE 'text' END AS expected_output_type, true AS synthetic, CASE event_type WHEN 'view' THEN 'classification' ELSE 'translation' END AS source_task, false AS edge_case, count(*) AS n FROM events WHERE event_id % 4 <> 0 GROUP BY ALL")
 def generated(t):
     i = F.col("event_id")
     user = F.when(i % 4 != 0, F.concat(F.col("event_type"), i)).otherwise(F.lit(" "))
     text = F.to_json(F.array(F.struct(F.lit("Be brief.").alias("system"), user.alias("user"), F.col("event_type").alias("ground_truth"))))
     rows = t.read("events").select(F.concat(F.lit("agent_"), F.col("user_id") % 14).alias("agent_id"), F.when(F.col("event_type") == "view", "classification").otherwise("translation").alias("task"), text.alias("text"))
     made = N.generated_records(rows)
-    return made.groupBy("agent_id", "ground_truth", "expected_output_type").agg(F.count_distinct("test_id").alias("n"))
+    told = [F.col(f"metadata.{c}").alias(c) for c in ("synthetic", "source_task", "edge_case")]
+    return made.groupBy("agent_id", "ground_truth", "expected_output_type", *told).agg(F.count_distinct("test_id").alias("n"))
 
 
 @query("records_validation_gate", "SELECT test_id, model_id FROM scored WHERE CASE WHEN error IS NULL THEN score END >= 0.3 OR error IS NOT NULL")
@@ -598,6 +677,33 @@ def by_task(t):
     return N.agents_by_task(agents, agents.select("agent_id", F.when(even, "translation").otherwise("classification").alias("task")))
 
 
+@query(
+    "records_with_tasks",
+    """SELECT task, event_id % 10 NOT IN (3, 4) AS valid, count(*) AS n, count(DISTINCT agent_id) AS n_agents FROM (SELECT event_id, 'agent_' || (user_id % 14) AS agent_id,
+       CASE WHEN user_id % 14 = 13 THEN 'classification' WHEN user_id % 14 % 2 = 0 THEN 'translation' ELSE 'context_qa' END AS task FROM events WHERE event_id % 10 NOT IN (5, 6)) GROUP BY ALL""",
+)
+def tasks_attached(t):
+    """Every record bears its agent's task; one agent has none."""
+    good, _ = N.read_records(_lines(t))
+    records = good.withColumn("valid", N.is_valid(F.col("keys"), F.col("messages")))
+    number = F.regexp_extract("agent_id", r"\d+", 0).cast("int")
+    tasks = records.select("agent_id").distinct().where(number != 13).select("agent_id", F.when(number % 2 == 0, "translation").otherwise("context_qa").alias("task"))
+    return N.with_tasks(records, tasks).groupBy("task", "valid").agg(F.count("*").alias("n"), F.count_distinct("agent_id").alias("n_agents"))
+
+
+@query(
+    "records_generation_requests",
+    """SELECT task, 9 AS n, false AS edge_case, '' AS seeds FROM (SELECT DISTINCT task FROM scored) UNION ALL
+       SELECT task, 4, true, string_agg(test_id, ',' ORDER BY test_id) FROM (SELECT DISTINCT task, test_id FROM (
+         SELECT task, test_id, score, model_id, row_number() OVER (PARTITION BY task ORDER BY score, test_id, model_id) AS k FROM (SELECT * FROM scored WHERE score < 0.3 ORDER BY score, task, test_id, model_id LIMIT 50)) WHERE k <= 5
+         QUALIFY row_number() OVER (PARTITION BY task ORDER BY test_id) <= 5) GROUP BY task""",
+)
+def generation(t):
+    """Examples to ask for, and the quota of edge cases built on the worst results."""
+    asked = N.generation_requests(t.scored.select("task"), E.low_score_seeds(t.scored), 9)
+    return asked.select("task", "n", "edge_case", F.array_join("seed_ids", ",").alias("seeds"))
+
+
 @query("eval_job_status", "SELECT count(*) FILTER (event_type = 'view') AS running, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events")
 def job_status(t):
     status = F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("queued")
@@ -676,3 +782,41 @@ def forced(spark, sf_dir):
     texts = store_texts(Retail(spark, sf_dir)).withColumnRenamed("store_id", "store")
     named = e.join(texts.hint("shuffle_hash"), F.col("store") == F.col("id") % 10 + 1).select(F.col("id").alias("store_id"), "content")
     return V.context(V.forced_context(V.nearest(e, asked), questions), named)
+
+
+_VECTORS = """toks AS (SELECT store_id, unnest(regexp_extract_all(lower(content), '[a-z0-9.]+')) AS t FROM texts),
+tfs AS (SELECT store_id, CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 256 AS place, count(*) AS tf FROM toks GROUP BY ALL),
+idf AS (SELECT place, ln((1 + (SELECT count(*) FROM texts WHERE store_id % 2 = 0)) / (1 + count(*) FILTER (store_id % 2 = 0))) + 1 AS idf FROM tfs GROUP BY 1),
+wts AS (SELECT store_id, place, (1 + ln(tf)) * idf AS w FROM tfs JOIN idf USING (place)),
+vec AS (SELECT store_id, place, w / sqrt(sum(w * w) OVER (PARTITION BY store_id)) AS w FROM wts)"""
+
+
+def _vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of every other store make the table, cut short; those of all stores bring it up to date."""
+    docs = staged(store_texts(Retail(spark, sf_dir)).withColumnRenamed("store_id", "id"), "store-texts")
+    at = f"{shared_folder(spark)}/vector-table-{uuid.uuid4().hex}"
+    even = docs.where("id % 2 = 0")
+    upsert_vectors(even, at)
+    upsert_vectors(even.where("id % 4 = 0").withColumn("content", F.lit("gone")), at)
+    upsert_vectors(docs, at)
+    return read_vectors(spark, at)
+
+
+@retail_query("retrieval_vector_table", "SELECT store_id, CAST(place AS INTEGER) AS place, round(w, 6) AS weight FROM vec", _STORE_TEXTS, _VECTORS)
+def vector_table(spark, sf_dir):
+    found = _vector_table(spark, sf_dir).select(F.col("id").alias("store_id"), F.posexplode("embedding").alias("place", "weight"))
+    return rounded(found.where("weight <> 0"))
+
+
+@retail_query(
+    "retrieval_vector_search",
+    """SELECT query_id, id, rank, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank FROM (
+         SELECT a.store_id AS query_id, b.store_id AS id, sqrt(greatest(2 - 2 * coalesce(s, 0), 0)) AS d FROM texts a CROSS JOIN texts b LEFT JOIN (SELECT x.store_id AS p, y.store_id AS q, sum(x.w * y.w) AS s FROM vec x JOIN vec y USING (place) GROUP BY ALL) ON p = a.store_id AND q = b.store_id
+         WHERE a.store_id % 10 = 0 AND a.store_id <> b.store_id)) WHERE rank <= 5""",
+    _STORE_TEXTS, _VECTORS,
+)
+def vector_search(spark, sf_dir):
+    """The texts most like every tenth store's, its own aside."""
+    table = _vector_table(spark, sf_dir).select("id", "embedding")
+    found = V.nearest(table, table.where("id % 10 = 0"), 6).where("query_id <> id").select("query_id", "id", F.round("distance", 9).alias("distance"))
+    return rounded(V.top_k(found, 5), 4)

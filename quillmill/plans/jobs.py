@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 from quillmill.operators import modelling as M
 from quillmill.operators.evaluate import operative_metrics
 from quillmill.operators.features import build_features
-from quillmill.operators.records import read_records
+from quillmill.operators.records import is_quarantined, read_records
 from quillmill.operators.relational import temporal_split
 from quillmill.plans.analogues import Retail, retail_sql
 from quillmill.plans.evaluation import LOG_SQL, Log, _lines
-from quillmill.plans.retail import fact, plain, rounded
+from quillmill.plans.retail import fact, plain, settled
 from quillmill.sources.staging import shared_folder, staged
 from quillmill.sources import tables as S
 from quillmill.sources.tables import inventory, read_lines
@@ -94,6 +95,47 @@ def jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.agg(F.count("*").alias("n_records")).crossJoin(bad.agg(F.count("*").alias("n_quarantined")))
 
 
+_LOADED = ["nation", "customer", "orders"]
+
+
+@query(
+    "source_jdbc_snapshot",
+    " UNION ALL ".join(f"SELECT 'APP.{t.upper()}' AS name, 'ok' AS first_run, 'present' AS second_run, count(*) AS n, CAST(sum({t[0]}_{k}) AS BIGINT) AS keys FROM {t}" for t, k in zip(_LOADED, ("nationkey", "custkey", "orderkey"), strict=True))
+    + " UNION ALL SELECT 'APP.MISSING', 'failed', 'failed', NULL, NULL",
+)
+def jdbc_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given tables loaded into a database, copied out again by several tasks each, twice; one table does not exist.
+
+    The database lives in this process, so the query is for a single machine; a cluster's tasks need a server's address.
+    """
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    at = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    options = {"url": f"jdbc:derby:memory:quillmill{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    for t in _LOADED:
+        rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        rows.select(*(F.col(c).cast("timestamp").alias(c) if k == "timestamp_ntz" else F.col(c) for c, k in rows.dtypes)).coalesce(4).write.format("jdbc").options(**options, dbtable=f"APP.{t}").save()
+    names = {"APP": [*map(str.upper, _LOADED), "MISSING"]}
+    split = {"NATION": "n_nationkey", "CUSTOMER": "c_custkey", "ORDERS": "o_orderkey"}
+    runs = [S.snapshot_tables(spark, options, names, at, split, rows=1000) for _ in range(2)]
+    outcomes = [(n, runs[0][n].split(":")[0], runs[1][n].split(":")[0]) for n in runs[0]]
+    found = [spark.read.parquet(f"{at}/APP_{t.upper()}.parquet").agg(F.lit(f"APP.{t.upper()}").alias("name"), F.count("*").alias("n"), F.sum(split[t.upper()]).cast("bigint").alias("keys")) for t in _LOADED]
+    return spark.createDataFrame(outcomes, "name string, first_run string, second_run string").join(functools.reduce(DataFrame.unionByName, found), "name", "left")
+
+
+@query(
+    "source_bad_lines",
+    """SELECT part, line_no FROM (SELECT event_id % 3 AS part, event_id, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS line_no FROM events) WHERE event_id % 10 = 5""",
+)
+def bad_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are no record, by file and line, blank ones counted."""
+    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
+    rows = _lines(Log(spark, sf_dir), "event_id").withColumn("part", F.col("event_id") % 3)
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("value", "part").write.partitionBy("part").text(path)
+    lines = read_lines(spark, path)
+    found = S.line_numbers(lines, is_quarantined(F.col("value")))
+    return found.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("part"), F.col("line_no").cast("bigint").alias("line_no"))
+
+
 _SCORED = """
 dow AS (SELECT store_id, isodow(date) AS d, avg(sales) AS p FROM sales GROUP BY ALL), st AS (SELECT store_id, avg(sales) AS a FROM sales GROUP BY 1)"""
 
@@ -109,53 +151,92 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.rmspe(both).crossJoin(M.mae(both)).select(F.round("rmspe", 6).alias("rmspe"), F.round("mae", 4).alias("mae"))
 
 
-def _request_features(t: Retail) -> DataFrame:
-    history = staged(fact(t), "fact").where("is_train = 1")
-    return M.request_features(t.requests, history, t.promo_days, t.promo)
+def _request_features(t: Retail, needed: list[str] | None = None) -> DataFrame:
+    return M.request_features(t.requests, staged(fact(t), "fact"), t.promo_days, t.promo, needed)
 
 
 @query(
     "model_request_features",
     retail_sql(
-        """SELECT id, round(coalesce(p, a, 0), 4) AS store_dow_avg, round(coalesce(a, 0), 4) AS store_avg_sales, CASE WHEN pd.store_id IS NOT NULL THEN 1 ELSE 0 END AS promo
+        """SELECT id, round(round(coalesce(p, a, 0), 7), 4) AS store_dow_avg, round(round(coalesce(a, 0), 7), 4) AS store_avg_sales, round(coalesce(m, 0), 4) AS store_med_sales, round(round(coalesce(sm, 0), 7), 4) AS state_month_avg,
+           round(coalesce(w, x.ta, 0), 4) AS temperature_avg, round(coalesce(u, x.ur, 0), 4) AS unemployment_rate, CASE WHEN pd.store_id IS NOT NULL THEN 1 ELSE 0 END AS promo
            FROM requests r LEFT JOIN dow ON r.store_id = dow.store_id AND isodow(r.date) = d LEFT JOIN st ON r.store_id = st.store_id
+           LEFT JOIN (SELECT store_id, median(sales) AS m FROM sales GROUP BY 1) md ON r.store_id = md.store_id LEFT JOIN states z ON r.store_id = z.store_id
+           LEFT JOIN (SELECT state, month(date) AS mm, avg(sales) AS sm, median(temperature_avg) AS w, median(unemployment_rate) AS u FROM fact WHERE is_train = 1 GROUP BY ALL) y ON z.state = y.state AND month(r.date) = mm
+           CROSS JOIN (SELECT median(temperature_avg) AS ta, median(unemployment_rate) AS ur FROM fact WHERE is_train = 1) x
            LEFT JOIN (SELECT DISTINCT store_id, date FROM promo_days) pd ON r.store_id = pd.store_id AND r.date = pd.date""",
         _SCORED,
     ),
 )
 def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_request_features(Retail(spark, sf_dir)).select("id", "store_dow_avg", "store_avg_sales", "promo"), 4)
+    names = ["store_dow_avg", "store_avg_sales", "store_med_sales", "state_month_avg", "temperature_avg", "unemployment_rate", "promo"]
+    return settled(_request_features(Retail(spark, sf_dir)).select("id", *names), 4)
 
 
 @query(
     "model_submission",
     retail_sql(
-        "SELECT id, CASE WHEN is_open = 1 THEN round(greatest(coalesce(p, a, 0), 0), 2) ELSE 0.0 END AS predicted_sales FROM requests r LEFT JOIN dow ON r.store_id = dow.store_id AND isodow(r.date) = d LEFT JOIN st ON r.store_id = st.store_id",
+        "SELECT id, CASE WHEN is_open = 1 THEN round(round(greatest(coalesce(p, a, 0), 0), 6), 2) ELSE 0.0 END AS predicted_sales FROM requests r LEFT JOIN dow ON r.store_id = dow.store_id AND isodow(r.date) = d LEFT JOIN st ON r.store_id = st.store_id",
         _SCORED,
     ),
 )
 def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch scores with the (store, weekday) mean as scorer, cleaned and complete."""
     t = Retail(spark, sf_dir)
-    scores = M.batch_scores(_request_features(t), lambda df: df.withColumn("predicted_sales", F.col("store_dow_avg")))
+    scores = M.batch_scores(_request_features(t, ["store_dow_avg"]), lambda df: df.withColumn("predicted_sales", F.round("store_dow_avg", 6)))
     return M.submission(t.requests, scores)
 
 
+def _split(t: Retail) -> tuple[DataFrame, DataFrame]:
+    """Features written once, parted at the last six weeks of training days."""
+    early, late = temporal_split(M.prepared(build_features(fact(t), t.promo_days, t.promo)))
+    return early, late
+
+
 @query("model_boosted_trees")
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the earlier part, report the error on the held-out weeks and the inputs' importances."""
-    t = Retail(spark, sf_dir)
-    rows = M.prepared(build_features(fact(t), t.promo_days, t.promo))
-    early, late = temporal_split(rows)
+    early, late = _split(Retail(spark, sf_dir))
     model = M.train(early, maxIter=5, maxDepth=4)
     error = M.rmspe(M.predict(model, late), p="predicted_sales").select(F.lit("rmspe").alias("name"), F.col("rmspe").alias("value"))
     return error.unionByName(spark.createDataFrame(M.importances(model), "name string, value double"))
 
 
+@query("model_early_stopping")
+def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees added while they help on the held-out weeks: trees kept, their limit, RMSPE, and that of a constant."""
+    early, late = _split(Retail(spark, sf_dir))
+    model = M.train(early, held_out=late, maxIter=30, maxDepth=3, stepSize=0.4)
+    errors = [M.rmspe(df, p="predicted_sales").first()[0] for df in (M.predict(model, late), M.mean_baseline(early, late))]
+    rows = [("trees", float(M.n_trees(model))), ("limit", 30.0), ("rmspe", errors[0]), ("baseline_rmspe", errors[1])]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+@query("model_search")
+def parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-based search on the temporal hold-out, a row a trial; narrower ranges and fewer trials than the operator's own."""
+    early, late = _split(Retail(spark, sf_dir))
+    ranges = M.RANGES | {"maxDepth": (2, 4), "maxIter": (3, 8), "stepSize": (0.1, 0.6)}
+    done = M.search(early, late, trials=8, ranges=ranges)
+    rows = [(i, json.dumps(t.params), t.trees, t.error, t is M.least(done)) for i, t in enumerate(done)]
+    return spark.createDataFrame(rows, "trial int, params string, trees int, rmspe double, best boolean")
+
+
+@query("model_trained_submission")
+def trained_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests scored by the trained model, from features rebuilt out of the history; cleaned and complete."""
+    t = Retail(spark, sf_dir)
+    history = staged(fact(t), "fact")
+    table = M.prepared(build_features(history, t.promo_days, t.promo))
+    requests = staged(M.request_features(t.requests, history, t.promo_days, t.promo), "request-features")
+    model = M.train(table, [c for c in M.FEATURES if c in requests.columns], maxIter=5, maxDepth=4)
+    return M.submission(t.requests, M.batch_scores(requests, lambda df: M.predict(model, df)))
+
+
 @query(
     "model_forecast",
     retail_sql(
-        """SELECT s.store_id, CAST(date AS VARCHAR) AS date, round(coalesce(p, a, 0), 2) AS predicted_sales FROM stores s,
+        """SELECT s.store_id, CAST(date AS VARCHAR) AS date, round(round(coalesce(p, a, 0), 6), 2) AS predicted_sales FROM stores s,
            (SELECT CAST(unnest(generate_series(DATE '2001-09-01', DATE '2001-10-12', INTERVAL 1 DAY)) AS DATE) AS date) LEFT JOIN dow ON s.store_id = dow.store_id AND isodow(date) = d LEFT JOIN st ON s.store_id = st.store_id""",
         _SCORED,
     ),
@@ -163,8 +244,8 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Retail(spark, sf_dir)
     days = staged(M.forecast_frame(t.stores, "2001-09-01", "2001-10-12"), "days")  # generated rows: joins need their real size
-    found = M.request_features(days, staged(fact(t), "fact").where("is_train = 1"), t.promo_days, t.promo)
-    scores = M.batch_scores(found, lambda df: df.withColumn("predicted_sales", F.col("store_dow_avg")))
+    found = M.request_features(days, staged(fact(t), "fact"), t.promo_days, t.promo, ["store_dow_avg"])
+    scores = M.batch_scores(found, lambda df: df.withColumn("predicted_sales", F.round("store_dow_avg", 6)))
     return plain(days.join(scores, "id").select("store_id", "date", "predicted_sales"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import dashboards as D
 from quillmill.operators import features as X
 from quillmill.operators import relational as R
+from quillmill.operators.modelling import FEATURES
 from quillmill.plans.analogues import Retail, retail_sql
 from quillmill.sources.staging import staged
 
@@ -40,6 +41,11 @@ def profile(t: Retail) -> DataFrame:
     return R.store_profile(t.stores, t.types, t.levels, t.states, t.competition)
 
 
+def settled(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Rounded after the last digits of sums, which depend on their order, have been rounded away."""
+    return df.select(*(F.round(F.round(c, digits + 3), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
 def fact(t: Retail) -> DataFrame:
     return R.build_fact(t.sales, t.requests, profile(t), R.enrich_state_days(t.weather, t.macro, t.trends, t.events), t.states)
 
@@ -163,12 +169,12 @@ tj AS (SELECT f.store_id, f.date, a, m, d, s FROM fact f LEFT JOIN (SELECT store
 
 @query(
     "retail_target_encoding",
-    """SELECT store_id, date, round(coalesce(a, (SELECT median(a) FROM tj)), 6) AS store_avg_sales, round(coalesce(m, (SELECT median(m) FROM tj)), 6) AS store_med_sales,
-       round(coalesce(d, (SELECT median(d) FROM tj)), 6) AS store_dow_avg, round(coalesce(s, (SELECT median(s) FROM tj)), 6) AS state_month_avg FROM tj""",
+    """SELECT store_id, date, round(round(coalesce(a, (SELECT median(a) FROM tj)), 9), 6) AS store_avg_sales, round(round(coalesce(m, (SELECT median(m) FROM tj)), 9), 6) AS store_med_sales,
+       round(round(coalesce(d, (SELECT median(d) FROM tj)), 9), 6) AS store_dow_avg, round(round(coalesce(s, (SELECT median(s) FROM tj)), 9), 6) AS state_month_avg FROM tj""",
     _TARGET, dates="date")
 def target_encoding(t):
     x = staged_fact(t).withColumns({"day_of_week": F.weekday("date"), "month": F.month("date")})
-    return rounded(X.target_encode(x).select("store_id", "date", "store_avg_sales", "store_med_sales", "store_dow_avg", "state_month_avg"))
+    return settled(X.target_encode(x).select("store_id", "date", "store_avg_sales", "store_med_sales", "store_dow_avg", "state_month_avg"))
 
 
 @query(
@@ -195,9 +201,38 @@ def drop_zero(t):
     return R.drop_open_zero_sales(R.tag_and_union(t.sales, t.requests)).select("store_id", "date", "sales", "is_open", "is_train")
 
 
-@query("retail_features")
+_ALL_FEATURES = """
+f0 AS (SELECT * REPLACE (abs(unemployment_rate) AS unemployment_rate), month(date) AS mm, year(date) AS yy, isodow(date) - 1 AS dow FROM fact),
+sm AS (SELECT state, mm, median(trend_index) AS ti, {medians} FROM f0 GROUP BY state, mm), om AS (SELECT mm, {medians} FROM f0 GROUP BY mm), sy AS (SELECT state, yy, median(unemployment_rate) AS ur FROM f0 GROUP BY state, yy),
+al AS (SELECT median(unemployment_rate) AS ur, median(trend_index) AS ti, median(distance_meters) AS dm, median(open_since_month) AS om, median(open_since_year) AS oy, {medians} FROM f0),
+imp AS (SELECT f0.* REPLACE ({filled}, coalesce(f0.unemployment_rate, sy.ur, al.ur) AS unemployment_rate, coalesce(f0.trend_index, sm.ti, al.ti) AS trend_index, coalesce(distance_meters, dm) AS distance_meters,
+    coalesce(open_since_month, al.om) AS open_since_month, coalesce(open_since_year, oy) AS open_since_year,
+    coalesce(last_value(gdp_index IGNORE NULLS) OVER back, first_value(gdp_index IGNORE NULLS) OVER ahead) AS gdp_index,
+    coalesce(last_value(consumer_confidence_index IGNORE NULLS) OVER back, first_value(consumer_confidence_index IGNORE NULLS) OVER ahead) AS consumer_confidence_index)
+  FROM f0 LEFT JOIN sm ON f0.state = sm.state AND f0.mm = sm.mm LEFT JOIN om ON f0.mm = om.mm LEFT JOIN sy ON f0.state = sy.state AND f0.yy = sy.yy, al
+  WINDOW back AS (ORDER BY date, store_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ahead AS (ORDER BY date, store_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+coded AS (SELECT *, dense_rank() OVER (ORDER BY coalesce(type_code, 'None')) - 1 AS type_code_enc, dense_rank() OVER (ORDER BY coalesce(level_code, 'None')) - 1 AS level_code_enc,
+    dense_rank() OVER (ORDER BY coalesce(state, 'None')) - 1 AS state_enc, dense_rank() OVER (ORDER BY weather_event) - 1 AS weather_event_enc FROM imp),
+feat AS (SELECT c.store_id, c.date, sales, is_open, is_train, dow AS day_of_week, mm AS month, yy AS year, day(c.date) AS day_of_month, week(c.date) AS week_of_year, dayofyear(c.date) AS day_of_year, CASE WHEN dow >= 5 THEN 1 ELSE 0 END AS is_weekend,
+    sin(2 * pi() * dow / 7) AS dow_sin, cos(2 * pi() * dow / 7) AS dow_cos, sin(2 * pi() * mm / 12) AS month_sin, cos(2 * pi() * mm / 12) AS month_cos, sin(2 * pi() * week(c.date) / 52) AS woy_sin, cos(2 * pi() * week(c.date) / 52) AS woy_cos,
+    type_code_enc, level_code_enc, state_enc, weather_event_enc, coalesce(a, (SELECT median(a) FROM tj)) AS store_avg_sales, coalesce(m, (SELECT median(m) FROM tj)) AS store_med_sales, coalesce(d, (SELECT median(d) FROM tj)) AS store_dow_avg,
+    coalesce(s, (SELECT median(s) FROM tj)) AS state_month_avg, distance_meters, open_since_month, open_since_year, greatest((yy - open_since_year) * 12 + (mm - open_since_month), 0) AS competition_open_months,
+    distance_meters * type_code_enc AS distance_x_type, CAST(type_code_enc * 10 + level_code_enc AS DOUBLE) AS store_type_assort, CASE WHEN pd.store_id IS NOT NULL THEN 1 ELSE 0 END AS promo, CASE WHEN since_year IS NOT NULL THEN 1 ELSE 0 END AS has_promo2,
+    CASE WHEN contains(active_months, strftime(c.date, '%b')) AND c.date >= make_date(since_year, 1, 1) + CAST(since_week * 7 AS INTEGER) THEN 1 ELSE 0 END AS promo2_active,
+    {weather}, gdp_index, unemployment_rate, consumer_confidence_index, trend_index, has_local_event
+  FROM coded c JOIN tj ON c.store_id = tj.store_id AND c.date = tj.date LEFT JOIN (SELECT DISTINCT store_id, date FROM promo_days) pd ON c.store_id = pd.store_id AND c.date = pd.date LEFT JOIN promo p ON c.store_id = p.store_id
+  WHERE NOT coalesce(is_open = 1 AND sales = 0 AND is_train = 1, false))""".format(
+    medians=", ".join(f"median({c}) AS {c}" for c in X.WEATHER), filled=", ".join(f"coalesce(f0.{c}, sm.{c}, om.{c}, al.{c}) AS {c}" for c in X.WEATHER), weather=", ".join(X.WEATHER)
+)
+_WHOLE = ["day_of_week", "month", "year", "day_of_month", "week_of_year", "day_of_year", "is_weekend", "type_code_enc", "level_code_enc", "state_enc", "weather_event_enc", "promo", "has_promo2", "promo2_active", "has_local_event"]
+
+
+@query(
+    "retail_features",
+    "SELECT store_id, date, sales, is_open, is_train, " + ", ".join(c if c in _WHOLE else f"round(round({c}, 9), 6) AS {c}" for c in FEATURES) + " FROM feat",
+    _TARGET, _ALL_FEATURES, dates="date")
 def features(t):
-    return X.build_features(fact(t), t.promo_days, t.promo)
+    return settled(X.build_features(fact(t), t.promo_days, t.promo).select("store_id", "date", "sales", "is_open", "is_train", *FEATURES))
 
 
 @query(

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a small table that may be sent to every task.
+BROADCAST_ROWS = 200_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; on a single machine, as in tests, one of the session's own where that is not set."""
@@ -25,3 +28,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file, in whatever store the session reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A staged or otherwise cheap side of a join: broadcast where it has ``limit`` rows at most, else hashed by shuffle."""
+    return df.hint("broadcast" if df.limit(limit + 1).count() <= limit else "shuffle_hash")

@@ -1,6 +1,8 @@
 """Retail operators on small fixtures."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import dashboards as D
 from quillmill.operators import features as X
 from quillmill.operators import modelling as M
+from quillmill.operators import parzen, selection
 from quillmill.operators import relational as R
 
 
@@ -118,10 +121,43 @@ def test_trees_round_trip(spark, facts, promos, tmp_path):
     assert M.predict(loaded, rows).where("predicted_sales < 0").count() == 0
 
 
-def test_search_returns_params_in_range(facts, promos):
+def test_search_trains_side_by_side_within_the_ranges(spark, facts, promos):
     rows = M.prepared(X.build_features(facts, *promos))
-    params, error = M.search(*R.temporal_split(rows, 1), trials=1, features=["day_of_week", "promo"])
-    assert set(params) == set(M.RANGES) and error >= 0
+    ranges = M.RANGES | {"maxIter": (1, 3), "maxDepth": (1, 2)}
+    early, late = R.temporal_split(rows, 1)
+    done = M.search(early, late, trials=7, features=["day_of_week", "promo"], ranges=ranges, side_by_side=3)
+    assert len(done) == 7 and M.least(done).error == min(t.error for t in done)
+    for t in done:
+        assert set(t.params) == set(ranges) and all(a <= t.params[k] <= b for k, (a, b) in ranges.items()) and 1 <= t.trees <= t.params["maxIter"]
+
+
+def test_model_based_search_beats_random_draws():
+    ranges = {"maxDepth": (1, 12), "stepSize": (0.01, 0.6), "subsamplingRate": (0.2, 1.0), "minInstancesPerNode": (1, 60)}
+    error = lambda p: (p["maxDepth"] - 7) ** 2 / 50 + (p["stepSize"] - 0.2) ** 2 * 10 + (p["subsamplingRate"] - 0.7) ** 2 + (p["minInstancesPerNode"] - 20) ** 2 / 3000
+
+    def best(suggest, seed):
+        draw, past = random.Random(seed), []
+        for _ in range(60):
+            params = suggest(past, ranges, draw)
+            past.append((params, error(params)))
+        return min(e for _, e in past)
+
+    pairs = [(best(parzen.suggest, s), best(parzen.at_random, s)) for s in range(20)]
+    assert sum(a for a, _ in pairs) < 0.6 * sum(b for _, b in pairs) and sum(a <= b for a, b in pairs) >= 15
+    p = parzen.Parzen([1.0, 1.2, 9.0], 0.0, 10.0)
+    mass = sum(math.exp(p.log_density(i / 1000)) for i in range(10_000)) / 1000
+    assert abs(mass - 1) < 0.01
+
+
+def test_trees_stop_early(spark):
+    draw = random.Random(3)
+    rows = [(i, 1, 1, float(i % 7), draw.random(), math.exp(3 + 0.5 * (i % 7 > 3) + 0.4 * draw.gauss(0, 1))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, is_train int, is_open int, day_of_week double, noise double, sales double")
+    early, late = df.where("i < 1000"), df.where("i >= 1000")
+    model = M.train(early, ["day_of_week", "noise"], held_out=late, maxIter=25, maxDepth=4, stepSize=0.5)
+    assert 1 <= M.n_trees(model) < 25
+    error, base = (M.rmspe(x, p="predicted_sales").first()[0] for x in (M.predict(model, late), M.mean_baseline(early, late)))
+    assert error < base
 
 
 def test_dashboards(spark, facts, promos):
@@ -147,9 +183,25 @@ def test_relational(spark):
 def test_medians_are_exact(spark):
     rows = [(float(i * 7919 % 1013) / 3, None if i % 2 else float(i), None, float(i == 5)) for i in range(1500)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
-    got, expected = X.medians(df, ["a", "b", "c", "d"]).first(), df.agg(*(F.median(c).alias(c) for c in "abcd")).first()
+    got, expected = selection.medians(df, ["a", "b", "c", "d"]).first(), df.agg(*(F.median(c).alias(c) for c in "abcd")).first()
     assert got == expected
-    assert X.medians(df.limit(0), ["a"]).first()["a"] is None and X.medians(df.limit(2), ["a"]).first() == df.limit(2).agg(F.median("a").alias("a")).first()
+    assert selection.medians(df.limit(0), ["a"]).first()["a"] is None and selection.medians(df.limit(2), ["a"]).first() == df.limit(2).agg(F.median("a").alias("a")).first()
+
+
+def test_grouped_medians_are_exact(spark):
+    draw = random.Random(5)
+    rows = []
+    for g in range(40):  # groups of 1 to some 2,000 rows, and one of a third of all
+        n = [1, 2, 3, 4, 10, 11, 1000, 1001, 1999, 2000][g % 10] if g < 39 else 12_000
+        for _ in range(n):
+            rows.append((g if g != 7 else None, f"s{g % 3}", draw.choice([None, draw.gauss(0, 1), float(draw.randint(0, 5))]), draw.random() if g != 5 else None))
+    df = spark.createDataFrame(rows, "g int, s string, a double, b double").repartition(6).cache()
+    got = selection.grouped_medians(df, {("g", "s"): ["a", "b"], ("s",): ["b"], (): ["a"]})
+    for keys, columns in ((("g", "s"), ["a", "b"]), (("s",), ["b"]), ((), ["a"])):
+        want = df.where("g IS NOT NULL" if "g" in keys else "true").groupBy(*keys).agg(*(F.median(c).alias(c) for c in columns))
+        key = lambda r: [r[k] for k in keys]  # noqa: B023, E731
+        assert sorted(got[keys].select(want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+    assert selection.grouped_medians(df.limit(0), {("s",): ["a"]})["s",].collect() == []
 
 
 def test_repeated_months_and_weeks_do_not_multiply_days(spark):
