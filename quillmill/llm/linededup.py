@@ -1,14 +1,15 @@
-"""Fuzzy line deduplication: min-hash bands over words, edit similarity, one occurrence per connected group.
-
-A line is normalised (A-Z lower-cased, digits to 0, ASCII punctuation to blanks, white space collapsed). Lines of up to
-``FEW`` words are known by their words, each with the weight of its length less two, lines of ``MANY`` words or more by
-their pairs of neighbouring words; those between by both, so that lines of nearly equal length have features in common.
-Of a line's features ``BANDS`` times ``ROWS`` min-hashes are taken, and lines that agree in all rows of a band meet.
-Lines that meet are linked if the edit similarity of the normalised lines, 1 - distance / longer length, is at least
-``SIMILARITY``; bounds that hold for every pair of texts spare most of the distances. Equal lines are one node from the
-start. Of each connected group the first occurrence stays (smallest document id, then line) and all others go. Meeting
-is a matter of chance, the likelier the more two lines share; a test measures the recall against all pairs. In a group of
-more than ``LARGE`` lines all meet up to ``CENTRES`` of them, and those none of which is similar meet again by further min-hashes.
+"""Fuzzy line deduplication: SimHash blocks and min-hash bands, edit similarity, one occurrence per connected group.
+
+A line is normalised (A-Z lower-cased, digits to 0, ASCII punctuation to blanks, white space collapsed). Its SimHash is the
+sign of the sum of its words' hashes, 64 bits, each word with the weight of its length less two. Lines meet by the pigeonhole
+principle if two of the four blocks of their SimHashes agree, as they do wherever two bits differ at most. An edit similarity of
+0.8 moves more bits than that in short lines, so lines also meet by min-hashes: lines of up to ``FEW`` words by their words, with
+the same weights, lines of ``MANY`` words or more by their pairs of neighbouring words; those between by both. Of these features ``BANDS`` times
+``ROWS`` min-hashes are taken, and lines that agree in all rows of a band meet. Lines that meet are linked if the edit
+similarity of the normalised lines, 1 - distance / longer length, is at least ``SIMILARITY``; bounds that hold for every pair of
+texts spare most of the distances, and what is connected already is not compared; every other pair of a group is,
+whatever the group's size. Equal lines are one node from the start. Of each connected group the first occurrence stays (smallest document id, then line) and all
+others go. Meeting is a matter of chance, the likelier the more two lines share; a test measures the recall of both ways against all pairs.
 
 Where a line has fewer than ``MIN_WORDS`` words, as in scripts without blanks, its runs of ``GRAM`` bytes take the place
 of words, from ``LONG`` letters on; shorter ones go only as exact repeats: of the normalised line from ``MIN_LETTERS``
@@ -22,7 +23,7 @@ and get the same result; a null id comes before all others; other columns pass t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import chain, combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import small_batches, table, written
-from quillmill.llm.groups import BLOCK, block_pairs, components, runs
+from quillmill.llm.groups import BLOCK, Forest, block_pairs, components, runs
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 #: Letters from which a line of fewer words goes as an exact repeat of its normalised form, and takes part in full.
@@ -40,7 +41,9 @@ MIN_LETTERS, LONG, GRAM = 10, 30, 6
 FEW, MANY = 20, 13
 #: Bands of a line by kind of feature, rows of a band.
 BANDS, ROWS = {"words": 12, "pairs": 8}, {"words": 4, "pairs": 3}
-#: Members of a group up to which all of them are compared, and centres that those of a larger one meet.
+#: Blocks of a SimHash; two of them that agree are a key.
+BLOCKS = 4
+#: Members from which a group's texts first meet ``CENTRES`` of them, which links most, and then the others one by one, nearest first.
 LARGE, CENTRES = 8, 4
 #: Pairs of texts whose distances are computed together; fewer than these go one by one.
 TOGETHER, FEW_PAIRS = 2048, 12
@@ -82,7 +85,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _keys(lines: list[list[bytes]], kind: str, salt: int) -> np.ndarray:
+def _keys(lines: list[list[bytes]], kind: str) -> np.ndarray:
     """lines as tokens -> a row of ``BANDS`` keys each; for pairs every line needs two tokens."""
     counts = np.fromiter(map(len, lines), np.int64, len(lines))
     flat = list(chain.from_iterable(lines))
@@ -96,7 +99,7 @@ def _keys(lines: list[list[bytes]], kind: str, salt: int) -> np.ndarray:
         own[starts + counts - 1] = False
         h = (h * np.uint64(3) + _MIX * np.append(h[1:], h[:1]))[own]
         starts = starts - np.arange(len(starts))
-    h = (_mixed(h + np.uint64(salt << 40)) >> np.uint64(32)).astype(np.uint32)
+    h = (_mixed(h) >> np.uint64(32)).astype(np.uint32)
     x, keys = np.empty_like(h), np.empty((len(lines), BANDS[kind]), np.uint64)
     for band in range(BANDS[kind]):
         key = np.full(len(lines), 2 * band + (kind == "words"), np.uint64)
@@ -114,19 +117,43 @@ def _keys(lines: list[list[bytes]], kind: str, salt: int) -> np.ndarray:
     return keys
 
 
-def band_keys(lines: list[list[bytes]], salt: int = 0) -> list[bytes]:
-    """lines as tokens -> the keys of each in a row, ``KEY`` bytes a key. Another ``salt`` gives other min-hashes."""
+def simhashes(lines: list[list[bytes]]) -> np.ndarray:
+    """lines as tokens, none empty -> their SimHashes."""
+    counts = np.fromiter(map(len, lines), np.int64, len(lines))
+    flat = list(chain.from_iterable(lines))
+    h = _mixed(np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, len(flat)))
+    weight = np.maximum(np.fromiter(map(len, flat), np.float32, len(flat)) - 2, np.float32(0.3))
+    signs = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
+    signs -= np.float32(0.5)
+    signs *= weight[:, None]
+    total = np.add.reduceat(signs, np.cumsum(counts) - counts)
+    return np.packbits(total > 0, axis=1).view(np.uint64)[:, 0]
+
+
+def block_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each two blocks of a SimHash: two hashes of which two bits differ at most have one in common."""
+    width = 64 // BLOCKS
+    block = hashes[:, None] >> (np.arange(BLOCKS, dtype=np.uint64) * np.uint64(width)) & np.uint64((1 << width) - 1)
+    pairs = list(combinations(range(BLOCKS), 2))
+    keys = [_mixed((block[:, a] << np.uint64(width) | block[:, b]) * np.uint64(64) + np.uint64(1000 + k)) for k, (a, b) in enumerate(pairs)]
+    return np.stack(keys, axis=1)
+
+
+def band_keys(lines: list[list[bytes]], kinds: tuple[str, ...] = ("simhash", *BANDS)) -> list[bytes]:
+    """lines as tokens -> the keys of each in a row, ``KEY`` bytes a key."""
     out = [b""] * len(lines)
-    for kind in BANDS:
-        some = [i for i, t in enumerate(lines) if (len(t) <= FEW if kind == "words" else len(t) >= MANY)]
+    takes = {"simhash": lambda t: t, "words": lambda t: len(t) <= FEW, "pairs": lambda t: len(t) >= MANY}
+    for kind in kinds:
+        some = [i for i, t in enumerate(lines) if takes[kind](t)]
         lo = 0
         while lo < len(some):  # some 20,000 tokens at a time
             hi, size = lo + 1, len(lines[some[lo]])
             while hi < len(some) and size + len(lines[some[hi]]) <= 20_000:
                 size += len(lines[some[hi]])
                 hi += 1
-            keys = _keys([lines[i] for i in some[lo:hi]], kind, salt)
-            raw = np.ascontiguousarray(keys.view(np.uint8).reshape(hi - lo, BANDS[kind], 8)[:, :, :KEY]).reshape(hi - lo, -1)
+            part = [lines[i] for i in some[lo:hi]]
+            keys = np.ascontiguousarray(block_keys(simhashes(part)) if kind == "simhash" else _keys(part, kind))
+            raw = np.ascontiguousarray(keys.view(np.uint8).reshape(hi - lo, -1, 8)[:, :, :KEY]).reshape(hi - lo, -1)
             for i, r in zip(some[lo:hi], raw, strict=True):
                 out[i] += r.tobytes()
             lo = hi
@@ -274,7 +301,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def least_edits(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> np.ndarray:
     """A bound below of the edits between texts, given by their runs and lengths: an edit takes away three runs at most."""
-    gone = np.maximum(np.bitwise_count(a & ~b).sum(axis=1), np.bitwise_count(b & ~a).sum(axis=1))
+    gone = np.maximum(np.bitwise_count(a & ~b).sum(axis=-1), np.bitwise_count(b & ~a).sum(axis=-1))
     return np.maximum(gone / 3, np.abs(a_size - b_size))
 
 
@@ -361,48 +388,62 @@ def centre(bits: np.ndarray) -> int:
     return int((np.where(each, mean, 1 - mean)).sum(axis=1).argmax())
 
 
-def around(texts: list[str], rows: np.ndarray, least: float, links: list) -> np.ndarray:
-    """Link texts of a large group to up to ``CENTRES`` of them, each the centre of what is left -> the rows left."""
-    bits, sizes = grams([texts[x] for x in rows])
-    left = np.arange(len(rows))
+def linked(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as places in ``texts``, that connect whatever is similar in a large group.
+
+    First all texts meet up to ``CENTRES`` of them, each the centre of what is left. Then every text outside the largest
+    component meets those of other components that the bounds leave, the likeliest first, until it is connected to
+    them or none is left: a pair is passed over only where it is connected already or can't be similar.
+    """
+    n = len(texts)
+    bits, sizes = grams(texts)
+    own, links = Forest(n), []
+
+    def test(i: np.ndarray, j: np.ndarray) -> None:
+        good = similar([texts[x] for x in i], [texts[x] for x in j], least) if len(i) else np.empty(0, bool)
+        for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+            if own.join(x, y):
+                links.append((x, y))
+
+    left = np.arange(n)
     for _ in range(CENTRES):
-        if len(left) <= LARGE:
+        if len(left) < 2:
             break
         at = left[centre(bits[left])]
+        left = left[left != at]
         may = left[least_edits(bits[left], bits[at : at + 1], sizes[left], sizes[at]) <= allowed(np.maximum(sizes[left], sizes[at]), least)]
-        near = may[similar([texts[rows[at]]] * len(may), [texts[x] for x in rows[may]], least)]
-        links.append((np.full(len(near) - 1, rows[at]), rows[near[near != at]]))
-        left = np.setdiff1d(left, near)
-    return rows[left]
-
-
-def thinned(texts: list[str], starts: list[int], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of groups of any size: up to ``LARGE`` texts as in ``forest``; in a larger group all texts meet a few centres,
-    and those that none of them reaches meet again in smaller groups, by min-hashes of their own.
-
-    So what has merely a common passage, or copies of one text that are far from each other, cost no comparison of all with all.
-    """
+        test(np.full(len(may), at), may)
+        left = left[[own.root(x) != own.root(at) for x in left.tolist()]]
+    comp = np.array([own.root(x) for x in range(n)])
+    rest = np.flatnonzero(comp != np.bincount(comp).argmax())
+    turn = np.full(n, n)
+    turn[rest] = np.arange(len(rest))
+    for lo in range(0, len(rest), 32):
+        some = rest[lo : lo + 32]
+        bound, most = least_edits(bits[some][:, None], bits[None], sizes[some][:, None], sizes[None]), allowed(np.maximum(sizes[some][:, None], sizes[None]), least)
+        row, j = np.nonzero((bound <= most) & (comp[some][:, None] != comp) & (turn > turn[some][:, None]))
+        order = np.lexsort((bound[row, j] / most[row, j], row))
+        i, j = some[row[order]], j[order]
+        while len(i):
+            place = np.arange(len(i)) - np.searchsorted(i_turn := turn[i], i_turn)
+            now = place < 3
+            test(i[now], j[now])
+            comp = np.array([own.root(x) for x in range(n)])
+            open_ = ~now & (comp[i] != comp[j])
+            i, j = i[open_], j[open_]
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def group_links(texts: list[str], starts: list[int], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of groups of any size: those of up to ``LARGE`` texts together, larger ones one by one."""
     links, flat, begin = [], [], []
-
-    def small(rows) -> None:
-        begin.append(len(flat))
-        flat.extend(rows)
-
     for lo, hi in zip(starts, [*starts[1:], len(texts)], strict=True):
-        rest = np.arange(lo, hi)
-        if len(rest) > LARGE:
-            rest = around(texts, rest, least, links)
-        if len(rest) <= LARGE:
-            small(rest.tolist())
-            continue
-        again: dict[bytes, list[int]] = {}
-        for x, keys in zip(rest.tolist(), band_keys([tokens(texts[x].encode().split()) for x in rest], 1), strict=True):
-            for k in range(0, len(keys), KEY):
-                again.setdefault(keys[k : k + KEY], []).append(x)
-        for group in {tuple(g) for g in again.values() if len(g) > 1}:
-            rest = around(texts, np.array(group), least, links) if len(group) > LARGE else group
-            if len(rest) <= LARGE:
-                small(rest)
+        if hi - lo > LARGE:
+            links.append(tuple(x + lo for x in linked(texts[lo:hi], least)))
+        else:
+            begin.append(len(flat))
+            flat.extend(range(lo, hi))
     if flat:
         back = np.array(flat)
         links.append(tuple(back[x] for x in forest([texts[x] for x in flat], begin, least)))
@@ -477,7 +518,7 @@ def _links(members: DataFrame, least: float, rows: int) -> DataFrame:
         def linked() -> pa.RecordBatch:
             t = pa.concat_tables(held)
             node = t.column("node").to_numpy()
-            a, b = thinned(t.column("text").to_pylist(), starts, least)
+            a, b = group_links(t.column("text").to_pylist(), starts, least)
             return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
         for t, own, _ in runs(batches, ["key", "b1", "b2"]):

@@ -147,22 +147,47 @@ def test_links_of_groups_connect_what_is_similar():
     assert [own.root(x) for x in range(len(texts))] == [true.root(x) for x in range(len(texts))]
 
 
-def test_large_groups_are_thinned():
-    """Copies around a centre are all linked; of lines with a common passage alone, few are compared and none is linked."""
+def test_large_groups_lose_no_link():
+    """A chain, copies around a text, and pairs among lines with a common passage, against all pairs."""
     r = random.Random(47)
     words = ["".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(4000)]
     base, passage = r.choices(words, k=40), r.choices(words, k=12)
-    copies = [" ".join(r.choice(words) if r.random() < 0.08 else w for w in base) for _ in range(300)]
-    others = [" ".join(passage + r.choices(words, k=30)) for _ in range(900)]
+    chain = [r.choices(words, k=15)]
+    for k in range(119):
+        chain.append([*chain[-1]])
+        chain[-1][k % 15] = r.choice(words)
+    chain = [" ".join(x) for x in chain]
+    copies = [" ".join(r.choice(words) if r.random() < 0.12 else w for w in base) for _ in range(300)]
+    others = [" ".join(passage + r.choices(words, k=10)) for _ in range(400)]
     twins = [" ".join(x.split()[:-1] + ["twin"]) for x in others[:100]]
-    texts = ["a b", "a b", *copies, *others, *twins]
-    a, b = linededup.thinned(texts, [0, 2, 302], 0.8)
-    own = groups.Forest(len(texts))
+    parts = [["a b", "a b"], chain, copies, others + twins]
+    starts = [sum(map(len, parts[:k])) for k in range(4)]
+    texts = [x for p in parts for x in p]
+    a, b = linededup.group_links(texts, starts, 0.8)
+    own, true = groups.Forest(len(texts)), groups.Forest(len(texts))
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        assert linededup.similar([texts[x]], [texts[y]], 0.8)[0]
         own.join(x, y)
-    assert own.root(1) == 0 and len({own.root(x) for x in range(2, 302)}) <= 6
-    assert sum(own.root(302 + k) == own.root(1202 + k) for k in range(100)) >= 98
+    for lo, hi in zip(starts, [*starts[1:], len(texts)], strict=True):
+        pairs = [(x, y) for x, y in itertools.combinations(range(lo, hi), 2) if abs(len(texts[x]) - len(texts[y])) <= 0.2 * max(len(texts[x]), len(texts[y]))]
+        for (x, y), near in zip(pairs, linededup.similar([texts[x] for x, _ in pairs], [texts[y] for _, y in pairs], 0.8), strict=True):
+            if near:
+                true.join(x, y)
+    root = lambda f: [f.root(x) for x in range(len(texts))]
+    assert root(own) == root(true)
+    assert len(set(root(own)[2:122])) == 1 and all(own.root(starts[3] + k) == own.root(starts[3] + 400 + k) for k in range(100))
+
+
+def test_simhash_blocks_find_what_differs_in_two_bits():
+    draw = np.random.default_rng(3)
+    h = draw.integers(0, 1 << 63, 200).astype(np.uint64)
+    for n in (0, 1, 2):
+        other = h.copy()
+        for k in range(len(h)):
+            for bit in draw.choice(64, n, replace=False):
+                other[k] ^= np.uint64(1) << np.uint64(bit)
+        assert (linededup.block_keys(h) == linededup.block_keys(other)).any(axis=1).all()
+    lines = [[b"one", b"word"], [b"x"], [b"one", b"word"]]
+    assert linededup.simhashes(lines)[0] == linededup.simhashes(lines)[2] != linededup.simhashes(lines)[1]
 
 
 def test_line_dedup_of_repeated_rows_and_null_ids(spark):
@@ -332,6 +357,13 @@ def test_line_dedup_recall(spark):
     gone = {x["doc_id"] for x in linededup.dedup_lines(frame(spark, lines)).where("lines_removed > 0").collect()}
     print(len(gone), "of", len(true))
     assert gone <= true and len(true) > 250
+    met = {}
+    for kinds in (("simhash",), ("words", "pairs")):
+        rows = [linededup.band_keys([linededup.tokens(w) for x in (a, b) for w in linededup.normal_lines(x)], kinds) for a, b in zip(lines[::2], lines[1::2], strict=True) if linededup.similar([a], [b], 0.8)[0]]
+        cut = lambda k: {k[i : i + linededup.KEY] for i in range(0, len(k), linededup.KEY)}
+        met[kinds[0]] = sum(bool(cut(x) & cut(y)) for x, y in rows) / len(rows)
+    print("share of similar pairs that meet:", {k: round(v, 3) for k, v in met.items()})
+    assert met["words"] > 0.9 and met["simhash"] > 0.1
     assert len(gone) >= 0.9 * len(true), len(gone) / len(true)
 
 
