@@ -13,7 +13,7 @@ from quillmill.operators import evaluate as E
 from quillmill.operators import records as N
 from quillmill.operators import retrieval as V
 from quillmill.operators.features import continuous_promo, promo_flag
-from quillmill.operators.relational import restrict_or_all
+from quillmill.operators.relational import membership, restrict_or_all
 from quillmill.operators.vectors import read_vectors, upsert_vectors
 from quillmill.plans.analogues import Retail, retail_sql
 from quillmill.plans.retail import rounded, staged_fact
@@ -704,6 +704,13 @@ def generation(t):
     return asked.select("task", "n", "edge_case", F.array_join("seed_ids", ",").alias("seeds"))
 
 
+@query("eval_membership", "SELECT 'some' AS wanted, model_id, count(*) AS n FROM scored WHERE model_id IN ('m0', 'm2') GROUP BY ALL UNION ALL SELECT 'any', model_id, count(*) FROM scored GROUP BY ALL")
+def members(t):
+    """Rows of the models asked for; where none is, all of them."""
+    counted = lambda wanted, name: membership(t.scored, "model_id", wanted).groupBy(F.lit(name).alias("wanted"), "model_id").agg(F.count("*").alias("n"))
+    return counted(["m0", "m2"], "some").unionByName(counted([], "any"))
+
+
 @query("eval_job_status", "SELECT count(*) FILTER (event_type = 'view') AS running, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'error') AS failed FROM events")
 def job_status(t):
     status = F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("queued")

@@ -6,7 +6,7 @@ import functools
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.operators import modelling as M
@@ -66,14 +66,49 @@ def nested_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(at).groupBy("part", field("model_id").alias("model_id")).agg(F.sum(F.coalesce(field("requests").cast("bigint"), F.lit(1))).alias("n"))
 
 
-@query("source_manifest", "SELECT 'job-1' AS job_id, count(DISTINCT event_type) AS n_artefacts, true AS dated FROM events")
+@query(
+    "source_manifest",
+    "SELECT place, 'job-' || (4 - place) AS job_id, count(DISTINCT event_type) AS n_artefacts, true AS dated FROM events, range(1, 4) r(place) GROUP BY place",
+)
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A job's artefacts listed in its manifest, found among the past jobs."""
+    """Three jobs' artefacts listed in their manifests and found among the past jobs, the newest first; a fourth manifest is broken."""
     at = f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
     events.repartition("event_type").write.partitionBy("event_type").parquet(f"{at}/data")
-    S.write_manifest(spark, f"{at}/jobs/job-1", "job-1", f"{at}/data")
-    return S.list_jobs(spark, f"{at}/jobs").select("job_id", F.size("artefacts").cast("bigint").alias("n_artefacts"), F.col("created_at").isNotNull().alias("dated"))
+    for job in ("job-1", "job-2", "job-3"):
+        S.write_manifest(spark, f"{at}/jobs/{job}", job, f"{at}/data")
+    spark.createDataFrame([('{"job_id": "job-4", "created',)], "value string").coalesce(1).write.text(f"{at}/jobs/job-4/manifest.json")
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("created_at"))).cast("bigint")  # a row a job
+    return S.list_jobs(spark, f"{at}/jobs").select(place.alias("place"), "job_id", F.size("artefacts").cast("bigint").alias("n_artefacts"), F.col("created_at").isNotNull().alias("dated"))
+
+
+@query("source_model_dimension", "SELECT 'm' || n_nationkey AS model_id, n_name AS provider, CAST(n_nationkey + 1 AS DOUBLE) AS cost_input_1m, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey * 2 + 1 AS DOUBLE) ELSE 0.0 END AS cost_output_1m FROM nation")
+def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model list as a configuration gives it, some prices unknown; none of the models is the judge."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()  # a table of fixed size, the list of models
+    rows = [{"model_id": f"m{r['n_nationkey']}", "provider": r["n_name"], "cost_input_1m": r["n_nationkey"] + 1, "cost_output_1m": r["n_nationkey"] * 2 + 1 if r["n_nationkey"] % 2 == 0 else None} for r in nations]
+    models = S.model_dimension(spark, rows)
+    S.assert_judge_apart(models, "judge")
+    return models
+
+
+@query("source_datasets", "SELECT DISTINCT event_type, true AS filled FROM events")
+def data_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data sets by suffix, a file for each type of event; files of another suffix are not listed."""
+    at = f"{shared_folder(spark)}/sets-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type").repartition("event_type")
+    events.write.partitionBy("event_type").json(f"{at}/json")
+    events.write.partitionBy("event_type").parquet(f"{at}/other")
+    return S.datasets(spark, at, "*.json").select(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type"), (F.col("length") > 0).alias("filled"))
+
+
+@query("source_output_key", "SELECT 'results/job-7' AS key, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys FROM supplier")
+def output_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same job writes twice: its own output is replaced, not doubled."""
+    at, key = f"{shared_folder(spark)}/outputs-{uuid.uuid4().hex}", S.output_key("job-7")
+    for _ in range(2):
+        S.write_parquet(spark.read.parquet(f"{sf_dir}/supplier.parquet"), f"{at}/{key}")
+    return spark.read.parquet(f"{at}/{key}").agg(F.lit(key).alias("key"), F.count("*").alias("n"), F.sum("s_suppkey").cast("bigint").alias("keys"))
 
 
 @query("source_traces", "SELECT regexp_replace('call ' || event_type || '/' || (user_id % 3), '[^a-zA-Z0-9_-]', '_', 'g') AS name, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL")
@@ -222,6 +257,19 @@ def parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "trial int, params string, trees int, rmspe double, best boolean")
 
 
+@query("model_persistence", retail_sql("SELECT 'day_of_week,month' AS features, true AS log_target, count(*) AS n, count(*) AS n_same FROM sales"))
+def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model saved with its metadata and loaded again predicts the same."""
+    t, at = Retail(spark, sf_dir), f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    rows = staged(t.sales.withColumns({"is_train": F.lit(1), "day_of_week": F.weekday("date"), "month": F.month("date")}), "sales")
+    model = M.train(rows, ["day_of_week", "month"], maxIter=3, maxDepth=3)
+    M.save(model, at, {"maxIter": 3}, 0.0)
+    loaded, meta = M.load(at, spark)
+    both = M.predict(model, rows).withColumnRenamed("predicted_sales", "old")
+    again = M.predict(loaded, both)
+    return again.agg(F.lit(",".join(meta["features"])).alias("features"), F.lit(meta["log_target"]).alias("log_target"), F.count("*").alias("n"), F.count_if(F.col("old") == F.col("predicted_sales")).alias("n_same"))
+
+
 @query("model_trained_submission")
 def trained_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests scored by the trained model, from features rebuilt out of the history; cleaned and complete."""
