@@ -33,8 +33,8 @@ from quillmill.llm.groups import runs
 #: Centroids of a half. A query sends partial results from each of its cells, at most CENTROIDS squared of them, so
 #: cells grow with the data rather than in number; data with more structure is worth more centroids and a lower SHARE.
 CENTROIDS, SAMPLE, ROUNDS, SEED = 8, 8192, 12, 7
-#: Different vectors that a query's cells have to hold before the walk ends: a fixed part and a share of all.
-CANDIDATES, SHARE = 4000, 0.75
+#: Different vectors that a query's cells have to hold before the walk ends: at least so many, and a share of all.
+CANDIDATES, SHARE = 200, 0.75
 BLOCK = 4096
 TOP = 20
 
@@ -43,17 +43,20 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) -> np.
     """Lloyd's rounds from k different sampled points; a centroid left alone moves to a sampled point."""
     rng = np.random.default_rng(seed)
     x = np.unique(x, axis=0)
-    k = min(k, len(x))
+    size = np.abs(x).max() or 1.0  # products of huge values would leave the doubles
+    x, k = x / size, min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
         near = (x @ c.T - 0.5 * (c**2).sum(axis=1)).argmax(axis=1)
         total, n = np.zeros_like(c), np.bincount(near, minlength=k)
         np.add.at(total, near, x)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.choice(len(x), k)])
-    return c
+    return c * size
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    size = max(np.abs(x).max(initial=0.0), np.abs(c).max()) or 1.0
+    x, c = x / size, c / size
     return (x @ c.T - 0.5 * (c**2).sum(axis=1)).argmax(axis=1)
 
 
@@ -129,7 +132,8 @@ def search(vectors: DataFrame, is_query, top: int = TOP, key: str = "vec_id", ve
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column("v"))
-            d1, d2 = -v[:, :half] @ c1.T, -v[:, half:] @ c2.T
+            with np.errstate(over="ignore", invalid="ignore"):
+                d1, d2 = -v[:, :half] @ c1.T, -v[:, half:] @ c2.T
             at, cells, block = [], [], []
             for i in range(len(v)):
                 for c in walk(d1[i], d2[i], counts, wanted):
