@@ -271,9 +271,9 @@ def test_code_outcomes(spark):
     assert {r["test_id"]: r["score"] for r in E.evaluate(log).collect()} == {"t1": 0.28, "t2": 0.58, "t3": 0.505, "t4": 0.625, "t5": 0.45}
 
 
-def test_nearest_in_passes(spark, monkeypatch):
+def test_nearest_in_crowded_pivots(spark, monkeypatch):
     items = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5)]) for i in range(40)], "id long, embedding array<double>")
     found = lambda: sorted(map(tuple, V.nearest(items, items.where("id % 4 = 0"), k=3).collect()))
     whole = found()
-    monkeypatch.setattr(V, "QUERIES", 3)
+    monkeypatch.setattr(V, "CROWD", 3)  # a pivot's items in several parts
     assert found() == whole and len(whole) == 30
