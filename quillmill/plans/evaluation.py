@@ -704,6 +704,13 @@ def generation(t):
     return asked.select("task", "n", "edge_case", F.array_join("seed_ids", ",").alias("seeds"))
 
 
+@query("eval_restrict_fallback", "SELECT model_id, count(*) AS n FROM scored GROUP BY 1")
+def restrict_fallback(t):
+    """None of the models asked for is there: all count."""
+    wanted = t.prices.select(F.concat("model_id", F.lit("-unknown")).alias("model_id"))
+    return restrict_or_all(t.scored, wanted, "model_id").groupBy("model_id").agg(F.count("*").alias("n"))
+
+
 @query("eval_membership", "SELECT 'some' AS wanted, model_id, count(*) AS n FROM scored WHERE model_id IN ('m0', 'm2') GROUP BY ALL UNION ALL SELECT 'any', model_id, count(*) FROM scored GROUP BY ALL")
 def members(t):
     """Rows of the models asked for; where none is, all of them."""

@@ -257,6 +257,16 @@ def parameter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "trial int, params string, trees int, rmspe double, best boolean")
 
 
+@query(
+    "model_inputs",
+    retail_sql("SELECT store_id, CAST(date AS VARCHAR) AS date, round(ln(1 + sales), 6) AS label, round(exp(ln(1 + sales)) - 1, 4) AS back, round(coalesce(trend_index, 0), 6) AS trend_index, round(coalesce(distance_meters, 0), 6) AS distance_meters FROM fact WHERE is_train = 1 AND is_open = 1"),
+)
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the model is trained on: missing inputs as 0, the target on the log scale and back."""
+    rows = M.model_inputs(fact(Retail(spark, sf_dir)), ["trend_index", "distance_meters"])
+    return plain(rows.select("store_id", "date", F.round("label", 6).alias("label"), F.round(F.expm1("label"), 4).alias("back"), *(F.round(c, 6).alias(c) for c in ("trend_index", "distance_meters"))))
+
+
 @query("model_persistence", retail_sql("SELECT 'day_of_week,month' AS features, true AS log_target, count(*) AS n, count(*) AS n_same FROM sales"))
 def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model saved with its metadata and loaded again predicts the same."""

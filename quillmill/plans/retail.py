@@ -267,6 +267,15 @@ def month_means(t):
     return rounded(D.means_by(t.sales.withColumns({"is_train": F.lit(1), "month": F.month("date")}), ["store_id", "month"]))
 
 
+@query(
+    "retail_promo_means",
+    """SELECT s.store_id, CASE WHEN p.store_id IS NULL THEN 0 ELSE 1 END AS promo, round(round(avg(sales), 9), 6) AS avg_sales FROM sales s
+       LEFT JOIN (SELECT DISTINCT store_id, date FROM promo_days) p ON s.store_id = p.store_id AND s.date = p.date WHERE is_open = 1 GROUP BY ALL""",
+)
+def promo_means(t):
+    return settled(D.means_by(X.promo_flag(t.sales.withColumn("is_train", F.lit(1)), t.promo_days), ["store_id", "promo"]))
+
+
 _TYPES = ["AF", "AM", "AS", "EU", "MI"]
 
 
