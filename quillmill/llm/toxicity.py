@@ -24,6 +24,7 @@ repeated labels of an id count once, the larger, and so do repeated rows of an i
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -105,29 +106,63 @@ def train(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Model:
     return Model(base, dictionary([w for fold in kept for w in fold], TOXIC))
 
 
+def _known(documents: list[tuple[str, int]]) -> list[tuple[list[bytes], int]]:
+    return [(windows(normal(t)), y) for t, y in dict.fromkeys(documents)]
+
+
+def _part(known: list[tuple[list[bytes], int]], k: int) -> tuple[list[list[float]], list[int], Model]:
+    """Fold ``k``: features of its documents by a model of the other folds, and their labels; ``FOLDS``: the model of all."""
+    toxic, ordinary = ([[w for ws, y in known[i::FOLDS] if y == label for w in ws] for i in range(FOLDS)] for label in (1, 0))
+    model = train(*([fold for i, fold in enumerate(folds) if i != k] for folds in (toxic, ordinary)))
+    own = known[k::FOLDS] if k < FOLDS else []
+    gains = model.gains() if own else None
+    return [features(gains(ws)) for ws, _ in own], [y for _, y in own], model
+
+
+def _fitted(parts: list[tuple[list[list[float]], list[int], Model]]) -> Model:
+    x, y = ([v for part in parts for v in part[i]] for i in (0, 1))
+    model = parts[-1][2]
+    model.curve = logistic.fit(np.array(x), np.array(y, float)) if y else None
+    return model
+
+
 def fit(documents: list[tuple[str, int]]) -> Model:
     """(text, 0 or 1) -> a model: dictionaries from all folds, the curve from gains by the folds other than a document's own."""
-    known = [(windows(normal(t)), y) for t, y in dict.fromkeys(documents)]
-    toxic, ordinary = ([[w for ws, y in known[k::FOLDS] if y == label for w in ws] for k in range(FOLDS)] for label in (1, 0))
-    x, y = [], []
-    for k in range(FOLDS):
-        without = train(*([fold for i, fold in enumerate(folds) if i != k] for folds in (toxic, ordinary))).gains()
-        x.extend(features(without(ws)) for ws, _ in known[k::FOLDS])
-        y.extend(label for _, label in known[k::FOLDS])
-    model = train(toxic, ordinary)
-    model.curve = logistic.fit(np.array(x), np.array(y, float)) if known else None
-    return model
+    known = _known(documents)
+    return _fitted([_part(known, k) for k in range(FOLDS + 1)])
+
+
+def fit_in_tasks(sample: DataFrame) -> Model:
+    """The same from ``labelled_rows``, a task for each fold and one for the whole; each gets the sample, which is bounded."""
+    each = sample.withColumn("fold", F.explode(F.array(*map(F.lit, range(FOLDS + 1))))).repartition(8 * FOLDS, "fold")
+
+    def work(given: pa.Table) -> pa.Table:
+        k, rows = given.column("fold")[0].as_py(), sorted(given.select(["h", "key", "t", "y"]).to_pylist(), key=lambda r: (r["h"], r["key"]))
+        x, y, model = _part(_known([(r["t"], r["y"]) for r in rows]), k)
+        dictionaries = (model.ordinary, model.toxic) if k == FOLDS else (b"", b"")
+        return pa.table([[k], [[v for row in x for v in row]], [y], *([d] for d in dictionaries)], schema=pa.schema(shape))
 
+    shape = [("fold", pa.int32()), ("x", pa.list_(pa.float64())), ("y", pa.list_(pa.int32())), ("ordinary", pa.binary()), ("toxic", pa.binary())]
+    rows = {r["fold"]: r for r in each.groupBy("fold").applyInArrow(work, "fold int, x array<double>, y array<int>, ordinary binary, toxic binary").collect()}
+    if not rows:
+        return fit([])
+    parts = [(np.array(rows[k]["x"]).reshape(len(rows[k]["y"]), -1).tolist() if rows[k]["y"] else [], rows[k]["y"], Model(bytes(rows[k]["ordinary"]), bytes(rows[k]["toxic"]))) for k in range(FOLDS + 1)]
+    return _fitted(parts)
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """About ``sample`` labelled texts of at most ``chars`` characters, one of an id, in the order of a hash of their ids."""
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """-> h, key, t, y: about ``sample`` labelled texts of at most ``chars`` characters, one of an id; h is a hash of the id."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     n = known.count()
     some = known.where(hash01(key) < min(1.0, sample / max(n, 1)))  # about `sample` rows: small enough to broadcast
     texts = docs.where(F.length(text) <= chars).select(F.col(key).alias("k"), F.col(text).alias("t"))
     once = texts.join(F.broadcast(some), F.col("k") == F.col(key)).groupBy(key, "y").agg(F.min("t").alias("t"))
-    rows = once.select(hash01(key).alias("h"), key, "t", "y").collect()
-    return [(r["t"], int(r["y"])) for r in sorted(rows, key=lambda r: (r["h"], r[key]))]
+    return once.select(hash01(key).alias("h"), F.col(key).alias("key"), "t", F.col("y").cast("int").alias("y"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, **options) -> list[tuple[str, int]]:
+    """The same as (text, label) in the order of h."""
+    return [(r["t"], r["y"]) for r in sorted(labelled_rows(docs, labels, label, **options).collect(), key=lambda r: (r["h"], r["key"]))]
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -150,6 +185,6 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", keep: lis
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    model = fit(labelled_sample(docs, labels.where(~held_out("doc_id", 5, 0)), "toxic"))
+    model = fit_in_tasks(labelled_rows(docs, labels.where(~held_out("doc_id", 5, 0)), "toxic"))
     scored = score_documents(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")

@@ -141,6 +141,31 @@ def test_toxicity_learns_and_flags(spark):
     assert toxicity.score_documents(df.limit(0), model).count() == 0
 
 
+def test_toxicity_fitted_in_tasks_is_the_same(spark):
+    _, _, sample = plain_and_bad(8)
+    rows = [(i / len(sample), i, t, y) for i, (t, y) in enumerate(sample)]
+    frame = spark.createDataFrame(rows, "h double, key long, t string, y int").repartition(5)
+    model, other = toxicity.fit(sample), toxicity.fit_in_tasks(frame)
+    assert (model.ordinary, model.toxic) == (other.ordinary, other.toxic)
+    texts = [t for t, _ in sample[:40]]
+    scores = [[r["score"] for r in toxicity.score_documents(docs(spark, texts), m).orderBy("doc_id").collect()] for m in (model, other)]
+    assert np.allclose(*scores)
+    for few in (frame.limit(0), frame.where("key = 0"), frame.where("key < 2")):
+        assert toxicity.fit_in_tasks(few).toxic == toxicity.fit([(r["t"], r["y"]) for r in few.orderBy("h").collect()]).toxic
+
+
+def test_toxic_dictionary_keeps_what_toxic_documents_share():
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("aeioulmnrst", k=r.randint(3, 9)))
+    plain = lambda: " " + " ".join(word() for _ in range(9)) + " "
+    bad = lambda: " ".join(["", *(word() for _ in range(4)), "utter wretched numskull", *(word() for _ in range(3)), ""])
+    toxic = [[x.encode() for x in [bad() for _ in range(30)] + [plain() for _ in range(30)]] for _ in range(3)]
+    model = toxicity.train(toxic, [[plain().encode() for _ in range(400)] for _ in range(3)])
+    shared = [w for fold in toxic for w in fold if b"numskull" in w]
+    other = [w for fold in toxic for w in fold if b"numskull" not in w]
+    assert all(w in model.toxic for w in shared) and sum(w in model.toxic for w in other) < 0.2 * len(other)
+
+
 def test_toxicity_by_brute_force():
     """Windows, lengths, gains and the score again, from the two dictionaries and the curve alone."""
     plain, bad, sample = plain_and_bad(6)
