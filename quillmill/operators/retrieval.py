@@ -77,7 +77,7 @@ def nearest(items: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", ve
     Every item belongs to its nearest pivot. A query looks into its nearest pivots' items first, until these are k; the
     k-th distance there is a bound for all. Of the other items only those can be nearer whose distance to their pivot differs from
     the query's by less than the bound (triangle inequality) and whose pivot is not farther off than the query's by
-    twice the bound. Items and queries meet in a shuffle by pivot, crowded pivots in several parts.
+    twice the bound. Items and queries meet in a shuffle by pivot, crowded pivots in several parts. Null vectors take no part.
     """
     return top_k(pairs(items, queries, k, id, vector, pivots), k)
 
@@ -96,7 +96,7 @@ def assigned(items: DataFrame, pivots: DataFrame, pivot_limit: int = PIVOTS) ->
 
 def pairs(items: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "embedding", pivots: int | None = None) -> DataFrame:
     """-> query_id, id, distance: the pairs that ``nearest`` has to look at, the k nearest of each query among them."""
-    vectors = lambda df: df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    vectors = lambda df: df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
     given = staged(vectors(items), "vectors")
     n = given.count()
     m = min(pivots or max(1, round(2 * n**0.5)), PIVOTS)

@@ -90,7 +90,8 @@ def test_nearest_by_pivots_is_exact_and_visits_few(spark):
     visited = V.pairs(items, queries).count()
     assert visited < 0.3 * len(rows) * queries.count()
     assert V.nearest(items.limit(0), queries).count() == 0 and V.nearest(items, queries.limit(0)).count() == 0
-    assert V.nearest(items.where("id < 3"), items.where("id = 0")).count() == 3
+    some = items.where("id < 3").unionByName(spark.createDataFrame([(7, None)], "id long, embedding array<double>"))
+    assert V.nearest(some, some).count() == 9  # a null vector neither asks nor is found
 
 
 def test_vector_table_computes_changed_documents_only(spark, tmp_path):
