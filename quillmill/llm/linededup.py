@@ -423,10 +423,10 @@ def linked(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
         bound, most = least_edits(bits[some][:, None], bits[None], sizes[some][:, None], sizes[None]), allowed(np.maximum(sizes[some][:, None], sizes[None]), least)
         row, j = np.nonzero((bound <= most) & (comp[some][:, None] != comp) & (turn > turn[some][:, None]))
         order = np.lexsort((bound[row, j] / most[row, j], row))
-        i, j = some[row[order]], j[order]
-        while len(i):
+        i, j, take = some[row[order]], j[order], 3
+        while len(i):  # a few of each text at first, then twice as many each time
             place = np.arange(len(i)) - np.searchsorted(i_turn := turn[i], i_turn)
-            now = place < 3
+            now, take = place < take, 2 * take
             test(i[now], j[now])
             comp = np.array([own.root(x) for x in range(n)])
             open_ = ~now & (comp[i] != comp[j])
