@@ -25,3 +25,13 @@ def test_days_of_a_state_are_not_copied_to_its_stores(spark):
     got = sorted((r["store_id"], str(r["date"]), r["state"], r["temperature_avg"], r["is_train"], r["is_open"]) for r in out.collect())
     assert [r[:2] + r[3:] for r in got] == [(0, "2015-01-01", 1.0, 1, 1), (0, "2015-01-03", 2.0, 0, 1), (1, "2015-01-02", None, 1, 1), (2, "2015-01-03", 2.0, 1, 1), (3, "2015-01-01", None, 1, 1), (4, "2015-01-02", None, 1, 1), (5, "2015-01-03", 3.0, 1, 1)]
     assert got[-1][2] is None and out.columns == ["store_id", "date", "sales", "is_open", "is_train", "id", "state", "temperature_avg"]
+
+
+def test_fill_looks_back_only(spark):
+    rows = [(s, day(d), None if d < 2 or s % 3 else float(100 * d + s)) for d in range(4) for s in range(9)]
+    out = X.impute_ffill(spark.createDataFrame(rows, "store_id int, date date, x double"), ["x"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    known, want = [x for _, _, x in rows if x is not None], []
+    for _, _, x in rows:
+        want.append(x if x is not None else want[-1] if want and want[-1] is not None else None)
+    assert [r["x"] for r in out.orderBy("date", "store_id").collect()] == [known[0] if x is None else x for x in want]
