@@ -35,3 +35,12 @@ def test_fill_looks_back_only(spark):
     for _, _, x in rows:
         want.append(x if x is not None else want[-1] if want and want[-1] is not None else None)
     assert [r["x"] for r in out.orderBy("date", "store_id").collect()] == [known[0] if x is None else x for x in want]
+
+
+def test_medians_count_equal_values_first(spark, monkeypatch):
+    written, stage = {}, selection.staged
+    monkeypatch.setattr(selection, "staged", lambda df, name: written.setdefault(name, stage(df, name)))
+    df = spark.range(6000).select((F.col("id") % 2).alias("g"), (F.col("id") % 14).cast("double").alias("x"))
+    got = {r["g"]: r["x"] for r in selection.grouped_medians(df, {("g",): ["x"], (): ["x"]})["g",].collect()}
+    assert got == {r["g"]: r["x"] for r in df.groupBy("g").agg(F.median("x").alias("x")).collect()}
+    assert written["counted-values"].count() == 14 and written["value-ranges"].count() == 28
