@@ -3,11 +3,14 @@
 import datetime as dt
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from quillmill.operators import features as X
 from quillmill.operators import relational as R
+from quillmill.operators import retrieval as V
 from quillmill.operators import selection
+from quillmill.plans import evaluation
 
 
 def day(n):
@@ -44,3 +47,21 @@ def test_medians_count_equal_values_first(spark, monkeypatch):
     got = {r["g"]: r["x"] for r in selection.grouped_medians(df, {("g",): ["x"], (): ["x"]})["g",].collect()}
     assert got == {r["g"]: r["x"] for r in df.groupBy("g").agg(F.median("x").alias("x")).collect()}
     assert written["counted-values"].count() == 14 and written["value-ranges"].count() == 28
+
+
+def test_a_mean_on_a_half_reads_alike_in_both_engines(spark):
+    values = [10.075, 9.075, -0.001, -0.125, 2.5, 0.0, 1234.565, None]
+    rule = "CAST(round(CAST(round(ti, 6) AS DECIMAL(18, 6)), 2) AS VARCHAR)"
+    assert rule in evaluation.ORACLE_SQL["retrieval_documents"]
+    want = [r[0] for r in duckdb.sql(f"SELECT {rule} FROM (SELECT unnest({[v if v is not None else None for v in values]}::DOUBLE[]) AS ti)".replace("None", "NULL")).fetchall()]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(V.figure(F.col("v"), "%.2f")).collect()]
+    assert got == want and got[:3] == ["10.08", "9.08", "0.00"]
+
+
+def test_search_returns_the_nearest_of_each_part_only(spark):
+    rows = [(i, [float(i % 7), float(i % 3)]) for i in range(1500)] + [(2000, [float("nan"), 1.0])]  # 21 places, some 70 copies at each
+    items = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = items.where("id < 4")
+    assert V.pairs(items, queries, 5, keep=5).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 * 40
+    got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in V.nearest(items, queries, digits=9).collect())
+    assert got == [(q, k + 1, q + 21 * k, 0.0) for q in range(4) for k in range(5)]
