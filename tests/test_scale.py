@@ -7,6 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from quillmill.operators import features as X
+from quillmill.operators import modelling
 from quillmill.operators import relational as R
 from quillmill.operators import retrieval as V
 from quillmill.operators import selection
@@ -65,3 +66,10 @@ def test_search_returns_the_nearest_of_each_part_only(spark):
     assert V.pairs(items, queries, 5, keep=5).groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5 * 40
     got = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in V.nearest(items, queries, digits=9).collect())
     assert got == [(q, k + 1, q + 21 * k, 0.0) for q in range(4) for k in range(5)]
+
+
+def test_training_rows_are_dealt_over_partitions_of_bounded_size(spark):
+    rows = spark.range(1000).coalesce(1)
+    assert modelling.dealt(rows, 50).rdd.getNumPartitions() == 20
+    assert max(modelling.dealt(rows, 50).groupBy(F.spark_partition_id()).count().select("count").toPandas()["count"]) <= 100
+    assert modelling.dealt(rows.limit(0)).count() == 0
