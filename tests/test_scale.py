@@ -11,7 +11,8 @@ from quillmill.operators import modelling
 from quillmill.operators import relational as R
 from quillmill.operators import retrieval as V
 from quillmill.operators import selection
-from quillmill.plans import evaluation
+from quillmill.plans import evaluation, retail
+from quillmill.plans.analogues import Retail
 
 
 def day(n):
@@ -73,3 +74,28 @@ def test_training_rows_are_dealt_over_partitions_of_bounded_size(spark):
     assert modelling.dealt(rows, 50).rdd.getNumPartitions() == 20
     assert max(modelling.dealt(rows, 50).groupBy(F.spark_partition_id()).count().select("count").toPandas()["count"]) <= 100
     assert modelling.dealt(rows.limit(0)).count() == 0
+
+
+def test_features_write_the_facts_once_and_narrow(spark, monkeypatch):
+    written, stage = [], X.staged
+
+    def spy(df, name):
+        written.append((name, df.columns))
+        return stage(df, name)
+
+    monkeypatch.setattr(X, "staged", spy)
+    out = retail.feature_table(Retail(spark, "/root/testdata/sf0.001"))
+    wide = [(name, columns) for name, columns in written if "is_open" in columns]
+    assert [name for name, _ in wide] == ["fact"] and sorted(wide[0][1]) == sorted(retail.SOURCES)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") - plan.count("Window [last(__l_") == 1
+    assert out.count() > 0
+
+
+def test_medians_of_small_groups_equal_those_of_ranges(spark):
+    df = spark.createDataFrame([(i % 7 if i % 50 else None, float(i * 37 % 101) if i % 6 else None) for i in range(400)] + [(9, None)], "g int, x double").cache()
+    sizes = df.groupBy("g").agg(F.count("x").alias("n"))
+    want = {r["g"]: r["x"] for r in df.dropna(subset=["g"]).groupBy("g").agg(F.median("x").alias("x")).collect()}
+    sorted_in_groups = {r["g"]: r["x"] for r in selection.medians_of_small_groups(df, ["g"], "x", sizes).collect()}
+    by_ranges = {r["g"]: r["x"] for r in selection.medians_of_small_groups(df, ["g"], "x", sizes, limit=10).collect()}
+    assert by_ranges == want and sorted_in_groups == {g: x for g, x in want.items() if x is not None}
