@@ -4,6 +4,7 @@ import datetime as dt
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import features as X
@@ -99,3 +100,11 @@ def test_medians_of_small_groups_equal_those_of_ranges(spark):
     sorted_in_groups = {r["g"]: r["x"] for r in selection.medians_of_small_groups(df, ["g"], "x", sizes).collect()}
     by_ranges = {r["g"]: r["x"] for r in selection.medians_of_small_groups(df, ["g"], "x", sizes, limit=10).collect()}
     assert by_ranges == want and sorted_in_groups == {g: x for g, x in want.items() if x is not None}
+
+
+@pytest.mark.parametrize("name, needed", [("retail_impute_rates", "state unemployment_rate trend_index")])
+def test_queries_write_only_the_columns_they_need(spark, monkeypatch, name, needed):
+    written, stage = [], retail.staged
+    monkeypatch.setattr(retail, "staged", lambda df, name: written.append((name, sorted(df.columns))) or stage(df, name))
+    assert retail.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert written == [("fact", sorted(["store_id", "date", *needed.split()]))]
