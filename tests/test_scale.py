@@ -102,7 +102,7 @@ def test_medians_of_small_groups_equal_those_of_ranges(spark):
     assert by_ranges == want and sorted_in_groups == {g: x for g, x in want.items() if x is not None}
 
 
-@pytest.mark.parametrize("name, needed", [("retail_impute_rates", "state unemployment_rate trend_index"), ("retail_interactions", "type_code level_code distance_meters")])
+@pytest.mark.parametrize("name, needed", [("retail_impute_rates", "state unemployment_rate trend_index"), ("retail_interactions", "type_code level_code distance_meters"), ("retail_label_encoding", "type_code level_code state weather_event")])
 def test_queries_write_only_the_columns_they_need(spark, monkeypatch, name, needed):
     written, stage = [], retail.staged
     monkeypatch.setattr(retail, "staged", lambda df, name: written.append((name, sorted(df.columns))) or stage(df, name))
