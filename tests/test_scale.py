@@ -12,7 +12,7 @@ from quillmill.operators import modelling
 from quillmill.operators import relational as R
 from quillmill.operators import retrieval as V
 from quillmill.operators import selection
-from quillmill.plans import evaluation, retail
+from quillmill.plans import evaluation, jobs, retail
 from quillmill.plans.analogues import Retail
 
 
@@ -108,3 +108,10 @@ def test_queries_write_only_the_columns_they_need(spark, monkeypatch, name, need
     monkeypatch.setattr(retail, "staged", lambda df, name: written.append((name, sorted(df.columns))) or stage(df, name))
     assert retail.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     assert written == [("fact", sorted(["store_id", "date", *needed.split()]))]
+
+
+def test_training_writes_only_its_inputs(spark, monkeypatch):
+    written, prepared = [], modelling.prepared
+    monkeypatch.setattr(modelling, "prepared", lambda df: written.append(df.columns) or prepared(df))
+    jobs._split(Retail(spark, "/root/testdata/sf0.001"))
+    assert written == [["store_id", "date", "sales", "is_open", "is_train", *modelling.FEATURES]]
