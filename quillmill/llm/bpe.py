@@ -1,7 +1,7 @@
 r"""Byte-level BPE: exact linear-time encoding by backtracking, decoding by an offset table.
 
-Encoding of one pre-token: an Aho-Corasick automaton over the vocabulary reports every token that occurs, which gives
-the longest token at each place. Going left to right, a longest match is accepted if it may follow the token before
+Encoding of one pre-token: a walk down a tree of the vocabulary, from all places at a time, gives the longest token at
+each place. Going left to right, a longest match is accepted if it may follow the token before
 it; otherwise shorter prefixes are tried, and if none fits, the token before is taken back. Two tokens may stand side
 by side if merging their concatenation does not cross the border, which a walk over the pair table and the table of
 last merges decides. Places once found to be dead ends are never entered again, so the work is linear. The pre-tokens
@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import small_batches, table
 
 #: Pieces of text a Python worker remembers, in two generations of this many; longer pieces are not remembered.
-MEMO_ENTRIES, MEMO_CHARS = 120_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
 #: Pairs of tokens whose compatibility a worker remembers, as a power of two.
-MEMO_PAIRS = 18
+MEMO_PAIRS = 20
 #: Bytes of text that a worker encodes together.
 SLICE_BYTES = 500_000
 #: Pieces between which no token can reach over: white space begins one, as does a blank before other characters.
@@ -80,11 +80,7 @@ class Bpe:
             i = rank[a + b]
             self.left[i], self.right[i] = rank[a], rank[b]
             self.pairs[rank[a], rank[b]] = i
-        self.words = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for s, i in rank.items():
-            if len(s) > 1:  # what a byte alone stands for needs no search
-                self.words.add_word(s, i)
-        self.words.make_automaton()
+        self._tree(rank)
         self.size = np.array([len(s) for s in order])
         self.byte = np.array([rank[chr(b)] for b in range(256)])
         trie = ahocorasick.Automaton()
@@ -104,13 +100,70 @@ class Bpe:
         self.offsets = np.cumsum(lengths)
         self.buffer = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(n)), np.uint8)
         self.decimal = [str(i) for i in range(n)]
+        self.pair_of = np.full(1 << MEMO_PAIRS, -1)
+        self.pair_fits = np.zeros(1 << MEMO_PAIRS, bool)
         self.forget()
 
     def forget(self) -> None:
+        """Pieces go; the pairs stay, as they take the same room whatever was read."""
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.pair_of = np.full(1 << MEMO_PAIRS, -1)
-        self.pair_fits = np.zeros(1 << MEMO_PAIRS, bool)
+
+    def _tree(self, rank: dict[str, int]) -> None:
+        """The tokens as a tree of bytes: a table of all first two bytes, then (node, byte) -> node in a table of hashes."""
+        node: dict[str, int] = {}
+        for s in rank:
+            for n in range(2, len(s) + 1):
+                node.setdefault(s[:n], len(node))
+        self.token_at = np.array([rank.get(s, -1) for s in node])
+        self.first_two = np.full(1 << 16, -1)
+        edges = []
+        for s, i in node.items():
+            if len(s) == 2:
+                self.first_two[ord(s[0]) << 8 | ord(s[1])] = i
+            else:
+                edges.append((node[s[:-1]] << 8 | ord(s[-1]), i))
+        code, child = np.array(edges).reshape(-1, 2).T
+        bits = int(8 * max(len(code), 1)).bit_length()
+        self.shift, self.edge, self.child = np.uint64(64 - bits), np.full(1 << bits, -1), np.full(1 << bits, -1)
+        slot = self._slot(code)
+        while len(code):  # one of those that want a slot gets it, the others try the next one
+            free = self.edge[slot] < 0
+            self.edge[slot[free]], self.child[slot[free]] = code[free], child[free]
+            left = self.edge[slot] != code
+            self.child[slot[~left]] = child[~left]
+            code, child, slot = code[left], child[left], slot[left] + 1 & (1 << bits) - 1
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def longest(self, raw: np.ndarray) -> np.ndarray:
+        """The longest token that begins at each byte; all places go down the tree at once."""
+        out = self.byte[raw]
+        if len(raw) < 2:
+            return out
+        wide = raw.astype(np.int64)
+        node = self.first_two[wide[:-1] << 8 | wide[1:]]
+        at, n = np.flatnonzero(node >= 0), 2
+        node = node[at]
+        while len(at):
+            token = self.token_at[node]
+            ends = token >= 0
+            out[at[ends]] = token[ends]
+            more = at + n < len(raw)
+            if not more[-1]:
+                at, node = at[more], node[more]
+            code = node << 8 | wide[at + n]
+            slot = self._slot(code)
+            found = self.edge[slot]
+            off = np.flatnonzero((found != code) & (found >= 0))
+            while len(off):
+                slot[off] = slot[off] + 1 & len(self.edge) - 1
+                found[off] = self.edge[slot[off]]
+                off = off[(found[off] != code[off]) & (found[off] >= 0)]
+            go = np.flatnonzero(found == code)
+            at, node, n = at[go], self.child[slot[go]], n + 1
+        return out
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE, given the bytes of token a followed by those of b, ends with exactly these two tokens."""
@@ -151,10 +204,7 @@ class Bpe:
         """Pre-tokens -> their public ids in a row, and where in it each word ends; all words go forward and back at once."""
         s = "\udcff".join(words).encode("utf-8", "surrogateescape") + b"\xff"
         raw = np.frombuffer(s, np.uint8)
-        found = np.fromiter(chain.from_iterable(self.words.iter(s.decode("latin-1"))), np.int64)
-        end, token = found[::2], found[1::2]
-        longest = np.append(self.byte[raw], 0)
-        longest[end + 1 - self.size[token]] = token  # of those that begin at a place the last one is the longest
+        longest = np.append(self.longest(raw), 0)
         stop = np.flatnonzero(raw == 255)
         pos = np.append(0, stop[:-1] + 1)
         begin, alive = pos.copy(), np.ones(len(raw) + 1, bool)
@@ -178,17 +228,14 @@ class Bpe:
             going, at, token = going[open_], at[open_], token[open_]
         # the ways, from the ends of the words to their beginnings
         going = np.flatnonzero(begin < stop)
-        at, ends, tokens = stop[going], [], []
+        at, on_way = stop[going], np.zeros(len(raw) + 1, bool)
         while len(going):
-            token = before[at]
-            ends.append(at)
-            tokens.append(token)
-            at = at - size[token]
+            on_way[at] = True
+            at = at - size[before[at]]
             open_ = at > begin[going]
             going, at = going[open_], at[open_]
-        ends, tokens = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ends, tokens))
-        order = np.argsort(ends)
-        return self.public[tokens[order]], np.searchsorted(ends[order], stop, side="right")
+        ends = np.flatnonzero(on_way)
+        return self.public[before[ends]], np.searchsorted(ends, stop, side="right")
 
     def encode_word(self, word: str) -> list[int]:
         """Public ids of one pre-token, given as text."""
@@ -196,15 +243,14 @@ class Bpe:
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Pieces that are not remembered -> their ids as bytes of 32-bit integers."""
-        words, upto, pieces = [], [0], list(pieces)
-        for p in pieces:
-            if p[0] == " " and p[1:].isalpha():  # what the pattern would find anyway
-                words.append(p)
-            elif p[0] == " " and p[-1] in ".," and p[1:-1].isalpha():
-                words += (p[:-1], p[-1])
-            else:
-                words += self.pattern.findall(p)
-            upto.append(len(words))
+        plain = [p for p in pieces if p[1:].isalpha() and p[0] == " "]  # what the pattern would find anyway
+        rest = list(pieces.difference(plain))
+        ended = [p for p in rest if p[-1] in ".," and p[0] == " " and p[1:-1].isalpha()]
+        other = list(set(rest).difference(ended))
+        found = list(map(self.pattern.findall, other))
+        words = [*plain, *chain.from_iterable((p[:-1], p[-1]) for p in ended), *chain.from_iterable(found)]
+        upto = np.cumsum([0] + [1] * len(plain) + [2] * len(ended) + list(map(len, found)))
+        pieces = [*plain, *ended, *other]
         if not words:
             return {p: b"" for p in pieces}
         ids, ends = self.encode_words(words)

@@ -57,12 +57,16 @@ def width_for(vocabulary: int) -> int:
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
+    if width in (8, 16, 32):
+        return ids.astype(f"<u{width // 8}").tobytes()
     bits = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def unpack(packed: bytes, width: int, n: int) -> np.ndarray:
     """The first ``n`` ids, as uint32."""
+    if width in (8, 16, 32):
+        return np.frombuffer(packed, f"<u{width // 8}", n).astype("<u4")
     bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=n * width, bitorder="little").reshape(n, width)
     whole = np.zeros((n, 4), np.uint8)
     whole[:, : -(-width // 8)] = np.packbits(bits, axis=1, bitorder="little")
@@ -274,7 +278,10 @@ def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def encoded(rows: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame:
-    """doc_id, t -> doc_id, ids: the ids of each text and ``end``, as little-endian 32-bit numbers."""
+    """doc_id, t -> doc_id, ids: the ids of each text and ``end``, as little-endian 32-bit numbers.
+
+    What a worker remembers of one task's texts serves its next ones.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, tail = bpe.load(tokenizer), b"" if end is None else end.to_bytes(4, "little")
@@ -282,7 +289,6 @@ def encoded(rows: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame
             for batch in bpe.few_chars(whole, "t"):
                 runs = tables.encode_all(batch.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype("<i4").tobytes() + tail for x in runs], pa.binary())], names=["doc_id", "ids"])
-        tables.forget()
 
     return small_batches(rows).mapInArrow(work, "doc_id long, ids binary")
 

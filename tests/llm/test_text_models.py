@@ -42,6 +42,19 @@ def test_bpe_compatibility_is_what_merging_gives():
         assert all(own.compatible(back[a], back[b]) for a, b in zip(ids, ids[1:], strict=False))
 
 
+def test_bpe_longest_tokens_and_kept_pairs():
+    own = bpe.load(bpe.TOKENIZER)
+    text = " the worthlessness of thing\n\n\n éçmenté 語😀 aaaaaaaaaaaaaaaa zq".encode()
+    vocab = {own.buffer[own.offsets[i] : own.offsets[i + 1]].tobytes(): i for i in own.public.tolist()}
+    for raw in (text, text[:1], text[-2:], b"", b"th", bytes(range(256))):
+        want = [max((raw[i:j] for j in range(i + 1, len(raw) + 1) if raw[i:j] in vocab), key=len) for i in range(len(raw))]
+        assert own.public[own.longest(np.frombuffer(raw, np.uint8))].tolist() == [vocab[x] for x in want]
+    own.encode("what is known of two tokens side by side stays when pieces are forgotten")
+    known = int((own.pair_of >= 0).sum())
+    own.forget()
+    assert known and int((own.pair_of >= 0).sum()) == known and not own.memo
+
+
 def test_bpe_over_frames(spark):
     df = docs(spark, [*TEXTS, "a"], k=["x"] * (len(TEXTS) + 1), ids=["y"] * (len(TEXTS) + 1))
     got = {r["doc_id"]: r for r in bpe.token_digests(df, bpe.TOKENIZER).collect()}

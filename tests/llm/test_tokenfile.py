@@ -22,6 +22,15 @@ def test_packing_round_trip(width):
         assert len(packed) == -(-n * width // 8) and tf.unpack(packed, width, n).tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("width", [8, 16, 32])
+def test_whole_bytes_are_packed_as_bits_would_be(width, monkeypatch):
+    ids = np.random.default_rng(width).integers(0, 1 << width, 1003).astype(np.uint32)
+    bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    monkeypatch.delattr(np, "unpackbits")  # no bit has to be taken apart
+    assert tf.pack(ids, width) == packed and tf.unpack(packed, width, 1003).tolist() == ids.tolist()
+
+
 def test_least_width():
     assert [tf.width_for(n) for n in (1, 2, 3, 256, 257, 50257, 65536, 65537)] == [1, 1, 2, 8, 9, 16, 16, 17]
 
