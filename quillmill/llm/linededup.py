@@ -22,7 +22,7 @@ and get the same result; a null id comes before all others; other columns pass t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from itertools import chain, combinations, groupby
 
 import numpy as np
@@ -46,9 +46,11 @@ BLOCKS = 4
 #: Members from which a group's texts first meet ``CENTRES`` of them, which links most, and then the others one by one, nearest first.
 LARGE, CENTRES = 8, 4
 #: Pairs of texts whose distances are computed together; fewer than these go one by one.
-TOGETHER, FEW_PAIRS = 2048, 12
+TOGETHER, FEW_PAIRS = 2048, 24
+#: Words of 64 bits of the texts that are compared together, and columns after which pairs too far apart leave.
+WIDE, EXIT = 60, 32
 #: Members of groups, and more, that are compared together, and those that a task gets, about.
-MEMBERS, MEMBERS_A_TASK = 16_384, 5000
+MEMBERS, MEMBERS_A_TASK = 16_384, 10_000
 #: Bytes of a band's key in the table of lines.
 KEY = 5
 #: Lists of lines up to this many bytes are broadcast to the documents; larger ones are joined by shuffling both sides.
@@ -189,26 +191,59 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
-    """The same for many pairs at a time, a column of all of them in each step, in words of 64 bits."""
-    a, b = map(list, zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)), strict=True))
-    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-    pairs, words = np.arange(len(a)), int(-(-m.max() // 64)) or 1
-    alphabet, codes = np.unique(np.frombuffer("".join(a + b).encode("utf-32-le"), np.uint32), return_inverse=True)
-    if len(a) > 1 and len(alphabet) * words * len(a) > 2_000_000:  # in scripts of many characters fewer pairs at a time
-        half = len(a) // 2
-        return np.concatenate([edit_distances(a[:half], b[:half]), edit_distances(a[half:], b[half:])])
+    """The same for many pairs at a time."""
+    return least_distances(a, b, np.full(len(a), np.inf))[0].astype(np.int64)
+
+
+def least_distances(a: list[str], b: list[str], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distances of many pairs, and which are exact: the others are bounds below, beyond the pair's ``most``.
+
+    All pairs go a column each step, in words of 64 bits, those with the longest texts first, so that the ones that end drop off the end.
+    Every ``EXIT`` columns those go whose way through any row of the column is too far already.
+    """
+    m, n = (np.fromiter(map(f, map(len, a), map(len, b)), np.int64, len(a)) for f in (min, max))
+    order = np.argsort(-n, kind="stable")
+    low, exact = np.zeros(len(a)), np.ones(len(a), bool)
+    a, b = ([f(a[k], b[k], key=len) if len(a[k]) != len(b[k]) else (a, b)[f is max][k] for k in order] for f in (min, max))
+    m, n, most, pairs, words = m[order], n[order], most[order], len(a), int(-(-m.max() // 64)) or 1
+    alphabet, codes = np.unique(np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    if pairs > 1 and len(alphabet) * words * pairs > 2_000_000:  # in scripts of many characters fewer pairs at a time
+        parts = [least_distances(a[x], b[x], most[x]) for x in (slice(0, pairs // 2), slice(pairs // 2, None))]
+        low[order], exact[order] = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return low, exact
     left, right = codes[: m.sum()], codes[m.sum() :]
-    row, place = np.repeat(pairs, m), np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
-    holds = np.zeros((len(alphabet), words, len(a)), np.uint64)  # where in a each character stands
-    np.bitwise_or.at(holds, (left, place >> 6, row), np.uint64(1) << (place & 63).astype(np.uint64))
-    text = np.zeros((n.max(), len(a)), np.int64)
-    text[np.arange(len(right)) - np.repeat(np.cumsum(n) - n, n), np.repeat(pairs, n)] = right
-    one, top = np.uint64(1), (np.maximum(m - 1, 0) >> 6, pairs, (np.maximum(m - 1, 0) & 63).astype(np.uint64))
-    vp, vn, score = np.full((words, len(a)), ~np.uint64(0)), np.zeros((words, len(a)), np.uint64), m.copy()
-    place = np.arange(words)[:, None]
-    holds = np.ascontiguousarray(holds.transpose(0, 2, 1)).reshape(-1, words)
-    for j in range(n.max()):
-        eq = holds[text[j] * len(a) + pairs].T
+    row, place = np.repeat(np.arange(pairs), m), np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
+    holds = np.zeros((len(alphabet), pairs, words), np.uint64)  # where in a each character stands
+    np.bitwise_or.at(holds, (left, row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    holds = holds.reshape(-1, words)
+    text = np.zeros((n.max(), pairs), np.int64)
+    text[np.arange(len(right)) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(pairs), n)] = right * pairs + np.repeat(np.arange(pairs), n)
+    one, place, rows = np.uint64(1), np.arange(words)[:, None], 8 * np.arange(1, 8 * words + 1)
+    here = np.clip(m - 64 * place, 0, 64).astype(np.uint64)  # bits of each word that are rows of the pair
+    inside = np.where(here == 64, ~np.uint64(0), (one << (here & np.uint64(63))) - one)
+    vp, vn, act, ends = np.full((words, pairs), ~np.uint64(0)), np.zeros((words, pairs), np.uint64), np.arange(pairs), n
+    for j in range(n.max() + 1):
+        if ends[-1] == j:
+            go = int(np.searchsorted(-ends, -j))
+            done = act[go:]
+            ups, downs = (np.bitwise_count(v[:, go:] & inside[:, done]).sum(axis=0, dtype=np.int64) for v in (vp, vn))
+            low[order[done]] = j + ups - downs
+            vp, vn, act, ends = vp[:, :go], vn[:, :go], act[:go], ends[:go]
+            if not go:
+                break
+        if j and j % EXIT == 0:
+            ups, downs = (np.bitwise_count(np.ascontiguousarray(v.T).view("<u8").view(np.uint8)).astype(np.int64) for v in (vp, vn))
+            far = np.cumsum(ups - downs, axis=1) + j + np.abs((m[act] - ends + j)[:, None] - rows)
+            far = np.minimum(np.where(rows <= m[act][:, None], far, 1 << 40).min(axis=1), j + np.abs(m[act] - ends + j))
+            far -= 16  # of eight rows one is looked at, seven at most from any other one
+            stay = far <= most[act]
+            if not stay.all():
+                gone = act[~stay]
+                low[order[gone]], exact[order[gone]] = far[~stay], False
+                vp, vn, act, ends = vp[:, stay], vn[:, stay], act[stay], ends[stay]
+                if not len(act):
+                    break
+        eq = holds[text[j][act]].T
         x = eq & vp
         total = x + vp
         if words > 1:  # carries between the words, all at once: one that is full passes a carry on, one that ran over makes one
@@ -217,13 +252,13 @@ def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
             total += ((((full + made) ^ full ^ made) >> place) & 1).astype(np.uint64)
         d0 = (total ^ vp) | eq | vn
         hp, hn = vn | ~(d0 | vp), d0 & vp
-        score += np.where(j < n, (hp[top[0], top[1]] >> top[2] & one).astype(np.int64) - (hn[top[0], top[1]] >> top[2] & one).astype(np.int64), 0)
         hp1, hn1 = hp << one, hn << one
-        hp1[1:] |= hp[:-1] >> np.uint64(63)
-        hn1[1:] |= hn[:-1] >> np.uint64(63)
+        if words > 1:
+            hp1[1:] |= hp[:-1] >> np.uint64(63)
+            hn1[1:] |= hn[:-1] >> np.uint64(63)
         hp1[0] |= one
         vp, vn = hn1 | ~(d0 | hp1), d0 & hp1
-    return np.where(m == 0, n, score)
+    return low, exact
 
 
 def _aligned(v: list[str], w: list[str], most: float) -> float:
@@ -264,16 +299,18 @@ def bounded(a: list[str], b: list[str], least: float) -> tuple[np.ndarray, np.nd
         else:
             open_.append((k, x, y, max(1, -(-min(len(x), len(y)) // 64))))
     open_.sort(key=lambda z: z[3])
-    for _, many in groupby(open_, key=lambda z: (z[3] > 2) + (z[3] > 8)):
+    for _, many in groupby(open_, key=lambda z: (z[3] > 2) + (z[3] > 8) + (z[3] > WIDE)):
         many = list(many)
         for lo in range(0, len(many), TOGETHER):
             part = many[lo : lo + TOGETHER]
-            if len(part) < FEW_PAIRS or part[-1][3] > 16:
-                far = [edit_distance(z[1], z[2]) for z in part]
+            at = np.array([z[0] for z in part])
+            if len(part) < FEW_PAIRS or part[-1][3] > WIDE:
+                low[at] = high[at] = [edit_distance(z[1], z[2]) for z in part]
             else:
-                far = edit_distances([z[1] for z in part], [z[2] for z in part])
-            at = [z[0] for z in part]
-            low[at] = high[at] = far
+                most = np.array([allowed(max(len(z[1]), len(z[2])), least) for z in part])
+                far, exact = least_distances([z[1] for z in part], [z[2] for z in part], most)
+                low[at] = np.maximum(low[at], far)
+                high[at] = np.where(exact, far, np.inf)
     return low, high
 
 
@@ -388,8 +425,31 @@ def centre(bits: np.ndarray) -> int:
     return int((np.where(each, mean, 1 - mean)).sum(axis=1).argmax())
 
 
-def linked(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links, as places in ``texts``, that connect whatever is similar in a large group.
+def linked(groups: list[list[str]], least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each large group the links, as places in it, that connect whatever is similar there; what all groups ask for is compared together."""
+    going, asked, out = [_linking(texts, least) for texts in groups], {}, [None] * len(groups)
+
+    def step(g: int, good: np.ndarray | None) -> None:
+        try:
+            asked[g] = going[g].send(good)
+        except StopIteration as end:
+            out[g] = end.value
+            asked.pop(g, None)
+
+    for g in range(len(groups)):
+        step(g, None)
+    while asked:
+        turns = list(asked.items())
+        left, right = ([groups[g][x] for g, pair in turns for x in pair[side].tolist()] for side in (0, 1))
+        good = similar(left, right, least)
+        ends = np.cumsum([len(i) for _, (i, _) in turns])
+        for (g, _), some in zip(turns, np.split(good, ends[:-1]), strict=True):
+            step(g, some)
+    return out
+
+
+def _linking(texts: list[str], least: float) -> Generator[tuple[np.ndarray, np.ndarray], np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Asks which pairs of places are similar -> links, as places in ``texts``, that connect whatever is similar in a large group.
 
     First all texts meet up to ``CENTRES`` of them, each the centre of what is left. Then every text outside the largest
     component meets those of other components that the bounds leave, the likeliest first, until it is connected to
@@ -399,8 +459,10 @@ def linked(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
     bits, sizes = grams(texts)
     own, links = Forest(n), []
 
-    def test(i: np.ndarray, j: np.ndarray) -> None:
-        good = similar([texts[x] for x in i], [texts[x] for x in j], least) if len(i) else np.empty(0, bool)
+    def test(i: np.ndarray, j: np.ndarray) -> Generator[tuple[np.ndarray, np.ndarray], np.ndarray, None]:
+        if not len(i):
+            return
+        good = yield i, j
         for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
             if own.join(x, y):
                 links.append((x, y))
@@ -412,7 +474,7 @@ def linked(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
         at = left[centre(bits[left])]
         left = left[left != at]
         may = left[least_edits(bits[left], bits[at : at + 1], sizes[left], sizes[at]) <= allowed(np.maximum(sizes[left], sizes[at]), least)]
-        test(np.full(len(may), at), may)
+        yield from test(np.full(len(may), at), may)
         left = left[[own.root(x) != own.root(at) for x in left.tolist()]]
     comp = np.array([own.root(x) for x in range(n)])
     rest = np.flatnonzero(comp != np.bincount(comp).argmax())
@@ -427,7 +489,7 @@ def linked(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
         while len(i):  # a few of each text at first, then twice as many each time
             place = np.arange(len(i)) - np.searchsorted(i_turn := turn[i], i_turn)
             now, take = place < take, 2 * take
-            test(i[now], j[now])
+            yield from test(i[now], j[now])
             comp = np.array([own.root(x) for x in range(n)])
             open_ = ~now & (comp[i] != comp[j])
             i, j = i[open_], j[open_]
@@ -436,14 +498,16 @@ def linked(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def group_links(texts: list[str], starts: list[int], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of groups of any size: those of up to ``LARGE`` texts together, larger ones one by one."""
-    links, flat, begin = [], [], []
+    """Links of groups of any size, those of up to ``LARGE`` texts in one way, larger ones in another; each way takes all its groups together."""
+    links, flat, begin, large = [], [], [], []
     for lo, hi in zip(starts, [*starts[1:], len(texts)], strict=True):
         if hi - lo > LARGE:
-            links.append(tuple(x + lo for x in linked(texts[lo:hi], least)))
+            large.append((lo, hi))
         else:
             begin.append(len(flat))
             flat.extend(range(lo, hi))
+    found = linked([texts[lo:hi] for lo, hi in large], least)
+    links.extend((a + lo, b + lo) for (lo, _), (a, b) in zip(large, found, strict=True))
     if flat:
         back = np.array(flat)
         links.append(tuple(back[x] for x in forest([texts[x] for x in flat], begin, least)))

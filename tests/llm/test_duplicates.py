@@ -125,6 +125,45 @@ def test_bounds_of_similarity_hold():
             assert may[j] <= far and found[j] == (far <= 0.2 * max(len(x), len(y)) + 1e-9)
 
 
+def test_distances_too_far_end_early():
+    draw, a, b = random.Random(5), [], []
+    for _ in range(400):
+        x = "".join(draw.choices("abcde é", k=draw.choice([0, 1, 5, 63, 64, 65, 128, 200, 500])))
+        y = "".join(draw.choice(["", "z", "qa", c]) if draw.random() < draw.choice([0, 0.1, 0.5]) else c for c in x)
+        a.append(x)
+        b.append(y if draw.random() < 0.7 else "".join(draw.choices("abcde é", k=draw.randint(0, 500))))
+    want = np.array([linededup.edit_distance(x, y) for x, y in zip(a, b, strict=True)])
+    most = np.array([linededup.allowed(max(len(x), len(y)), 0.8) for x, y in zip(a, b, strict=True)])
+    assert linededup.edit_distances(a, b).tolist() == want.tolist()
+    low, exact = linededup.least_distances(a, b, most)
+    assert (low[exact] == want[exact]).all() and exact[want <= most].all()
+    assert (~exact).any() and (low[~exact] <= want[~exact]).all() and (low[~exact] > most[~exact]).all()
+
+
+def test_large_groups_are_compared_together(monkeypatch):
+    draw, texts, starts, calls = random.Random(6), [], [], []
+    for g in range(30):
+        starts.append(len(texts))
+        base = [draw.choices("abcdefgh ", k=80) for _ in range(2)]
+        for _ in range(12):
+            one = list(draw.choice(base))
+            one[draw.randrange(80)] = "xyz"[g % 3]
+            texts.append("".join(one))
+    plain = linededup.similar
+    monkeypatch.setattr(linededup, "similar", lambda x, y, least: calls.append(len(x)) or plain(x, y, least))
+    a, b = linededup.group_links(texts, starts, 0.8)
+    assert len(calls) < 30  # and not some calls for each group
+    own, want = groups.Forest(len(texts)), groups.Forest(len(texts))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        own.join(x, y)
+    for lo in starts:
+        for x in range(lo, lo + 12):
+            for y in range(x):
+                if y >= lo and plain([texts[x]], [texts[y]], 0.8)[0]:
+                    want.join(x, y)
+    assert [own.root(x) for x in range(len(texts))] == [want.root(x) for x in range(len(texts))]
+
+
 def test_links_of_groups_connect_what_is_similar():
     r = random.Random(43)
     texts, starts = [], []
