@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import small_batches, table
+from quillmill.llm.common import handing_back, small_batches, table
 
 #: Pieces of text a Python worker remembers, in two generations of this many; longer pieces are not remembered.
 MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
@@ -347,7 +347,7 @@ def _run(docs: DataFrame, tokenizer: str, key: str, text: str, names: list[str])
         bpe.forget()  # the worker goes on to other tasks
 
     kind = pair.schema["k"].dataType.simpleString()
-    return small_batches(pair).mapInArrow(work, f"k {kind}, " + ", ".join(f"{x} {_KINDS[x][0]}" for x in names)).withColumnRenamed("k", key)
+    return small_batches(pair).mapInArrow(handing_back(work), f"k {kind}, " + ", ".join(f"{x} {_KINDS[x][0]}" for x in names)).withColumnRenamed("k", key)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

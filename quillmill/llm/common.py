@@ -70,6 +70,25 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def handing_back(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on batches, whose memory goes back to the system when they are done.
+
+    Arrow's pool keeps it otherwise, and so does a worker for as long as it waits for other tasks.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(tidy(batches))
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def with_outputs(docs: DataFrame, text: str, keep: list[str], outputs: dict[str, str], make: Callable[[], Callable]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and new columns computed from the column ``text``, in Arrow batches.
 
@@ -93,7 +112,7 @@ def with_outputs(docs: DataFrame, text: str, keep: list[str], outputs: dict[str,
     out = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items()))
     types = {f.name: f.type for f in to_arrow_schema(out)}
     schema = StructType([given.schema["row"], *out.fields])
-    return small_batches(given).mapInArrow(work, schema).select(*(F.col(f"row.`{c}`") for c in keep), *names)
+    return small_batches(given).mapInArrow(handing_back(work), schema).select(*(F.col(f"row.`{c}`") for c in keep), *names)
 
 
 def held_out(key: str, buckets: int, bucket: int):

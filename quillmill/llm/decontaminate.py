@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import SLICE, columns_of, numbered, small_batches, table, without, written
+from quillmill.llm.common import SLICE, columns_of, handing_back, numbered, small_batches, table, without, written
 
 WINDOW = 13
 SLICE_CHARS = 8_000_000
@@ -56,7 +56,7 @@ def term_counts(docs: DataFrame, vocabulary: set[bytes], text: str = "text") ->
                 total[w] += seen[w]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
 
-    rows = small_batches(docs.select(F.col(text).alias("t"))).mapInArrow(work, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    rows = small_batches(docs.select(F.col(text).alias("t"))).mapInArrow(handing_back(work), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     return {bytes(r["w"]): r["n"] for r in rows}
 
 
@@ -83,7 +83,13 @@ def build_index(docs: DataFrame, number: dict[bytes, int], anchors: set[bytes],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return written(small_batches(docs).mapInArrow(work, f"rid long, id {kind}, n_words long, pos array<int>, term array<int>"), "postings")
+    return written(small_batches(docs).mapInArrow(handing_back(work), f"rid long, id {kind}, n_words long, pos array<int>, term array<int>"), "postings")
+
+
+def _frame(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """Rows of a slice as Arrow columns: given as Python rows, they would need Python workers of their own on the executors."""
+    values = zip(*rows, strict=True) if rows else [()] * len(columns)
+    return spark.createDataFrame(pa.table({n: pa.array(x, t) for (n, t), x in zip(columns.items(), values, strict=True)}))
 
 
 def _postings(index: DataFrame) -> DataFrame:
@@ -135,11 +141,13 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
         anchors = items.anchors(counts)
         index = build_index(numbered, items.number, {items.words[i][o] for i, o in anchors}, window - 1)
         known = index.select("rid", "id", "n_words") if known is None else known
-        anchor = spark.createDataFrame([(i, o, items.number[items.words[i][o]]) for i, o in sorted(anchors)], "item int, off int, term int")
-        body = spark.createDataFrame(
-            [(i, o, items.number[w], items.need(i)) for i, ws in enumerate(items.words) for o, w in enumerate(ws)], "item int, off int, term int, need int"
-        )
-        names = spark.createDataFrame(list(enumerate(items.ids)), "item int, name string")
+        anchor = _frame(spark, [(i, o, items.number[items.words[i][o]]) for i, o in sorted(anchors)], item=pa.int32(), off=pa.int32(), term=pa.int32())
+        body = _frame(
+            spark,
+            [(i, o, items.number[w], items.need(i)) for i, ws in enumerate(items.words) for o, w in enumerate(ws)],
+            item=pa.int32(), off=pa.int32(), term=pa.int32(), need=pa.int32(),
+        )
+        names = _frame(spark, list(enumerate(items.ids)), item=pa.int32(), name=pa.string())
         postings = _postings(index)
         aligned = written(
             postings.join(F.broadcast(anchor), "term").select("rid", "item", (F.col("pos") - F.col("off")).alias("shift")).distinct(), "alignments"
@@ -169,7 +177,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, rare: int = 3, leas
         counts = term_counts(docs, items.vocabulary, text)
         chosen = [sorted({x for x in w if counts.get(x)}, key=lambda x: (counts[x], x))[:rare] for w in items.words]
         rows = [(items.ids[i], items.number[w]) for i, c in enumerate(chosen) if len(c) >= least for w in c]
-        want = spark.createDataFrame(rows, "item string, term int")
+        want = _frame(spark, rows, item=pa.string(), term=pa.int32())
         number = {w: items.number[w] for c in chosen if len(c) >= least for w in c}
         index = build_index(numbered, number, set(number), 0)
         placed = _postings(index).join(F.broadcast(want), "term").withColumn("cell", F.floor(F.col("pos") / span))

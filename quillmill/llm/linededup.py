@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import small_batches, table, written
+from quillmill.llm.common import handing_back, small_batches, table, written
 from quillmill.llm.groups import BLOCK, Forest, block_pairs, components, runs
 
 MIN_WORDS, SIMILARITY = 5, 0.8
@@ -384,7 +384,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                     names=["rk", "rh", "id", "line", "h", "g", "keys"],
                 )
 
-    return small_batches(docs).mapInArrow(work, f"rk long, rh int, id {docs.schema['id'].dataType.simpleString()}, line int, h long, g long, keys binary")
+    return small_batches(docs).mapInArrow(handing_back(work), f"rk long, rh int, id {docs.schema['id'].dataType.simpleString()}, line int, h long, g long, keys binary")
 
 
 def _spread(lines: DataFrame) -> DataFrame:
@@ -398,7 +398,7 @@ def _spread(lines: DataFrame) -> DataFrame:
             times = np.fromiter(map(len, keys), np.int64, len(keys)) // KEY
             yield pa.RecordBatch.from_arrays([pa.array(wide.view(np.int64).ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), times))], names=["key", "node"])
 
-    return lines.mapInArrow(work, "key long, node long")
+    return lines.mapInArrow(handing_back(work), "key long, node long")
 
 
 def _meetings(lines: DataFrame) -> DataFrame:
@@ -415,7 +415,7 @@ def _meetings(lines: DataFrame) -> DataFrame:
             if len(key):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
 
-    return _spread(lines).repartition("key").sortWithinPartitions("key").mapInArrow(work, "key long, node long")
+    return _spread(lines).repartition("key").sortWithinPartitions("key").mapInArrow(handing_back(work), "key long, node long")
 
 
 def centre(bits: np.ndarray) -> int:
@@ -597,7 +597,7 @@ def _links(members: DataFrame, least: float, rows: int) -> DataFrame:
 
     # comparing is dear for the bytes of a row, so the partitions go by rows
     n = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // MEMBERS_A_TASK)
-    return members.repartition(n, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(work, "a long, b long")
+    return members.repartition(n, "key", "b1", "b2").sortWithinPartitions("key", "b1", "b2").mapInArrow(handing_back(work), "a long, b long")
 
 
 def _to_documents(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -622,7 +622,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     text.append(b" ".join(normal_lines(lines[w["line"]])[0]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(text, pa.string())], names=["node", "text"])
 
-    return small_batches(given).mapInArrow(work, "node long, text string").dropDuplicates(["node"])
+    return small_batches(given).mapInArrow(handing_back(work), "node long, text string").dropDuplicates(["node"])
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, least: float = SIMILARITY) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import columns_of, numbered, small_batches, table, without, written
+from quillmill.llm.common import columns_of, handing_back, numbered, small_batches, table, without, written
 from quillmill.llm.groups import BLOCK, Forest, block_pairs, components, runs
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             fp = np.array([fingerprint(t.as_py()) for t in batch.column("t")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return small_batches(given).mapInArrow(work, f"id {given.schema['id'].dataType.simpleString()}, fp long")
+    return small_batches(given).mapInArrow(handing_back(work), f"id {given.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from quillmill.llm import bpe
-from quillmill.llm.common import shared_folder, small_batches, table
+from quillmill.llm.common import handing_back, shared_folder, small_batches, table
 
 #: Ids of a block; a multiple of 8, so that every full block ends at a whole byte.
 BLOCK = 4096
@@ -290,7 +290,7 @@ def encoded(rows: DataFrame, tokenizer: str, end: int | None = END) -> DataFrame
                 runs = tables.encode_all(batch.column("t").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype("<i4").tobytes() + tail for x in runs], pa.binary())], names=["doc_id", "ids"])
 
-    return small_batches(rows).mapInArrow(work, "doc_id long, ids binary")
+    return small_batches(rows).mapInArrow(handing_back(work), "doc_id long, ids binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = END, key: str = "doc_id", text: str = "text") -> None:

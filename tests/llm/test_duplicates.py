@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillmill.llm import decontaminate, groups, linededup, neardup
+from quillmill.llm import common, decontaminate, groups, linededup, neardup
 
 WORDS = ["lorem", "ipsum", "dolor", "sit", "amet", "tempor", "magna", "aliqua", "erat", "vita", "nunc", "orci", "felis", "massa"]
 
@@ -30,6 +30,16 @@ def test_components(spark):
     assert groups.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_arrow_memory_goes_back(monkeypatch):
+    from types import SimpleNamespace
+
+    calls = []
+    pool = SimpleNamespace(release_unused=lambda: calls.append(1))
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    assert list(common.handing_back(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]
+    assert len(calls) == 4  # after each batch and at the end
+
+
 @pytest.mark.parametrize("limit", [None, 3])
 def test_runs_cut_whole_groups(limit):
     import pyarrow as pa
@@ -332,6 +342,21 @@ def test_decontamination_by_brute_force(spark, chars):
     assert decontaminate.contamination(frame(spark, texts).limit(0), bench).count() == 0
 
 
+def test_items_reach_spark_without_python_workers(spark, monkeypatch):
+    docs = spark.range(3).selectExpr("id AS doc_id", "IF(id = 1, 'a lorem ipsum b', 'other') AS text")
+    bench = spark.range(1).selectExpr("id AS item_id", "'lorem ipsum' AS text")
+
+    def refuse(*_):
+        raise AssertionError("rows given as Python objects start workers of their own on the executors")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refuse)
+    got = {x["doc_id"]: x["n_hit"] for x in decontaminate.contamination(docs, bench).collect()}
+    assert got == {0: 0, 1: 2, 2: 0}
+    assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    near = decontaminate.proximity_matches(docs, bench)
+    assert near.columns == ["doc_id", "item", "pos"] and near.count() == 2
+
+
 def brute_proximity(texts, items, rare, least, span):
     docs = [decontaminate.words(t) for t in texts]
     count = {}
