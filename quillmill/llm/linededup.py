@@ -47,6 +47,12 @@ BLOCKS = 4
 LARGE, CENTRES = 8, 4
 #: Pairs of texts whose distances are computed together; fewer than these go one by one.
 TOGETHER, FEW_PAIRS = 2048, 24
+#: Columns after which a pair that is compared alone leaves if it is too far apart.
+STEP = 16
+#: What a column costs: of one pair alone; of all pairs together, for the column and for each pair's word of 64 bits.
+ALONE, COLUMN, WORD = 0.6, 60.0, 0.06
+#: Bits of the tables of places that are kept for a text's next pairs.
+KNOWN_BITS = 1 << 26
 #: Words of 64 bits of the texts that are compared together, and columns after which pairs too far apart leave.
 WIDE, EXIT = 60, 32
 #: Members of groups, and more, that are compared together, and those that a task gets, about.
@@ -162,6 +168,42 @@ def band_keys(lines: list[list[bytes]], kinds: tuple[str, ...] = ("simhash", *BA
     return out
 
 
+def places(text: str) -> dict[str, int]:
+    """Where each character stands in a text, a bit for each place."""
+    out, bit = dict.fromkeys(text, 0), 1
+    for c in text:
+        out[c] |= bit
+        bit <<= 1
+    return out
+
+
+def distance_up_to(peq: dict[str, int], m: int, b: str, most: float) -> tuple[int, bool]:
+    """The distance of ``b`` from a text of ``m`` characters given by its places, and whether it is exact: else a bound below, beyond ``most``.
+
+    Distances never fall along a diagonal, so the one that leads to the end tells every ``STEP`` columns whether it is too far already.
+    """
+    n = len(b)
+    if not m or not n:
+        return m + n, True
+    mask = (1 << m) - 1
+    vp, vn, get = mask, 0, peq.get
+    for lo in range(0, n, STEP):
+        for c in b[lo : lo + STEP]:
+            eq = get(c, 0)
+            d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & mask
+            hn = d0 & vp
+            hp = (vn | mask ^ (d0 | vp)) << 1 | 1
+            vp, vn = (hn << 1 | mask ^ (d0 | hp) & mask) & mask, d0 & hp
+        j = min(lo + STEP, n)
+        row = m - n + j
+        if row > 0:
+            own = (1 << row) - 1
+            now = j + (vp & own).bit_count() - (vn & own).bit_count()
+            if now > most:
+                return now, j == n
+    return now, True
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance, bit-parallel over the shorter text, ends in common cut off first."""
     if len(a) > len(b):
@@ -304,10 +346,25 @@ def bounded(a: list[str], b: list[str], least: float) -> tuple[np.ndarray, np.nd
         for lo in range(0, len(many), TOGETHER):
             part = many[lo : lo + TOGETHER]
             at = np.array([z[0] for z in part])
-            if len(part) < FEW_PAIRS or part[-1][3] > WIDE:
+            longer = np.array([max(len(z[1]), len(z[2])) for z in part])
+            most = allowed(longer, least)
+            alone = ALONE * longer.sum() < COLUMN * longer.max() + WORD * part[-1][3] * longer.sum()
+            if part[-1][3] > WIDE:
                 low[at] = high[at] = [edit_distance(z[1], z[2]) for z in part]
+            elif alone or len(part) < FEW_PAIRS:
+                known: dict[str, dict[str, int]] = {}
+                bits = 0
+                for z, limit in zip(part, most.tolist(), strict=True):
+                    x, y = (z[1], z[2]) if z[1] in known or z[2] not in known else (z[2], z[1])
+                    if x not in known:
+                        if bits > KNOWN_BITS:
+                            known, bits = {}, 0
+                        known[x] = places(x)
+                        bits += (len(x) + 512) * len(known[x])
+                    far, exact = distance_up_to(known[x], len(x), y, limit)
+                    low[z[0]] = max(low[z[0]], far)
+                    high[z[0]] = far if exact else np.inf
             else:
-                most = np.array([allowed(max(len(z[1]), len(z[2])), least) for z in part])
                 far, exact = least_distances([z[1] for z in part], [z[2] for z in part], most)
                 low[at] = np.maximum(low[at], far)
                 high[at] = np.where(exact, far, np.inf)

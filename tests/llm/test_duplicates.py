@@ -135,6 +135,31 @@ def test_bounds_of_similarity_hold():
             assert may[j] <= far and found[j] == (far <= 0.2 * max(len(x), len(y)) + 1e-9)
 
 
+def test_pairs_alone_end_early():
+    draw, early = random.Random(8), 0
+    for _ in range(400):
+        x = "".join(draw.choices("abcde é", k=draw.choice([0, 1, 5, 63, 64, 65, 200, 500])))
+        y = "".join(draw.choice(["", "z", "qa", c]) if draw.random() < draw.choice([0, 0.1, 0.5]) else c for c in x)
+        y = y if draw.random() < 0.7 else "".join(draw.choices("abcde é", k=draw.randint(0, 500)))
+        most, want = linededup.allowed(max(len(x), len(y)), 0.8), linededup.edit_distance(x, y)
+        got, exact = linededup.distance_up_to(linededup.places(x), len(x), y, most)
+        assert got == want if exact else most < got <= want
+        assert exact or want > most
+        early += not exact
+    assert early > 50
+
+
+def test_few_long_pairs_are_compared_alone(monkeypatch):
+    draw = random.Random(9)
+    a = [" ".join(draw.choices(WORDS, k=60)) for _ in range(40)]
+    b = [" ".join(draw.choices(WORDS, k=60)) if i % 2 else "".join("" if draw.random() < 0.1 else c for c in x) for i, x in enumerate(a)]
+    want = [1 - linededup.edit_distance(x, y) / max(len(x), len(y)) >= 0.8 for x, y in zip(a, b, strict=True)]
+    monkeypatch.setattr(linededup, "least_distances", None)  # forty pairs of some 350 characters: a column of all costs more than each alone
+    assert linededup.similar(a, b, 0.8).tolist() == want and any(want) and not all(want)
+    monkeypatch.setattr(linededup, "KNOWN_BITS", 0)
+    assert linededup.similar(a, b, 0.8).tolist() == want
+
+
 def test_distances_too_far_end_early():
     draw, a, b = random.Random(5), [], []
     for _ in range(400):
