@@ -2,6 +2,7 @@
 
 import datetime as dt
 import re
+import time
 
 import duckdb
 import pytest
@@ -14,6 +15,7 @@ from quillmill.operators import retrieval as V
 from quillmill.operators import selection
 from quillmill.plans import evaluation, jobs, retail
 from quillmill.plans.analogues import Retail
+from quillmill.sources import staging
 
 
 def day(n):
@@ -115,3 +117,36 @@ def test_training_writes_only_its_inputs(spark, monkeypatch):
     monkeypatch.setattr(modelling, "prepared", lambda df: written.append(df.columns) or prepared(df))
     jobs._split(Retail(spark, "/root/testdata/sf0.001"))
     assert written == [["store_id", "date", "sales", "is_open", "is_train", *modelling.FEATURES]]
+
+
+def test_staged_writes_leave_no_shuffle_files(spark):
+    disk, listed = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    files = lambda: {name for f in listed(disk.getAllFiles()) if (name := f.getName()).startswith("shuffle_")}
+    before, old = files(), spark.conf.get(staging.CLEANUP)
+    rows = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count().join(spark.range(5).withColumnRenamed("id", "k").hint("shuffle_hash"), "k")
+    out = staging.staged(rows, "groups")
+    for _ in range(50):  # files go a little later
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 5 and spark.conf.get(staging.CLEANUP) == old
+
+
+def test_prepared_rows_are_trained_on_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(modelling, "SHARE", 50)
+    rows = modelling.prepared(spark.range(1000).coalesce(1))
+    assert sorted(r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()) == [50] * 20
+    same = modelling.dealt(rows, 50)
+    assert "Repartition" not in same._jdf.queryExecution().optimizedPlan().toString() and same.count() == 1000
+    skewed = spark.range(1000).repartition(20).where("id < 900").union(spark.range(900, 1000).coalesce(1))
+    assert "Repartition 20" in modelling.dealt(skewed, 50)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_deals_and_writes_its_rows_once(spark, monkeypatch):
+    df = spark.range(400).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 + 1.0).alias("sales"), F.lit(1).alias("is_open"), F.lit(1).alias("is_train"))
+    dealt, written, deal, stage = [], [], modelling.dealt, modelling.staged
+    monkeypatch.setattr(modelling, "dealt", lambda rows: dealt.append(rows) or deal(rows))
+    monkeypatch.setattr(modelling, "staged", lambda rows, name, *share: written.append((name, *share)) or stage(rows, name, *share))
+    done = modelling.search(df, df, trials=3, features=["x"], ranges={"maxDepth": (1, 2), "maxIter": (1, 2)})
+    assert len(done) == 3 and len(dealt) == 1 and written == [("search-input", modelling.SHARE), ("search-valid",)]
+    assert [modelling.at_a_time(modelling.SHARE * n, 8, 4) for n in (1, 8, 9)] == [4, 4, 1]
