@@ -1,6 +1,7 @@
 """Steps whose work must grow no faster than their input."""
 
 import datetime as dt
+import inspect
 import re
 import time
 
@@ -145,8 +146,23 @@ def test_prepared_rows_are_trained_on_where_they_lie(spark, monkeypatch):
 def test_search_deals_and_writes_its_rows_once(spark, monkeypatch):
     df = spark.range(400).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 + 1.0).alias("sales"), F.lit(1).alias("is_open"), F.lit(1).alias("is_train"))
     dealt, written, deal, stage = [], [], modelling.dealt, modelling.staged
-    monkeypatch.setattr(modelling, "dealt", lambda rows: dealt.append(rows) or deal(rows))
+    monkeypatch.setattr(modelling, "dealt", lambda rows, **least: dealt.append(rows) or deal(rows, **least))
     monkeypatch.setattr(modelling, "staged", lambda rows, name, *share: written.append((name, *share)) or stage(rows, name, *share))
     done = modelling.search(df, df, trials=3, features=["x"], ranges={"maxDepth": (1, 2), "maxIter": (1, 2)})
     assert len(done) == 3 and len(dealt) == 1 and written == [("search-input", modelling.SHARE), ("search-valid",)]
     assert [modelling.at_a_time(modelling.SHARE * n, 8, 4) for n in (1, 8, 9)] == [4, 4, 1]
+
+
+def test_the_search_query_is_the_whole_search(spark, monkeypatch):
+    asked, shape = [], inspect.signature(modelling.search)
+
+    def spy(*given, **named):
+        call = shape.bind(*given, **named)
+        call.apply_defaults()
+        asked.append(call.arguments)
+        return [modelling.Trial({"maxDepth": 3}, 0.5, 2)]
+
+    monkeypatch.setattr(modelling, "search", spy)
+    monkeypatch.setattr(jobs, "_split", lambda t: (None, None))
+    assert jobs.QUERIES["model_search"](spark, "/root/testdata/sf0.001").count() == 1
+    assert asked[0]["trials"] == 100 and (asked[0]["ranges"] or modelling.RANGES) == modelling.RANGES and not asked[0]["options"]
