@@ -166,3 +166,17 @@ def test_the_search_query_is_the_whole_search(spark, monkeypatch):
     monkeypatch.setattr(jobs, "_split", lambda t: (None, None))
     assert jobs.QUERIES["model_search"](spark, "/root/testdata/sf0.001").count() == 1
     assert asked[0]["trials"] == 100 and (asked[0]["ranges"] or modelling.RANGES) == modelling.RANGES and not asked[0]["options"]
+
+
+def test_trained_submission_writes_the_facts_once_and_narrow(spark, monkeypatch):
+    written, taken, stage, train = [], [], staging.staged, modelling.train
+    for place in (jobs, X, modelling):
+        monkeypatch.setattr(place, "staged", lambda df, name, *share: written.append((name, df.columns)) or stage(df, name, *share))
+    monkeypatch.setattr(modelling, "train", lambda df, names, **options: taken.append((df, names)) or train(df, names, **options))
+    t = Retail(spark, "/root/testdata/sf0.001")
+    assert jobs.QUERIES["model_trained_submission"](spark, "/root/testdata/sf0.001").count() == t.requests.count()
+    (rows, names), facts = taken[0], [columns for name, columns in written if name == "fact"]
+    assert len(facts) == 1 and sorted(facts[0]) == sorted(retail.SOURCES)
+    assert [columns for name, columns in written if name == "model-input"] == [["sales", "is_open", "is_train", *names]]
+    of = lambda df: sorted(df.select(*(F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6) for c in ("sales", *names))).collect())
+    assert of(rows) == of(X.build_features(retail.fact(t), t.promo_days, t.promo).where("is_train = 1 AND is_open = 1"))
