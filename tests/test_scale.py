@@ -180,3 +180,12 @@ def test_trained_submission_writes_the_facts_once_and_narrow(spark, monkeypatch)
     assert [columns for name, columns in written if name == "model-input"] == [["sales", "is_open", "is_train", *names]]
     of = lambda df: sorted(df.select(*(F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6) for c in ("sales", *names))).collect())
     assert of(rows) == of(X.build_features(retail.fact(t), t.promo_days, t.promo).where("is_train = 1 AND is_open = 1"))
+
+
+def test_training_features_are_those_of_open_training_rows(spark, monkeypatch):
+    written, prepared = [], modelling.prepared
+    monkeypatch.setattr(modelling, "prepared", lambda df: written.append(df) or prepared(df))
+    t = Retail(spark, "/root/testdata/sf0.001")
+    early, late = jobs._split(t)
+    want = retail.feature_table(t).where("is_train = 1 AND is_open = 1").count()
+    assert written[0].count() == want == early.count() + late.count()
